@@ -31,7 +31,7 @@ from .rolling import chunks, inside, windows, word_hashes
 #: Words of a repeat, and of an anchor: any window of WINDOW words holds a whole aligned block of ANCHOR words.
 WINDOW, ANCHOR = 13, 7
 #: Bytes of text in a bucket, about, and words for which the hash space has one part.
-BUCKET_BYTES, PART_WORDS = 12 << 20, 4 << 20
+BUCKET_BYTES, PART_WORDS = 10 << 20, 3 << 20
 #: Bits of an anchor's hash that are exchanged; an accidental match only costs a comparison of 13-word windows.
 ANCHOR_BITS = 44
 #: Stands for a null id.
@@ -171,6 +171,47 @@ def _ids(ids: list[int | None]) -> np.ndarray:
 _WINDOWS = np.dtype([("h", "<u8"), ("c", "<u4"), ("doc", "<i8")])
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """int64 as their least value and differences from it of the least number of whole bytes."""
+    low = int(values.min()) if len(values) else 0
+    off = values.astype(np.int64).view(_U) - np.array(low, dtype=np.int64).view(_U)
+    width = max(1, (int(off.max()).bit_length() + 7) // 8) if len(values) else 1
+    cut = np.ascontiguousarray(off.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return low.to_bytes(8, "little", signed=True) + bytes([width]) + cut.tobytes()
+
+
+def _widened(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, data[8])
+    full = np.zeros((len(raw), 8), dtype=np.uint8)
+    full[:, : data[8]] = raw
+    return full.view("<u8").ravel().view(np.int64) + int.from_bytes(data[:8], "little", signed=True)
+
+
+def _joined(*parts: bytes) -> bytes:
+    return b"".join(x for p in parts for x in (len(p).to_bytes(4, "little"), p))
+
+
+def _split(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def _packed_windows(w: np.ndarray) -> bytes:
+    return _joined(packed(w["h"]), w["c"].tobytes(), _narrow(w["doc"]))
+
+
+def _unpacked_windows(data: bytes) -> np.ndarray:
+    h, c, doc = _split(data)
+    h = unpacked(h)
+    out = np.empty(len(h), dtype=_WINDOWS)
+    out["h"], out["c"], out["doc"] = h, np.frombuffer(c, dtype="<u4"), _widened(doc)
+    return out
+
+
 def _smallest(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Distinct windows, ascending by hash, each with its smallest document."""
     out = np.empty(len(h), dtype=_WINDOWS)
@@ -197,7 +238,7 @@ def _extend(parts: int):
         every = np.concatenate(found)
         every = _smallest(every["h"], every["c"], every["doc"])
         at, bucket = _parts_of(every["h"], 64, parts), key[0].as_py()
-        return _message([(k, bucket, every[at[k] : at[k + 1]].tobytes()) for k in range(parts) if at[k + 1] > at[k]])
+        return _message([(k, bucket, _packed_windows(every[at[k] : at[k + 1]])) for k in range(parts) if at[k + 1] > at[k]])
 
     return run
 
@@ -205,14 +246,15 @@ def _extend(parts: int):
 def _smallest_documents(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """A part of the hash space: tells each bucket which of its windows are in a smaller document elsewhere, and in which."""
     part, out = key[0].as_py(), []
-    each = [(b, np.frombuffer(d, dtype=_WINDOWS)) for b, d in zip(table["bucket"].to_pylist(), table["data"].to_pylist())]
+    each = [(b, _unpacked_windows(d)) for b, d in zip(table["bucket"].to_pylist(), table["data"].to_pylist())]
     every = np.concatenate([w for _, w in each])
     least = _smallest(every["h"], every["c"], every["doc"])
     for bucket, w in each:
         at = _find(least, w["h"], w["c"])
         smaller = least["doc"][at] < w["doc"]
         if smaller.any():
-            out.append((bucket, _MIN, part, least[at[smaller]].tobytes()))
+            # The bucket knows its windows; their places in what it sent and the documents are enough.
+            out.append((bucket, _MIN, part, _joined(packed(np.flatnonzero(smaller).astype(_U)), _narrow(least["doc"][at[smaller]]))))
     return _reply(out)
 
 
@@ -232,30 +274,40 @@ _OUT = pa.schema(
 )
 
 
-def _remove(key: tuple[pa.Scalar, ...], docs: pa.Table, replies: pa.Table) -> pa.Table:
+def _remove(parts: int):
     """Bucket of documents and its replies -> kept texts and removed ranges of words."""
-    texts, ids = _texts(docs)
-    known, hot = _ids(ids), _hot(replies)
-    elsewhere = [np.frombuffer(d, dtype=_WINDOWS) for k, d in zip(replies["kind"].to_pylist(), replies["data"].to_pylist()) if k == _MIN]
-    spots = []  # of each chunk: number of first text, starts, hashes, checks, documents
-    for a, words, lengths, hashes in _word_chunks(texts) if len(hot) else ():
-        starts, h, c = _candidates(hashes, lengths, hot)
-        spots.append((a, starts, h, c, np.repeat(known[a : a + len(words)], lengths)[starts]))
-    least = None
-    if spots:
-        every = np.concatenate([*elsewhere, *(_smallest(h[d != NO_ID], c[d != NO_ID], d[d != NO_ID]) for _, _, h, c, d in spots)])
-        least = _smallest(every["h"], every["c"], every["doc"])
+
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, replies: pa.Table) -> pa.Table:
+        texts, ids = _texts(docs)
+        known, hot = _ids(ids), _hot(replies)
+        spots = {}  # of each chunk, by its first text: starts, hashes, checks, documents
+        for a, words, lengths, hashes in _word_chunks(texts) if len(hot) else ():
+            starts, h, c = _candidates(hashes, lengths, hot)
+            doc = np.repeat(known[a : a + len(words)], lengths)[starts]
+            spots[a] = [x[doc != NO_ID] for x in (starts, h, c, doc)]
+        least = np.empty(0, dtype=_WINDOWS)
+        if spots:
+            least = np.concatenate([_smallest(h, c, d) for _, h, c, d in spots.values()])
+            least = _smallest(least["h"], least["c"], least["doc"])
+            begin = _parts_of(least["h"], 64, parts)
+            for kind, part, data in zip(*(replies[c].to_pylist() for c in ("kind", "part", "data"))):
+                if kind == _MIN:
+                    place, doc = _split(data)
+                    least["doc"][begin[part] + unpacked(place).astype(np.int64)] = _widened(doc)
+        return _kept(texts, ids, spots, least)
+
+    return run
+
+
+def _kept(texts: list[bytes], ids: list[int | None], spots: dict[int, list[np.ndarray]], least: np.ndarray) -> pa.Table:
     out = ([], [], [], [])
-    spots = {a: rest for a, *rest in spots}
     for a, b in chunks(texts):
         words = [t.split() for t in texts[a:b]]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=b - a)
         gone = np.zeros(int(lengths.sum()) + 1, dtype=np.int64)
-        if least is not None and len(least) and a in spots:
+        if len(least) and a in spots and len(spots[a][0]):
             starts, h, c, doc = spots[a]
-            ok = doc != NO_ID
-            starts, h, c, doc = starts[ok], h[ok], c[ok], doc[ok]
-            hit = starts[least["doc"][_find(least, h, c)] < doc] if len(starts) else starts
+            hit = starts[least["doc"][_find(least, h, c)] < doc]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + WINDOW, -1)
         covered = np.cumsum(gone)[:-1] > 0
@@ -290,4 +342,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = spread.groupBy("part").applyInArrow(_smallest_documents, reply)
     replies = hot.unionByName(least)
     schema = "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<bigint>>"
-    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_remove, schema)
+    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_remove(parts), schema)
