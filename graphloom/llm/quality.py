@@ -62,13 +62,6 @@ def repeated_window_words(fours: Column) -> Column:
     return F.when(repeats(fours) < 5, none).otherwise(eights(fours))
 
 
-def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row the id, the text, its words, and the hashes of its words and of its pairs of words."""
-    words = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), words_of(F.col(text_col)).alias("__words"))
-    pair = lambda h: F.struct(h.alias("one"), _pairs(h, 1).alias("two"))
-    return words.withColumn("__h", let(F.transform("__words", lambda w: F.xxhash64(w)), pair))
-
-
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_bound: int = TRUSTED) -> DataFrame:
     """The model: one row, ``w`` an array of BUCKETS log ratios.
 
@@ -101,25 +94,41 @@ def weights(model: DataFrame) -> Column:
     return F.from_json(F.lit("[" + ",".join(repr(float(x)) for x in w) + "]"), "array<double>")
 
 
-def judge(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score (double,
-    nats a n-gram) and kept."""
+def _judged(docs: DataFrame, model: DataFrame, carried: list[str], text_col: str, threshold: float) -> DataFrame:
+    """The carried columns, and the results with a prefix that keeps them apart."""
     w = weights(model)
-    lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(NONSPACE))
-    n_words, h = F.size("__words"), F.col("__h")
+    rows = docs.select(*carried, F.coalesce(F.col(text_col), F.lit("")).alias("__q_text"), words_of(F.col(text_col)).alias("__q_words"))
+    pair = lambda h: F.struct(h.alias("one"), _pairs(h, 1).alias("two"))
+    rows = rows.withColumn("__q_h", let(F.transform("__q_words", lambda x: F.xxhash64(x)), pair))
+    lines = F.filter(F.split("__q_text", "\n", -1), lambda x: x.rlike(NONSPACE))
+    h = F.col("__q_h")
     ratios = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda a, x: a + F.get(w, _bucket(x)))
-    one = _hashed(docs, id_col, text_col).select(
-        id_col,
-        n_words.cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(_pairs(h["two"], 2), repeated_window_words).alias("n_repeat_words"),
-        ((ratios(h["one"]) + ratios(h["two"])) / (F.size(h["one"]) + F.size(h["two"]) + F.lit(float(SHRINK)))).alias("score"),
+    rows = rows.select(
+        *carried,
+        F.size("__q_words").cast("long").alias("__q_n_words"),
+        F.length(F.array_join("__q_words", "")).cast("long").alias("__q_word_chars"),
+        F.regexp_count("__q_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("__q_n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("__q_n_dup_lines"),
+        let(_pairs(h["two"], 2), repeated_window_words).alias("__q_n_repeat_words"),
+        ((ratios(h["one"]) + ratios(h["two"])) / (F.size(h["one"]) + F.size(h["two"]) + F.lit(float(SHRINK)))).alias("__q_score"),
     )
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    one = one.withColumn("base_failed", failed)
-    return one.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    failed = (F.col("__q_n_words") < 20) | (100 * F.col("__q_n_repeat_words") > 30 * F.col("__q_n_words"))
+    rows = rows.withColumn("__q_base_failed", failed)
+    return rows.withColumn("__q_kept", ~F.col("__q_base_failed") & (F.col("__q_score") >= F.lit(threshold)))
+
+
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+def judge(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score (double,
+    nats a n-gram) and kept."""
+    return _judged(docs, model, [id_col], text_col, threshold).select(id_col, *(F.col("__q_" + c).alias(c) for c in RESULTS))
+
+
+def keep(docs: DataFrame, model: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    return _judged(docs, model, docs.columns, text_col, threshold).where("__q_kept").select(*docs.columns)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

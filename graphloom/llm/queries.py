@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosenpath, packing, pii, quality, substring
-from .common import table, written
+from . import ann, chosenpath, licenses, mixing, packing, pii, quality, substring, urls, warc
+from .common import table, words_of, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,57 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pages_replica(pages: DataFrame, rotten: bool) -> DataFrame:
+    """Records of all pages; a rotten replica has the first character of some payloads changed, chosen by a hash of the url."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    if rotten:
+        hit = F.md5(F.coalesce(F.col("url"), F.lit(""))).startswith("0")
+        html = F.when(hit, F.concat(F.lit("~"), F.substr(html, F.lit(2)))).otherwise(html)
+    return pages.select("page_id", "url", warc.record(F.col("url"), html).alias("record"))
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of all pages that was damaged on purpose (about one record in 16)."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit_tables(pages_replica(pages, False), pages_replica(pages, True), ["page_id", "url"])
+
+
+OP4_SQL = """
+WITH both_ AS (
+  SELECT page_id, url, coalesce(url, '') AS u, coalesce(html, '') AS a,
+         CASE WHEN md5(coalesce(url, '')) LIKE '0%' THEN '~' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS b FROM pages),
+records AS (
+  SELECT page_id, url,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(a) || chr(13) || chr(10) || chr(13) || chr(10) || a || chr(13) || chr(10) || chr(13) || chr(10) AS ra,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(b) || chr(13) || chr(10) || chr(13) || chr(10) || b || chr(13) || chr(10) || chr(13) || chr(10) AS rb
+  FROM both_),
+hashed AS (SELECT page_id, url, sha256(ra) AS digest_a, sha256(rb) AS digest_b, strlen(ra) AS la, strlen(rb) AS lb FROM records),
+numbered AS (
+  SELECT *, row_number() OVER w - 1 AS number, coalesce(sum(la) OVER p, 0) AS start_a, coalesce(sum(lb) OVER p, 0) AS start_b FROM hashed
+  WINDOW w AS (ORDER BY page_id NULLS FIRST, url NULLS FIRST), p AS (ORDER BY page_id NULLS FIRST, url NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT number::BIGINT AS number, page_id, url, start_a::BIGINT AS start_a, (start_a + la)::BIGINT AS end_a, digest_a, start_b::BIGINT AS start_b, (start_b + lb)::BIGINT AS end_b, digest_b
+FROM numbered WHERE digest_a <> digest_b
+"""
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of pages are those of the documents with their ids: bad is toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    mined = written(urls.mine(pages.select("page_id", "url").join(labels, "page_id")), "rules")
+    return urls.judge(pages, mined, urls.GIVEN)
+
+
+def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.draws(docs, mixing.rates(docs)).withColumn("rate", F.round("rate", 9))
+
+
+def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.classes(table(spark, sf_dir, "documents"))
 
@@ -43,9 +94,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/id; one of at most 60 words with a license line stands for a licence file."""
+    docs = table(spark, sf_dir, "documents")
+    idf = licenses.weights(licenses.document_frequencies(docs))
+    short = F.size(words_of(F.col("text"))) <= 60
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    files = docs.select(F.struct(F.col("doc_id"), path.alias("path"), short.alias("short")).alias("file"), "text")
+    found = licenses.scan(files, idf, "file").select("file.*", "license", "cosine", "line")
+    return licenses.inherit(found, "path", F.col("short")).drop("short")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_packing, op8_jaccard_join, op9_pii)}
+    every = (
+        op1_quality_rules, op2_substring_dedup, op3_packing, op4_warc_fixity, op5_url_filters,
+        op6_poisson_mix, op7_prefix_forest, op8_jaccard_join, op9_pii, op10_license_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_fixity": OP4_SQL, "op6_poisson_mix": mixing.draws_sql()}
