@@ -15,6 +15,7 @@ repeated pieces in sequences of their own. Null ids are carried. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ from .common import arrow_batches
 #: Tokens of the longest sequence, and the id that ends each document.
 LONGEST, END = 4096, 2
 #: Words whose ids a worker keeps; the store is emptied when it is full.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 #: Bytes of text that are tokenised at a time.
-SLICE = 4 << 20
+SLICE = 12 << 20
+#: Signs that can follow a word in a chunk and are cut off before words are looked up.
+SIGNS = ".,;:!?#*$%&|()"
 
 _loaded: dict[str, tuple] = {}
 
@@ -41,32 +44,58 @@ class _Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(size, dtype=bool)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[k] = token.endswith("</w>")
         self.empty()
 
     def empty(self) -> None:
         self.code: dict[str, int] = {}
+        self.cores: dict[str, list[int]] = {}
         self.ids = np.empty(1 << 20, dtype="<u4")
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
+    def _learn(self, cores: list[str]) -> None:
+        """Ids of distinct strings. Those of letters only are one word to the tokenizer, with one id that ends a word, so many are
+        tokenised as one text; the others one by one."""
+        plain, other = [], []
+        for c in cores:
+            (plain if c.isalpha() else other).append(c)
+        lots = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        for lot, e in zip(lots, self.tokenizer.encode_batch([" ".join(x) for x in lots], add_special_tokens=False)):
+            ids = e.ids
+            cut = [0, *(np.flatnonzero(self.ends[np.array(ids, dtype=np.int64)]) + 1).tolist()]
+            if len(cut) == len(lot) + 1:
+                self.cores.update(zip(lot, (ids[x:y] for x, y in zip(cut, cut[1:]))))
+            else:
+                other += lot
+        for c, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            self.cores[c] = e.ids
+
     def codes(self, words: list[str]) -> np.ndarray:
         """Codes of distinct words; those not met yet are tokenised."""
         if len(self.code) + len(words) > KEPT_WORDS and len(self.code):
             self.empty()
         new = [w for w in words if w not in self.code]
         if new:
-            for a in range(0, len(new), 20_000):
-                for w, e in zip(new[a : a + 20_000], self.tokenizer.encode_batch(new[a : a + 20_000], add_special_tokens=False)):
-                    k, ids = len(self.code), e.ids
-                    if k + 2 > len(self.start):
-                        self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                    if self.used + len(ids) > len(self.ids):
-                        self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), dtype="<u4")])
-                    self.ids[self.used : self.used + len(ids)] = ids
-                    self.used += len(ids)
-                    self.code[w] = k
-                    self.start[k + 1] = self.used
-        return np.fromiter((self.code[w] for w in words), dtype=np.int64, count=len(words))
+            # ASCII signs after a letter or digit are a word of their own to the tokenizer (but for apostrophes).
+            cut = [(core, w[len(core) :]) if (core := w.rstrip(SIGNS)) and core[-1].isalnum() else (w, "") for w in new]
+            self._learn([c for c in {x for pair in cut for x in pair if x} if c not in self.cores])
+            self.cores[""] = []
+            found = [self.cores[a] + self.cores[b] for a, b in cut]
+            k, sizes = len(self.code), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            total = int(sizes.sum())
+            while k + len(new) + 1 > len(self.start):
+                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            while self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), dtype="<u4", count=total)
+            self.start[k + 1 : k + 1 + len(new)] = self.used + np.cumsum(sizes)
+            self.used += total
+            self.code.update(zip(new, range(k, k + len(new))))
+        return np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def _vocabulary(path: str) -> _Vocabulary:
@@ -78,10 +107,11 @@ def _vocabulary(path: str) -> _Vocabulary:
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each text's followed by END, and where each text's begin (and the end)."""
     vocabulary = _vocabulary(path)
-    words = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \n]+")
-    flat = words.flatten()
+    texts = pc.fill_null(texts, "")
     # Lower case is what the tokenizer's normaliser makes; only its special tokens are matched before that.
-    flat = pc.if_else(pc.match_substring(flat, "<|"), flat, pc.ascii_lower(flat))
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    flat = words.flatten()
     coded = flat.dictionary_encode()
     code = vocabulary.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
     size = vocabulary.start[code + 1] - vocabulary.start[code]
@@ -140,7 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Sequence ids are distinct numbers; with the partition in the upper bits they need no exchange and stay the same when a
     task is repeated.
     """
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, 4000)
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = one.mapInArrow(_cut(tokenizer_path), "doc_id long, start long, length long, ids binary, doc_tokens long")
     return cut.select(
