@@ -6,12 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.kg_views import ENTITY, TableGraph
+from . import graph_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _graph_query(node) -> Query:
+    return lambda spark, sf_dir: node.frame(TableGraph(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: _graph_query(node) for name, node in graph_queries.catalogue().items()}
+
+
+#: Written by hand, with the join on the document first: the generated text invites a join on the inequality alone.
+COOCCURRENCE = f"""
+WITH e AS (
+  SELECT DISTINCT concat('{ENTITY}concept/', l_partkey::VARCHAR) AS entity, l_orderkey AS doc FROM lineitem
+  UNION ALL SELECT concat('{ENTITY}relation/', l_orderkey::VARCHAR, '-', l_linenumber::VARCHAR), l_orderkey FROM lineitem)
+SELECT a.entity AS entity1, b.entity AS entity2, count(*) AS "coOccurrenceCount"
+FROM e a JOIN e b ON a.doc = b.doc AND a.entity < b.entity JOIN orders ON o_orderkey = a.doc
+GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 3 DESC, 1, 2 LIMIT 20
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: node.query() for name, node in graph_queries.catalogue().items()} | {"kg_cooccurrence": COOCCURRENCE}
