@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.kg_views import ENTITY, TableGraph
-from . import graph_queries
+from . import graph_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ def _graph_query(node) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _graph_query(node) for name, node in graph_queries.catalogue().items()}
+    return {name: _graph_query(node) for name, node in graph_queries.catalogue().items()} | text_queries.queries()
 
 
 #: Written by hand, with the join on the document first: the generated text invites a join on the inequality alone.
@@ -32,4 +32,4 @@ GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 3 DESC, 1, 2 LIMIT 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: node.query() for name, node in graph_queries.catalogue().items()} | {"kg_cooccurrence": COOCCURRENCE}
+    return {name: node.query() for name, node in graph_queries.catalogue().items()} | {"kg_cooccurrence": COOCCURRENCE} | text_queries.oracle_sql()
