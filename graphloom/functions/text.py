@@ -43,13 +43,13 @@ def html_meta(html: Column, name: str) -> Column:
 
 def html_keywords(html: Column) -> Column:
     found = html_meta(html, "keywords")
-    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(found, ","), F.trim))
+    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(found, ","), lambda x: F.trim(x)))
 
 
 def html_json_ld(html: Column) -> Column:
     """Valid JSON-LD blocks, as text."""
     blocks = F.regexp_extract_all(html, F.lit("(?is)<script[^>]*type=[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
-    return F.filter(F.transform(blocks, F.trim), lambda x: F.try_parse_json(x).isNotNull())
+    return F.filter(F.transform(blocks, lambda x: F.trim(x)), lambda x: F.try_parse_json(x).isNotNull())
 
 
 def html_microdata(html: Column) -> Column:
