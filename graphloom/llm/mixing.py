@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, written
 
 #: Exponent of a source's share of characters in its target weight: 1 keeps the mix, 0 gives all sources the same weight.
 TEMPERATURE = 0.5
@@ -73,10 +73,9 @@ def copies(docs: DataFrame, source_rates: DataFrame, id_col: str = "doc_id", sou
     table = source_rates.select(
         F.col("source").alias("__source"), F.col("rate").alias("__rate"), parts.alias("__parts"), let(F.col("rate") / parts, _distribution).alias("__cdf")
     )
-    spark = docs.sparkSession
-    few = table.limit(BROADCAST_SOURCES + 1).collect()
-    if len(few) <= BROADCAST_SOURCES:
-        table = F.broadcast(spark.createDataFrame(few, table.schema))
+    table = written(table, "rates")
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
     joined = docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")), "left")
     id_ = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
