@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches
 
 #: Trees, bits of a hash string, and share of a shard's rows to gather over all trees before they are made distinct.
-TREES, BITS, GATHER = 32, 64, 0.95
+TREES, BITS, GATHER = 32, 64, 1.6
 #: Rows of a shard and queries of a block, at most about.
 SHARD, BLOCK = 32_768, 512
 
