@@ -321,16 +321,16 @@ def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """A row for each row: the id, class_id and n_links (other rows whose texts have a similarity of 0.8 or more)."""
     found = written(node_classes(docs, id_col, text_col, recall), "classes")
-    rows = docs.select(F.col(id_col), node_of(text_col).alias("node"))
+    rows = docs.select(F.col(id_col).alias("id"), node_of(text_col).alias("node"))
     out = rows.join(found, "node", "left")
-    own = F.col("node").isNull()
-    return out.select(id_col, F.when(own, F.col(id_col).cast("long")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    own = F.when(F.col("node").isNull(), F.col("id").cast("long")).otherwise(F.col("class_id"))
+    return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """The table without all rows of each class but one with its least id; rows without a word stay."""
-    found = written(node_classes(docs, id_col, text_col, recall).where("chosen").select(F.col("node").alias("__node"), F.col("class_id").alias("__class")), "chosen")
-    rows = docs.withColumn("__node", node_of(text_col))
-    bare = rows.where("__node is null").drop("__node")
-    kept = rows.join(found, "__node").where(F.col(id_col).eqNullSafe(F.col("__class"))).dropDuplicates(["__node"])
-    return kept.drop("__node", "__class").unionByName(bare)
+    found = written(node_classes(docs, id_col, text_col, recall).where("chosen").select("node", "class_id"), "chosen")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), node_of(text_col).alias("node"), F.col(id_col).cast("long").alias("id"))
+    bare = rows.where("node is null").select("row")
+    kept = rows.join(found, "node").where(F.col("id").eqNullSafe(F.col("class_id"))).dropDuplicates(["node"]).select("row")
+    return kept.unionByName(bare).select("row.*")

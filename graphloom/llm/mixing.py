@@ -68,42 +68,40 @@ def _distribution(rate: Column) -> Column:
 
 
 def copies(docs: DataFrame, source_rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
-    """The documents with ``__rate`` and ``__copies`` (int), before they are exploded."""
+    """row (a struct of the columns, so that their names are free), id (as text), hash (of the text), rate and copies (int)."""
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    table = source_rates.select(
-        F.col("source").alias("__source"), F.col("rate").alias("__rate"), parts.alias("__parts"), let(F.col("rate") / parts, _distribution).alias("__cdf")
-    )
+    table = source_rates.select(F.col("source").alias("s"), "rate", parts.alias("parts"), let(F.col("rate") / parts, _distribution).alias("cdf"))
     table = written(table, "rates")
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    joined = docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    id_ = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    draw = lambda j: _uniform(F.lit(seed), id_, text, j.cast("string"))
+    id_, hash_ = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), id_.alias("id"), hash_.alias("hash"))
+    joined = rows.join(table, F.col("source").eqNullSafe(F.col("s")), "left")
+    draw = lambda j: _uniform(F.lit(seed), F.col("id"), F.col("hash"), j.cast("string"))
     # The least k whose cumulative probability is above the number: as many entries as are not above it.
-    inverse = lambda u: F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
-    n = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda a, j: a + let(draw(j), inverse))
-    return joined.withColumn("__copies", F.when(F.col("__rate") > 0, n).otherwise(0)).drop("__source", "__parts", "__cdf")
+    inverse = lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u))
+    n = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, j: a + let(draw(j), inverse))
+    return joined.select("row", "source", "id", "hash", "rate", F.when(F.col("rate") > 0, n).otherwise(0).alias("copies"))
 
 
-def _placed(counted: DataFrame, id_col: str, text_col: str, seed: str) -> DataFrame:
-    """Exploded copies: ``__copy`` (int, from 0) and ``__place``, the hash by which they are shuffled."""
-    out = counted.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    key = F.concat_ws("|", F.lit(seed + "-place"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.col("__copy").cast("string"))
-    return out.withColumn("__place", F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long"))
+def _placed(counted: DataFrame, seed: str) -> DataFrame:
+    """Exploded copies: copy (int, from 0) and place, the hash by which they are shuffled."""
+    out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    key = F.concat_ws("|", F.lit(seed + "-place"), "id", "hash", F.col("copy").cast("string"))
+    return out.withColumn("place", F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long"))
 
 
 def draws(docs: DataFrame, source_rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
     """A row for each copy in the mix: doc_id, source, rate, copy (from 0) and place (long), shuffled globally by place."""
-    placed = _placed(copies(docs, source_rates, id_col, source_col, text_col, seed), id_col, text_col, seed)
-    out = placed.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("__rate").alias("rate"), F.col("__copy").alias("copy"), F.col("__place").alias("place"))
+    placed = _placed(copies(docs, source_rates, id_col, source_col, text_col, seed), seed)
+    out = placed.select(F.col("row")[id_col].alias("doc_id"), "source", "rate", "copy", "place")
     return out.repartitionByRange("place").sortWithinPartitions("place", "doc_id", "copy")
 
 
 def mix(docs: DataFrame, source_rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
     """The mixed table: each document as often as drawn, in a global random order, with the columns of ``docs``."""
-    placed = _placed(copies(docs, source_rates, id_col, source_col, text_col, seed), id_col, text_col, seed)
-    return placed.repartitionByRange("__place").sortWithinPartitions("__place").select(*docs.columns)
+    placed = _placed(copies(docs, source_rates, id_col, source_col, text_col, seed), seed)
+    return placed.select("row", "place").repartitionByRange("place").sortWithinPartitions("place").select("row.*")
 
 
 def draws_sql(temperature: float = TEMPERATURE, budget: float = BUDGET, seed: str = SEED, docs: str = "documents") -> str:

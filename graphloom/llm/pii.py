@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_batches
 
@@ -417,32 +418,32 @@ def _finder(field: Field, want_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(field)
         for batch in batches:
-            raw = batch.column(batch.num_columns - 1).to_pylist()
+            raw = batch.column("text").to_pylist()
             texts = [x or "" for x in raw]
             base = [base_spans(t) for t in texts]
             every = [_added(b, m) for b, m in zip(base, decoder.spans(texts))]
             text = [None if x is None else redacted(x, s) for x, s in zip(raw, every)] if want_text else [None] * len(raw)
             cols = [[_join(b) for b in base], [_join(s) for s in every], text]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.string()) for c in cols)], names=[*batch.schema.names[:-1], "__base", "__spans", "__redacted"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, pa.string()) for c in cols)], names=["row", "base", "spans", "redacted"])
 
     return run
 
 
 def _found(docs: DataFrame, columns: list[str], text_col: str, field: Field | None, want_text: bool) -> DataFrame:
+    """row (a struct of the columns, so that their names are free), base, spans, redacted."""
     arrow_batches(docs.sparkSession)
-    one = docs.select(*columns, F.col(text_col).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in one.schema.fields[:-1])
-    return one.mapInArrow(_finder(field or train(), want_text), f"{kept}, __base string, __spans string, __redacted string")
+    row = F.struct(*columns) if columns else F.struct(F.lit(None).cast("string").alias("none"))
+    one = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    strings = [T.StructField(c, T.StringType()) for c in ("base", "spans", "redacted")]
+    return one.mapInArrow(_finder(field or train(), want_text), T.StructType([one.schema["row"], *strings]))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
     """Per row: the id, base and spans (strings ``kind:start:end`` by start and then kind, comma-joined; code points, end exclusive)."""
-    found = _found(docs, [id_col], text_col, field, False)
-    return found.select(id_col, F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+    return _found(docs, [id_col], text_col, field, False).select("row.*", "base", "spans")
 
 
 def redact(docs: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
     """The table with each span in its text replaced by its kind in angle brackets; other columns as they are."""
-    others = [c for c in docs.columns if c != text_col]
-    found = _found(docs, others, text_col, field, True)
-    return found.select(*[F.col("__redacted").alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    found = _found(docs, [c for c in docs.columns if c != text_col], text_col, field, True)
+    return found.select(*[F.col("redacted").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -95,26 +95,26 @@ def weights(model: DataFrame) -> Column:
 
 
 def _judged(docs: DataFrame, model: DataFrame, carried: list[str], text_col: str, threshold: float) -> DataFrame:
-    """The carried columns, and the results with a prefix that keeps them apart."""
+    """row (a struct of the carried columns, so that their names are free), and the results."""
     w = weights(model)
-    rows = docs.select(*carried, F.coalesce(F.col(text_col), F.lit("")).alias("__q_text"), words_of(F.col(text_col)).alias("__q_words"))
+    rows = docs.select(F.struct(*carried).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), words_of(F.col(text_col)).alias("words"))
     pair = lambda h: F.struct(h.alias("one"), _pairs(h, 1).alias("two"))
-    rows = rows.withColumn("__q_h", let(F.transform("__q_words", lambda x: F.xxhash64(x)), pair))
-    lines = F.filter(F.split("__q_text", "\n", -1), lambda x: x.rlike(NONSPACE))
-    h = F.col("__q_h")
+    rows = rows.withColumn("h", let(F.transform("words", lambda x: F.xxhash64(x)), pair))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NONSPACE))
+    h = F.col("h")
     ratios = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda a, x: a + F.get(w, _bucket(x)))
     rows = rows.select(
-        *carried,
-        F.size("__q_words").cast("long").alias("__q_n_words"),
-        F.length(F.array_join("__q_words", "")).cast("long").alias("__q_word_chars"),
-        F.regexp_count("__q_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("__q_n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("__q_n_dup_lines"),
-        let(_pairs(h["two"], 2), repeated_window_words).alias("__q_n_repeat_words"),
-        ((ratios(h["one"]) + ratios(h["two"])) / (F.size(h["one"]) + F.size(h["two"]) + F.lit(float(SHRINK)))).alias("__q_score"),
+        "row",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(_pairs(h["two"], 2), repeated_window_words).alias("n_repeat_words"),
+        ((ratios(h["one"]) + ratios(h["two"])) / (F.size(h["one"]) + F.size(h["two"]) + F.lit(float(SHRINK)))).alias("score"),
     )
-    failed = (F.col("__q_n_words") < 20) | (100 * F.col("__q_n_repeat_words") > 30 * F.col("__q_n_words"))
-    rows = rows.withColumn("__q_base_failed", failed)
-    return rows.withColumn("__q_kept", ~F.col("__q_base_failed") & (F.col("__q_score") >= F.lit(threshold)))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = rows.withColumn("base_failed", failed)
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
@@ -123,12 +123,12 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def judge(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score (double,
     nats a n-gram) and kept."""
-    return _judged(docs, model, [id_col], text_col, threshold).select(id_col, *(F.col("__q_" + c).alias(c) for c in RESULTS))
+    return _judged(docs, model, [id_col], text_col, threshold).select("row.*", *RESULTS)
 
 
 def keep(docs: DataFrame, model: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    return _judged(docs, model, docs.columns, text_col, threshold).where("__q_kept").select(*docs.columns)
+    return _judged(docs, model, docs.columns, text_col, threshold).where("kept").select("row.*")
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

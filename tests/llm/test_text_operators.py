@@ -1,0 +1,327 @@
+"""Operators 1, 2, 3, 8, 9 against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from graphloom.llm import chosenpath, packing, pii, quality, queries, substring
+from graphloom.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, n_words string, kept int, bucket string, node string, __text string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "clash", 0, "b", "n", "x") for i, t in rows], SCHEMA)
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+LOREM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def sentence(seed, n):
+    r = np.random.default_rng(seed)
+    return " ".join(LOREM[k] + str(k2) for k, k2 in zip(r.integers(0, 24, n), r.integers(0, 60, n)))
+
+
+ODD = [
+    (1, sentence(1, 60)), (2, None), (3, ""), (4, " \t\n "), (5, sentence(1, 60)), (5, sentence(1, 60)), (6, sentence(2, 12)), (7, sentence(2, 12)), (None, sentence(1, 60)),
+    (8, sentence(3, 400) + "\n" + sentence(4, 30) + "\n" + sentence(4, 30)), (9, "one two"), (10, "one  two"), (11, sentence(5, 9000)), (12, sentence(5, 9000)[200:]), (13, "x " * 200), (-4, sentence(3, 100) + " é ü 漢字 " + sentence(9, 40)),
+    (14, sentence(1, 59) + " changed"), (15, "word"), (16, "a-very-long-word" * 2000),
+]
+
+
+def base_brute(text):
+    ws = [w.decode() for w in words(text)]
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for x in lines:
+        if words(x):
+            dup += x in seen
+            seen.add(x)
+    grams = [tuple(ws[k : k + 8]) for k in range(len(ws) - 7)]
+    count = {}
+    for g in grams:
+        count[g] = count.get(g, 0) + 1
+    hit = [False] * len(ws)
+    for k, g in enumerate(grams):
+        if count[g] > 1:
+            hit[k : k + 8] = [True] * 8
+    n = sum(hit)
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), dup, n, len(ws) < 20 or 100 * n > 30 * len(ws)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_quality_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(100_000 + (i or 0), t) for i, t in ODD], "doc_id long, text string")
+    every = docs.unionByName(odd)
+    trusted = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
+    model = quality.fit(every, trusted)
+    w = model.first()["w"]
+    h = lambda s, seed=42: xxhash.xxh64_intdigest(s, seed)
+    grams = {}
+    for i, t in {(r.doc_id, r.text) for r in every.collect()}:
+        ws = [h(x) for x in words(t)]
+        grams[i, t] = [x >> 50 for x in ws] + [h(b.to_bytes(8, "little"), h(a.to_bytes(8, "little"))) >> 50 for a, b in zip(ws, ws[1:])]
+    good = {r.doc_id for r in trusted.collect()}
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for r in every.collect():
+        np.add.at(raw, grams[r.doc_id, r.text], 1)
+        if r.doc_id in good:
+            np.add.at(target, grams[r.doc_id, r.text], 1)
+    want = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    assert np.allclose(w, want, atol=1e-9)
+    texts = {}
+    for r in every.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    rows = quality.judge(every, model).collect()
+    assert len(rows) == every.count()
+    for r in rows:
+        t = texts[r.doc_id][0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_brute(t), r
+        g = grams[r.doc_id, t]
+        score = want[g].sum() / (len(g) + quality.SHRINK) if g else 0.0
+        assert abs(r.score - score) < 1e-9
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+
+
+def test_quality_without_rows(spark):
+    docs = table(spark, ODD)
+    none = spark.createDataFrame([], "doc_id long")
+    model = quality.fit(docs, none)
+    assert set(model.first()["w"]) == {0.0}
+    kept = quality.keep(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 5, None}
+    empty = docs.where("false")
+    assert quality.judge(empty, quality.fit(empty, none)).count() == 0
+
+
+def removed_brute(rows):
+    first = {}
+    for i, t in rows:
+        ws = words(t)
+        for k in range(len(ws) - 12):
+            g = tuple(ws[k : k + 13])
+            if i is not None:
+                first[g] = min(first.get(g, i), i)
+    out = []
+    for i, t in rows:
+        ws = words(t)
+        gone = [False] * len(ws)
+        for k in range(len(ws) - 12):
+            if i is not None and first[tuple(ws[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        out.append((i, len(ws), sum(gone), hashlib.sha256(b" ".join(w for w, g in zip(ws, gone) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [substring.BUCKET_BYTES, 3000])
+def test_substring(spark, monkeypatch, bucket):
+    monkeypatch.setattr(substring, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(substring, "PART_WORDS", bucket)
+    got = substring.remove_repeats(table(spark, ODD)).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got))) == sorted(map(str, removed_brute(ODD)))
+    assert all(sum(b - a for a, b in r.removed) == r.n_removed for r in got)
+
+
+def test_substring_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in queries.op2_substring_dedup(spark, SF).collect())
+    assert got == sorted(removed_brute(rows))
+    assert substring.remove_repeats(table(spark, ODD).where("false")).count() == 0
+
+
+def test_numbers_round_trip():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        x = np.sort(r.integers(0, 1 << 63, n).astype(np.uint64))
+        assert (substring.unpacked(substring.packed(x)) == x).all()
+        y = r.integers(-(1 << 40), 1 << 40, n)
+        assert (substring._widened(substring._narrow(y)) == y).all()
+
+
+SPECIAL = [(1, None), (2, ""), (3, "It's <|endoftext|> ½ don't!! ÀÉ́ éx... a|b <|x|>. (ok),;"), (3, "It's <|endoftext|>"), (None, "THE the The*** ### 1999."), (5, "word " * 9000), (6, " a b\r\nc\td")]
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    rows = SPECIAL + [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    pieces = packing.pack(table(spark, rows), path).select("*", F.crc32("ids").alias("crc")).collect()
+    assert len({p.sequence_id for p in pieces}) == len(pieces)
+    mine = {}
+    for p in pieces:
+        assert p.length == 1 << p.bucket <= 4096 and p.offset == 0 and len(p.ids) == 4 * p.length
+        mine.setdefault(p.doc_id, []).append(p)
+    for i in {i for i, _ in rows}:
+        want = sorted(np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4").tobytes() for j, t in rows if j == i)
+        parts = sorted(mine[i], key=lambda p: p.sequence_id)
+        docs, at = [], b""
+        for p in parts:
+            assert 4 * p.start == len(at) and p.crc == zlib.crc32(p.ids)
+            at += p.ids
+            if len(at) == 4 * p.doc_tokens:
+                docs.append(at)
+                at = b""
+        assert sorted(docs) == want and at == b""
+    assert packing.pack(table(spark, rows).where("false"), path).count() == 0
+    assert [sum(packing.pieces_of(n)) for n in (1, 7, 4096, 9000)] == [1, 7, 4096, 9000]
+
+
+def jaccard_brute(rows):
+    sets = []
+    for _, t in rows:
+        ws = words(t)
+        sets.append({tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} or ({tuple(ws)} if ws else set()))
+    n, parent = len(rows), list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [0] * n
+    for a in range(n):
+        for b in range(a + 1, n):
+            c = len(sets[a] & sets[b])
+            if c and 5 * c >= 4 * (len(sets[a]) + len(sets[b]) - c):
+                links[a] += 1
+                links[b] += 1
+                parent[find(a)] = find(b)
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            ids[find(k)] = min(ids.get(find(k), i), i)
+    return [(i, ids.get(find(k)), links[k]) for k, (i, _) in enumerate(rows)]
+
+
+def near_group(n, seed):
+    base = sentence(seed, 150).split()
+    out = []
+    for k in range(n):
+        w = list(base)
+        w[(k * 7) % 150] = f"edit{k}"
+        out.append((1000 * seed + k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(chosenpath, "GROUP_BLOCK", block)
+    monkeypatch.setattr(chosenpath, "NODE_BLOCK", block)
+    monkeypatch.setattr(chosenpath, "SPLIT", 16)
+    rows = ODD + near_group(40, 21) + near_group(5, 22)
+    got = [tuple(r) for r in chosenpath.classes(table(spark, rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, jaccard_brute(rows)))
+    if block == 8:
+        kept = chosenpath.keep_one(table(spark, rows))
+        assert kept.columns == table(spark, []).columns
+        classes = {}
+        for i, c, n in jaccard_brute(rows):
+            classes.setdefault((c, i if c is None or not n else None), c)
+        assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for _, c, _ in jaccard_brute(rows) if c is not None})
+
+
+def test_jaccard_empty(spark):
+    assert chosenpath.classes(table(spark, ODD).where("false")).count() == 0
+    assert chosenpath.runs_for(0.999, 2) == 11
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200 + 0, 1000)] + [(500, 500 + k) for k in range(1, 30)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {k: 0 for k in range(41)} | {100: 100, 101: 100, 200: 200, 1000: 200} | {500 + k: 500 for k in range(30)}
+    assert got == want
+
+
+PRIVATE = [
+    (1, "mail a.b+c@x-y.example.com, c@d or @e.f; x@y.z@q.r"), (2, "10.0.0.1 999.1.1.1 1.2.3.4.5 0010.02.3.4 1.2.3"), (3, "4111 1111 1111 1111 and 4111-1111-1111-1112, 378282246310005"), (4, "+1 (377) 555-0271. +49 30 901820 +12 3 +1234567890123456"),
+    (5, None), (6, ""), (6, "é 漢 mail é@x.example.com"), (None, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" and +1 (377) 555-0271 4111111111111111'), (8, "plain words " * 3000 + "z@y.example.org"),
+]
+
+
+def private_brute(text):
+    import re
+
+    out = []
+    for k, p in enumerate((pii._EMAIL, pii._IP, pii._CARD, pii._PHONE)):
+        for m in re.finditer(p.pattern, text or ""):
+            digits = re.sub(r"\D", "", m[0])
+            ok = (True, all(int(x) <= 255 for x in m[0].split(".")) if k == 1 else True, 12 <= len(digits) <= 19 and pii.luhn(digits), 9 <= len(digits) <= 15)[k]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_pii(spark):
+    field = pii.train()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = PRIVATE + [(r.doc_id + 100, r.text) for r in docs.collect()]
+    got = pii.find(table(spark, rows), field=field).collect()
+    assert sorted(str((r.doc_id, r.base)) for r in got) == sorted(str((i, private_brute(t))) for i, t in rows)
+    for r in got:
+        base, every = ([s for s in x.split(",") if s] for x in (r.base, r.spans))
+        assert set(base) <= set(every)
+    assert any("secret:" in r.spans for r in got if r.doc_id is None)
+    text = {r.doc_id: r.text for r in pii.redact(table(spark, PRIVATE), field=field).collect()}
+    assert text[5] is None and "<EMAIL>" in text[1] and "<SECRET>" in text[None] and text[8].endswith("<EMAIL>")
+    assert pii.redact(table(spark, PRIVATE), field=field).columns == SCHEMA.replace(",", " ").split()[::2]
+    assert pii.find(table(spark, PRIVATE).where("false"), field=field).count() == 0
+
+
+def test_field_matches_plain_viterbi_and_its_table(spark):
+    field = pii.train()
+    decoder = pii.Decoder(field)
+    sentences = [g["word"].tolist() for _, g in pii.labelled_table().groupby("sentence")]
+    right = total = 0
+    texts = [" ".join(s) for s in sentences] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    for text, found in zip(texts, decoder.spans(texts)):
+        ws = text.encode().split()
+        c = np.stack([field.columns(w.decode()) for w in ws])
+        score = c[:, 0].copy()
+        score[1:] += c[:-1, 1]
+        score[:-1] += c[1:, 2]
+        score[0] += field.begin
+        mark = [pii.is_marked(pii.word_features(w.decode())) for w in ws]
+        score[[k for k in range(len(ws)) if not any(mark[max(0, k - 1) : k + 2])], 1:] -= 1e6
+        labels = pii.viterbi(score[None], field.move)[0]
+        spots = [m.span() for m in pii._WORD.finditer(text)]
+        # Every span lies on labelled words; labelled words outside spans are those of implausible spans.
+        for a, _, b in found:
+            assert all(labels[k] for k, (x, y) in enumerate(spots) if x < b and a < y)
+        assert not found or labels.any()
+    for s, (_, g) in zip(sentences, pii.labelled_table().groupby("sentence")):
+        ws = [w.encode() for w in s]
+        c = np.stack([field.columns(w.decode()) for w in ws])
+        score = c[:, 0].copy()
+        score[1:] += c[:-1, 1]
+        score[:-1] += c[1:, 2]
+        score[0] += field.begin
+        got = [pii.LABELS[k] for k in pii.viterbi(score[None], field.move)[0]]
+        right += sum(a == b for a, b in zip(got, g["label"]))
+        total += len(got)
+    assert right / total > 0.99
+
+
+HELD_OUT = (
+    ("ring +1 (310) 555-9943 or +33 1 70 18 99 00 now", ["phone", "phone"]), ("see 10.20.30.40 there", ["ip"]), ("key token = \"77d9c1b0aa54e39f00172bd1c3ee90fa1b2c3d4e\" end", ["secret"]),
+    ("kim (at) mail (dot) org is mine", ["email"]), ("nothing to see here at all, 12 of 30 in 2003", []), ("they paid 4000 0566 5566 5556 then", ["card"]),
+)
+
+
+def test_field_on_held_out_sentences():
+    decoder = pii.Decoder(pii.train())
+    right = sum([pii.KINDS[k] for _, k, _ in found] == want for (_, want), found in zip(HELD_OUT, decoder.spans([t for t, _ in HELD_OUT])))
+    assert right >= 5
