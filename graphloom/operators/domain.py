@@ -5,6 +5,8 @@ Schemas are data: add rows to SCHEMAS for a new domain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,28 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dom
     return docs.select(id_col, kind.alias("domain"), F.lit("1.0").alias("schema_version"), entities.alias("entities"))
 
 
+def extract_with_model(docs: DataFrame, model: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Entities by a model, by rules where its reply cannot be read or for general documents. docs: id, text, domain.
+
+    ``model`` takes (id, prompt) and returns (id, reply), JSON {"entities": [{type, id, fields, confidence, source_text}]}; replies are repaired, and entities that
+    lack a required field are left out.
+    """
+    prompts = None
+    for d in SCHEMAS:
+        if d != "general":
+            part = docs.where(F.col("domain") == d).select(id_col, prompt(d, F.coalesce(F.col(text_col), F.lit(""))).alias("prompt"))
+            prompts = part if prompts is None else prompts.unionByName(part)
+    shape = "array<struct<type:string,id:string,fields:map<string,string>,confidence:double,source_text:string>>"
+    said = model(prompts).select(F.col(id_col).alias("__id"), F.from_json(F.variant_get(repaired_json(F.col("reply")), "$.entities", "string"), shape).alias("said"))
+    registry = schema_fields(docs.sparkSession).groupBy("domain").agg(F.map_from_entries(F.collect_set(F.struct("entity_type", F.lit(True)))).alias("known")).withColumnRenamed("domain", "__d")
+    needed = schema_fields(docs.sparkSession).where("required").groupBy("domain").agg(F.collect_set(F.concat_ws(".", "entity_type", "field")).alias("need")).withColumnRenamed("domain", "__e")
+    rules = extract(docs, id_col, text_col)
+    both = rules.join(said, F.col(id_col) == F.col("__id"), "left").join(F.broadcast(registry), F.col("domain") == F.col("__d"), "left").join(F.broadcast(needed), F.col("domain") == F.col("__e"), "left")
+    lacks = lambda e: F.exists("need", lambda n: n.startswith(F.concat(e["type"], F.lit("."))) & ~F.array_contains(F.map_keys(e["fields"]), F.substring_index(n, ".", -1)))
+    good = F.filter("said", lambda e: F.coalesce(F.try_element_at("known", e["type"]), F.lit(False)) & ~lacks(e))
+    return both.select(id_col, "domain", "schema_version", F.coalesce(good, F.col("entities")).alias("entities"))
+
+
 def validated(entities: DataFrame, domain_col: str = "domain") -> DataFrame:
     """Entities (domain, type, fields map) of a type that the domain knows, with all required fields present."""
     registry = schema_fields(entities.sparkSession)
