@@ -74,16 +74,24 @@ def filename_hint(name: Column) -> Column:
 
 
 def _verdict(scores: list[tuple[str, Column]]) -> Column:
-    """The best domain (the first of equals) with its share of all scores; general with 0.5 where nothing scores."""
-    best = F.array_max(F.array(*[F.struct(s.cast("int").alias("score"), F.lit(-k).alias("k"), F.lit(d).alias("domain")) for k, (d, s) in enumerate(scores)]))
-    total = sum((s for _, s in scores[1:]), scores[0][1]).cast("double")
-    none = total == 0
-    table = F.create_map(*[x for d, s in scores for x in (F.lit(d), s.cast("int"))])
-    return F.struct(
-        F.when(none, F.lit("general")).otherwise(best["domain"]).alias("domain"),
-        F.when(none, F.lit(0.5)).otherwise(best["score"] / F.when(none, F.lit(1.0)).otherwise(total)).alias("confidence"),
-        F.map_filter(table, lambda _, v: v > 0).alias("all_scores"),
-    )
+    """The best domain (the first of equals) with its share of all scores; general with 0.5 where nothing scores.
+
+    The scores stand in a one-element array, so that each is computed once although the verdict uses it several times.
+    """
+    names = [d for d, _ in scores]
+
+    def judged(s: Column) -> Column:
+        best = F.array_max(s)
+        total = F.aggregate(s, F.lit(0), lambda a, x: a + x)
+        none = total == 0
+        named = F.map_from_arrays(F.array(*[F.lit(d) for d in names]), s)
+        return F.struct(
+            F.when(none, F.lit("general")).otherwise(F.element_at(F.array(*[F.lit(d) for d in names]), F.array_position(s, best).cast("int"))).alias("domain"),
+            F.when(none, F.lit(0.5)).otherwise(best / F.when(none, F.lit(1)).otherwise(total)).alias("confidence"),
+            F.map_filter(named, lambda _, v: v > 0).alias("all_scores"),
+        )
+
+    return F.element_at(F.transform(F.array(F.array(*[s.cast("int") for _, s in scores])), judged), 1)
 
 
 def by_rules(text: Column, domains: tuple[Domain, ...] = DOMAINS) -> Column:
