@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Least share of labelled URLs that hold a rule's tokens and are bad, least share of bad ones among those that hold them, most tokens.
 SUPPORT, CONFIDENCE, TOKENS = 0.002, 0.8, 4
+#: Least number of labelled URLs behind a rule, whatever the support: a handful proves nothing, and its subsets are legion.
+EVIDENCE = 10
 #: Most rules that are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 10_000
 BAD = "\x00bad"
@@ -51,8 +53,10 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", suppor
     rows = labelled.where(F.col(bad_col).isNotNull() & F.col(url_col).isNotNull())
     items = rows.select(F.when(F.col(bad_col), F.concat(tokens(F.col(url_col)), F.array(F.lit(BAD)))).otherwise(tokens(F.col(url_col))).alias("items"))
     empty = "tokens array<string>, support double, confidence double"
-    if not items.where(F.array_contains("items", BAD)).head(1):
+    counts = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
+    if counts["bad"] < EVIDENCE:
         return labelled.sparkSession.createDataFrame([], empty)
+    support = max(support, EVIDENCE / counts["n"])
     # Infrequent token sets are cut by support before any confidence is computed.
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= most))
