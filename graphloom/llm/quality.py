@@ -128,7 +128,10 @@ def judge(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
 
 def keep(docs: DataFrame, model: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    return _judged(docs, model, docs.columns, text_col, threshold).where("kept").select("row.*")
+    judged = _judged(docs, model, docs.columns, text_col, threshold)
+    # A filter on the verdict would be pushed below the projection, and its parts computed anew for each mention; a generator is not.
+    rows = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return rows.where(F.col("row").isNotNull()).select("row.*")
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
