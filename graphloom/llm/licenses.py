@@ -7,7 +7,8 @@ on path prefixes.
 
 All of it is DataFrame code. What is broadcast is bounded by the templates: a weight for each of their words.
 
-By definition a license line holds one of the words ANCHORS, which each template has; other lines are not vectorised.
+Lines that cannot reach the threshold are not vectorised: by Cauchy-Schwarz a line's cosine to a template is at most the share of the template's length
+that lies on the words they share, so a line with none of a template's heavier words is below it (``needed_words``). Nothing else is skipped.
 
 Defined results: null texts and paths are empty; an empty path has no directory. Ties go to the higher cosine, then the first template by name, then the first
 line. Rows are judged one by one, so repeated rows and null ids each get a row. If a directory holds several licence files, the one
@@ -23,7 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let
 
 #: License notices by identifier (fixed texts).
 TEMPLATES = {
@@ -38,8 +39,9 @@ TEMPLATES = {
     "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
 }
-#: A line without any of these words is no license line.
-ANCHORS = ("license", "licensed", "licence", "licensing", "copyright", "cc", "cc0", "redistribution")
+#: Further notices of an identifier. A notice whose words fill a template in part only would sink below the threshold as the table grows, as the
+#: weight of a word that no text holds does.
+FURTHER = {"Proprietary": ("All rights reserved.",)}
 #: Least cosine of a license line.
 THRESHOLD = 0.6
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -51,15 +53,47 @@ def _terms(text: str) -> list[str]:
 
 
 def vocabulary(templates: dict[str, str] = TEMPLATES) -> list[str]:
-    return sorted({w for t in templates.values() for w in _terms(t)} | set(ANCHORS))
+    return sorted({w for t in templates.values() for w in _terms(t)})
+
+
+#: A line without any of these words has cosine 0 to all templates.
+ANCHORS = tuple(vocabulary())
+
+
+def _vectors(idf: dict[str, float], templates: dict[str, str]) -> list[tuple[str, dict[str, float]]]:
+    """(identifier, unit vector) of each notice, by identifier."""
+    out = []
+    for name in sorted(templates):
+        for notice in (templates[name], *FURTHER.get(name, ())):
+            vector = {w: c * idf[w] for w, c in Counter(_terms(notice)).items()}
+            size = math.sqrt(sum(v * v for v in vector.values()))
+            out.append((name, {w: v / size for w, v in vector.items()}))
+    return out
+
+
+def needed_words(idf: dict[str, float], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which a line must hold one to reach the threshold (above 0): of each notice all but its lightest, whose joint length is below it."""
+    needed = set()
+    for _, vector in _vectors(idf, templates):
+        joint = 0.0
+        for w, v in sorted(vector.items(), key=lambda x: (x[1], x[0])):
+            joint += v * v
+            if joint >= (threshold - 1e-6) ** 2:  # cosines are rounded
+                needed.add(w)
+    return sorted(needed)
 
 
 def line_terms(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
 
 
-def _anchored(text: Column) -> Column:
-    return F.lower(text).rlike(r"(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])")
+def _holds(text: Column, words: list[str]) -> Column:
+    """Whether one of the words may be among the terms; a term such as 2.0 ends where a letter begins, and the next term begins there."""
+    by_sign = {c: [w[1:] for w in words if w[0] == c] for c in sorted({w[0] for w in words})}
+    end = lambda rest: re.escape(rest) + ("(?![0-9])" if "." in rest else "(?![a-z0-9])")
+    # Most words of a text fail at their first sign; a sign before them is read faster than a look-behind.
+    branches = "|".join(f"{c}(?:{'|'.join(map(end, rest))})" for c, rest in by_sign.items())
+    return F.concat(F.lit(" "), F.lower(text)).rlike(f"[^a-z](?=[{''.join(by_sign)}])(?:{branches})")
 
 
 def document_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text_col: str = "text") -> DataFrame:
@@ -86,31 +120,36 @@ def scan(files: DataFrame, idf: dict[str, float], id_col: str = "doc_id", text_c
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     numbered = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    lines = F.when(_anchored(text), F.filter(numbered, lambda x: _anchored(x["text"])))
+    needed = needed_words(idf, templates, threshold)
+    lines = F.when(_holds(text, needed), F.filter(numbered, lambda x: _holds(x["text"], needed)))
     table = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, float(idf[w]))])
     unknown = max(idf.values())
-    # Term counts of a line as entries (term, weighted count); cosines by template from their sparse products.
+    vectors = _vectors(idf, templates)
+    known = F.array(*[F.lit(w) for w in sorted(idf)])
     weigh = lambda t: F.coalesce(F.try_element_at(table, t), F.lit(unknown))
 
-    def product(entries: Column, own: Column) -> Column:
-        return F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["w"] * F.coalesce(F.try_element_at(own, e["t"]), F.lit(0.0)))
+    def norm(terms: Column) -> Column:
+        """Length of the vector of weighted term counts, from runs of equal terms: the n-th of a run adds n^2 - (n - 1)^2 squares."""
+        start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"))
+        run = lambda a, t: F.when(a["t"] == t, a["n"] + 1).otherwise(1)
+        add = lambda a, t: F.struct(t.alias("t"), run(a, t).alias("n"), (a["sum"] + (2 * run(a, t) - 1) * weigh(t) * weigh(t)).alias("sum"))
+        return F.aggregate(F.array_sort(terms), start, add, lambda a: F.sqrt(a["sum"]))
 
-    def best(line: Column) -> Column:
-        terms = line_terms(line["text"])
-        entries = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("t"), (F.size(F.filter(terms, lambda x: x == t)) * weigh(t)).alias("w")))
-        norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    def compared(line: Column, size: Column, shared: Column) -> Column:
         found = []
-        for name in sorted(templates):
-            tf = Counter(_terms(templates[name]))
-            vector = {w: c * idf[w] for w, c in tf.items()}
-            size = math.sqrt(sum(v * v for v in vector.values()))
-            dot = product(entries, F.create_map(*[F.lit(x) for w in sorted(vector) for x in (w, float(vector[w] / size))]))
-            found.append(F.struct((-F.round(dot / norm, 9)).alias("minus"), F.lit(name).alias("license"), line["line"].alias("line")))
+        for name, vector in vectors:
+            own = F.create_map(*[F.lit(x) for w in sorted(vector) for x in (w, float(vector[w] * idf[w]))])
+            dot = F.aggregate(shared, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(own, t), F.lit(0.0)))
+            found.append(F.struct((-F.round(dot / size, 9)).alias("minus"), F.lit(name).alias("license"), line["line"].alias("line")))
         return F.array_min(F.array(*found))
 
-    # Only the few rows with an anchored line are vectorised, but all rows stay.
+    def best(line: Column) -> Column:
+        parts = lambda terms: F.struct(norm(terms).alias("size"), F.filter(terms, lambda t: F.array_contains(known, t)).alias("shared"))
+        return let(let(line_terms(line["text"]), parts), lambda x: compared(line, x["size"], x["shared"]))
+
+    # Only the few rows with such a line are vectorised, but all rows stay.
     top = F.array_min(F.transform(lines, best))
-    out = files.select(F.col(id_col), F.when(F.size(F.coalesce(lines, F.array())) > 0, top).alias("__b"))
+    out = files.select(F.col(id_col), top.alias("__b"))
     hit = (-F.col("__b.minus")) >= threshold
     return out.select(id_col, F.when(hit, F.col("__b.license")).alias("license"), F.when(hit, -F.col("__b.minus")).alias("cosine"), F.when(hit, F.col("__b.line")).alias("line"))
 

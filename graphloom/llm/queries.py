@@ -101,7 +101,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.size(words_of(F.col("text"))) <= 60
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     files = docs.select(F.struct(F.col("doc_id"), path.alias("path"), short.alias("short")).alias("file"), "text")
-    found = licenses.scan(files, idf, "file").select("file.*", "license", "cosine", "line")
+    found = written(licenses.scan(files, idf, "file").select("file.*", "license", "cosine", "line"), "license-lines")  # inherit reads it three times
     return licenses.inherit(found, "path", F.col("short")).drop("short")
 
 

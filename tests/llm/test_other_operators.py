@@ -213,6 +213,24 @@ def test_licenses(spark):
     assert sum(r.license is not None for r in got) >= 3
 
 
+def test_license_lines_without_a_license_word(spark):
+    rows = [(1, "Queleque.\nAll rights reserved."), (2, "the rights of all and the in of by"), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (10_000, 10_000_000):  # no text holds "copyright", whose weight grows with the table
+        seen = {"the": n // 2, "and": n // 2, "in": n // 2, "by": n // 2} | {w: n // 150 for w in ("all", "rights", "reserved")}
+        idf = {w: math.log((1 + n) / (1 + seen.get(w, 0))) + 1 for w in licenses.vocabulary()}
+        got = {r.doc_id: (r.license, r.line) for r in licenses.scan(docs, idf).collect()}
+        assert got[1] == ("Proprietary", 1) and got[2] == got[3] == (None, None)
+        # Skipping by needed words is exact: no skipped line reaches the threshold.
+        needed = set(licenses.needed_words(idf))
+        assert {"all", "rights", "reserved"} & needed and not {"the", "and", "in"} & needed
+        for name, text in licenses.TEMPLATES.items():
+            left = [w for w in licenses._terms(text) if w not in needed]
+            assert not left or brute_cosine(" ".join(left), idf)[0] < licenses.THRESHOLD, name
+    assert licenses._terms("v2.0mit 2.0x") == ["v2.0", "mit", "2.0", "x"]
+    assert tuple(spark.range(1).select(licenses._holds(F.lit("v2.0mit"), ["mit"]), licenses._holds(F.lit("2.0x"), ["2.0"]), licenses._holds(F.lit("mitre 2.01"), ["mit", "2.0"])).first()) == (True, True, False)
+
+
 def test_license_inheritance(spark):
     rows = [("a/LICENSE", "MIT", 0.9), ("a/b/LICENSE.txt", "GPL-3.0", 1.0), ("a/b/COPYING", "MIT", 0.7), ("a/x.c", None, None), ("a/b/c/d.c", None, None), ("a/b/c/d.c", None, None), ("z/y.c", None, None), ("a/own.c", "CC0-1.0", 0.8), ("", None, None), (None, None, None)]
     got = licenses.inherit(spark.createDataFrame(rows, "path string, license string, cosine double")).collect()
