@@ -95,6 +95,15 @@ def test_quality_against_brute_force(spark):
         assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
 
 
+def test_quality_threshold_against_labels(spark):
+    """Of the labelled documents that pass the base: nearly all junk goes, no good one does."""
+    judged = queries.op1_quality_rules(spark, "/root/testdata/sf0.1").where("not base_failed")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    n = {(r.quality, r.kept): r["count"] for r in judged.join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert n[0, False] >= 0.95 * (n[0, False] + n.get((0, True), 0)), n
+    assert (1, False) not in n and n[1, True] > 3000, n
+
+
 def test_quality_without_rows(spark):
     docs = table(spark, ODD)
     none = spark.createDataFrame([], "doc_id long")
