@@ -1,7 +1,7 @@
 """Coreference of a document's mentions: greedy clusters around a seed, chains, resolved mentions and same-as pairs.
 
 Clustering compares with the seed only, in order, so it is a fold and not a set of components; it runs as one grouped function for each
-document and type.
+document, type by type.
 """
 
 from __future__ import annotations
@@ -57,12 +57,20 @@ def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["doc_id", "type", "pos", "text", "seed"]]
 
 
+def _document(mentions: pd.DataFrame, content: pd.DataFrame) -> pd.DataFrame:
+    if mentions.empty or content.empty:
+        return pd.DataFrame({"doc_id": [], "type": [], "pos": [], "text": [], "seed": []})
+    text = content["content"].iloc[0]
+    return pd.concat([cluster(g.assign(content=text)) for _, g in mentions.groupby("type", dropna=False)])
+
+
 def clusters(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, type, pos, text, seed)."""
-    content = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("content"))
-    rows = mentions.select("doc_id", "type", "pos", "text").join(content, F.col("doc_id") == F.col("d")).drop("d")
+    content = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    rows = mentions.where("doc_id is not null").select("doc_id", "type", "pos", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.groupBy("doc_id", "type").applyInPandas(cluster, f"doc_id {kind}, type string, pos int, text string, seed int")
+    # The text goes to Python once a document, not once a mention.
+    return rows.groupBy("doc_id").cogroup(content.groupBy("doc_id")).applyInPandas(_document, f"doc_id {kind}, type string, pos int, text string, seed int")
 
 
 def confidence(n: Column) -> Column:

@@ -199,6 +199,36 @@ def coref_greedy(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "cluster_id", F.array_join("mentions", "|").alias("mentions"), "canonical_entity", F.round("confidence", 6).alias("confidence"))
 
 
+# The same over whole documents, where texts are long and mentions many; without SQL, which would have to make every pair.
+def _document_mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    begin = lambda m: (F.instr(F.col("text"), m) - 1).cast("int")
+    kind = lambda m: F.element_at(F.array(F.lit("PERSON"), F.lit("ORG"), F.lit("PLACE")), F.length(m) % 3 + 1)
+    found = F.transform(T.phrases(F.col("text")), lambda m: F.struct(m.alias("text"), kind(m).alias("type"), begin(m).alias("start_char")))
+    each = docs.select("doc_id", F.posexplode(found).alias("pos", "m")).select("doc_id", "pos", "m.*")
+    return docs, each.withColumn("end_char", F.col("start_char") + F.length("text"))
+
+
+def doc_rel_proximity(spark: SparkSession, d: str) -> DataFrame:
+    found = relations.by_nearness(_document_mentions(spark, d)[1])
+    return found.select("doc_id", "pos1", "pos2", "subject", "object", "relation", F.round("confidence", 6).alias("confidence"))
+
+
+def doc_rel_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return relations.sentence_counts(*_document_mentions(spark, d))
+
+
+def doc_rel_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """With all three parts: patterns, nearness and sentences."""
+    return relations.extract(*_document_mentions(spark, d)).select("doc_id", "subject", "object", "relation", F.round("confidence", 6).alias("confidence"))
+
+
+def doc_coref_greedy(spark: SparkSession, d: str) -> DataFrame:
+    docs, mentions = _document_mentions(spark, d)
+    found = coref.chains(coref.clusters(mentions, docs))
+    return found.select("doc_id", "cluster_id", F.array_join("mentions", "|").alias("mentions"), "canonical_entity", F.round("confidence", 6).alias("confidence"))
+
+
 # Linking ---------------------------------------------------------------------------------------------------------------
 def link_entities(spark: SparkSession, d: str) -> DataFrame:
     """Brands and the words of part names linked to part types as the knowledge base."""
@@ -326,7 +356,7 @@ def sparql_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     html_clean, html_title, html_headers, chunk_docs, classify_rule, classify_keyword, classify_hybrid, domain_rules, domain_doi, ner_capitalised, rel_proximity, rel_sentence, rel_dedup,
-    coref_greedy, link_entities, vector_topk, bow_cosine, rag_local_relevance, hybrid_topk, multimodal_diverse, ontology_infer, pg_label_counts, pg_rel_counts, pg_neighbourhood, triples_build, sparql_text,
+    coref_greedy, doc_rel_proximity, doc_rel_sentence, doc_rel_dedup, doc_coref_greedy, link_entities, vector_topk, bow_cosine, rag_local_relevance, hybrid_topk, multimodal_diverse, ontology_infer, pg_label_counts, pg_rel_counts, pg_neighbourhood, triples_build, sparql_text,
 )
 
 SQL = {

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import chunk, classify, coref, domain, html, linking, ner, ontology, relations
+from graphloom.plans import text_queries
 
 TEXT = "John Smith, the CEO of TechCorp Inc, announced the new product launch in New York. The event featured Maria Garcia from Global Bank."
 
@@ -49,6 +50,65 @@ def test_relations_join_patterns_and_sentences(spark):
     assert [(r.subject, r.object, r.relation, r.confidence) for r in got] == [("Maria Garcia", "Global Bank", "WORKS_FOR", 0.8)]
 
 
+LONG = "Anna Berg of Acme Corp, in Paris. Anna Berg works for Acme Corp in the Paris Hall. Then Anna Berg, the Chief, met Bo Dahl from Acme Corp. In Paris Anna met staff Bo Dahl. Hall by Bo Dahl at Paris\nHall"
+
+
+def brute_patterns(text, mentions):
+    """(relation, whole match, pos of the first group's mention, pos of the second's)"""
+    import re
+
+    def fitting(want, kind):
+        want = want.strip(" ").lower()
+        fits = [(m[1].lower() != want, m[0]) for m in mentions if kind in ("ENTITY", m[2]) and (want in m[1].lower() or m[1].lower() in want)]
+        return min(fits)[1] if fits else None
+
+    out = []
+    for relation, pattern, a, b in relations.PATTERNS:
+        for m in re.finditer("(?i)" + pattern, text):
+            x, y = fitting(m[1], a), fitting(m[2], b)
+            if x is not None and y is not None and x != y:
+                out.append((relation, m[0], *sorted((x, y))))
+    return sorted(out)
+
+
+def test_relations_of_long_texts_are_those_of_all_pairs(spark):
+    docs = spark.createDataFrame([(1, LONG * 3), (2, None), (3, "No names in here"), (4, LONG)], "doc_id long, text string")
+    rows, names = [], {}
+    for i, text in ((1, LONG * 3), (4, LONG)):
+        import re
+
+        found = [(k, m[0], ("PERSON", "ORG", "PLACE")[len(m[0]) % 3], text.index(m[0])) for k, m in enumerate(re.finditer(r"[A-Z][a-z]*(?: [A-Z][a-z]*)*", text))]
+        names[i] = found
+        rows += [(i, *m, m[3] + len(m[1])) for m in found]
+    m = spark.createDataFrame(rows, "doc_id long, pos int, text string, type string, start_char int, end_char int")
+    near = [(r.doc_id, r.pos1, r.pos2) for r in relations.by_nearness(m).collect()]
+    assert sorted(near) == sorted((x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and 0 < y[4] - x[5] < relations.NEAR) and near
+    every = relations.by_sentence(docs, m)
+    assert {tuple(r) for r in relations.sentence_counts(docs, m).collect()} == {tuple(r) for r in every.groupBy("relation").count().collect()}
+    key = lambda df: sorted(map(str, ((r.doc_id, r.subject, r.object, r.relation, r.subject_type, r.object_type) for r in df.collect())))
+    once = relations.by_sentence_once(docs, m)
+    assert set(key(once)) == set(key(every)) and once.count() < every.count()
+    best = lambda df: sorted((r.doc_id, r.subject, r.object, r.relation, r.pos1, r.pos2) for r in df.groupBy("doc_id", "subject", "object", "relation").agg(F.min(F.struct("pos1", "pos2")).alias("p")).select("*", "p.*").collect())
+    assert best(once) == best(every)
+    hits = relations.by_patterns(docs, m)
+    for i, text in ((1, LONG * 3), (4, LONG)):
+        got = sorted((r.relation, r.evidence, *sorted((r.pos1, r.pos2))) for r in hits.where(F.col("doc_id") == i).collect())
+        assert got == brute_patterns(text, names[i]) and {"WORKS_FOR", "LOCATED_IN"} <= {r[0] for r in got}
+
+
+def test_queries_over_whole_documents(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    mentions = {(r.doc_id, r.pos): r.text for r in docs.select("doc_id", F.posexplode(T.phrases(F.col("text"))).alias("pos", "text")).collect()}
+    chains = text_queries.queries()["doc_coref_greedy"](spark, d).select("doc_id", F.split("mentions", r"\|").alias("m")).collect()
+    assert sorted((r.doc_id, t) for r in chains for t in r.m) == sorted((i, t) for (i, _), t in mentions.items())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = text_queries.queries()["doc_rel_dedup"](spark, d).collect()
+    assert len({(r.doc_id, r.subject, r.object, r.relation) for r in kept}) == len(kept) and all(r.subject in texts[r.doc_id] and r.object in texts[r.doc_id] for r in kept)
+    assert {r.confidence for r in kept} >= {0.5, 0.8}  # sentences and patterns
+    assert {"doc_rel_proximity", "doc_rel_sentence"} <= set(text_queries.queries())
+
+
 def test_coreference(spark):
     text = "John Smith met Ann Lee. Smith said so.\nAcme Inc and Acme Corp."
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
