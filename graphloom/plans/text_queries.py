@@ -230,13 +230,21 @@ def doc_coref_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Linking ---------------------------------------------------------------------------------------------------------------
-def link_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Brands and the words of part names linked to part types as the knowledge base."""
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(mentions, knowledge base)"""
     part = _t(spark, d, "part")
     kb = part.select(F.col("p_type").alias("canonical")).distinct().select("canonical", F.lit("CONCEPT").alias("type"), F.lower("canonical").alias("id"), F.array(F.concat("canonical", F.lit(" type"))).alias("aliases"), F.shiftright(F.crc32("canonical"), 1).cast("int").alias("ord"))
     words = part.select(F.explode(F.split("p_name", " ")).alias("text")).unionByName(part.select(F.col("p_type").alias("text"))).unionByName(part.select(F.concat("p_type", F.lit(" TYPE")).alias("text")))
-    linked = linking.link(words.distinct().withColumn("type", F.lit("CONCEPT")), kb)
-    return linked.select("text", "linked_name", "kb_confidence", "match_type")
+    return words.distinct().withColumn("type", F.lit("CONCEPT")), kb
+
+
+def link_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Brands and the words of part names linked to part types as the knowledge base."""
+    return linking.link(*_parts(spark, d)).select("text", "linked_name", "kb_confidence", "match_type")
+
+
+def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return linking.resolved_aliases(*_parts(spark, d))
 
 
 # Vectors and texts -------------------------------------------------------------------------------------------------------
@@ -356,7 +364,7 @@ def sparql_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     html_clean, html_title, html_headers, chunk_docs, classify_rule, classify_keyword, classify_hybrid, domain_rules, domain_doi, ner_capitalised, rel_proximity, rel_sentence, rel_dedup,
-    coref_greedy, doc_rel_proximity, doc_rel_sentence, doc_rel_dedup, doc_coref_greedy, link_entities, vector_topk, bow_cosine, rag_local_relevance, hybrid_topk, multimodal_diverse, ontology_infer, pg_label_counts, pg_rel_counts, pg_neighbourhood, triples_build, sparql_text,
+    coref_greedy, doc_rel_proximity, doc_rel_sentence, doc_rel_dedup, doc_coref_greedy, link_entities, alias_resolve, vector_topk, bow_cosine, rag_local_relevance, hybrid_topk, multimodal_diverse, ontology_infer, pg_label_counts, pg_rel_counts, pg_neighbourhood, triples_build, sparql_text,
 )
 
 SQL = {
@@ -373,6 +381,7 @@ SQL = {
     "rel_proximity": NEAR_SQL,
     "rel_sentence": SENTENCE_SQL,
     "rel_dedup": DEDUP_SQL,
+    "alias_resolve": "WITH m AS (SELECT unnest(string_split(p_name, ' ')) AS text FROM part UNION SELECT p_type FROM part UNION SELECT p_type || ' TYPE' FROM part), a AS (SELECT DISTINCT unnest([lower(p_type), lower(p_type) || ' type']) AS alias, p_type AS canonical FROM part) SELECT text, canonical, 0.9::DOUBLE AS confidence FROM m JOIN a ON lower(text) = alias WHERE text <> canonical",
     "vector_topk": "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 10",
     "bow_cosine": _bow_sql(),
     "rag_local_relevance": _relevance_sql(),

@@ -1,5 +1,6 @@
 """Fixtures with hand-derived results for mentions, linking, relations, coreference, domain rules, chunks and pages."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,14 @@ def test_linking(spark):
     assert more.count() == 13 and more.where("canonical = 'Tokyo'").first().id == "p9"
 
 
+def test_alias_query(spark):
+    d = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in text_queries.queries()["alias_resolve"](spark, d).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{d}/part.parquet'")
+    assert got == set(con.execute(text_queries.oracle_sql()["alias_resolve"]).fetchall()) and got
+
+
 @pytest.mark.parametrize("gap, kept", [(29, True), (30, False), (49, False), (50, False)])
 def test_nearness(spark, gap, kept):
     docs = spark.createDataFrame([(1, "A" + " " * gap + "B")], "doc_id long, text string")
