@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +16,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 NONSPACE = r"[^\x20\x09-\x0D]"
 
 
+#: Applications whose scratch folder is deleted at the end.
+_cleared: set[str] = set()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -28,26 +35,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's folder for checkpoints. Where none is set, one of our own on a single machine; on a cluster that is an error, as executors would not see one
+    another's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "/tmp/graphloom-checkpoints"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="graphloom-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote with ``written``; to be called when no result is read any more."""
+    delete(spark, scratch(spark))
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped
+        clear_scratch(spark)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage and outlives lost executors.
 
-    The table stays after the query, as later reads need it; the folder is the cluster's scratch space.
+    The table stays, as later reads need it, until ``clear_scratch`` or the end of the driver's program.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
+    if (app := spark.sparkContext.applicationId) not in _cleared:
+        _cleared.add(app)
+        atexit.register(_clear_at_exit, spark)
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds the Arrow batches sent to Python, in rows and bytes, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -14,6 +14,7 @@ repeated pieces in sequences of their own. Null ids are carried. An empty table
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,13 +31,20 @@ LONGEST, END = 4096, 2
 #: Words whose ids a worker keeps; the store is emptied when it is full.
 KEPT_WORDS = 500_000
 #: Bytes of text that are tokenised at a time.
-SLICE = 12 << 20
+SLICE = 8 << 20
 #: Signs that can follow a word in a chunk and are cut off before words are looked up.
 SIGNS = ".,;:!?#*$%&|()"
+#: Texts that are not brought to lower case beforehand: with what may be a special token, or a mark that may be composed with a letter.
+AS_THEY_ARE = "<\\||[\u0300-\u036f]"
 
 _loaded: dict[str, tuple] = {}
 
 
+def _ends_a_word(core: str) -> bool:
+    """Whether the tokenizer sees a letter or digit last: its normaliser may leave a mark there, as for a capital I with a dot."""
+    return core[-1].isalnum() and (core[-1].isascii() or unicodedata.normalize("NFC", core[-2:]).lower()[-1].isalnum())
+
+
 class _Vocabulary:
     """Ids of words, as codes into one growing array."""
 
@@ -81,7 +89,7 @@ class _Vocabulary:
         new = [w for w in words if w not in self.code]
         if new:
             # ASCII signs after a letter or digit are a word of their own to the tokenizer (but for apostrophes).
-            cut = [(core, w[len(core) :]) if (core := w.rstrip(SIGNS)) and core[-1].isalnum() else (w, "") for w in new]
+            cut = [(core, w[len(core) :]) if (core := w.rstrip(SIGNS)) and _ends_a_word(core) else (w, "") for w in new]
             self._learn([c for c in {x for pair in cut for x in pair if x} if c not in self.cores])
             self.cores[""] = []
             found = [self.cores[a] + self.cores[b] for a, b in cut]
@@ -108,8 +116,8 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each text's followed by END, and where each text's begin (and the end)."""
     vocabulary = _vocabulary(path)
     texts = pc.fill_null(texts, "")
-    # Lower case is what the tokenizer's normaliser makes; only its special tokens are matched before that.
-    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    # Lower case is what the tokenizer's normaliser makes, after it has composed letters and marks; its special tokens are matched before that.
+    texts = pc.if_else(pc.match_substring_regex(texts, AS_THEY_ARE), texts, pc.ascii_lower(texts))
     words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     flat = words.flatten()
     coded = flat.dictionary_encode()

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -189,6 +190,19 @@ def test_packing(spark):
     assert [sum(packing.pieces_of(n)) for n in (1, 7, 4096, 9000)] == [1, 7, 4096, 9000]
 
 
+def test_packing_of_odd_strings():
+    """Ids of strings of signs, marks, special letters and white space are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    signs = [*"aBIz09.,;:!?#*$%&|()<>'\"-_/ \n\t", *"İıßΣςéᾳ漢½²ﬁǅⅧ", "e\u0301", "\u0338", "\u0307", "\u0331", "\u0344", "\u0958", "\u0915\u093c", "\u00a0", "\u0345", "\u05d9\u05b4", "'s", "'LL", "<|endoftext|>", "H\u0331", "I\u0307"]
+    r = np.random.default_rng(7)
+    texts = ["".join(signs[k] for k in r.integers(0, len(signs), r.integers(1, 14))) for _ in range(20_000)] + ["/1İ,#%", "<İ.&"]
+    ids, at = packing.token_ids(pa.array(texts), path)
+    for k, e in enumerate(Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == [*e.ids, packing.END], ascii(texts[k])
+
+
 def jaccard_brute(rows):
     sets = []
     for _, t in rows:
