@@ -67,11 +67,12 @@ FROM numbered WHERE digest_a <> digest_b
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of pages are those of the documents with their ids: bad is toxic or of low quality."""
+    """A page is bad if its text is that of a document labelled toxic or of low quality."""
     pages = table(spark, sf_dir, "pages")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    mined = written(urls.mine(pages.select("page_id", "url").join(labels, "page_id")), "rules")
-    return urls.judge(pages, mined, urls.GIVEN)
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labelled = written(urls.labelled_urls(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bad), "url-labels")
+    index = written(urls.indexed(urls.mine(labelled), labelled), "url-index")
+    return urls.judge(pages, index, urls.GIVEN)
 
 
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,35 @@
 """URL filters: given rules by host and path, and association rules mined from labelled URLs.
 
 A URL's tokens are the labels of its host, pairs of neighbouring labels, and the words of its path and query keys, with numbers folded. Spark's FP-growth mines the
-token sets that go with a bad label; rules pruned by support and confidence block a URL whose tokens hold all of a rule's. Rules
-are matched by an inverted index: each is filed under its rarest token, and only a URL with that token is compared with it.
+token sets that go with a bad label. A rule is kept if enough bad URLs hold its tokens (support), if bad ones are over-represented among the URLs that hold them
+(confidence against the base rate, and its lower bound above that rate), and if no kept rule with fewer of its tokens says the same. Rules
+are matched by an inverted index: each is filed under its rarest token, and only the rules under a URL's own tokens are compared with it, row by row.
 
 Given rules are looked up by every suffix of the host; the longest that fits wins and overrides the mined ones.
 
+Labels of texts become labels of URLs by ``labelled_urls``: a page whose text is that of a labelled document has its label.
+
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule, and is allowed. Rows are judged one by one, so
-repeated rows and null ids each get a row. Unlabelled URLs and null labels are not mined. An empty table gives an empty result; without labels nothing is
-mined. Other columns are not read.
+repeated rows and null ids each get a row. Unlabelled URLs and null labels are not mined; a text with several labels is bad if one of them is. An empty table
+gives an empty result; without labels nothing is mined. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least share of labelled URLs that hold a rule's tokens and are bad, least share of bad ones among those that hold them, most tokens.
-SUPPORT, CONFIDENCE, TOKENS = 0.002, 0.8, 4
-#: Least number of labelled URLs behind a rule, whatever the support: a handful proves nothing, and its subsets are legion.
-EVIDENCE = 10
-#: Most rules that are broadcast; more are joined by a shuffle.
-BROADCAST_RULES = 10_000
+from .common import written
+
+#: A rule's bad URLs: least share of the labelled URLs, and least number, as a handful proves nothing.
+SUPPORT, LEAST = 0.002, 10
+#: Least confidence of a rule, as a multiple of the share of bad URLs among all labelled ones (1 at most); and standard errors of its lower bound (Wilson's), which must be above that share.
+LIFT, ERRORS = 1.5, 1.0
+#: Most rules that go into the plan as an index; more are joined by a shuffle.
+INDEXED_RULES = 10_000
 BAD = "\x00bad"
 
 
@@ -48,38 +55,82 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (F.length(x) > 2))))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = TOKENS) -> DataFrame:
-    """Rules (tokens array, support, confidence) from labelled URLs (bad: boolean)."""
+def words_digest(text: Column) -> Column:
+    """A hash of a text's words, whatever stands between them."""
+    return F.md5(F.array_join(F.array_remove(F.split(text, r"\s+"), ""), " "))
+
+
+def labelled_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame, bad: Column, url_col: str = "url", html_col: str = "html", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(url, bad) of the pages whose article is the text of a labelled document. Only hashes are joined; each text is one row of labels, so a text
+    that a third of all pages share is joined with one row."""
+    known = docs.select(F.col(id_col).alias("i"), words_digest(F.col(text_col)).alias("h")).join(labels.select(F.col(id_col).alias("i"), bad.alias("b")), "i")
+    verdicts = known.where("h is not null and b is not null").groupBy("h").agg(F.max("b").alias("bad"))
+    article = F.regexp_extract(F.col(html_col), r"(?s)<article[^>]*>(?:\s*<h1[^>]*>.*?</h1>)?(.*?)</article>", 1)
+    found = pages.select(F.col(url_col).alias("url"), words_digest(F.regexp_replace(article, "<[^>]*>", " ")).alias("h")).where("url is not null and h is not null")
+    return found.distinct().join(verdicts, "h").select("url", "bad")
+
+
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = SUPPORT, least: int = LEAST, lift: float = LIFT, errors: float = ERRORS) -> DataFrame:
+    """Rules (tokens array, n: bad URLs that hold them, confidence) from labelled URLs (bad: boolean)."""
     rows = labelled.where(F.col(bad_col).isNotNull() & F.col(url_col).isNotNull())
     items = rows.select(F.when(F.col(bad_col), F.concat(tokens(F.col(url_col)), F.array(F.lit(BAD)))).otherwise(tokens(F.col(url_col))).alias("items"))
-    empty = "tokens array<string>, support double, confidence double"
+    items = written(items, "url-items")  # FP-growth reads them twice
     counts = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
-    if counts["bad"] < EVIDENCE:
-        return labelled.sparkSession.createDataFrame([], empty)
-    support = max(support, EVIDENCE / counts["n"])
-    # Infrequent token sets are cut by support before any confidence is computed.
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= most))
-    return rules.select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
-
-
-def _indexed(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """Rules under their rarest token in ``urls`` (url, tokens)."""
-    each = rules.select("tokens", F.explode("tokens").alias("token"))
-    counts = urls.select(F.explode("tokens").alias("token")).join(each.select("token").distinct(), "token", "left_semi").groupBy("token").count()
-    ranked = each.join(counts, "token", "left").groupBy("tokens").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("least"))
-    return ranked.select(F.col("least.token").alias("token"), F.col("tokens").alias("needed"))
-
-
-def blocked_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """Distinct URLs whose tokens hold all tokens of a rule."""
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
-    index = _indexed(rules, urls)
-    few = index.limit(BROADCAST_RULES + 1).collect()
-    if len(few) <= BROADCAST_RULES:
-        index = F.broadcast(pages.sparkSession.createDataFrame(few, index.schema))
-    hits = urls.withColumn("token", F.explode("tokens")).join(index, "token")
-    return hits.where(F.size(F.array_except("needed", "tokens")) == 0).select("url").distinct()
+    if not counts["bad"]:
+        return labelled.sparkSession.createDataFrame([], "tokens array<string>, n long, confidence double")
+    # Infrequent token sets are cut by support before any confidence is computed; sets with least / n of the URLs at least are those with ``least`` URLs.
+    base = counts["bad"] / counts["n"]
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (least - 0.5) / counts["n"])), minConfidence=min(1.0, lift * base)).fit(items)
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD))
+    n = F.round(F.col("support") * counts["n"]).cast("long")
+    found = rules.select(F.array_sort("antecedent").alias("tokens"), n.alias("n"), "confidence")
+    held, z2 = F.col("n") / F.col("confidence"), errors * errors
+    c = F.col("confidence")
+    low = (c + z2 / (2 * held) - errors * F.sqrt(c * (1 - c) / held + z2 / (4 * held * held))) / (1 + z2 / held)
+    return _needed(written(found.where(low > base), "url-rules"))
+
+
+def _needed(rules: DataFrame) -> DataFrame:
+    """Rules of which no other rule has a part of the tokens: what they match, that one matches. Each rule looks up the others under its own tokens."""
+    filed = rules.select(F.col("tokens").alias("part"), F.array_min("tokens").alias("token"))
+    pairs = rules.withColumn("token", F.explode("tokens")).join(filed, "token").where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+    return rules.join(pairs.select("tokens").distinct(), "tokens", "left_anti")
+
+
+def indexed(rules: DataFrame, labelled: DataFrame, url_col: str = "url") -> DataFrame:
+    """(token, needed): rules under that of their tokens that is rarest in the labelled URLs."""
+    counts = labelled.select(F.explode(tokens(F.col(url_col))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    each = rules.select("tokens", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    least = each.groupBy("tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
+    return least.select(F.col("least.token").alias("token"), F.col("tokens").alias("needed"))
+
+
+def _hit(index: list, url: Column) -> Column:
+    """Whether a rule of the index holds for a URL: its tokens look up their rules."""
+    by_token: dict[str, list[list[str]]] = {}
+    for r in index:
+        by_token.setdefault(r["token"], []).append(list(r["needed"]))
+    if not by_token:
+        return F.lit(False)
+    names = sorted(by_token)
+    own = F.array_intersect(tokens(url), F.from_json(F.lit(json.dumps(names)), "array<string>"))
+    table = F.from_json(F.lit(json.dumps(by_token)), "map<string, array<array<string>>>")
+    every = tokens(url)
+    return F.exists(own, lambda t: F.exists(F.try_element_at(table, t), lambda needed: F.size(F.array_except(needed, every)) == 0))
+
+
+def matched(pages: DataFrame, index: DataFrame, url_col: str = "url", id_cols: list[str] | None = None) -> DataFrame:
+    """The rows' columns (by default all) and ``hit``: whether a mined rule holds for the URL."""
+    keep = id_cols or pages.columns
+    few = index.limit(INDEXED_RULES + 1).collect()
+    if len(few) <= INDEXED_RULES:
+        hit = _hit(few, F.col(url_col))
+        return pages.select(*keep, F.coalesce(hit, F.lit(False)).alias("hit"))
+    urls = pages.select(F.col(url_col).alias("__url")).where("__url is not null").distinct().withColumn("own", tokens(F.col("__url")))
+    hits = urls.withColumn("token", F.explode("own")).join(index, "token").where(F.size(F.array_except("needed", "own")) == 0).select("__url", F.lit(True).alias("__hit")).distinct()
+    # Null urls match nothing; they are spread by a hash of the row instead of meeting in one task.
+    key = F.coalesce(F.col(url_col), F.concat(F.lit("\x00"), F.xxhash64(*keep).cast("string")))
+    return pages.withColumn("__key", key).join(hits, F.col("__key") == F.col("__url"), "left").select(*keep, F.coalesce("__hit", F.lit(False)).alias("hit"))
 
 
 def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -91,14 +142,15 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return name, verdict
 
 
-def judge(pages: DataFrame, mined: DataFrame, given: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row: the id, host, path, rule (of the given rule that decides, or null), verdict (allow or block), mined (a mined rule fits)."""
-    blocked = blocked_urls(pages, mined, url_col).select(F.col("url").alias("__url"), F.lit(True).alias("__hit"))
-    host, path = parsed(F.col(url_col))
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("__u"), host.alias("host"), path.alias("path")).join(blocked, F.col("__u") == F.col("__url"), "left")
+def judge(pages: DataFrame, index: DataFrame, given: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Per row: the id, host, path, rule (of the given rule that decides, or null), verdict (allow or block), mined (a mined rule fits).
+
+    ``index``: mined rules as ``indexed`` gives them.
+    """
+    own = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__u"))
+    rows = matched(own, index, "__u").select("__id", "hit", *(x.alias(n) for x, n in zip(parsed(F.col("__u")), ("host", "path"))))
     rule, verdict = given_rule(F.col("host"), F.col("path"), given)
-    hit = F.coalesce("__hit", F.lit(False))
-    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), hit.alias("mined"))
+    return rows.select(F.col("__id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.col("hit").alias("mined"))
 
 
 #: Given rules of the registered query: host, path, verdict.

@@ -84,7 +84,7 @@ def brute_rule(host, path):
 def test_urls(spark):
     odd = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/1", "http://example.com", "http://example.com/en", "http://a.example.com/en/x?y=://z", "http://xexample.com/en/", "http://q.net/es/#://", "http://ÄB.net/fr/\n2", "http://a.net?x/es/", "http://a:80/b?c"]
     pages = spark.createDataFrame([(k // 2, u, "h", "v") for k, u in enumerate(odd)], "page_id long, url string, host string, verdict string")
-    nothing = spark.createDataFrame([], "tokens array<string>, support double, confidence double")
+    nothing = spark.createDataFrame([], "token string, needed array<string>")
     got = urls.judge(pages, nothing, urls.GIVEN)
     want = []
     for k, u in enumerate(odd):
@@ -98,18 +98,51 @@ def test_urls(spark):
     assert all((h, p) == brute_parse(base[i]) and rule == brute_rule(h, p)[0] and (rule is None or v == brute_rule(h, p)[1]) for i, h, p, rule, v, _ in every) and len(every) == len(base)
 
 
-def test_mined_rules(spark):
+def test_mined_rules(spark, monkeypatch):
     good = [(f"http://site{k % 7}.org/news/{k}", False) for k in range(60)] + [(f"http://casino{k}.org/about", False) for k in range(2)]
     bad = [(f"http://m.casino-win.org/play/{k}?ref=1", True) for k in range(20)]
     labelled = spark.createDataFrame(good + bad + [(None, True), ("http://x.org/", None)], "url string, bad boolean")
     rules = urls.mine(labelled, support=0.05)
-    assert any(set(r.tokens) == {"h:casino"} and r.confidence == 1.0 for r in rules.collect())
-    pages = spark.createDataFrame([(1, "http://www.casino-win.org/play/99"), (2, "http://site1.org/news/1"), (2, "http://site1.org/news/1"), (3, "http://casino-win.com/play/"), (4, None)], "page_id long, url string")
-    got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(pages, rules, urls.GIVEN).collect()}
-    assert got == {1: ("block", True), 2: ("allow", False), 3: ("allow", True), 4: ("allow", False)}
+    assert any(set(r.tokens) == {"h:casino"} and r.confidence == 1.0 and r.n == 20 for r in rules.collect())
+    assert urls.mine(labelled, least=21).count() == 0 and urls.mine(labelled, errors=20.0).count() == 0  # 20 bad URLs; the base rate is 20 of 82
+    index = urls.indexed(rules, labelled)
+    pages = spark.createDataFrame([(1, "http://www.casino-win.org/play/99"), (2, "http://site1.org/news/1"), (2, "http://site1.org/news/1"), (3, "http://casino-win.com/play/"), (4, None), (4, None)], "page_id long, url string")
+    want = {1: ("block", True), 2: ("allow", False), 3: ("allow", True), 4: ("allow", False)}
+    judged = urls.judge(pages, index, urls.GIVEN)
+    assert {r.page_id: (r.verdict, r.mined) for r in judged.collect()} == want and judged.count() == 6
     kept = [set(r.tokens) for r in rules.collect()]
+    assert not any(a < b for a in kept for b in kept)  # a rule that another covers is not kept
     tokens = {r.url: set(r.t) for r in pages.where("url is not null").select("url", urls.tokens(F.col("url")).alias("t")).collect()}
-    assert {r.url for r in urls.blocked_urls(pages, rules).collect()} == {u for u, t in tokens.items() if any(k <= t for k in kept)}
+    monkeypatch.setattr(urls, "INDEXED_RULES", 0)  # the same by a join
+    judged = urls.judge(pages, index, urls.GIVEN).collect()
+    assert {r.page_id: (r.verdict, r.mined) for r in judged} == want and len(judged) == 6
+    assert {r.url for r in urls.matched(pages, index).where("hit").collect()} == {u for u, t in tokens.items() if any(k <= t for k in kept)}
+
+
+def test_rules_against_all_token_sets(spark):
+    """Rules of the registered tables: the kept ones are those that counting every set of a URL's tokens gives."""
+    from itertools import combinations
+
+    base = "/root/testdata/sf0.01"
+    t = {n: spark.read.parquet(f"{base}/{n}.parquet") for n in ("pages", "documents", "labels")}
+    labelled = urls.labelled_urls(t["pages"], t["documents"], t["labels"], (F.col("quality") == 0) | (F.col("toxic") == 1))
+    rows = [(frozenset(r.t), r.bad) for r in labelled.select(urls.tokens(F.col("url")).alias("t"), "bad").collect()]
+    rate = sum(b for _, b in rows) / len(rows)
+    held, bad = Counter(), Counter()
+    for items, b in rows:
+        for n in range(1, len(items) + 1):
+            for part in combinations(sorted(items), n):
+                held[part] += 1
+                bad[part] += b
+    least = max(math.ceil(urls.SUPPORT * len(rows)), 3)
+    fits = set()
+    for part, n in held.items():
+        c = bad[part] / n
+        low = (c + 1 / (2 * n) - math.sqrt(c * (1 - c) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+        if bad[part] >= least and c >= urls.LIFT * rate - 1e-12 and low > rate:
+            fits.add(part)
+    want = {p for p in fits if not any(set(q) < set(p) for q in fits)}
+    assert {tuple(r.tokens) for r in urls.mine(labelled, least=3).collect()} == want and want
 
 
 # 6 -----------------------------------------------------------------------------------------------------------------
