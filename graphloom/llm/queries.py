@@ -61,7 +61,7 @@ hashed AS (SELECT page_id, url, sha256(ra) AS digest_a, sha256(rb) AS digest_b,
 numbered AS (
   SELECT *, row_number() OVER w - 1 AS number, coalesce(sum(la) OVER p, 0) AS start_a, coalesce(sum(lb) OVER p, 0) AS start_b FROM hashed
   WINDOW w AS (ORDER BY page_id NULLS FIRST, url NULLS FIRST), p AS (ORDER BY page_id NULLS FIRST, url NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT number::BIGINT AS number, page_id, url, start_a::BIGINT AS start_a, (start_a + la)::BIGINT AS end_a, digest_a, start_b::BIGINT AS start_b, (start_b + lb)::BIGINT AS end_b, digest_b
+SELECT number::BIGINT AS number, page_id, url, start_a::BIGINT AS start_a, (start_a + la)::BIGINT AS end_a, digest_a, 1::BIGINT AS times_a, start_b::BIGINT AS start_b, (start_b + lb)::BIGINT AS end_b, digest_b, 1::BIGINT AS times_b
 FROM numbered WHERE digest_a <> digest_b
 """
 

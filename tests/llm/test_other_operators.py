@@ -38,31 +38,66 @@ def records(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, record string, number int, digest string")
 
 
-def test_fixity(spark):
+def test_fixity(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FANOUT", 8)  # three levels
+    key = ["page_id", "url"]
     rows = [(k // 2 if k % 5 else None, None if k % 7 == 0 else f"u{k}", f"record {k}", 1, "x") for k in range(300)]
+    digest = lambda k: hashlib.sha256(f"record {k}".encode()).hexdigest()
     a = records(spark, rows)
     changed = [(*r[:2], r[2] + "!" if k in (3, 150, 299) else r[2], *r[3:]) for k, r in enumerate(rows)]
-    bad = warc.audit_tables(a, records(spark, changed), ["page_id", "url"]).collect()
-    assert len(bad) >= 3 and {hashlib.sha256(f"record {k}".encode()).hexdigest() for k in (3, 150, 299)} <= {r.digest_a for r in bad}
-    assert warc.audit_tables(a, records(spark, rows[::-1]), ["page_id", "url"]).count() == 0
-    lost = warc.audit_tables(a, records(spark, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))[:-1]), ["page_id", "url"]).collect()
-    assert [r.digest_b for r in lost] == [None]
-    leaf = warc.leaves(a, ["page_id", "url"]).orderBy("number").collect()
+    bad = warc.audit_tables(a, records(spark, changed), key).collect()
+    assert {r.digest_a for r in bad} == {digest(k) for k in (3, 150, 299)} and len(bad) == 3 and all(r.digest_b for r in bad)
+    assert warc.audit_tables(a, records(spark, rows[::-1]), key).count() == 0
+    leaf = warc.leaves(a, key).orderBy("number").collect()
     assert [r.number for r in leaf] == list(range(300)) and leaf[0].start == 0 and all(x.end == y.start for x, y in zip(leaf, leaf[1:]))
+    assert {len(r.nodes) for r in leaf} == {3} and len({r.nodes[0] for r in leaf}) > 20 and len({r.nodes[2] for r in leaf}) == 1
+    # A lost or an added record is one place, wherever it stands: also where it begins a node.
+    begin = next(r for r in leaf[100:] if r.nodes[1] != leaf[r.number - 1].nodes[1])
+    for gone in (150, begin.number):
+        lost = [r for r in rows if hashlib.sha256(r[2].encode()).hexdigest() != leaf[gone].digest]
+        one = warc.audit_tables(a, records(spark, lost), key).collect()
+        assert [(r.number, r.page_id, r.url, r.digest_a, r.digest_b) for r in one] == [(gone, leaf[gone].page_id, leaf[gone].url, leaf[gone].digest, None)]
+    more = warc.audit_tables(a, records(spark, [*rows, (70, "new", "record new", 1, "x")]), key).collect()
+    assert [(r.page_id, r.url, r.digest_a, r.digest_b) for r in more] == [(70, "new", None, digest("new"))]
+    # Repeated rows, and keys with several records of which one differs.
+    many = [*rows, *[(7, "same", "record same", 1, "x")] * 50, (9, "k", "record p", 1, "x"), (9, "k", "record q", 1, "x")]
+    fewer = [*rows, *[(7, "same", "record same", 1, "x")] * 49, (9, "k", "record p", 1, "x"), (9, "k", "record r", 1, "x")]
+    two = {r.url: r for r in warc.audit_tables(records(spark, many), records(spark, fewer), key).collect()}
+    assert set(two) == {"same", "k"} and (two["same"].times_a, two["same"].times_b) == (50, 49) and (two["k"].digest_a, two["k"].digest_b) == (digest("q"), digest("r"))
     empty = a.where("false")
-    assert warc.audit_tables(empty, empty, ["page_id", "url"]).count() == 0 and warc.audit_tables(a, empty, ["page_id", "url"]).count() == 300
+    assert warc.audit_tables(empty, empty, key).count() == 0 and warc.audit_tables(a, empty, key).count() == 300
+
+
+def test_fixity_against_comparison_of_all_records(spark):
+    """Replicas with random losses, additions and changes: the places are those of a full comparison; offsets moved by a gap are not damage."""
+    r = np.random.default_rng(5)
+    rows = [(k, f"u{k}", f"record {k} " + "x" * int(r.integers(0, 30)), 1, "x") for k in range(3000)]
+    other = [(i, u, t + "~" if k in (10, 2000, 2001) else t, 1, "x") for k, (i, u, t, _, _) in enumerate(rows) if k not in (5, 64, 1500, 2999)] + [(k, "added", "record", 1, "x") for k in (77, 2100)]
+    got = {(x.page_id, x.url): (x.start_a, x.start_b) for x in warc.audit_tables(records(spark, rows), records(spark, other), ["page_id", "url"]).collect()}
+    place = lambda t: {(i, u): sum(len(x[2]) for x in t if (x[0], x[1]) < (i, u)) for i, u, *_ in t if i in (5, 10, 64, 77, 1500, 2000, 2001, 2100, 2999)}
+    a, b = place(rows), place(other)
+    want = [(k, f"u{k}") for k in (5, 10, 64, 1500, 2000, 2001, 2999)] + [(77, "added"), (2100, "added")]
+    assert got == {k: (a.get(k), b.get(k)) for k in want}
 
 
 def test_warc_files(spark, tmp_path):
     import gzip
 
     one = spark.createDataFrame([("http://x/", "é" * 3), (None, None)], "u string, h string").select(warc.record(F.col("u"), F.col("h")).alias("r")).collect()
-    data = b"".join(r.r.encode() for r in one)
+    each = [r.r.encode() for r in one]
+    data = b"".join(each)
     (tmp_path / "a.warc").write_bytes(data)
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, each)))
     got = warc.read(spark, str(tmp_path)).orderBy("path", "offset").collect()
-    assert [(r.url, bytes(r.payload).decode()) for r in got] == [("http://x/", "ééé"), ("", "")] * 2
-    assert got[1].offset == got[0].length
+    assert [(r.url, bytes(r.payload).decode()) for r in got] == [("http://x/", "ééé"), ("", "")] * 3
+    assert got[1].offset == got[0].length == len(each[0])
+    # A broken header is a gap; the next record is found.
+    for broken in (b"junk", b"WARC/1.0\r\nContent-Length: x\r\n\r\nbody\r\n\r\n", each[0][:30]):
+        rows = list(warc.parse(each[0] + broken + b"\r\n" + data))
+        assert [r[3] for r in rows if r[2] == "resource"] == ["http://x/"] * 2 + [""] and sum(r[2] == "damaged" for r in rows) == 1
+        assert all(x[0] + x[1] == y[0] for x, y in zip(rows, rows[1:]))
+    assert [r[2] for r in warc.parse(data[:-30])] == ["resource", "damaged"] and list(warc.parse(b"")) == []
 
 
 # 5 -----------------------------------------------------------------------------------------------------------------
