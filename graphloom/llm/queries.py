@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chosenpath, licenses, mixing, packing, pii, quality, substring, urls, warc
-from .common import table, words_of, written
+from .common import table, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +96,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/id; one of at most 60 words with a license line stands for a licence file."""
+    """Documents as files source/lang/id; a licence file is one that is a license as a whole."""
     docs = table(spark, sf_dir, "documents")
     idf = licenses.weights(licenses.document_frequencies(docs))
-    short = F.size(words_of(F.col("text"))) <= 60
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    files = docs.select(F.struct(F.col("doc_id"), path.alias("path"), short.alias("short")).alias("file"), "text")
-    found = written(licenses.scan(files, idf, "file").select("file.*", "license", "cosine", "line"), "license-lines")  # inherit reads it three times
-    return licenses.inherit(found, "path", F.col("short")).drop("short")
+    files = docs.select(F.struct(F.col("doc_id"), path.alias("path")).alias("file"), "text")
+    found = written(licenses.scan(files, idf, "file").select("file.*", "license", "cosine", "piece", "line"), "license-lines")  # inherit reads it three times
+    return licenses.inherit(found, "path", F.col("piece") == "file")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

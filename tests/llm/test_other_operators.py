@@ -260,57 +260,77 @@ def test_forest_odd_vectors(spark):
 
 
 # 10 ----------------------------------------------------------------------------------------------------------------
-def brute_cosine(line, idf):
-    terms = Counter(licenses._terms(line))
-    unknown = max(idf.values())
-    w = {t: n * idf.get(t, unknown) for t, n in terms.items()}
-    norm = math.sqrt(sum(x * x for x in w.values()))
-    best = None
-    for name in sorted(licenses.TEMPLATES):
-        v = {t: n * idf[t] for t, n in Counter(licenses._terms(licenses.TEMPLATES[name])).items()}
-        c = round(sum(w.get(t, 0) * x for t, x in v.items()) / norm / math.sqrt(sum(x * x for x in v.values())), 9)
-        if best is None or c > best[0]:
-            best = (c, name)
-    return best
+def brute_scan(text, idf):
+    """(license, piece) by comparing every piece with every notice, without any gate. idf: of all words."""
+    import re
+
+    text = text or ""
+    vectors = [(n, {w: c * idf[w] for w, c in Counter(licenses._terms(t)).items()}) for n, t in licenses.notices()]
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    blocks = re.split(licenses.BLANK.replace(r"\p{L}\p{N}", r"^\W_").replace("[^^", "["), text)
+    needed = set(licenses.needed_words({w: idf[w] for w in licenses.vocabulary()}))
+    hit = [bool(needed & set(licenses._terms(b))) for b in blocks]
+    runs, now = [], []
+    for block, h in [*zip(blocks, hit), ("", False)]:
+        if h:
+            now.append(block)
+        elif now:
+            runs, now = [*runs, "\n\n".join(now)], []
+    for kind, pieces in (("file", [text]), ("passage", runs), ("block", blocks), ("line", text.split("\n"))):
+        best = None
+        for piece in pieces:
+            v = {w: c * idf[w] for w, c in Counter(licenses._terms(piece)).items()}
+            for n, other in vectors if v else ():
+                c = round(sum(x * other.get(w, 0.0) for w, x in v.items()) / length(v) / length(other), 9)
+                if c >= licenses.THRESHOLD and (best is None or (-c, n) < best):
+                    best = (-c, n)
+        if best:
+            return best[1], kind
+    return None, None
+
+
+def hashed_idf(spark, texts):
+    """idf of all words of the texts and the templates, by counting in Python what the buckets hold."""
+    words = sorted({w for t in texts for w in licenses._terms(t or "")} | set(licenses.vocabulary()))
+    buckets = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", licenses.bucket(F.col("w")).alias("b")).collect()}
+    held = Counter(b for t in texts for b in {buckets[w] for w in licenses._terms(t or "")})
+    return {w: round(math.log((1 + len(texts)) / (1 + held[buckets[w]])) + 1, 6) for w in words}
+
+
+MIT = licenses.TEMPLATES["MIT"][0]
+LICENSED = [
+    (9001, None), (9002, ""), (9003, "x\n// Released under the MIT License.\nlicensed to nobody in particular by any means at all"), (9003, "x"), (None, "Licensed under the Apache License, Version 2.0 (the ok)"), (9004, "licence " * 3),
+    (9005, "The MIT License\n\nCopyright (c) 2020 Ann\n\n" + MIT), (9006, "/*\n * " + licenses.TEMPLATES["Apache-2.0"][0].replace("\n", "\n * ") + "\n */\n\nint main() { return 0; }\n" + "int x = 1;\n" * 300),
+    (9007, licenses.TEMPLATES["BSD-3-Clause"][0]), (9008, licenses.TEMPLATES["BSD-2-Clause"][0]), (9009, "# SPDX-License-Identifier: MIT\nimport os\n"), (9010, "words\nApache License\nmore"), (9011, "Ann is here.\nAll rights reserved."),
+    (9012, MIT.split("\n\n")[0]), (9013, "z\x01z\n\n" + licenses.TEMPLATES["GPL-3.0"][0] + "\n\n" + "alpha beta " * 400), (9014, "the rights of all and the in of by"), (9015, "a\n \n\n--\n" * 500),
+]
 
 
 def test_licenses(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    odd = [(9001, None), (9002, ""), (9003, "x\n// Released under the MIT License.\nlicensed to nobody in particular by any means at all"), (9003, "x"), (None, "Licensed under the Apache License, Version 2.0 (the ok)"), (9004, "licence " * 3)]
-    every = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
-    frequencies = {r.term: r.n for r in licenses.document_frequencies(every).collect()}
-    texts = [r.text or "" for r in every.collect()]
-    words = licenses.vocabulary()
-    for w in words:
-        assert frequencies.get(w, 0) == sum(w in set(licenses._terms(t)) for t in texts), w
-    idf = licenses.weights(licenses.document_frequencies(every))
-    import re
-
-    anchored = re.compile(r"(?<![a-z0-9])(?:" + "|".join(licenses.ANCHORS) + r")(?![a-z0-9])")
-    want = []
-    for r in every.collect():
-        found = [(-c, name, k) for k, line in enumerate((r.text or "").split("\n")) if anchored.search(line.lower()) for c, name in [brute_cosine(line, idf)]]
-        best = min(found) if found and -min(found)[0] >= licenses.THRESHOLD else None
-        want.append((r.doc_id, best[1] if best else None, best[2] if best else None))
-    got = licenses.scan(every.withColumn("license", F.lit("clash")), idf).collect()
-    assert sorted(map(str, ((r.doc_id, r.license, r.line) for r in got))) == sorted(map(str, want))
-    assert sum(r.license is not None for r in got) >= 3
-
-
-def test_license_lines_without_a_license_word(spark):
-    rows = [(1, "Queleque.\nAll rights reserved."), (2, "the rights of all and the in of by"), (3, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for n in (10_000, 10_000_000):  # no text holds "copyright", whose weight grows with the table
-        seen = {"the": n // 2, "and": n // 2, "in": n // 2, "by": n // 2} | {w: n // 150 for w in ("all", "rights", "reserved")}
+    every = docs.unionByName(spark.createDataFrame(LICENSED, "doc_id long, text string"))
+    texts = [r.text for r in every.collect()]
+    idf, found = hashed_idf(spark, texts), licenses.weights(licenses.document_frequencies(every))
+    assert found.by_word == {w: idf[w] for w in licenses.vocabulary()}
+    want = [(r.doc_id, *brute_scan(r.text, idf)) for r in every.collect()]
+    got = licenses.scan(every.withColumn("license", F.lit("clash")), found).collect()
+    assert sorted(map(str, ((r.doc_id, r.license, r.piece) for r in got))) == sorted(map(str, want))
+    mine = {r.doc_id: (r.license, r.piece, r.line) for r in got if r.doc_id and r.doc_id > 9003}
+    assert mine[9005][:2] == ("MIT", "file") and mine[9006][0] == "Apache-2.0" and mine[9007][:2] == ("BSD-3-Clause", "file") and mine[9008][:2] == ("BSD-2-Clause", "file")
+    assert [mine[k][0] for k in (9009, 9010, 9011, 9012)] == ["MIT", "Apache-2.0", "Proprietary", "MIT"] and mine[9013] == ("GPL-3.0", "passage", 2), mine
+    assert mine[9014] == mine[9004] == mine[9015] == (None, None, None)
+    empty = every.where("false")
+    assert licenses.scan(empty, licenses.weights(licenses.document_frequencies(empty))).count() == 0
+
+
+def test_skipped_pieces_cannot_reach_the_threshold(spark):
+    for n in (10_000, 10_000_000):
+        seen = {w: n // 2 for w in ("the", "and", "in", "by", "of", "to", "or")} | {w: n // 150 for w in ("all", "rights", "reserved")}
         idf = {w: math.log((1 + n) / (1 + seen.get(w, 0))) + 1 for w in licenses.vocabulary()}
-        got = {r.doc_id: (r.license, r.line) for r in licenses.scan(docs, idf).collect()}
-        assert got[1] == ("Proprietary", 1) and got[2] == got[3] == (None, None)
-        # Skipping by needed words is exact: no skipped line reaches the threshold.
         needed = set(licenses.needed_words(idf))
         assert {"all", "rights", "reserved"} & needed and not {"the", "and", "in"} & needed
-        for name, text in licenses.TEMPLATES.items():
-            left = [w for w in licenses._terms(text) if w not in needed]
-            assert not left or brute_cosine(" ".join(left), idf)[0] < licenses.THRESHOLD, name
+        for name, vector in licenses._vectors(idf, licenses.TEMPLATES):
+            assert math.sqrt(sum(v * v for w, v in vector.items() if w not in needed)) < licenses.THRESHOLD, name
     assert licenses._terms("v2.0mit 2.0x") == ["v2.0", "mit", "2.0", "x"]
     assert tuple(spark.range(1).select(licenses._holds(F.lit("v2.0mit"), ["mit"]), licenses._holds(F.lit("2.0x"), ["2.0"]), licenses._holds(F.lit("mitre 2.01"), ["mit", "2.0"])).first()) == (True, True, False)
 
