@@ -29,7 +29,7 @@ from .common import arrow_batches
 #: Tokens of the longest sequence, and the id that ends each document.
 LONGEST, END = 4096, 2
 #: Words whose ids a worker keeps; the store is emptied when it is full.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 #: Bytes of text that are tokenised at a time.
 SLICE = 8 << 20
 #: Signs that can follow a word in a chunk and are cut off before words are looked up.
@@ -42,7 +42,7 @@ _loaded: dict[str, tuple] = {}
 
 def _ends_a_word(core: str) -> bool:
     """Whether the tokenizer sees a letter or digit last: its normaliser may leave a mark there, as for a capital I with a dot."""
-    return core[-1].isalnum() and (core[-1].isascii() or unicodedata.normalize("NFC", core[-2:]).lower()[-1].isalnum())
+    return unicodedata.normalize("NFC", core[-2:]).lower()[-1].isalnum()
 
 
 class _Vocabulary:
@@ -89,10 +89,11 @@ class _Vocabulary:
         new = [w for w in words if w not in self.code]
         if new:
             # ASCII signs after a letter or digit are a word of their own to the tokenizer (but for apostrophes).
-            cut = [(core, w[len(core) :]) if (core := w.rstrip(SIGNS)) and _ends_a_word(core) else (w, "") for w in new]
+            cut = [(core, w[len(core) :]) if (core := w.rstrip(SIGNS)) and (end := core[-1]).isalnum() and (end.isascii() or _ends_a_word(core)) else (w, "") for w in new]
             self._learn([c for c in {x for pair in cut for x in pair if x} if c not in self.cores])
             self.cores[""] = []
-            found = [self.cores[a] + self.cores[b] for a, b in cut]
+            cores = self.cores
+            found = [cores[a] + cores[b] if b else cores[a] for a, b in cut]
             k, sizes = len(self.code), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             total = int(sizes.sum())
             while k + len(new) + 1 > len(self.start):
