@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,21 @@ def ask(graph, text: str) -> bool:
     return not sparql(graph, text).isEmpty()
 
 
+def _name(kind: str) -> str:
+    """A local name; anything else would change the query that it becomes part of."""
+    if not re.fullmatch(r"\w+", kind):
+        raise ValueError(f"not a name: {kind!r}")
+    return kind
+
+
 def entities(graph, kind: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """entity, label, type; ordered by label."""
-    node = match(f"?entity a :{kind}", "?entity rdfs:label ?label").bind(type=f"'{KG}{kind}'") if kind else match("?entity a ?type", "?entity rdfs:label ?label").where(f"type LIKE '{KG}%'")
+    node = match(f"?entity a :{_name(kind)}", "?entity rdfs:label ?label").bind(type=f"'{KG}{kind}'") if kind else match("?entity a ?type", "?entity rdfs:label ?label").where(f"type LIKE '{KG}%'")
     return node.select("entity", "label", "type").top(["label"], min(limit, MOST), offset).frame(graph)
 
 
 def relations(graph, kind: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    p = f":{kind}" if kind else "?predicate"
+    p = f":{_name(kind)}" if kind else "?predicate"
     node = match(f"?subject {p} ?object", "?subject rdfs:label ?subjectName", "?object rdfs:label ?objectName")
     node = node.bind(predicate=f"'{KG}{kind}'") if kind else node.where(f"predicate LIKE '{KG}%'")
     return node.select("subject", "subjectName", "predicate", "object", "objectName").top([], min(limit, MOST), offset).frame(graph)

@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that pages hold, in the order in which they are decoded; the ampersand comes last (fixed values).
-ENTITIES = {"&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&middot;": "·", "&copy;": "©", "&nbsp;": " ", "&amp;": "&"}
 #: What is taken out of a page, in order, and what takes its place (fixed patterns).
 REMOVED = (("(?is)<script.*?</script>", ""), ("(?is)<style.*?</style>", ""), ("(?is)<!--.*?-->", ""), ("<[^>]+>", " "), (r"\s+", " "))
 
 
+#: Named entities by the standard's table, and those that count without a semicolon.
+_NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+_BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+#: Numbers that stand for signs of another code page.
+_MOVED = {str(k): bytes([k]).decode("cp1252") for k in range(0x80, 0xA0) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _sign(code: Column) -> Column:
+    """The character of a number (long); the replacement character where there is none."""
+    moved = F.from_json(F.lit(json.dumps(_MOVED)), "map<string,string>")
+    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(moved, code.cast("string")), plain)
+
+
 def decoded(text: Column) -> Column:
-    for name, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+    """Entities of HTML as their characters, once: what an ampersand's entity makes is not read again."""
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    bare = F.from_json(F.lit(json.dumps({k: html5[k] for k in _BARE})), "map<string,string>")
+
+    def one(piece: Column) -> Column:
+        whole, short = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(piece, f"^({'|'.join(_BARE)})", 1)
+        digits, hexed = F.regexp_extract(piece, "^#([0-9]{1,7});?", 1), F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,6});?", 1)
+        known = F.when(whole != "", F.try_element_at(named, whole))
+        after = lambda pattern: F.regexp_replace(piece, pattern, "")
+        return (
+            F.when(known.isNotNull(), F.concat(known, F.substr(piece, F.length(whole) + F.lit(2))))
+            .when(short != "", F.concat(F.try_element_at(bare, short), F.substr(piece, F.length(short) + F.lit(1))))
+            .when(digits != "", F.concat(_sign(F.try_to_number(digits, F.lit("9999999")).cast("long")), after("^#[0-9]{1,7};?")))
+            .when(hexed != "", F.concat(_sign(F.conv(hexed, 16, 10).cast("long")), after("^#[xX][0-9a-fA-F]{1,6};?")))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    parts = F.split(text, "&", -1)
+    many = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    return F.when(text.contains("&"), many).otherwise(text)
 
 
 def clean_html(html: Column) -> Column:

@@ -8,33 +8,22 @@ from pyspark.sql import functions as F
 SIZE, OVERLAP, REACH = 500, 50, 100
 
 
-def _bounds(text: Column, n: Column) -> Column:
-    """Begins of all windows and the end of the last, by a fold over as many steps as there can be windows."""
-
-    def step(ends: Column, _: Column) -> Column:
-        at = F.element_at(ends, -1)
-        far = at + SIZE
-        stop = F.regexp_instr(F.substring(text, far + 1, F.least(F.lit(REACH), n - far)), F.lit("[.!?]"))
-        end = F.when((far < n) & (stop > 0), far + stop).otherwise(far)
-        return F.when(at >= n, ends).otherwise(F.concat(ends, F.array(end)))
-
-    return F.aggregate(F.sequence(F.lit(1), F.ceil(n / SIZE).cast("int")), F.array(F.lit(0)), step)
+#: A window's text up to the next one: SIZE characters and, if one is within REACH, on to the end of the sentence; or what is left.
+STRETCH = f"(?s).{{{SIZE}}}(?:[^.!?]{{0,{REACH - 1}}}[.!?])?|.{{1,{SIZE - 1}}}"
 
 
 def chunk_texts(text: Column) -> Column:
-    """The chunks of a text in order, without empty ones; a text of up to SIZE characters is one chunk as it is."""
-    n = F.length(text)
-
-    def window(ends: Column) -> Column:
-        begins = F.slice(ends, 1, F.size(ends) - 1)
-        stops = F.slice(ends, 2, F.size(ends) - 1)
-        cut = lambda a, b: F.regexp_replace(F.substring(text, F.when(a > 0, a - OVERLAP).otherwise(0) + 1, b - F.when(a > 0, a - OVERLAP).otherwise(0)), r"^(?U)\s+|(?U)\s+$", "")
-        return F.zip_with(begins, stops, cut)
-
-    # A one-element array holds the bounds, so that the fold runs once a text.
-    many = F.element_at(F.transform(F.array(_bounds(text, n)), window), 1)
-    whole = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(text))
-    return F.when(n <= SIZE, whole).otherwise(F.filter(many, lambda x: x != ""))
+    """The chunks of a text in order, without empty ones; a text of up to SIZE characters is one chunk as it is.
+
+    One pass cuts the text into stretches; a chunk is its stretch with the last OVERLAP characters of the one before, which holds them all.
+    """
+    trimmed = lambda x: F.regexp_replace(x, r"^(?U)\s+|(?U)\s+$", "")
+    before = lambda p, i: F.when(i > 0, F.right(F.get(p, i - 1), F.lit(OVERLAP))).otherwise("")
+    joined = lambda p: F.transform(p, lambda x, i: trimmed(F.concat(before(p, i), x)))
+    # A one-element array holds the stretches, so that they are cut once a text.
+    many = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(STRETCH), F.lit(0))), joined), 1)
+    whole = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array(text))
+    return F.when(F.length(text) <= SIZE, whole).otherwise(F.filter(many, lambda x: x != ""))
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = None) -> DataFrame:

@@ -23,11 +23,11 @@ def bare_company(name: str) -> str:
 
 
 def same_person_context(text: str, a: str, b: str) -> bool:
-    """Names in one sentence are two people; otherwise both must stand on one line."""
+    """Names in one sentence are two people; otherwise both must stand on one line, in any case."""
     if any(a in s and b in s for s in re.split(r"[.!?]+", text)):
         return False
     x, y = re.escape(a), re.escape(b)
-    return bool(re.search(f"{x}.*{y}", text) or re.search(f"{y}.*{x}", text))
+    return bool(re.search(f"{x}.*{y}", text, re.IGNORECASE) or re.search(f"{y}.*{x}", text, re.IGNORECASE))
 
 
 def alike(kind: str, seed: str, other: str, text: str) -> bool:

@@ -1,6 +1,6 @@
 """Domain schemas and rule extraction: e-mail, phone, skills, DOI; validation; repair of model replies.
 
-Schemas are data: add rows to SCHEMAS for a new domain.
+Schemas are data: add rows to SCHEMA_ROWS for a new domain.
 """
 
 from __future__ import annotations
@@ -10,35 +10,115 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fields by domain and entity type; a star marks a required field, a colon a type other than string (fixed values).
-SCHEMAS = {
-    "resume": {
-        "Person": "name* email phone location linkedin github website",
-        "Skill": "name* category proficiency",
-        "WorkExperience": "company* title* start_date:date end_date:date location description achievements:list",
-        "Education": "institution* degree* field start_date:date end_date:date gpa honors:list",
-        "Certification": "name* issuer issue_date:date expiry_date:date credential_id",
-        "Project": "name* description technologies:list url start_date:date end_date:date",
-    },
-    "research_paper": {
-        "Paper": "title* abstract doi publication_date:date journal keywords:list",
-        "Author": "name* affiliation email orcid",
-        "Methodology": "name* description type",
-        "Finding": "description* significance type",
-        "Citation": "title* authors:list year doi",
-        "ResearchTopic": "name* field",
-    },
-    "business_report": {
-        "Company": "name* industry ticker",
-        "FinancialMetric": "name* value*:number unit period change",
-        "MarketSegment": "name* size growth_rate",
-        "Recommendation": "description* priority timeline",
-    },
-    "technical_documentation": {"API": "name* version base_url", "Endpoint": "path* method* description", "Parameter": "name* type* required description"},
-    "legal_document": {"Party": "name* role address", "Clause": "number* title description*", "Obligation": "description* deadline:date"},
-    "medical_document": {"Patient": "name* age:number gender mrn", "Diagnosis": "condition* icd_code severity", "Treatment": "name* type dosage"},
-    "general": {"Entity": "name* type description"},
-}
+#: The registry: domain, entity type, field, type, whether it is required (fixed values).
+SCHEMA_ROWS = (
+    ("resume", "Person", "name", "string", True),
+    ("resume", "Person", "email", "string", False),
+    ("resume", "Person", "phone", "string", False),
+    ("resume", "Person", "location", "string", False),
+    ("resume", "Person", "linkedin", "string", False),
+    ("resume", "Person", "github", "string", False),
+    ("resume", "Person", "website", "string", False),
+    ("resume", "Skill", "name", "string", True),
+    ("resume", "Skill", "category", "string", False),
+    ("resume", "Skill", "proficiency", "string", False),
+    ("resume", "WorkExperience", "company", "string", True),
+    ("resume", "WorkExperience", "title", "string", True),
+    ("resume", "WorkExperience", "start_date", "date", False),
+    ("resume", "WorkExperience", "end_date", "date", False),
+    ("resume", "WorkExperience", "location", "string", False),
+    ("resume", "WorkExperience", "description", "string", False),
+    ("resume", "WorkExperience", "achievements", "list", False),
+    ("resume", "Education", "institution", "string", True),
+    ("resume", "Education", "degree", "string", True),
+    ("resume", "Education", "field", "string", False),
+    ("resume", "Education", "start_date", "date", False),
+    ("resume", "Education", "end_date", "date", False),
+    ("resume", "Education", "gpa", "string", False),
+    ("resume", "Education", "honors", "list", False),
+    ("resume", "Certification", "name", "string", True),
+    ("resume", "Certification", "issuer", "string", False),
+    ("resume", "Certification", "issue_date", "date", False),
+    ("resume", "Certification", "expiry_date", "date", False),
+    ("resume", "Certification", "credential_id", "string", False),
+    ("resume", "Project", "name", "string", True),
+    ("resume", "Project", "description", "string", False),
+    ("resume", "Project", "technologies", "list", False),
+    ("resume", "Project", "url", "string", False),
+    ("resume", "Project", "start_date", "date", False),
+    ("resume", "Project", "end_date", "date", False),
+    ("research_paper", "Paper", "title", "string", True),
+    ("research_paper", "Paper", "abstract", "string", False),
+    ("research_paper", "Paper", "doi", "string", False),
+    ("research_paper", "Paper", "publication_date", "date", False),
+    ("research_paper", "Paper", "journal", "string", False),
+    ("research_paper", "Paper", "keywords", "list", False),
+    ("research_paper", "Author", "name", "string", True),
+    ("research_paper", "Author", "affiliation", "string", False),
+    ("research_paper", "Author", "email", "string", False),
+    ("research_paper", "Author", "orcid", "string", False),
+    ("research_paper", "Methodology", "name", "string", True),
+    ("research_paper", "Methodology", "description", "string", False),
+    ("research_paper", "Methodology", "type", "string", False),
+    ("research_paper", "Finding", "description", "string", True),
+    ("research_paper", "Finding", "significance", "string", False),
+    ("research_paper", "Finding", "type", "string", False),
+    ("research_paper", "Citation", "title", "string", True),
+    ("research_paper", "Citation", "authors", "list", False),
+    ("research_paper", "Citation", "year", "string", False),
+    ("research_paper", "Citation", "doi", "string", False),
+    ("research_paper", "ResearchTopic", "name", "string", True),
+    ("research_paper", "ResearchTopic", "field", "string", False),
+    ("business_report", "Company", "name", "string", True),
+    ("business_report", "Company", "industry", "string", False),
+    ("business_report", "Company", "ticker", "string", False),
+    ("business_report", "FinancialMetric", "name", "string", True),
+    ("business_report", "FinancialMetric", "value", "number", True),
+    ("business_report", "FinancialMetric", "unit", "string", False),
+    ("business_report", "FinancialMetric", "period", "string", False),
+    ("business_report", "FinancialMetric", "change", "string", False),
+    ("business_report", "MarketSegment", "name", "string", True),
+    ("business_report", "MarketSegment", "size", "string", False),
+    ("business_report", "MarketSegment", "growth_rate", "string", False),
+    ("business_report", "Recommendation", "description", "string", True),
+    ("business_report", "Recommendation", "priority", "string", False),
+    ("business_report", "Recommendation", "timeline", "string", False),
+    ("technical_documentation", "API", "name", "string", True),
+    ("technical_documentation", "API", "version", "string", False),
+    ("technical_documentation", "API", "base_url", "string", False),
+    ("technical_documentation", "Endpoint", "path", "string", True),
+    ("technical_documentation", "Endpoint", "method", "string", True),
+    ("technical_documentation", "Endpoint", "description", "string", False),
+    ("technical_documentation", "Parameter", "name", "string", True),
+    ("technical_documentation", "Parameter", "type", "string", True),
+    ("technical_documentation", "Parameter", "required", "string", False),
+    ("technical_documentation", "Parameter", "description", "string", False),
+    ("legal_document", "Party", "name", "string", True),
+    ("legal_document", "Party", "role", "string", False),
+    ("legal_document", "Party", "address", "string", False),
+    ("legal_document", "Clause", "number", "string", True),
+    ("legal_document", "Clause", "title", "string", False),
+    ("legal_document", "Clause", "description", "string", True),
+    ("legal_document", "Obligation", "description", "string", True),
+    ("legal_document", "Obligation", "deadline", "date", False),
+    ("medical_document", "Patient", "name", "string", True),
+    ("medical_document", "Patient", "age", "number", False),
+    ("medical_document", "Patient", "gender", "string", False),
+    ("medical_document", "Patient", "mrn", "string", False),
+    ("medical_document", "Diagnosis", "condition", "string", True),
+    ("medical_document", "Diagnosis", "icd_code", "string", False),
+    ("medical_document", "Diagnosis", "severity", "string", False),
+    ("medical_document", "Treatment", "name", "string", True),
+    ("medical_document", "Treatment", "type", "string", False),
+    ("medical_document", "Treatment", "dosage", "string", False),
+    ("general", "Entity", "name", "string", True),
+    ("general", "Entity", "type", "string", False),
+    ("general", "Entity", "description", "string", False),
+)
+#: The same by domain and entity type: (field, type, required) in order.
+SCHEMAS: dict[str, dict[str, list[tuple[str, str, bool]]]] = {}
+for _domain, _entity, *_field in SCHEMA_ROWS:
+    SCHEMAS.setdefault(_domain, {}).setdefault(_entity, []).append(tuple(_field))
 #: Skills looked for in resumes, in order (fixed values).
 SKILLS = ("Python", "Java", "JavaScript", "C++", "SQL", "React", "Node.js", "AWS", "Docker", "Kubernetes", "Machine Learning", "Data Science", "Git", "Linux", "REST API", "MongoDB", "PostgreSQL")
 #: Patterns of the rule extractors (fixed values).
@@ -47,12 +127,7 @@ EMAIL, PHONE, DOI = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", r"[\
 
 def schema_fields(spark: SparkSession) -> DataFrame:
     """The registry as rows: domain, entity_type, field, ftype, required, ord."""
-    rows = []
-    for domain, types in SCHEMAS.items():
-        for entity, fields in types.items():
-            for k, f in enumerate(fields.split()):
-                name, _, kind = f.partition(":")
-                rows.append((domain, entity, name.rstrip("*"), kind or "string", "*" in name, k))
+    rows = [(domain, entity, *field, k) for domain, types in SCHEMAS.items() for entity, fields in types.items() for k, field in enumerate(fields)]
     return spark.createDataFrame(rows, "domain string, entity_type string, field string, ftype string, required boolean, ord int")
 
 
@@ -125,7 +200,6 @@ def prompt(domain: str, text: Column) -> Column:
     """An extraction prompt: up to five entity types with required and at most three optional fields, the text cut at 6000 characters."""
     lines = []
     for entity, fields in list(SCHEMAS.get(domain, SCHEMAS["general"]).items())[:5]:
-        names = [f.partition(":")[0] for f in fields.split()]
-        shown = [n.rstrip("*") + " (required)" for n in names if "*" in n] + [n for n in names if "*" not in n][:3]
+        shown = [n + " (required)" for n, _, required in fields if required] + [n for n, _, required in fields if not required][:3]
         lines.append(f"- {entity}: {', '.join(shown)}")
     return F.concat(F.lit(f"Extract entities of a {domain} document as JSON.\n" + "\n".join(lines) + "\n\nDocument:\n"), F.substring(text, 1, 6000))

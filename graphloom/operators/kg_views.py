@@ -41,6 +41,9 @@ _FIRST = "(SELECT DISTINCT o_custkey, l_suppkey FROM {orders} JOIN {lineitem} ON
 _HELD = "(SELECT o_orderkey, c_nationkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderstatus = 'F') x"
 _SAME = "(SELECT a.p_partkey AS pa, b.p_partkey AS pb FROM {part} a JOIN {part} b ON a.p_name = b.p_name WHERE a.p_partkey < b.p_partkey) x"
 
+_SUPPLIED = "(SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) x"
+_JOBS, _JOB = "(SELECT * FROM {orders} WHERE o_orderstatus = 'P') x", _iri("job", "o_orderkey")
+
 
 def _lit(value: str) -> str:
     return f"'{value}'"
@@ -89,6 +92,18 @@ RULES: list[tuple[str, str, str, str, str]] = [
     ("{lineitem}", _REL, KG + "confidence", _CONFIDENCE, "literal"),
     ("{lineitem}", _REL, KG + "evidence", "l_returnflag", "literal"),
     ("{lineitem}", _REL, KG + "extractedFrom", _iri("document", "l_orderkey"), "iri"),
+    (_SUPPLIED, _iri("concept", "l_partkey"), KG + "suppliedBy", _iri("org", "l_suppkey"), "iri"),
+    # A person's skill is that of their nation; pending orders are their jobs.
+    ("{customer}", _PERSON, KG + "hasSkill", _iri("skill", "c_nationkey"), "iri"),
+    _typed(_iri("skill", "n_nationkey"), "Skill", "{nation}"),
+    ("{nation}", _iri("skill", "n_nationkey"), KG + "hasName", "n_name", "literal"),
+    ("{nation}", _iri("skill", "n_nationkey"), KG + "hasCategory", "CASE WHEN n_regionkey < 3 THEN 'technical' ELSE 'soft' END", "literal"),
+    ("{nation}", _iri("skill", "n_nationkey"), KG + "hasProficiency", "concat('level ', CAST(n_regionkey AS STRING))", "literal"),
+    (_JOBS, _iri("person", "o_custkey"), KG + "workedAt", _JOB, "iri"),
+    (_JOBS, _JOB, KG + "hasCompany", "concat('Company ', CAST(o_custkey % 97 AS STRING))", "literal"),
+    (_JOBS, _JOB, KG + "hasTitle", "o_orderpriority", "literal"),
+    (_JOBS, _JOB, KG + "hasStartDate", "CAST(CAST(o_orderdate AS DATE) AS STRING)", "literal"),
+    (_JOBS, _JOB, KG + "hasAchievements", "concat('total ', CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING))", "literal"),
 ]
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -99,6 +114,12 @@ def _select(rule: tuple[str, str, str, str, str]) -> str:
     return f"SELECT {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind FROM {source}"
 
 
+def _inlined(source: str, rules: list) -> str:
+    """All triples of a source's row at once."""
+    each = ", ".join(f"named_struct('s', {s}, 'p', '{p}', 'o', CAST({o} AS STRING), 'o_kind', '{kind}')" for _, s, p, o, kind in rules)
+    return f"SELECT inline(array({each})) FROM {source}"
+
+
 def _chosen(p: str | None, o: str | None) -> list[tuple[str, str, str, str, str]]:
     """Rules that can make a triple with the predicate and, for types, the object."""
     return [r for r in RULES if (p is None or r[2] == p) and (o is None or r[2] != TYPE or r[3] == _lit(o))]
@@ -114,7 +135,11 @@ class TableGraph:
         rules = _chosen(p, o)
         if not rules:
             return self.spark.createDataFrame([], "s string, p string, o string, o_kind string")
-        text = " UNION ALL ".join(_select(r) for r in rules)
+        # Rules of one source are one scan of it, whose rows become several triples.
+        by_source: dict[str, list] = {}
+        for r in rules:
+            by_source.setdefault(r[0], []).append(r)
+        text = " UNION ALL ".join(_select(rs[0]) if len(rs) == 1 else _inlined(source, rs) for source, rs in by_source.items())
         used = {t: df for t, df in self.tables.items() if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 

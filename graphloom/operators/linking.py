@@ -72,9 +72,17 @@ def resolved_aliases(mentions: DataFrame, kb: DataFrame) -> DataFrame:
 
 
 def add_to_kb(kb: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert of (canonical, type, id or null, aliases); a missing id is the type and the next number."""
+    """Upsert of (canonical, type, id or null, aliases); a missing id is the type and the next number. New rows are numbered by name: within partitions of a
+    range exchange, after a count of those before."""
     n = kb.count()
-    rows = new.withColumn("ord", F.lit(n) + F.row_number().over(Window.orderBy("canonical")) - 1)
+    dealt = new.repartitionByRange("canonical").sortWithinPartitions("canonical").withColumn("__i", F.monotonically_increasing_id())
+    part = F.shiftright("__i", 33)
+    before, at = [], 0
+    for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        before.append((r["p"], at))
+        at += r["n"]
+    table = F.broadcast(kb.sparkSession.createDataFrame(before, "p long, before long"))
+    rows = dealt.join(table, part == F.col("p")).withColumn("ord", (F.lit(n) + F.col("before") + F.col("__i").bitwiseAND((1 << 33) - 1)).cast("int"))
     rows = rows.withColumn("id", F.coalesce("id", F.concat(F.lower("type"), F.lit("_"), (F.col("ord") + 1).cast("string"))))
     best = Window.partitionBy("canonical").orderBy(F.desc("ord"))
     return kb.unionByName(rows.select(*kb.columns)).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")

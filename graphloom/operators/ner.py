@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names of the rule extractor and the types of model labels (fixed values).
@@ -50,6 +50,6 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     if model is not None:
         found = model(docs.select(id_col, text.alias("text")))
         made = mention(F.col("text"), mapped_type(F.col("label")), F.col("start_char"), F.lit(0.9))
-        rows = found.select(id_col, made.alias("m")).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("m.start_char").alias("k"), "m"))).alias("ms"))
-        return rows.select(id_col, F.posexplode(F.transform("ms", lambda x: x["m"])).alias("pos", "m")).select(id_col, "pos", "m.*")
+        place = F.row_number().over(Window.partitionBy(id_col).orderBy("m.start_char", "m.end_char", "m.text")) - 1
+        return found.select(id_col, made.alias("m")).select(id_col, place.alias("pos"), "m.*")
     return docs.select(id_col, F.posexplode(by_rules(text)).alias("pos", "m")).select(id_col, "pos", "m.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kg_views import KG, LABEL, TYPE
@@ -62,6 +62,41 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, per_label: int = 10) -> Da
     return ranked.join(side("src", "dst", "outgoing"), "id", "left").join(side("dst", "src", "incoming"), "id", "left")
 
 
+def node_count(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.count(F.lit(1)).alias("n"))
+
+
+def detach_delete(nodes: DataFrame, edges: DataFrame, condition: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Without the nodes that meet a condition (all of them without one) and without the edges at them."""
+    gone = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+    ids = nodes.where(gone).select("id").distinct()
+    left = edges.join(ids, F.col("src") == F.col("id"), "left_anti").join(ids, F.col("dst") == F.col("id"), "left_anti")
+    return nodes.where(~gone), left
+
+
+def collected(nodes: DataFrame, edges: DataFrame, kind: str, condition: Column, prop: str = "name") -> DataFrame:
+    """(id, names): for nodes that meet a condition, a property of those that point to them by edges of one type, as a sorted list."""
+    wanted = nodes.where(condition).select("id")
+    names = nodes.select(F.col("id").alias("src"), F.col("properties")[prop].alias("name"))
+    rows = edges.where(F.col("type") == kind).join(wanted, F.col("dst") == F.col("id")).select("id", "src").join(names, "src")
+    return rows.groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def visualisation(nodes: DataFrame, edges: DataFrame, per_label: int = 10) -> DataFrame:
+    """(label, id, json): ``neighbourhood`` as JSON, with empty lists where there are no edges."""
+    none = F.array().cast("array<struct<type:string,other:string>>")
+    row = F.struct("id", "properties", F.coalesce("outgoing", none).alias("outgoing"), F.coalesce("incoming", none).alias("incoming"))
+    return neighbourhood(nodes, edges, per_label).select("label", "id", F.to_json(row).alias("json"))
+
+
+def property_literal(properties: Column) -> Column:
+    """A map of names to JSON values as a Cypher literal: strings in single quotes, the rest as JSON."""
+    text = lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
+    value = lambda v: F.when(v.startswith('"'), F.concat(F.lit("'"), F.replace(text(v), F.lit("'"), F.lit("\\'")), F.lit("'"))).otherwise(v)
+    each = F.transform(F.map_entries(properties), lambda e: F.concat(e["key"], F.lit(": "), value(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(each, ", "), F.lit("}"))
+
+
 def career_path(edges: DataFrame, start: DataFrame, kind: str, hops: int = 2) -> DataFrame:
     """Paths of ``hops`` edges of one type from given nodes (id): n0, n1, ..."""
     out, step = start.select(F.col("id").alias("n0")), edges.where(F.col("type") == kind).select("src", "dst")

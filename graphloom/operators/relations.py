@@ -28,17 +28,28 @@ NEAR, LEAST = 50, 0.3
 STRETCH = "([^,.]+)"
 
 
-def relation_type(a: Column, b: Column, role: Column | None = None) -> Column:
-    """The type that two mention types suggest."""
+def relation_type(a: Column, b: Column, role_a: Column | None = None, role_b: Column | None = None) -> Column:
+    """The type that two mention types suggest; HAS_ROLE where one is a person and the other has a role."""
     pair = lambda x, y: ((a == x) & (b == y)) | ((a == y) & (b == x))
     place = pair("PERSON", "PLACE") | pair("ORG", "PLACE") | pair("EVENT", "PLACE")
     out = F.when(pair("PERSON", "ORG"), "WORKS_FOR").when(place, "LOCATED_IN").when(pair("PERSON", "EVENT"), "PARTICIPATED_IN")
-    return (out if role is None else out.when(role.isNotNull(), "HAS_ROLE")).otherwise("RELATED_TO")
+    if role_a is not None and role_b is not None:
+        out = out.when(((a == "PERSON") & role_b.isNotNull()) | ((b == "PERSON") & role_a.isNotNull()), "HAS_ROLE")
+    return out.otherwise("RELATED_TO")
+
+
+def _with_role(mentions: DataFrame) -> DataFrame:
+    return mentions if "role" in mentions.columns else mentions.withColumn("role", F.lit(None).cast("string"))
+
+
+def _kind() -> Column:
+    return relation_type(F.col("type1"), F.col("type2"), F.col("role1"), F.col("role2"))
 
 
 def _pairs(mentions: DataFrame) -> DataFrame:
     """Ordered pairs are joined on the document and the block of NEAR characters in which the second begins; callers add the condition."""
-    side = lambda s, block: mentions.select("doc_id", block.alias("block"), *(F.col(c).alias(f"{c}{s}") for c in ("pos", "text", "type", "start_char", "end_char")))
+    mentions = _with_role(mentions)
+    side = lambda s, block: mentions.select("doc_id", block.alias("block"), *(F.col(c).alias(f"{c}{s}") for c in ("pos", "text", "type", "role", "start_char", "end_char")))
     block = lambda c: F.floor(F.col(c) / NEAR)
     return side(1, F.explode(F.array(block("end_char"), block("end_char") + 1))).join(side(2, block("start_char")), ["doc_id", "block"]).drop("block")
 
@@ -53,19 +64,19 @@ def _related(pairs: DataFrame, kind: Column, confidence: Column, evidence: Colum
 
 
 def by_nearness(mentions: DataFrame) -> DataFrame:
-    """Pairs of which the second begins up to NEAR characters after the first ends: a band join within documents."""
+    """Pairs of which the second begins up to NEAR characters after the first ends: joined by the document and blocks of NEAR characters."""
     gap = F.col("start_char2") - F.col("end_char1")
     near = _pairs(mentions).where((gap > 0) & (gap < NEAR))
-    return _related(near, relation_type(F.col("type1"), F.col("type2")), F.lit(0.6) - gap / F.lit(100.0), F.lit("proximity"))
+    return _related(near, _kind(), F.lit(0.6) - gap / F.lit(100.0), F.lit("proximity"))
 
 
 def by_sentence(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Pairs of different mentions that occur in one sentence, the earlier first."""
     each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.!?]+")).alias("sentence", "s"))
-    held = mentions.join(each, "doc_id").where(F.col("s").contains(F.col("text")))
-    side = lambda k: held.select("doc_id", "sentence", "s", *(F.col(c).alias(f"{c}{k}") for c in ("pos", "text", "type")))
+    held = _with_role(mentions).join(each, "doc_id").where(F.col("s").contains(F.col("text")))
+    side = lambda k: held.select("doc_id", "sentence", "s", *(F.col(c).alias(f"{c}{k}") for c in ("pos", "text", "type", "role")))
     both = side(1).join(side(2).drop("s"), ["doc_id", "sentence"]).where(F.col("pos1") < F.col("pos2"))
-    return _related(both, relation_type(F.col("type1"), F.col("type2")), F.lit(0.5), F.trim("s"))
+    return _related(both, _kind(), F.lit(0.5), F.trim("s"))
 
 
 def _names(mentions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ A hit is content, score, type (text_chunk or graph_relation), retriever, ord (it
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.algebra import match
 
 #: Words that end a phrase of a question, and words that make a question one about relations (fixed values).
-STOP = ("Who", "What", "Where", "When", "Why", "How", "The", "A", "An", "Is")
+STOP = ("what", "who", "where", "when", "why", "how", "does", "is", "are", "the")
 RELATIONAL = ("relationship", "connected", "works with", "related to")
 HIT = ("content", "score", "type", "retriever", "ord")
 
@@ -44,7 +45,7 @@ def bag_of_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def bow_search(docs: DataFrame, question: str, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k texts nearest to a question by cosine of word counts; only the question's terms leave the scan."""
+    """The k texts nearest to a question by cosine of word counts, ties to the larger id; only the question's terms leave the scan."""
     asked = [w for w in question.lower().split() if w]
     terms = {w: asked.count(w) for w in asked}
     size = sum(n * n for n in terms.values()) ** 0.5
@@ -53,16 +54,16 @@ def bow_search(docs: DataFrame, question: str, k: int = 5, id_col: str = "doc_id
     weight = F.create_map(*[F.lit(x) for kv in terms.items() for x in (kv[0], float(kv[1]))])
     w = F.coalesce(F.try_element_at(weight, F.col("term")), F.lit(0.0))
     scored = counted.groupBy(id_col).agg((F.sum(F.col("n") * w) / (F.sqrt(F.sum(F.col("n") * F.col("n"))) * F.lit(size))).alias("score"))
-    return scored.where("score > 0").orderBy(F.desc(F.round("score", 9)), id_col).limit(k)
+    return scored.where("score > 0").orderBy(F.desc(F.round("score", 9)), F.desc(id_col)).limit(k)
 
 
 def question_entities(question: str) -> list[str]:
-    """Runs of capitalised words of a question, without punctuation; stop words end a run."""
+    """Runs of capitalised words of a question, without punctuation, also inside; stop words in any case end a run."""
     out: list[str] = []
     run: list[str] = []
     for word in [*question.split(), ""]:
-        bare = word.strip(".,!?;:\"'()")
-        if bare[:1].isupper() and bare not in STOP:
+        bare = re.sub(r"[^\w\s]", "", word)
+        if bare[:1].isupper() and bare.lower() not in STOP:
             run.append(bare)
         elif run:
             out.append(" ".join(run))
@@ -165,3 +166,10 @@ def index(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str)
 
 def index_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+
+
+def index_metadata(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, chunk_count) of all documents, also of those without a chunk."""
+    n = chunks.groupBy(F.col("doc_id").alias("__d")).agg(F.count(F.lit(1)).alias("n"))
+    ids = docs.select(F.col(id_col).cast("string").alias("doc_id"))
+    return ids.join(n, F.col("doc_id") == F.col("__d"), "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("chunk_count"))

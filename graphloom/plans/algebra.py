@@ -33,6 +33,11 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _duck(expression: str) -> str:
+    """The expression for DuckDB, which names one function otherwise."""
+    return expression.replace("startswith(", "starts_with(")
+
+
 class Node:
     """A part of a plan: ``frame`` compiles it for Spark, ``sql`` for DuckDB; ``names`` are its variables."""
 
@@ -154,7 +159,7 @@ class Where(Node):
         return self.child.frame(graph).where(self.expression)
 
     def sql(self) -> str:
-        return f"SELECT * FROM ({self.child.sql()}) WHERE {self.expression}"
+        return f"SELECT * FROM ({self.child.sql()}) WHERE {_duck(self.expression)}"
 
 
 @dataclass
@@ -170,7 +175,7 @@ class Bind(Node):
         return self.child.frame(graph).withColumns({n: F.expr(e) for n, e in self.columns.items()})
 
     def sql(self) -> str:
-        return f"SELECT *, {', '.join(f'{e} AS "{n}"' for n, e in self.columns.items())} FROM ({self.child.sql()})"
+        return f"SELECT *, {', '.join(f'{_duck(e)} AS "{n}"' for n, e in self.columns.items())} FROM ({self.child.sql()})"
 
 
 @dataclass

@@ -28,8 +28,12 @@ def html_headers(spark: SparkSession, d: str) -> DataFrame:
     return html.parse(_t(spark, d, "pages")).select("doc_id", *(F.array_join(F.col("structured_data.headers")[f"h{k}"], "|").alias(f"h{k}") for k in (1, 2, 3)))
 
 
+#: Entities that the pages hold; the ampersand comes last.
+ENTITIES = {"&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&middot;": "·", "&copy;": "©", "&nbsp;": " ", "&amp;": "&"}
+
+
 def _entities_sql(x: str) -> str:
-    for name, sign in T.ENTITIES.items():
+    for name, sign in ENTITIES.items():
         x = f"replace({x}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -269,7 +273,7 @@ def _bow_sql() -> str:
     return rf"""
 WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*)::DOUBLE AS n FROM w WHERE term <> '' GROUP BY ALL),
 s AS (SELECT doc_id, sum(n * ({weight})) / (sqrt(sum(n * n)) * sqrt({size}::DOUBLE)) AS score FROM c GROUP BY doc_id)
-SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY round(s.score, 9) DESC, doc_id LIMIT 10"""
+SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY round(s.score, 9) DESC, doc_id DESC LIMIT 10"""
 
 
 def rag_local_relevance(spark: SparkSession, d: str) -> DataFrame:
@@ -309,18 +313,21 @@ def multimodal_diverse(spark: SparkSession, d: str) -> DataFrame:
 
 # Ontology, property graph, triples, SPARQL ---------------------------------------------------------------------------------
 def ontology_infer(spark: SparkSession, d: str) -> DataFrame:
-    """Datatypes of order and customer fields from their values as text."""
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.expr("stack(3, 'order_status', o_orderstatus, 'total_price', CAST(o_totalprice AS STRING), 'order_date', CAST(CAST(o_orderdate AS DATE) AS STRING)) AS (field, value)"))
-    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("seq"), F.expr("stack(2, 'nation_key', CAST(c_nationkey AS STRING), 'market_segment', c_mktsegment) AS (field, value)"))
+    """Datatypes of order, customer and part fields from their values as JSON; several fields are of mixed types, and one changes from row to row."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.expr("""stack(5, 'order_status', concat('"', o_orderstatus, '"'), 'total_price', CAST(o_totalprice AS STRING), 'order_date', concat('"', CAST(CAST(o_orderdate AS DATE) AS STRING), '"'),
+        'urgent_flag', CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE CAST(o_custkey AS STRING) END, 'ship_note', CASE o_custkey % 3 WHEN 0 THEN concat('"', CAST(CAST(o_orderdate AS DATE) AS STRING), '"') WHEN 1 THEN CAST(o_custkey AS STRING) ELSE '"none"' END) AS (field, value)"""))
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("seq"), F.expr("""stack(3, 'nation_key', CAST(c_nationkey AS STRING), 'market_segment', concat('"', c_mktsegment, '"'), 'key_text', concat('"', CAST(c_custkey AS STRING), '"')) AS (field, value)"""))
     return ontology.datatype_properties(o.unionByName(c))
 
 
 ONTOLOGY_SQL = """
 WITH v AS (
-  SELECT o_orderkey AS seq, 'OrderStatus' AS f, o_orderstatus AS v FROM orders UNION ALL SELECT o_orderkey, 'TotalPrice', o_totalprice::VARCHAR FROM orders UNION ALL SELECT o_orderkey, 'OrderDate', o_orderdate::DATE::VARCHAR FROM orders
-  UNION ALL SELECT c_custkey, 'NationKey', c_nationkey::VARCHAR FROM customer UNION ALL SELECT c_custkey, 'MarketSegment', c_mktsegment FROM customer),
-t AS (SELECT f, CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 'integer' WHEN regexp_full_match(v, '[+-]?([0-9]+[.][0-9]*|[.]?[0-9]+)([eE][+-]?[0-9]+)?') THEN 'float' WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'dateTime' ELSE 'string' END AS t FROM v)
-SELECT 'has' || f AS property, CASE WHEN count(DISTINCT t) = 1 THEN min(t) ELSE 'mixed' END AS range FROM t GROUP BY f"""
+  SELECT o_orderkey AS seq, 'OrderStatus' AS f, '"' || o_orderstatus || '"' AS v FROM orders UNION ALL SELECT o_orderkey, 'TotalPrice', o_totalprice::VARCHAR FROM orders UNION ALL SELECT o_orderkey, 'OrderDate', '"' || o_orderdate::DATE::VARCHAR || '"' FROM orders
+  UNION ALL SELECT o_orderkey, 'UrgentFlag', CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE o_custkey::VARCHAR END FROM orders
+  UNION ALL SELECT o_orderkey, 'ShipNote', CASE o_custkey % 3 WHEN 0 THEN '"' || o_orderdate::DATE::VARCHAR || '"' WHEN 1 THEN o_custkey::VARCHAR ELSE '"none"' END FROM orders
+  UNION ALL SELECT c_custkey, 'NationKey', c_nationkey::VARCHAR FROM customer UNION ALL SELECT c_custkey, 'MarketSegment', '"' || c_mktsegment || '"' FROM customer UNION ALL SELECT c_custkey, 'KeyText', '"' || c_custkey::VARCHAR || '"' FROM customer),
+t AS (SELECT f, seq, CASE WHEN v IN ('true', 'false') THEN 'boolean' WHEN regexp_full_match(v, '-?[0-9]+') THEN 'integer' WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') THEN 'float' WHEN regexp_full_match(v, '"[0-9]{4}-[0-9]{2}-[0-9]{2}"') THEN 'dateTime' ELSE 'string' END AS t FROM v)
+SELECT 'has' || f AS property, list_reduce(list(t ORDER BY seq), lambda a, b: CASE WHEN a = b THEN a WHEN a = 'string' THEN b WHEN b = 'string' THEN a WHEN a = 'dateTime' OR b = 'dateTime' THEN 'string' WHEN a <> 'float' AND b <> 'float' THEN 'integer' ELSE 'float' END) AS range FROM t GROUP BY f"""
 
 
 def pg_label_counts(spark: SparkSession, d: str) -> DataFrame:

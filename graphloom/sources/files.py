@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_html
+
 Decoder = Callable[[DataFrame], DataFrame]
 
 
@@ -41,9 +43,12 @@ def key_frames(frames: Column, rate: Column) -> Column:
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Raw documents of any type to parsed ones (doc_id, type, content, source_type, created_at); missing columns are null, rows are never dropped."""
+    """Raw documents of any type to parsed ones (doc_id, type, content, source_type, created_at). HTML goes through its parser, all else is taken as text; missing
+    columns are null, rows are never dropped."""
     has = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    return raw.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(has("type"), F.lit("text")).alias("type"), F.coalesce(has("content"), F.lit("")).alias("content"), F.coalesce(has("source"), has("type")).alias("source_type"), has("created_at").cast("string").alias("created_at"))
+    kind, content = F.coalesce(has("type"), F.lit("text")), F.coalesce(has("content"), F.lit(""))
+    text = F.when(kind == "html", clean_html(content)).otherwise(content)
+    return raw.select(F.col("doc_id").cast("string").alias("doc_id"), kind.alias("type"), text.alias("content"), F.coalesce(has("source"), has("type")).alias("source_type"), has("created_at").cast("string").alias("created_at"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -55,9 +60,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def ntriples(triples: DataFrame) -> DataFrame:
-    """Lines of N-Triples, a column ``value``."""
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
-    o = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(quoted)
+    """Lines of N-Triples, a column ``value``. Literals have their datatype (o_dtype, where there is such a column) unless it is string."""
+    text = F.col("o")
+    for sign, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(sign), F.lit(escaped))
+    dtype = F.col("o_dtype") if "o_dtype" in triples.columns else F.lit(None).cast("string")
+    typed = F.when(dtype.isNotNull() & ~dtype.endswith("#string"), F.concat(F.lit("^^<"), dtype, F.lit(">"))).otherwise(F.lit(""))
+    o = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), text, F.lit('"'), typed))
     return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("value"))
 
 

@@ -202,7 +202,7 @@ def test_names(spark):
     assert (one.q, one.p, one.e) == ("a%20b%2Ac~%C3%A9%2F", "StartDateOfX", "Entity")
 
 
-@pytest.mark.parametrize("values, want", [(["1", "2"], "integer"), (["1", "2.5"], "float"), (["true", "1"], "integer"), (["x", "2024-01-31"], "dateTime"), (["2024-01-31", "5"], "string"), (["x", "5", "x"], "integer")])
+@pytest.mark.parametrize("values, want", [(["1", "2"], "integer"), (["1", "2.5"], "float"), (["true", "1"], "integer"), (['"x"', '"2024-01-31"'], "dateTime"), (['"2024-01-31"', "5"], "string"), (['"x"', "5", '"x"'], "integer"), (["5", '"2024-01-31"', '"2024-01-31"'], "dateTime"), (['"5"'], "string")])
 def test_datatypes(spark, values, want):
     rows = spark.createDataFrame([(k, "some_field", v) for k, v in enumerate(values)] + [(9, "some_field", None)], "seq int, field string, value string")
     assert [tuple(r) for r in ontology.datatype_properties(rows).collect()] == [("hasSomeField", want)]
