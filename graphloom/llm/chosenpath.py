@@ -2,15 +2,19 @@
 
 Texts are sets of 5-word shingles. In each run a text starts at the root and goes to a child for each of its shingles that the node's
 hash chooses, 1 / threshold of them on average; so texts of the asked similarity share at least one child on average,
-and unlike ones soon part. Nodes with few texts are compared by brute force; only larger ones are split again. With k levels
-two similar texts meet with probability 0.47 (k = 2) or more a run, and runs are repeated until the target recall.
+and unlike ones soon part. Nodes with few texts are compared by brute force; larger ones are split again, level by level, until they are small. With k levels
+two similar texts meet with probability 0.63 (k = 1) to 0.27 (k = 5) a run, and runs are repeated until the target recall.
+
+A large node is first compared with one of its texts, its representative. Texts as near to it as COVERED need not be split any further: whatever is similar
+to such a text is near enough to the representative (distances of sets obey the triangle inequality) to be in its group already. So many near copies of one text,
+which no split could part, leave a node in one pass. What is left after DEPTH levels is compared in pairs of blocks.
 
 Brute force inside a node compares 128 minwise hashes of a byte each against a bound five standard deviations below the threshold and only
 passes on which texts hang together. Texts that may be similar form groups; each group's texts are then compared exactly, once, so no
-pair is counted twice and no pair leaves a task: a task gives each text's number of links and a spanning star.
+pair is counted twice and no pair leaves a task: a task gives each text's number of links and a spanning star. For that, each text is sent once, beside the
+text of its group's first one, and only its difference from that goes on to the cells; of large groups, to a cell for each pair of blocks.
 
-Equal texts are one node of the graph with a multiplicity, before anything is split, so copies are never compared. Nodes and groups of
-any size are cut into blocks, and blocks are compared pair by pair.
+Equal texts are one node of the graph with a multiplicity, before anything is split, so copies are never compared. They are known by a 128-bit hash.
 
 Defined results: a null text is empty; an empty text (no word) has no shingles and no links, and is a class of its own row. A text of 1 to 4
 words has one shingle, all its words. Equal rows, also with equal or null ids, are linked to one another. A class is named by its least
@@ -31,17 +35,17 @@ from .common import NONSPACE, arrow_batches, written
 from .components import components
 from .rolling import chunks, inside, mix, odd, windows, word_hashes
 
-#: Words of a shingle, similarity of a link, recall to reach, levels of a path.
-SHINGLE, THRESHOLD, RECALL, LEVELS = 5, 0.8, 0.999, 2
-#: Minwise hashes of a sketch, and the similarity of sketches from which texts are compared exactly.
-SKETCH, SKETCH_BOUND = 128, 0.62
-#: Texts of a node from which it is split again; texts of a block, in nodes and in groups; rows that a task takes, about.
-SPLIT, NODE_BLOCK, GROUP_BLOCK, TASK_ROWS, TASK_TEXTS = 64, 4096, 1024, 40_000, 4_000
+#: Words of a shingle, similarity of a link, recall to reach, most levels of a path.
+SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 5
+#: Minwise hashes of a sketch, the similarity of sketches from which texts are compared exactly, and that from which a text is covered by a node's representative.
+SKETCH, SKETCH_BOUND, COVERED = 128, 0.62, 0.92
+#: Texts of a node from which it is split again; texts of a block, in nodes and in groups; rows that a task takes, about; copies of a group's first text.
+SPLIT, NODE_BLOCK, GROUP_BLOCK, TASK_ROWS, TASK_TEXTS, SALTS = 64, 4096, 2048, 40_000, 4_000, 32
 
 _U = np.uint64
 
 
-def runs_for(recall: float = RECALL, levels: int = LEVELS) -> int:
+def runs_for(recall: float = RECALL, levels: int = DEPTH) -> int:
     """Runs that reach the recall for pairs at the threshold: a critical branching process survives each level."""
     alive = 1.0
     for _ in range(levels):
@@ -79,31 +83,28 @@ def sketches(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths(h: np.ndarray, sizes: np.ndarray, runs: int, levels: int = LEVELS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level: text, path and parent path (0 on the first level) of all nodes that the texts reach."""
+def children(h: np.ndarray, sizes: np.ndarray, who: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, child) for all children of the nodes ``node`` that the texts ``who`` go to."""
     begin = np.cumsum(sizes) - sizes
     limit = np.minimum(2.0**64 / (THRESHOLD * np.maximum(sizes, 1)), 2.0**64 - 2049).astype(_U)
-    found: list[list[tuple]] = [[] for _ in range(levels)]
+    n = sizes[who]
+    at = np.repeat(begin[who] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    x = h[at] * np.repeat(node | _U(1), n)
+    x ^= x >> _U(31)
+    x *= _U(0xD6E8FEB86659FD93)
+    spot = np.flatnonzero(x < np.repeat(limit[who], n))
+    from_ = np.repeat(np.arange(len(who)), n)[spot]
+    return who[from_], mix(node[from_] ^ mix(h[at[spot]]))
+
+
+def roots(h: np.ndarray, sizes: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, node) of the first level of all runs."""
     has = np.flatnonzero(sizes > 0)
-    for seed in odd(4242, runs):
-        who, node = has, np.full(len(has), seed, dtype=_U)
-        parent = np.zeros(len(has), dtype=_U)
-        for level in range(levels):
-            n = sizes[who]
-            at = np.repeat(begin[who] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            x = h[at] * np.repeat(node | _U(1), n)
-            x ^= x >> _U(31)
-            x *= _U(0xD6E8FEB86659FD93)
-            spot = np.flatnonzero(x < np.repeat(limit[who], n))
-            from_ = np.repeat(np.arange(len(who)), n)[spot]
-            parent = node[from_] if level else np.zeros(len(spot), dtype=_U)
-            node = mix(node[from_] ^ mix(h[at[spot]]))
-            who = who[from_]
-            found[level].append((who, node, parent))
-    return [tuple(np.concatenate(c) for c in zip(*f)) for f in found]
-
-
-_SIGNATURE = "node long, doc_id long, n_shingles int, sketch binary, " + "p1 array<bigint>, p2 array<bigint>, up2 array<bigint>"
+    found = [children(h, sizes, has, np.full(len(has), seed, dtype=_U)) for seed in odd(4242, runs)]
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+_SIGNATURE = "node string, doc_id long, sketch binary, paths array<bigint>"
 
 
 def _lists(who: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -121,15 +122,35 @@ def _sign(runs: int):
                 h, sizes = shingles(texts[a:b])
                 has = sizes > 0
                 rows = pa.array(has)
-                (w1, p1, _), (w2, p2, up) = paths(h, sizes, runs)
-                cols = [part.column("node"), part.column("doc_id"), pa.array(sizes.astype(np.int32)), None]
-                kept = [c.filter(rows) if c is not None else pa.array([s.tobytes() for s in sketches(h, sizes)] if has.any() else [], pa.binary()) for c in cols]
-                lists = [_lists(w, v, b - a).filter(rows) for w, v in ((w1, p1), (w2, p2), (w2, up))]
-                yield pa.RecordBatch.from_arrays([*kept, *lists], names=["node", "doc_id", "n_shingles", "sketch", "p1", "p2", "up2"])
+                sketch = pa.array([s.tobytes() for s in sketches(h, sizes)] if has.any() else [], pa.binary())
+                cols = [part.column("node").filter(rows), part.column("doc_id").filter(rows), sketch, _lists(*roots(h, sizes, runs), b - a).filter(rows)]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "doc_id", "sketch", "paths"])
 
     return run
 
 
+def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, paths) -> (id, path): the children of the nodes at which a text is."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in chunks(texts):
+            part = batch.slice(a, b - a)
+            h, sizes = shingles(texts[a:b])
+            lists = part.column("paths")
+            count = np.diff(lists.offsets.to_numpy())
+            node = lists.flatten().to_numpy().astype(np.int64).view(_U)
+            who, path = children(h, sizes, np.repeat(np.arange(b - a), count), node)
+            ids = part.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(path.view(np.int64))], names=["id", "path"])
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, path, rep, sketch, rep_sketch) -> (id, path, rep, alike): how many of the hashes are the representative's."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sketch", "rep_sketch"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), batch.column("rep"), pa.array((a == b).sum(1).astype(np.int32))], names=["id", "path", "rep", "alike"])
+
+
 def stars(sketch: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
     """For each row the first row of those it hangs together with, by sketches of at least SKETCH_BOUND alike.
 
@@ -168,7 +189,7 @@ _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def _brute_nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Many small nodes, or block pairs of large ones -> stars of texts that may be similar."""
-    path, cell, block, mixed, text = (table[c].to_numpy() for c in ("path", "cell", "block", "mixed", "node"))
+    path, cell, block, mixed, text = (table[c].to_numpy() for c in ("path", "cell", "block", "mixed", "id"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
     order, bounds = _segments(path, cell)
     sizes = np.diff(bounds)
@@ -187,15 +208,43 @@ def _brute_nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], schema=_EDGES).group_by(["u", "v"]).aggregate([]).cast(_EDGES)
 
 
-def similar(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Boolean matrix of the pairs of sets whose Jaccard similarity is at least THRESHOLD; false on the diagonal."""
+def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts beside their group's first one -> how many shingles they have (n_set), how many of the first one's they lack (n_less), and the hashes by which they differ:
+    those it has besides (odd numbers) and those it lacks (even numbers)."""
+    for batch in batches:
+        texts, firsts = batch.column("text").to_pylist(), batch.column("first").to_pylist()
+        out: tuple = ([], [], [])
+        for a, b in chunks(texts):
+            own, sizes = shingles(texts[a:b])
+            distinct: dict[str, int] = {}
+            for x in firsts[a:b]:
+                distinct.setdefault(x, len(distinct))
+            base, base_sizes = shingles(list(distinct))
+            at, base_at = np.cumsum(sizes) - sizes, np.cumsum(base_sizes) - base_sizes
+            for k, x in enumerate(firsts[a:b]):
+                mine, j = own[at[k] : at[k] + sizes[k]], distinct[x]
+                theirs = base[base_at[j] : base_at[j] + base_sizes[j]]
+                more, less = np.setdiff1d(mine, theirs, assume_unique=True), np.setdiff1d(theirs, mine, assume_unique=True)
+                out[0].append(int(sizes[k]))
+                out[1].append(len(less))
+                out[2].append(np.concatenate([more | _U(1), less & ~_U(1)]).tobytes())
+        cols = [batch.column(c) for c in ("component", "n", "id", "times")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["component", "n", "id", "times", "n_set", "n_less", "differs"])
+
+
+def similar(h: np.ndarray, counts: np.ndarray, sizes: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """Boolean matrix of the pairs of sets whose Jaccard similarity is at least THRESHOLD; false on the diagonal.
+
+    ``h`` and ``counts``: the hashes by which each set differs from one that is the same for all, end to end; ``sizes``: of the sets; ``less``: of what they lack.
+    Of that one set, two sets share what neither lacks; besides, they share what both have more.
+    """
     n = len(sizes)
     values, code, count = np.unique(h, return_inverse=True, return_counts=True)
-    own = np.repeat(np.arange(n), sizes)
-    # Shingles that all sets hold count once for each pair; those of one set for none.
-    common = np.zeros((n, n), dtype=np.float32)
+    own = np.repeat(np.arange(n), counts)
+    # Hashes by which only one set differs count for no pair.
+    joint = np.zeros((n, n), dtype=np.float32)
     shared = np.full(len(values), -1, dtype=np.int64)
-    some = (count > 1) & (count < n)
+    some = count > 1
     shared[some] = np.arange(int(some.sum()))
     col = shared[code]
     keep = col >= 0
@@ -207,11 +256,12 @@ def similar(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         x, y = np.searchsorted(col, [a, a + width])
         held = np.zeros((n, min(width, int(some.sum()) - a)), dtype=np.float32)
         held[own[x:y], col[x:y] - a] = 1
-        common += held @ held.T
-    common += np.float32((count == n).sum() if n > 1 else 0)
-    both = sizes[:, None] + sizes[None, :] - common
+        joint += held @ held.T
+    more = counts - less
+    base = sizes[0] + less[0] - more[0] if n else 0
+    common = base - less[:, None] - less[None, :] + np.round(joint).astype(np.int64)
     # In whole numbers, so that exactly 0.8 counts: 5 * common >= 4 * both.
-    out = np.round(common).astype(np.int64) * 5 >= np.round(both).astype(np.int64) * 4
+    out = common * 5 >= (sizes[:, None] + sizes[None, :] - common) * 4
     np.fill_diagonal(out, False)
     return out
 
@@ -221,9 +271,9 @@ _FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("v", pa.int64(
 
 def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Whole groups, or block pairs of large ones -> for each text its number of linked rows and a text it is linked to."""
-    group, cell, block, mixed, node, times = (table[c].to_numpy() for c in ("component", "cell", "block", "mixed", "node", "times"))
+    group, cell, block, mixed, node, times, sets, less = (table[c].to_numpy() for c in ("component", "cell", "block", "mixed", "id", "times", "n_set", "n_less"))
     order, bounds = _segments(group, cell, node)
-    text = table["text"]
+    differs = table["differs"]
     rows = order[bounds[:-1]]  # one row of each text, should equal rows have come
     _, bounds = _segments(group[rows], cell[rows])
     outs: tuple = ([], [], [])
@@ -231,8 +281,8 @@ def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         mine = rows[a:b]
         if len(mine) < 2:
             continue
-        h, sizes = shingles(text.take(pa.array(mine)).to_pylist())
-        like = similar(h, sizes)
+        data = differs.take(pa.array(mine)).to_pylist()
+        like = similar(np.frombuffer(b"".join(data), dtype=_U), np.array([len(x) // 8 for x in data]), sets[mine], less[mine])
         if mixed[mine[0]]:
             like &= block[mine][:, None] != block[mine][None, :]
         linked = like.any(1)
@@ -266,9 +316,49 @@ def _cells(members: DataFrame, count: str, key: str, item: str, size: int) -> Da
 
 
 def node_of(text: str) -> F.Column:
-    """The node of a text: null where it has no word."""
+    """The name of a text: null where it has no word."""
     full = F.coalesce(F.col(text), F.lit(""))
-    return F.when(full.rlike(NONSPACE), F.xxhash64(full))
+    return F.when(full.rlike(NONSPACE), F.md5(full))
+
+
+def _candidates(texts: DataFrame, one: DataFrame) -> DataFrame:
+    """Edges (u, v) between ids of texts that may be similar, from all levels. ``texts``: id, node, doc_id, sketch, paths; ``one``: node, doc_id, text."""
+    sketch = texts.select("id", "sketch")
+    bins = max(1, -(-texts.count() * 4 // TASK_ROWS))
+
+    def compared(members: DataFrame) -> DataFrame:
+        """Brute force in nodes (id, path, n): small nodes share a task; each cell of a large one is dealt on its own."""
+        cells = _cells(members, "n", "path", "id", NODE_BLOCK).join(sketch, "id")
+        dealt = cells.withColumn("bin", F.pmod(F.xxhash64("path", "cell"), F.lit(bins))).select("bin", "path", "cell", "block", "mixed", "id", "sketch")
+        return dealt.groupBy("bin").applyInArrow(_brute_nodes, "u long, v long")
+
+    def sized(members: DataFrame) -> DataFrame:
+        return members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
+
+    members, edges = texts.select("id", F.explode("paths").alias("path")), []
+    for level in range(1, DEPTH + 1):
+        nodes = sized(members)
+        edges.append(compared(members.join(nodes.where(F.col("n") <= SPLIT), "path").drop("rep")))
+        crowd = members.join(nodes.where(F.col("n") > SPLIT), "path")
+        pairs = crowd.join(sketch, "id").join(sketch.select(F.col("id").alias("rep"), F.col("sketch").alias("rep_sketch")), "rep")
+        large = written(pairs.select("id", "path", "rep", "sketch", "rep_sketch").mapInArrow(_beside, "id long, path long, rep long, alike int"), "large")
+        if large.isEmpty():
+            break
+        edges.append(large.where((F.col("alike") >= math.ceil(SKETCH_BOUND * SKETCH)) & (F.col("id") != F.col("rep"))).select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
+        left = large.where(F.col("alike") < math.ceil(COVERED * SKETCH)).select("id", "path")
+        rest = left.join(sized(left).drop("rep"), "path")
+        if level == DEPTH:
+            edges.append(compared(rest))
+            break
+        edges.append(compared(rest.where(F.col("n") <= SPLIT)))
+        at = rest.where(F.col("n") > SPLIT).groupBy("id").agg(F.collect_list("path").alias("paths"))
+        at = at.join(texts.select("id", "node", F.col("doc_id").alias("least")), "id")
+        with_text = one.join(at, "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "text", "paths")
+        members = written(with_text.mapInArrow(_descend, "id long, path long").distinct(), "level")
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
 
 
 def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
@@ -278,41 +368,27 @@ def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     arrow_batches(spark)
     one = docs.select(node_of(text_col).alias("node"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("node is not null")
     signed = one.mapInArrow(_sign(runs_for(recall)), _SIGNATURE)
-    texts = written(
-        signed.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"),
-            F.count(F.lit(1)).alias("times"),
-            *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "p1", "p2", "up2")),
-        ),
-        "signatures",
-    )
-    # Level by level: nodes of two or more texts; those above SPLIT are left to the next level, where there is one.
-    first = texts.select("node", F.explode("p1").alias("path"))
-    sized = first.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    large = written(sized.where(F.col("n") > SPLIT).select(F.col("path").alias("up")), "large")
-    deeper = texts.select("node", F.explode(F.arrays_zip(F.col("p2").alias("path"), F.col("up2").alias("up"))).alias("x")).select("node", "x.path", "x.up")
-    second = deeper.join(large, "up", "left_semi").select("node", "path")
-    sized2 = second.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = first.join(sized.where(F.col("n") <= SPLIT), "path").unionByName(second.join(sized2, "path"))
-    cells = _cells(members, "n", "path", "node", NODE_BLOCK).join(texts.select("node", "sketch"), "node")
-    total = texts.count()
-    bins = max(1, -(-total * 4 // TASK_ROWS))
-    # Small nodes share a task; each cell of a large one is dealt on its own.
-    dealt = cells.withColumn("bin", F.pmod(F.xxhash64("path", "cell"), F.lit(bins))).select("bin", "path", "cell", "block", "mixed", "node", "sketch")
-    edges = dealt.groupBy("bin").applyInArrow(_brute_nodes, "u long, v long")
-    groups = written(components(edges), "groups")
-    # Exact comparison inside groups, on one row of each text.
+    distinct = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    texts = written(distinct.withColumn("id", F.monotonically_increasing_id()), "signatures")
+    groups = written(components(_candidates(texts, one)), "groups").withColumnRenamed("node", "id")
+    # Exact comparison inside groups, on one row of each text; a group's first text (its least id) is dealt with its members.
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    inside_ = groups.join(sizes, "component").join(texts.select("node", F.col("doc_id").alias("rep"), "times"), "node")
-    found_in = one.join(inside_, "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    parts = _cells(found_in, "n", "component", "node", GROUP_BLOCK)
-    task_bins = max(1, -(-total // TASK_TEXTS))
+    inside_ = groups.join(sizes, "component").join(texts.select("id", "node", F.col("doc_id").alias("rep"), "times"), "id")
+    found_in = one.join(inside_, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("component", "n", "id", "times", "text")
+    found_in = written(found_in.dropDuplicates(["id"]), "members").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    copies = F.when(F.col("n") > GROUP_BLOCK, SALTS - 1).otherwise(0)  # only large groups are salted
+    salt = F.when(F.col("n") > GROUP_BLOCK, F.col("salt")).otherwise(0)
+    firsts = found_in.where("id = component").select("component", F.col("text").alias("first"), F.explode(F.sequence(F.lit(0), copies)).alias("salt"))
+    beside = found_in.withColumn("salt", salt).join(firsts, ["component", "salt"]).select("component", "n", "id", "times", "text", "first")
+    members = beside.mapInArrow(differences, "component long, n long, id long, times long, n_set long, n_less long, differs binary")
+    parts = _cells(written(members, "differences"), "n", "component", "id", GROUP_BLOCK)
+    task_bins = max(1, -(-texts.count() // TASK_TEXTS))
     dealt = parts.withColumn("bin", F.pmod(F.xxhash64("component", "cell"), F.lit(task_bins)))
-    found = written(dealt.select("bin", "component", "cell", "block", "mixed", "node", "times", "text").groupBy("bin").applyInArrow(_compare, "node long, links long, v long"), "links")
-    roots = components(found.select(F.col("node").alias("u"), "v"))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    every = texts.select("node", "doc_id", "times").join(links, "node", "left").join(roots, "node", "left")
-    every = every.select("node", "doc_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root"))
+    found = written(dealt.select("bin", "component", "cell", "block", "mixed", "id", "times", "n_set", "n_less", "differs").groupBy("bin").applyInArrow(_compare, "node long, links long, v long"), "links")
+    classes_of = components(found.select(F.col("node").alias("u"), "v")).withColumnRenamed("node", "id")
+    links = found.groupBy(F.col("node").alias("id")).agg(F.sum("links").alias("links"))
+    every = texts.select("id", "node", "doc_id", "times").join(links, "id", "left").join(classes_of, "id", "left")
+    every = every.select("node", "doc_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("root"))
     # The least id of a class, nulls last, and the least node with it.
     best = every.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     return every.join(best, "root").select("node", F.col("best.doc_id").alias("class_id"), "n_links", (F.col("best.node") == F.col("node")).alias("chosen"))

@@ -1,8 +1,9 @@
 """Connected components of a graph that no single machine holds: alternating large-star and small-star rounds.
 
-Each round is two aggregations by node with joins on the node; a node with very many neighbours only contributes its minimum, so
-partial aggregation keeps hot nodes from gathering in one task. Rounds end when the edges no longer change, after a number of rounds
-that grows with the logarithm of the longest path. The edges are written to the shared folder after every round.
+Each round is two aggregations by node with joins on the node. A node's neighbours are dealt among SALTS parts, each with a least neighbour of its own, of
+which the least is taken; what is joined is a node's part, so a node with very many neighbours is not one task. Rounds end when the edges no longer change, after
+a number of rounds that grows with the logarithm of the longest path. The edges are written to the shared folder after every round, and those of the round before
+deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
+
+#: Parts of a node's neighbours.
+SALTS = 32
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,8 +23,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Large: each node's larger neighbours go to its least neighbour (or itself). Small: its smaller neighbours and itself do.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = both.join(least, "u")
+    dealt = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("part"))
+    least = parts.groupBy("u").agg(F.least("u", F.min("part")).alias("m"))
+    linked = dealt.join(parts.select("u", "s").join(least, "u"), ["u", "s"])
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -40,8 +46,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(now, "edges")
     last = mark(now)
     while last[0]:
-        now = written(_star(_star(now, True), False), "edges")
-        if (new := mark(now)) == last:
+        before, now = now, written(_star(_star(now, True), False), "edges")
+        new = mark(now)
+        dropped(before)
+        if new == last:
             break
         last = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select("v", "v").distinct().toDF("node", "component"))
