@@ -7,12 +7,15 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import ann, chosenpath, licenses, mixing, packing, pii, quality, queries, urls, warc
+from graphloom.llm import ann, licenses, mixing, packing, pii, quality, queries, urls, warc
 from graphloom.llm.common import written
 
+from . import test_text_operators as texts
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -345,26 +348,84 @@ def test_license_inheritance(spark):
 
 
 # Pipeline ------------------------------------------------------------------------------------------------------------
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    q = written(corpus_pipeline.quality_rules(spark, docs, SF), "t1")
-    kept = {r.doc_id for r in queries.op1_quality_rules(spark, SF).where("kept").collect()}
-    assert q.columns == docs.columns and {r.doc_id for r in q.collect()} == kept
-    n = written(corpus_pipeline.near_duplicates(spark, q, SF), "t2")
-    classes = {r.doc_id: r.class_id for r in chosenpath.classes(q).collect()}
-    assert n.columns == docs.columns and sorted(r.doc_id for r in n.collect()) == sorted({c for c in classes.values()})
-    p = written(corpus_pipeline.personal_data(spark, n, SF), "t3")
-    before = {r.doc_id: r.text for r in n.collect()}
-    field = pii.train()
-    decoder = pii.Decoder(field)
-    for r in p.collect():
-        text = before[r.doc_id]
-        assert r.text == pii.redacted(text, pii._added(pii.base_spans(text), decoder.spans([text])[0]))
-    m = written(corpus_pipeline.source_mix(spark, p, SF), "t4")
-    want = Counter(r.doc_id for r in mixing.draws(p, mixing.rates(p)).collect())
-    assert m.columns == docs.columns and Counter(r.doc_id for r in m.collect()) == want
-    s = corpus_pipeline.packed(spark, m, SF)
-    total = {r.doc_id: r.doc_tokens for r in s.collect()}
-    per = s.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert all(r.n == want[r.doc_id] * total[r.doc_id] for r in per) and {r.doc_id for r in per} == set(want)
-    assert len(corpus_pipeline.STAGES) == 5 and quality.THRESHOLD < 0 and packing.LONGEST == 4096
+def quality_brute(rows, good):
+    """Ids that the likelihood ratio and the base keep, in plain Python."""
+    h = lambda s, seed=42: xxhash.xxh64_intdigest(s, seed)
+    grams = []
+    for _, t in rows:
+        ws = [h(w) for w in (t or "").encode().split()]
+        grams.append([x >> 50 for x in ws] + [h(b.to_bytes(8, "little"), h(a.to_bytes(8, "little"))) >> 50 for a, b in zip(ws, ws[1:])])
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for (i, _), g in zip(rows, grams):
+        np.add.at(raw, g, 1)
+        if i in good:
+            np.add.at(target, g, 1)
+    w = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    score = lambda g: w[g].sum() / (len(g) + quality.SHRINK) if g else 0.0
+    return [(i, t) for (i, t), g in zip(rows, grams) if not texts.base_brute(t)[5] and score(g) >= quality.THRESHOLD]
+
+
+def mix_brute(rows):
+    """(id, text, source) rows -> how often each is drawn, by the Poisson probabilities themselves."""
+    chars = Counter()
+    for _, t, s in rows:
+        chars[s] += len(t or "")
+    weight = {s: math.sqrt(n) for s, n in chars.items()}
+    out = Counter()
+    for i, t, s in rows:
+        rate = weight[s] / sum(weight.values()) * sum(chars.values()) / chars[s]
+        assert rate < mixing.PART
+        u = int(hashlib.md5(f"{mixing.SEED}|{i}|{hashlib.md5((t or '').encode()).hexdigest()}|1".encode()).hexdigest()[:13], 16) / 2**52
+        k, p = 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        out[i, t] += k
+    return +out
+
+
+def test_pipeline_against_brute_force(spark):
+    """The whole pipeline over the smallest tables against plain Python, stage by stage. The field's spans are those of its own decoder, which has tests of its own."""
+    from tokenizers import Tokenizer
+
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1 and not r.toxic}
+    source = {i: s for i, _, s in rows}
+    kept = quality_brute([(i, t) for i, t, _ in rows], good)
+    classes = texts.jaccard_brute(kept)
+    first = {c for _, c, _ in classes}
+    single = [(i, t) for i, t in kept if i in first]
+    decoder = pii.Decoder(pii.train())
+    clean = []
+    for i, t in single:
+        base = [(int(a), pii.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in texts.private_brute(t).split(",") if x)]
+        clean.append((i, pii.redacted(t, pii._added(base, decoder.spans([t])[0]))))
+    drawn = mix_brute([(i, t, source[i]) for i, t in clean])
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    want = Counter()
+    for (i, t), n in drawn.items():
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        at = 0
+        for length in packing.pieces_of(len(ids)):
+            want[i, at, length, np.array(ids[at : at + length], dtype="<u4").tobytes(), len(ids)] += n
+            at += length
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.start, r.length, bytes(r.ids), r.doc_tokens) for r in got) == want and len({r.sequence_id for r in got}) == len(got)
+    assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_tables(spark, empty):
+    """Nulls, empty and repeated rows and clashing names: all stages run, and all but the last return the columns that they were given."""
+    long = " ".join(f"word{k % 977}" for k in range(3000))
+    odd = [(1, long, "a", "en", None), (1, long, "a", "en", None), (None, long + " end", None, None, 3), (2, None, "a", "en", 3), (3, "", None, "en", None), (4, " ".join(f"tok{k}" for k in range(50)) + " bob@example.org", "b", "de", 5)]
+    docs = spark.createDataFrame([(*r, "x", 7, "n", "s") for r in odd], "doc_id long, text string, source string, lang string, n_chars long, row string, kept int, node string, salt string")
+    docs = docs.where("false") if empty else docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = written(stage(spark, docs, SF), "stage")
+        assert docs.columns == columns, name
+    assert {r.doc_id for r in docs.select("doc_id").collect()} <= {1, 4, None}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns[:2] == ["doc_id", "start"]
