@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import chosenpath, mixing, packing, pii, quality
-from graphloom.llm.common import shared_dir, table, written
+from graphloom.llm.common import table, written
 from graphloom.llm.queries import tokenizer_path
 
 
@@ -45,7 +43,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Hashes of n-grams, paths and tokens are not in SQL; a test compares each stage with a brute-force version.
+#: Hashes of n-grams, paths and tokens are not in SQL; a test compares the whole run with a brute-force version in plain Python.
 ORACLE_SQL = None
 
 
@@ -53,7 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/graphloom-pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs
