@@ -237,7 +237,7 @@ def doc_coref_greedy(spark: SparkSession, d: str) -> DataFrame:
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(mentions, knowledge base)"""
     part = _t(spark, d, "part")
-    kb = part.select(F.col("p_type").alias("canonical")).distinct().select("canonical", F.lit("CONCEPT").alias("type"), F.lower("canonical").alias("id"), F.array(F.concat("canonical", F.lit(" type"))).alias("aliases"), F.shiftright(F.crc32("canonical"), 1).cast("int").alias("ord"))
+    kb = part.select(F.col("p_type").alias("canonical")).distinct().select("canonical", F.lit("CONCEPT").alias("type"), F.lower("canonical").alias("id"), F.array(F.concat("canonical", F.lit(" type"))).alias("aliases"), F.length("canonical").alias("ord"))
     words = part.select(F.explode(F.split("p_name", " ")).alias("text")).unionByName(part.select(F.col("p_type").alias("text"))).unionByName(part.select(F.concat("p_type", F.lit(" TYPE")).alias("text")))
     return words.distinct().withColumn("type", F.lit("CONCEPT")), kb
 
@@ -295,7 +295,7 @@ def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
     text = retrieval.bow_search(docs, QUESTION, 10).join(docs.select("doc_id", "text"), "doc_id")
     place = F.row_number().over(retrieval.Window.orderBy(F.desc(F.round("score", 9)), "doc_id")) - 1
     hits = text.select(F.col("text").alias("content"), "score", F.lit("text_chunk").alias("type"), F.lit("vector").alias("retriever"), place.alias("ord"))
-    return [hits, retrieval.graph_hits(TableGraph(spark, d), "Is Supplier#000000001 connected to EUROPE", 5)]
+    return [hits, retrieval.graph_hits(TableGraph(spark, d), ASKED, 5)]
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -308,7 +308,55 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def multimodal_diverse(spark: SparkSession, d: str) -> DataFrame:
     merged = retrieval.hybrid(_lists(spark, d), 15)
-    return _hits(retrieval.diverse(retrieval.boosted(merged, "Is Supplier#000000001 connected to EUROPE"), 6))
+    return _hits(retrieval.diverse(retrieval.boosted(merged, ASKED), 6))
+
+
+ASKED = "Is Supplier#000000001 connected to EUROPE"
+
+
+def graph_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Edges around the entities that a question names."""
+    return retrieval.graph_hits(TableGraph(spark, d), "Where are Supplier#00000000 and NATION_1 now", 5).select("ord", "content", "score", "type", "retriever")
+
+
+GRAPH_HITS_SQL = """
+WITH labels AS (SELECT 'o' || s_suppkey::VARCHAR AS id, s_name AS name FROM supplier UNION ALL SELECT 'n' || n_nationkey::VARCHAR, n_name FROM nation UNION ALL SELECT 'r' || r_regionkey::VARCHAR, r_name FROM region),
+e AS (SELECT 'o' || s_suppkey::VARCHAR AS s, 'n' || s_nationkey::VARCHAR AS o FROM supplier UNION ALL SELECT 'n' || n_nationkey::VARCHAR, 'r' || n_regionkey::VARCHAR FROM nation),
+w(w, word) AS (VALUES (0, 'where'), (1, 'supplier#00000000'), (2, 'nation_1')),
+h AS (SELECT w, row_number() OVER (PARTITION BY w ORDER BY a.name, b.name, a.id, b.id) AS r, a.name || ' locatedIn ' || b.name AS content FROM w JOIN labels a ON contains(lower(a.name), word) JOIN e ON e.s = a.id JOIN labels b ON b.id = e.o),
+o AS (SELECT content, min(struct_pack(w := w, r := r)) AS spot FROM h WHERE r <= 10 GROUP BY content)
+SELECT (row_number() OVER (ORDER BY spot, content) - 1)::INT AS ord, content, 0.8::DOUBLE AS score, 'graph_relation' AS type, 'graph' AS retriever FROM o ORDER BY 1 LIMIT 5
+"""
+
+
+def _merged_sql(k: int) -> str:
+    """The text hits and the one edge that the question names, merged."""
+    bow = _bow_sql().replace("SELECT doc_id, round(score, 6) AS score FROM s", ", top AS (SELECT doc_id, score FROM s")
+    return f"""{bow}),
+hits AS (SELECT text AS content, score, 'text_chunk' AS type, 'vector' AS retriever, 0 AS src, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS ord FROM top JOIN documents USING (doc_id)
+  UNION ALL SELECT s_name || ' locatedIn ' || n_name, 0.8::DOUBLE, 'graph_relation', 'graph', 1, 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name = 'Supplier#000000001'),
+once AS (SELECT *, row_number() OVER (PARTITION BY substring(content, 1, 100) ORDER BY score DESC, src, ord) AS r FROM hits),
+merged AS (SELECT content, score, type, retriever, row_number() OVER (ORDER BY score DESC, src, ord) - 1 AS ord FROM once WHERE r = 1 ORDER BY ord LIMIT {k})"""
+
+
+def _diverse_sql() -> str:
+    return f"""{_merged_sql(15)}, b AS (SELECT * REPLACE (CASE WHEN type = 'graph_relation' THEN least(1.0::DOUBLE, score + 0.2::DOUBLE) ELSE score END AS score) FROM merged),
+t AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, ord, content) AS r FROM b),
+p AS (SELECT * EXCLUDE (ord), row_number() OVER (ORDER BY CASE WHEN r > 3 THEN 2 WHEN type = 'text_chunk' THEN 0 ELSE 1 END, score DESC, ord, content) - 1 AS ord FROM t)
+SELECT ord::INT AS ord, type, retriever, round(score, 6) AS score, md5(content) AS digest FROM p WHERE ord < 6"""
+
+
+LINK_SQL = """
+WITH kb AS (SELECT DISTINCT p_type AS canonical, length(p_type) AS ord FROM part),
+m AS (SELECT unnest(string_split(p_name, ' ')) AS text FROM part UNION SELECT p_type FROM part UNION SELECT p_type || ' TYPE' FROM part),
+al AS (SELECT alias, max(struct_pack(ord := ord, k := k, canonical := canonical)) AS x FROM (SELECT lower(unnest([canonical || ' type', canonical])) AS alias, unnest([0, 1]) AS k, * FROM kb) GROUP BY alias),
+exact AS (SELECT text, x.canonical AS canonical FROM m JOIN al ON lower(text) = alias),
+part AS (SELECT text, min(struct_pack(ord := ord, canonical := canonical)) AS x FROM m, kb WHERE text NOT IN (SELECT text FROM exact) AND (contains(lower(text), lower(canonical)) OR contains(lower(canonical), lower(text))
+  OR len(list_intersect(list_distinct(string_split(lower(text), ' ')), string_split(lower(canonical), ' '))) >= least(len(string_split(text, ' ')), len(string_split(canonical, ' '))) OR (length(text) > 3 AND length(canonical) > 3 AND lower(text)[1:4] = lower(canonical)[1:4])) GROUP BY text)
+SELECT m.text, coalesce(e.canonical, p.x.canonical, m.text) AS linked_name, CASE WHEN e.canonical IS NOT NULL THEN 0.95::DOUBLE WHEN p.x IS NOT NULL THEN 0.7::DOUBLE ELSE 0::DOUBLE END AS kb_confidence,
+  CASE WHEN e.canonical IS NOT NULL THEN 'EXACT_MATCH' WHEN p.x IS NOT NULL THEN 'PARTIAL_MATCH' ELSE 'NO_MATCH' END AS match_type
+FROM m LEFT JOIN exact e ON e.text = m.text LEFT JOIN part p ON p.text = m.text
+"""
 
 
 # Ontology, property graph, triples, SPARQL ---------------------------------------------------------------------------------
@@ -371,7 +419,7 @@ def sparql_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     html_clean, html_title, html_headers, chunk_docs, classify_rule, classify_keyword, classify_hybrid, domain_rules, domain_doi, ner_capitalised, rel_proximity, rel_sentence, rel_dedup,
-    coref_greedy, doc_rel_proximity, doc_rel_sentence, doc_rel_dedup, doc_coref_greedy, link_entities, alias_resolve, vector_topk, bow_cosine, rag_local_relevance, hybrid_topk, multimodal_diverse, ontology_infer, pg_label_counts, pg_rel_counts, pg_neighbourhood, triples_build, sparql_text,
+    coref_greedy, doc_rel_proximity, doc_rel_sentence, doc_rel_dedup, doc_coref_greedy, link_entities, alias_resolve, vector_topk, bow_cosine, rag_local_relevance, graph_retrieval, hybrid_topk, multimodal_diverse, ontology_infer, pg_label_counts, pg_rel_counts, pg_neighbourhood, triples_build, sparql_text,
 )
 
 SQL = {
@@ -392,6 +440,10 @@ SQL = {
     "vector_topk": "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 10",
     "bow_cosine": _bow_sql(),
     "rag_local_relevance": _relevance_sql(),
+    "link_entities": LINK_SQL,
+    "graph_retrieval": GRAPH_HITS_SQL,
+    "hybrid_topk": _merged_sql(8) + " SELECT ord::INT AS ord, type, retriever, round(score, 6) AS score, md5(content) AS digest FROM merged",
+    "multimodal_diverse": _diverse_sql(),
     "ontology_infer": ONTOLOGY_SQL,
     "pg_label_counts": f"WITH triples AS ({triples_sql()}), n AS (SELECT s, string_agg(DISTINCT substring(o, {len(KG) + 1}), ',' ORDER BY substring(o, {len(KG) + 1})) AS labels FROM triples WHERE p = '{TYPE}' GROUP BY s) SELECT labels, count(*) AS n FROM n GROUP BY labels",
     "pg_rel_counts": f"WITH triples AS MATERIALIZED ({triples_sql()}), ids AS (SELECT DISTINCT s FROM triples WHERE p = '{TYPE}') SELECT regexp_extract(p, '([^/#]+)$', 1) AS type, count(*) AS n FROM triples WHERE o_kind = 'iri' AND p <> '{TYPE}' AND s IN (SELECT s FROM ids) AND o IN (SELECT s FROM ids) GROUP BY 1",
