@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names that are broadcast at a time, about.
+BLOCK = 10_000
+
+
+def _by_block(names: DataFrame, key: str, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of what ``use`` makes of each block of names: containment has no key to join by, so texts pass by every name, and a block is what is broadcast."""
+    blocks = max(1, -(-names.count() // BLOCK))
+    part = lambda k: names if blocks == 1 else names.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+    return reduce(DataFrame.unionByName, (use(F.broadcast(part(k))) for k in range(blocks)))
+
 
 def entities(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Dictionary rows (name, type) that occur in a text (doc_id, text), at their first place; events are title-cased. The dictionary is a short list
-    of names by contract and is looked up by containment, so each text is compared with every name."""
-    hits = docs.join(F.broadcast(dictionary), F.col("text").contains(F.col("name")))
+    """Dictionary rows (name, type) that occur in a text (doc_id, text), at their first place; events are title-cased."""
+    hits = _by_block(dictionary, "name", lambda names: docs.join(names, F.col("text").contains(F.col("name"))))
     begin = (F.instr("text", F.col("name")) - 1).cast("int")
     canonical = F.when(F.col("type") == "EVENT", F.initcap("name")).otherwise(F.col("name"))
     return hits.select("doc_id", F.col("name").alias("text"), "type", begin.alias("start_char"), (begin + F.length("name")).alias("end_char"), canonical.alias("canonical_name"))
@@ -17,11 +29,13 @@ def entities(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def relations(docs: DataFrame, dictionary: DataFrame, roles: list[str]) -> DataFrame:
     """WORKS_FOR and HAS_ROLE of people whose first mention is followed, within 20 characters, by "the ROLE of ORG"."""
-    people = F.broadcast(dictionary.where("type = 'PERSON'").select(F.col("name").alias("person")))
-    orgs = F.broadcast(dictionary.where("type = 'ORG'").select(F.col("name").alias("org")))
-    near = docs.join(people, F.col("text").contains(F.col("person"))).withColumn("after", F.substr("text", F.instr("text", F.col("person")) + F.length("person")))
+    people = dictionary.where("type = 'PERSON'").select(F.col("name").alias("person"))
+    orgs = dictionary.where("type = 'ORG'").select(F.col("name").alias("org"))
+    near = _by_block(people, "person", lambda names: docs.join(names, F.col("text").contains(F.col("person"))))
+    near = near.withColumn("after", F.substr("text", F.instr("text", F.col("person")) + F.length("person")))
     role = F.regexp_extract("after", r"^.{0,19}?the (" + "|".join(roles) + r") of ([^.]*)\.", 1)
     whom = F.regexp_extract("after", r"^.{0,19}?the (?:" + "|".join(roles) + r") of ([^.]*)\.", 1)
-    found = near.withColumn("role", role).where("role <> ''").withColumn("whom", whom).join(orgs, F.col("whom").contains(F.col("org")))
+    said = near.withColumn("role", role).where("role <> ''").withColumn("whom", whom)
+    found = _by_block(orgs, "org", lambda names: said.join(names, F.col("whom").contains(F.col("org"))))
     each = F.explode(F.array(F.lit("WORKS_FOR"), F.lit("HAS_ROLE")))
     return found.select("doc_id", F.col("person").alias("subject"), F.col("org").alias("object"), each.alias("relation"), "role")

@@ -6,8 +6,9 @@ Decoders of binary formats are plug-ins: DataFrame functions from (path, content
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,27 +76,37 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of small Turtle files (prefixes, a, ; and , lists; blank nodes are skipped): the driver parses what Spark reads."""
-    rows: list[tuple[str, str, str, str]] = []
-    for file in spark.read.text(path, wholetext=True).collect():
-        rows += parse_turtle(file["value"])
-    return spark.createDataFrame(rows, "s string, p string, o string, o_kind string").distinct()
+    """(s, p, o, o_kind, o_dtype) of Turtle files (prefixes, a, ; and , lists; blank nodes are skipped); a file is parsed where it is read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["value"]:
+                yield pd.DataFrame(parse_typed(text), columns=["s", "p", "o", "o_kind", "o_dtype"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "s string, p string, o string, o_kind string, o_dtype string").distinct()
 
 
 def parse_turtle(text: str) -> list[tuple[str, str, str, str]]:
+    """(s, p, o, kind of o)."""
+    return [r[:4] for r in parse_typed(text)]
+
+
+def parse_typed(text: str) -> list[tuple[str, str, str, str, str | None]]:
+    """(s, p, o, kind of o, datatype of a literal that has one)."""
     tokens = re.findall(r'"(?:[^"\\]|\\.)*"(?:\^\^\S+|@\w+)?|<[^>]*>|\[|\]|#[^\n]*|@prefix|[^\s;,.\[\]"]+(?:\.[^\s;,.\[\]"]+)*|[;,.]', text)
     prefixes: dict[str, str] = {}
     out, depth, statement = [], 0, []
 
-    def name(t: str) -> tuple[str, str]:
+    def name(t: str) -> tuple[str, str, str | None]:
         if t.startswith("<"):
-            return t[1:-1], "iri"
+            return t[1:-1], "iri", None
         if t.startswith('"'):
-            return t[1:].rsplit('"', 1)[0], "literal"
+            value, end = t[1:].rsplit('"', 1)
+            return value, "literal", name(end[2:])[0] if end.startswith("^^") else None
         if t == "a":
-            return "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "iri"
+            return "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "iri", None
         p, colon, local = t.partition(":")
-        return (prefixes.get(p, p + ":") + local, "iri") if colon else (t, "literal")
+        return (prefixes.get(p, p + ":") + local, "iri", None) if colon else (t, "literal", None)
 
     for t in tokens:
         if t.startswith("#"):

@@ -12,7 +12,8 @@ COLUMNS = ("s", "p", "o", "o_kind")
 
 
 class TripleStore:
-    """Parquet, partitioned by graph and predicate. A change writes a new version beside the old one, then points to it."""
+    """Parquet, partitioned by graph and predicate. A load adds files with what is new; a deletion writes a new version beside the old one, then points to it. One writer
+    at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -45,8 +46,11 @@ class TripleStore:
         """Adds triples (a table or Turtle text) to a named graph, as a set."""
         if isinstance(triples, str):
             triples = self.spark.createDataFrame(parse_turtle(triples), "s string, p string, o string, o_kind string")
-        new = triples.select(*COLUMNS).withColumn("graph", F.lit(graph))
-        self._write(self.triples().select(*COLUMNS, "graph").unionByName(new).dropDuplicates())
+        new = triples.select(*COLUMNS).withColumn("graph", F.lit(graph)).dropDuplicates()
+        if not (v := self._current()):
+            return self._write(new)
+        old = self.triples(graph).select(*COLUMNS, "graph")
+        new.join(old, [*COLUMNS, "graph"], "left_anti").write.mode("append").partitionBy("graph", "p").parquet(f"{self.path}/data/v{v}")
 
     def delete(self, triples: DataFrame, graph: str = "default") -> None:
         old = self.triples().select(*COLUMNS, "graph")

@@ -124,6 +124,8 @@ def test_sources(spark, tmp_path):
     assert (got.doc_id, got.content, got.length) == ("a", "text", 5)
     frames = spark.range(1).select(files.key_frames(F.lit(9000), F.lit(30.0)).alias("a"), files.key_frames(F.lit(25), F.lit(25.0)).alias("b")).first()
     assert [f.frame_number for f in frames.a] == [0] and [f.frame_number for f in frames.b] == list(range(0, 25, 2))
+    (tmp_path / "o.ttl").write_text('@prefix x: <http://x/> .\nx:a x:p "1.5"^^x:float , "b" , x:c .\n')
+    assert {tuple(r) for r in files.read_turtle(spark, str(tmp_path / "o.ttl")).collect()} == {("http://x/a", "http://x/p", "1.5", "literal", "http://x/float"), ("http://x/a", "http://x/p", "b", "literal", None), ("http://x/a", "http://x/p", "http://x/c", "iri", None)}
     t = files.parse_turtle('@prefix : <http://x/> .\n# note\n:A a :B ; :l "a; b" , "c"@en ; :r [ :q 1 ] .\n')
     assert ("http://x/A", "http://x/l", "a; b", "literal") in t and ("http://x/A", "http://x/l", "c", "literal") in t and len(t) == 3
 

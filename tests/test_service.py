@@ -16,7 +16,7 @@ def test_facade(spark):
     assert api.relations(g, "locatedIn", 4).count() == 4
     ents, rels = api.document(g, "1")
     assert ents.count() > 0 and rels.count() >= 0
-    assert api.analytics(g, "kg_count_by_type").count() == 7
+    assert api.analytics(g, "kg_count_by_type").count() == 8
     assert api.ask(g, "ASK { ?x a :Person . }") and not api.ask(g, "ASK { ?x a :Nothing . }")
     docs = spark.createDataFrame([(1, "EUROPE is large"), (2, "nothing")], "doc_id long, text string")
     for kind in ("vector", "graph", "hybrid", "multimodal"):
