@@ -114,6 +114,11 @@ def datatype_properties(values: DataFrame, field: str = "field", value: str = "v
     return folded.select(F.concat(F.lit("has"), pascal(F.col("f"))).alias("property"), "range")
 
 
+def entities_of(docs: DataFrame, column: str = "entities") -> DataFrame:
+    """(doc_id, entity) of documents with lists of entities; documents without any are left out."""
+    return docs.select("doc_id", F.explode(column).alias("entity"))
+
+
 def by_source(mentions: DataFrame) -> DataFrame:
     """(source_type, class) for each source and for all of them together as 'combined'."""
     own = mentions.select("source_type", class_name(F.col("type")).alias("class")).distinct()

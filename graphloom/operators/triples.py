@@ -68,6 +68,11 @@ def domain_triples(entities: DataFrame) -> DataFrame:
     return base.unionByName(_exploded(each, _t(F.col("e"), F.concat(F.lit(KG + "has"), pascal(F.col("k"))), F.col("v"))))
 
 
+def chosen_entities(resolved: Column, extracted: Column, given: Column) -> Column:
+    """The list of mentions that the graph is built from: the linked ones if there are any, else those that were extracted, or else given."""
+    return F.when(F.size(resolved) > 0, resolved).otherwise(F.coalesce(extracted, given))
+
+
 def relation_triples(relations: DataFrame, mentions: DataFrame) -> DataFrame:
     """relations: doc_id, subject, object, relation, confidence, evidence, by mention text. A direct triple, and a reified relation."""
     named = mentions.select("doc_id", "text", entity_iri(F.col("type"), F.col("linked_name")).alias("iri")).groupBy("doc_id", "text").agg(F.min("iri").alias("iri"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import classify, coref, domain, html, labelling, linking, ner, ontology, propgraph, relations, retrieval, triples
 from ..operators import chunk as chunker
-from ..operators.kg_views import DOCUMENT, ENTITY, KG, LABEL, TYPE
-from ..sources import files
+from ..operators.kg_views import DOCUMENT, ENTITY, KG, LABEL, TYPE, TableGraph
+from ..sources import files, samples
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -550,10 +550,104 @@ def _metadata_sql() -> str:
     return f"SELECT d.doc_id::VARCHAR AS doc_id, CASE WHEN d.doc_id % 10 = 0 THEN 0 ELSE coalesce(n, 0) END AS chunk_count FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({CHUNK_SQL}) GROUP BY doc_id) c ON c.doc_id = d.doc_id::VARCHAR"
 
 
+# Samples, choices, core ontology, vectors, answers ------------------------------------------------------------------------------------
+def sample_documents(spark: SparkSession, d: str) -> DataFrame:
+    """As many made documents as there are customers, and the names that their ground truth lists."""
+    made = samples.generated(spark, _t(spark, d, "customer").count())
+    return made.select("doc_id", "type", "content", "created_at", F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["name"])), "|").alias("entities"))
+
+
+def _samples_sql() -> str:
+    pick = lambda names, step: f"{_list(names)}[(k // {step}) % {len(names)} + 1]"
+    return f"""WITH g AS (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS k),
+v AS (SELECT k, {_list([t for t, _ in samples.TEMPLATES])}[k % {len(samples.TEMPLATES)} + 1] AS type, {_list([x for _, x in samples.TEMPLATES])}[k % {len(samples.TEMPLATES)} + 1] AS x, {pick(samples.PEOPLE, 1)} AS p, {pick(samples.ORGANISATIONS, 3)} AS o, {pick(samples.PLACES, 5)} AS l, {pick(samples.ROLES, 2)} AS r FROM g)
+SELECT type || '_' || k::VARCHAR AS doc_id, type, replace(replace(replace(replace(x, '{{p}}', p), '{{o}}', o), '{{l}}', l), '{{r}}', r) AS content, strftime(DATE '2024-01-01' + (k % 365)::INT, '%Y-%m-%d') AS created_at, 'PERSON:' || p || '|ORG:' || o || '|PLACE:' || l AS entities FROM v"""
+
+
+def entity_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Which of three lists of mentions a document's graph is built from, and its mentions one by one."""
+    k = F.col("c_custkey")
+    some = lambda name, test: F.when(test, F.array(F.concat(F.lit(name), k.cast("string"))))
+    rows = _t(spark, d, "customer").select(k.alias("doc_id"), triples.chosen_entities(F.coalesce(some("linked", k % 3 == 0), F.array().cast("array<string>")), some("extracted", k % 2 == 0), some("given", k % 5 != 0)).alias("entities"))
+    return ontology.entities_of(rows)
+
+
+CHOICE_SQL = "SELECT * FROM (SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'linked' WHEN c_custkey % 2 = 0 THEN 'extracted' WHEN c_custkey % 5 <> 0 THEN 'given' END || c_custkey::VARCHAR AS entity FROM customer) WHERE entity IS NOT NULL"
+
+
+def ontology_closure(spark: SparkSession, d: str) -> DataFrame:
+    """How many classes of the core ontology are below each class, at any depth."""
+    return ontology.superclasses(spark).groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"))
+
+
+CLOSURE_SQL = "SELECT * FROM (VALUES ('Entity', 37), ('Document', 6), ('Person', 2), ('Organization', 1), ('Concept', 1)) t(ancestor, n)"
+
+
+def ontology_core(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.core_properties(spark).groupBy("kind", "domain").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "property", "range"))), ",").alias("properties")).where("domain in ('Person', 'Document', 'Relation')")
+
+
+CORE_SQL = """SELECT * FROM (VALUES ('ObjectProperty', 'Person', 'hasCertification>Certification,hasSkill>Skill,participatedIn>Event,studiedAt>Education,workedAt>WorkExperience,worksFor>Organization'), ('DatatypeProperty', 'Person', 'hasRole>string'),
+ ('ObjectProperty', 'Document', 'mentions>Entity'), ('DatatypeProperty', 'Document', 'createdAt>dateTime,hasText>string,sourceType>string'), ('ObjectProperty', 'Relation', 'relationWith>Entity'), ('DatatypeProperty', 'Relation', 'confidence>float')) t(kind, domain, properties)"""
+
+
+def ontology_embedded(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.embedded(spark)
+
+
+EMBEDDED_SQL = f"""WITH c AS (SELECT '{KG}' || unnest(['Person', 'Organization', 'Place', 'Event', 'Concept', 'Document']) AS s)
+SELECT s, '{TYPE}' AS p, 'http://www.w3.org/2002/07/owl#Class' AS o FROM c UNION ALL SELECT s, 'http://www.w3.org/2000/01/rdf-schema#subClassOf', 'http://www.w3.org/2002/07/owl#Thing' FROM c
+UNION ALL SELECT '{KG}' || unnest(['WORKS_FOR', 'LOCATED_IN', 'PARTICIPATED_IN', 'HAS_ROLE', 'MENTIONS', 'hasText', 'sourceType', 'createdAt', 'hasAlias', 'extractedFrom', 'mentions']), '{TYPE}', 'http://www.w3.org/2002/07/owl#ObjectProperty'"""
+
+
+def bow_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse vectors of unit length of the benchmark's texts, by their terms and weights."""
+    docs = _t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return retrieval.bag_of_words(docs).select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
+VECTORS_SQL = r"""WITH w AS (SELECT item_id AS doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM benchmark), c AS (SELECT doc_id, term, count(*)::DOUBLE AS n FROM w WHERE term <> '' GROUP BY ALL)
+SELECT doc_id, term, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS w FROM c"""
+
+
+def vector_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest benchmark texts to one of them, as hits with their texts."""
+    docs = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "text")
+    asked = docs.orderBy("chunk_id").first()["text"]
+    return retrieval.vector_hits(retrieval.bow_search(docs, asked, 5, "chunk_id"), docs).select("ord", F.md5("content").alias("digest"), F.round("score", 6).alias("score"), "type", "retriever")
+
+
+HITS_SQL = r"""WITH q AS (SELECT text FROM benchmark ORDER BY item_id::VARCHAR LIMIT 1), qt AS (SELECT term, count(*)::DOUBLE AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM q) WHERE term <> '' GROUP BY term),
+w AS (SELECT item_id::VARCHAR AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM benchmark), c AS (SELECT id, term, count(*)::DOUBLE AS n FROM w WHERE term <> '' GROUP BY ALL),
+s AS (SELECT c.id, sum(c.n * coalesce(qt.n, 0)) / (sqrt(sum(c.n * c.n)) * sqrt((SELECT sum(n * n) FROM qt))) AS score FROM c LEFT JOIN qt USING (term) GROUP BY c.id),
+t AS (SELECT * FROM s WHERE score > 0 ORDER BY round(score, 9) DESC, id DESC LIMIT 5)
+SELECT (row_number() OVER (ORDER BY score DESC, id) - 1)::INT AS ord, md5(text) AS digest, round(score, 6) AS score, 'text_chunk' AS type, 'vector' AS retriever FROM t JOIN benchmark ON item_id::VARCHAR = id"""
+
+
+def question_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The answer to a question about a nation, from the graph's facts."""
+    from .. import api
+
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return api.answer(TableGraph(spark, d), docs, "Where is NATION_3?")
+
+
+ANSWER_SQL = f"""SELECT 'Where is NATION_3?' AS question, 'NATION_3 locatedIn {ENTITY}region/' || n_regionkey::VARCHAR || '; NATION_3 type {KG}Place; NATION_3 label NATION_3' AS answer, 0.6::DOUBLE AS confidence FROM nation WHERE n_name = 'NATION_3'"""
+
+
+def graph_ping(spark: SparkSession, d: str) -> DataFrame:
+    """The health check, and whether the graph holds a person and a ghost."""
+    from .. import api
+
+    g = TableGraph(spark, d)
+    return propgraph.ping(spark).select("ok", F.lit(api.ask(g, "ASK { ?x a :Person . }")).alias("person"), F.lit(api.ask(g, "ASK { ?x a :Ghost . }")).alias("ghost"))
+
+
 QUERIES = (
     html_metadata, html_entities, parse_dispatch, video_key_frames, _classified("rule"), _classified("keyword"), _classified("hybrid"), domain_registry, model_replies, validated_entities, ner_rules, ner_label_types, label_entities,
     label_relations, rel_patterns, rel_extract, link_seeds, kb_upsert, coref_organisations, coref_persons, coref_same_as, coref_resolved, documents_to_graph, documents_graph_stats, ntriples_lines, pg_merge_nodes, pg_merge_edges,
     pg_labels, pg_detach_delete, pg_collected, pg_visualisation, pg_property_literals, ontology_by_source, ontology_new_classes, ontology_merge, index_metadata,
+    sample_documents, entity_choice, ontology_closure, ontology_core, ontology_embedded, bow_vectors, vector_hits, question_answer, graph_ping,
 )
 
 
@@ -572,4 +666,6 @@ def oracle_sql() -> dict[str, str]:
         "documents_graph_stats": f"{_graph_sql()} SELECT count(*) AS triples, count(*) FILTER (p = '{TYPE}' AND o = '{KG}Document') AS documents, count(*) FILTER (p = '{TYPE}' AND o = '{KG}Relation') AS relations, count(*) FILTER (p = '{TYPE}' AND o NOT IN ('{KG}Document', '{KG}Relation')) AS entities FROM t",
         "ntriples_lines": _lines_sql(), "pg_merge_nodes": PG_NODES_SQL, "pg_merge_edges": PG_EDGES_SQL, "pg_labels": PG_LABELS_SQL, "pg_detach_delete": PG_DELETE_SQL, "pg_collected": PG_COLLECT_SQL, "pg_visualisation": PG_VIS_SQL,
         "pg_property_literals": PG_LITERAL_SQL, "ontology_by_source": BY_SOURCE_SQL, "ontology_new_classes": NEW_CLASSES_SQL, "ontology_merge": MERGE_SQL, "index_metadata": _metadata_sql(),
+        "sample_documents": _samples_sql(), "entity_choice": CHOICE_SQL, "ontology_closure": CLOSURE_SQL, "ontology_core": CORE_SQL, "ontology_embedded": EMBEDDED_SQL, "bow_vectors": VECTORS_SQL, "vector_hits": HITS_SQL, "question_answer": ANSWER_SQL,
+        "graph_ping": "SELECT 1 AS ok, true AS person, false AS ghost",
     }
