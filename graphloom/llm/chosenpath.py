@@ -3,7 +3,7 @@
 Texts are sets of 5-word shingles. In each run a text starts at the root and goes to a child for each of its shingles that the node's
 hash chooses, 1 / threshold of them on average; so texts of the asked similarity share at least one child on average,
 and unlike ones soon part. Nodes with few texts are compared by brute force; larger ones are split again, level by level, until they are small. With k levels
-two similar texts meet with probability 0.63 (k = 1) to 0.27 (k = 5) a run, and runs are repeated until the target recall.
+two similar texts meet with probability 0.63 (k = 1) to 0.37 (k = 3) a run, and runs are repeated until the target recall.
 
 A large node is first compared with one of its texts, its representative. Texts as near to it as COVERED need not be split any further: whatever is similar
 to such a text is near enough to the representative (distances of sets obey the triangle inequality) to be in its group already. So many near copies of one text,
@@ -36,9 +36,12 @@ from .components import components
 from .rolling import chunks, inside, mix, odd, windows, word_hashes
 
 #: Words of a shingle, similarity of a link, recall to reach, most levels of a path.
-SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 5
-#: Minwise hashes of a sketch, the similarity of sketches from which texts are compared exactly, and that from which a text is covered by a node's representative.
-SKETCH, SKETCH_BOUND, COVERED = 128, 0.62, 0.92
+SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
+#: Minwise hashes of a sketch, and the similarity of sketches from which texts are compared exactly.
+SKETCH, SKETCH_BOUND = 128, 0.62
+#: The same beside a node's representative, and the similarity from which a text is covered by it: what is 0.8 alike to such a text is 0.2 less alike to the representative
+#: at worst, and still three standard deviations above the first bound.
+STAR_BOUND, COVERED = 0.5, 0.87
 #: Texts of a node from which it is split again; texts of a block, in nodes and in groups; rows that a task takes, about; copies of a group's first text.
 SPLIT, NODE_BLOCK, GROUP_BLOCK, TASK_ROWS, TASK_TEXTS, SALTS = 64, 4096, 2048, 40_000, 4_000, 32
 
@@ -98,9 +101,17 @@ def children(h: np.ndarray, sizes: np.ndarray, who: np.ndarray, node: np.ndarray
 
 
 def roots(h: np.ndarray, sizes: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, node) of the first level of all runs."""
-    has = np.flatnonzero(sizes > 0)
-    found = [children(h, sizes, has, np.full(len(has), seed, dtype=_U)) for seed in odd(4242, runs)]
+    """(text, node) of the first level of all runs: ``children`` of each run's root, to which all texts go."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    limit = np.minimum(2.0**64 / (THRESHOLD * np.maximum(sizes, 1)), 2.0**64 - 2049).astype(_U)[own]
+    mixed = mix(h)
+    found = []
+    for seed in odd(4242, runs):
+        x = h * (seed | _U(1))
+        x ^= x >> _U(31)
+        x *= _U(0xD6E8FEB86659FD93)
+        spot = np.flatnonzero(x < limit)
+        found.append((own[spot], mix(seed ^ mixed[spot])))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -335,7 +346,7 @@ def _candidates(texts: DataFrame, one: DataFrame) -> DataFrame:
     def sized(members: DataFrame) -> DataFrame:
         return members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
 
-    members, edges = texts.select("id", F.explode("paths").alias("path")), []
+    members, edges, crowded = texts.select("id", F.explode("paths").alias("path")), [], None
     for level in range(1, DEPTH + 1):
         nodes = sized(members)
         edges.append(compared(members.join(nodes.where(F.col("n") <= SPLIT), "path").drop("rep")))
@@ -344,7 +355,7 @@ def _candidates(texts: DataFrame, one: DataFrame) -> DataFrame:
         large = written(pairs.select("id", "path", "rep", "sketch", "rep_sketch").mapInArrow(_beside, "id long, path long, rep long, alike int"), "large")
         if large.isEmpty():
             break
-        edges.append(large.where((F.col("alike") >= math.ceil(SKETCH_BOUND * SKETCH)) & (F.col("id") != F.col("rep"))).select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
+        edges.append(large.where((F.col("alike") >= math.ceil(STAR_BOUND * SKETCH)) & (F.col("id") != F.col("rep"))).select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
         left = large.where(F.col("alike") < math.ceil(COVERED * SKETCH)).select("id", "path")
         rest = left.join(sized(left).drop("rep"), "path")
         if level == DEPTH:
@@ -352,9 +363,11 @@ def _candidates(texts: DataFrame, one: DataFrame) -> DataFrame:
             break
         edges.append(compared(rest.where(F.col("n") <= SPLIT)))
         at = rest.where(F.col("n") > SPLIT).groupBy("id").agg(F.collect_list("path").alias("paths"))
-        at = at.join(texts.select("id", "node", F.col("doc_id").alias("least")), "id")
-        with_text = one.join(at, "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "text", "paths")
-        members = written(with_text.mapInArrow(_descend, "id long, path long").distinct(), "level")
+        if crowded is None:
+            # The texts that are still to be split, of which deeper levels only have a part.
+            names = at.select("id").join(texts.select("id", "node", F.col("doc_id").alias("least")), "id")
+            crowded = written(one.join(names, "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "text"), "crowded")
+        members = written(crowded.join(at, "id").select("id", "text", "paths").mapInArrow(_descend, "id long, path long").distinct(), "level")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)

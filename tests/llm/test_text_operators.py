@@ -259,7 +259,7 @@ def test_jaccard(spark, monkeypatch, block):
 
 def test_jaccard_empty(spark):
     assert chosenpath.classes(table(spark, ODD).where("false")).count() == 0
-    assert chosenpath.runs_for(0.999, 2) == 11 and chosenpath.runs_for() == 23
+    assert chosenpath.runs_for(0.999, 2) == 11 and chosenpath.runs_for() == 15
 
 
 def test_components(spark):
