@@ -2,7 +2,8 @@
 
 Each source has a mean repetition rate: its target share of the output over its share of the input, both in characters. A document's
 number of copies is the inverse of the Poisson distribution with that mean at a uniform number that is hashed from seed, id and text, so the
-mix is the same in every run and independent of partitions. Copies are exploded and shuffled globally by a hash of their own.
+mix is the same in every run and independent of partitions. Copies are exploded and shuffled globally by a hash of their own: dealt by it among partitions, and sorted
+by it there. (A range exchange would run the whole plan twice, to sample it.)
 
 All of it is DataFrame code. The only thing broadcast is the table of rates, a row for each source, if it has at most
 BROADCAST_SOURCES rows; otherwise it is joined by a shuffle.
@@ -92,16 +93,16 @@ def _placed(counted: DataFrame, seed: str) -> DataFrame:
 
 
 def draws(docs: DataFrame, source_rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
-    """A row for each copy in the mix: doc_id, source, rate, copy (from 0) and place (long), shuffled globally by place."""
+    """A row for each copy in the mix: doc_id, source, rate, copy (from 0) and place (long), dealt among partitions by place and sorted there."""
     placed = _placed(copies(docs, source_rates, id_col, source_col, text_col, seed), seed)
     out = placed.select(F.col("row")[id_col].alias("doc_id"), "source", "rate", "copy", "place")
-    return out.repartitionByRange("place").sortWithinPartitions("place", "doc_id", "copy")
+    return out.repartition("place").sortWithinPartitions("place", "doc_id", "copy")
 
 
 def mix(docs: DataFrame, source_rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
     """The mixed table: each document as often as drawn, in a global random order, with the columns of ``docs``."""
     placed = _placed(copies(docs, source_rates, id_col, source_col, text_col, seed), seed)
-    return placed.select("row", "place").repartitionByRange("place").sortWithinPartitions("place").select("row.*")
+    return placed.select("row", "place").repartition("place").sortWithinPartitions("place").select("row.*")
 
 
 def draws_sql(temperature: float = TEMPERATURE, budget: float = BUDGET, seed: str = SEED, docs: str = "documents") -> str:
