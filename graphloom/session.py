@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,6 +14,10 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
     ``partitions`` sets spark.sql.shuffle.partitions; on a cluster leave it None and let AQE coalesce
     from the cluster's own (large) setting.
     """
+    # Python workers of a local session find the package wherever the program was started; on a cluster it is installed or sent along (--py-files).
+    home, paths = str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     b = (
         SparkSession.builder.appName("graphloom")
         .config("spark.sql.session.timeZone", "UTC")
