@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chosenpath, licenses, mixing, packing, pii, quality, substring, urls, warc
+from . import ann, bytepair, chosenpath, licenses, mixing, packing, pii, quality, substring, urls, warc
 from .common import table, written
 
 
@@ -105,10 +105,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(found, "path", F.col("piece") == "file")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = bytepair.decode(bytepair.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_substring_dedup, op3_packing, op4_warc_fixity, op5_url_filters,
         op6_poisson_mix, op7_prefix_forest, op8_jaccard_join, op9_pii, op10_license_scan,
+        op12_byte_bpe,
     )
     return {f.__name__: f for f in every}
 
