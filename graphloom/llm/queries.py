@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytepair, chosenpath, licenses, mixing, packing, pii, quality, substring, urls, warc
+from . import ann, bytepair, chosenpath, collocations, licenses, mixing, packing, pii, quality, substring, urls, warc
 from .common import table, written
 
 
@@ -114,14 +114,18 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_substring_dedup, op3_packing, op4_warc_fixity, op5_url_filters,
         op6_poisson_mix, op7_prefix_forest, op8_jaccard_join, op9_pii, op10_license_scan,
-        op12_byte_bpe,
+        op12_byte_bpe, op13_collocations,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_fixity": OP4_SQL, "op6_poisson_mix": mixing.draws_sql()}
+    return {"op4_warc_fixity": OP4_SQL, "op6_poisson_mix": mixing.draws_sql(), "op13_collocations": collocations.sql()}
