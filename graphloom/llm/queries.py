@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table with production parameters."""
+"""Registered queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytepair, chosenpath, collocations, licenses, mixing, packing, pii, quality, substring, urls, warc
+from . import ann, bytepair, chosenpath, collocations, licenses, mixing, packing, pii, quality, spellings, substring, urls, warc
 from .common import table, written
 
 
@@ -105,6 +105,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(found, "path", F.col("piece") == "file")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -122,10 +126,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_rules, op2_substring_dedup, op3_packing, op4_warc_fixity, op5_url_filters,
         op6_poisson_mix, op7_prefix_forest, op8_jaccard_join, op9_pii, op10_license_scan,
-        op12_byte_bpe, op13_collocations,
+        op11_spelling_variants, op12_byte_bpe, op13_collocations,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_fixity": OP4_SQL, "op6_poisson_mix": mixing.draws_sql(), "op13_collocations": collocations.sql()}
+    return {"op4_warc_fixity": OP4_SQL, "op6_poisson_mix": mixing.draws_sql(), "op11_spelling_variants": spellings.sql(), "op13_collocations": collocations.sql()}
