@@ -1,9 +1,10 @@
 """Byte-level BPE by distinct words: each word of the corpus is encoded once, wherever it occurs.
 
 Encoding. A task cuts texts into pre-tokens and deals them in blocks of about BLOCK characters: a block holds its documents' pre-tokens as positions in a
-list of its own distinct words. The words of all blocks are exploded and shuffled by the word, so that equal words of all blocks lie together, sorted; each is
-encoded once, and its ids go back to the blocks that asked (join by block). There the ids are put together by position. What crosses the network is a row for each
-block and distinct word, never one for each pre-token, and each block's positions once, in compressed planes.
+list of its own distinct words. The words of all blocks are shuffled by a hash of the word, so that equal words of all blocks meet in one task; each is
+encoded once, and its ids go back to the blocks that asked (join by block). There the ids are put together by position. What crosses the network is each block's distinct
+words, never a row for each pre-token, and each block's positions once, in compressed planes. A block's words with one hash travel in one row (fewer and larger rows than one a word,
+and never more).
 
 Decoding joins ids with the token-byte table, which has as many rows as the vocabulary, by gathering from it, and puts the bytes together in order.
 
@@ -16,6 +17,7 @@ an empty result. Other columns are not read. Ids outside the vocabulary decode t
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches
 
-#: Characters of a block, about; pre-tokens of a document that are looked up at a time; words that are encoded at a time.
-BLOCK, PIECES, WORDS = 12_000_000, 1 << 20, 20_000
+#: Characters of a block, about; pre-tokens of a document that are looked up at a time; words that are encoded at a time;
+#: and encoded words that a task keeps before it begins anew.
+BLOCK, PIECES, WORDS, KEPT = 12_000_000, 1 << 20, 20_000, 1_000_000
 
 _loaded: dict[str, object] = {}
 
@@ -138,32 +141,55 @@ def _blocks(pattern: str):
     return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks -> (block, code, word)."""
-    for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("words")):
-            with pa.ipc.open_stream(data.as_buffer()) as stream:
-                words = stream.read_all().column("word").combine_chunks()
-            for a in range(0, len(words), 100_000):
-                part = words.slice(a, 100_000)
-                yield pa.record_batch([pa.array(np.full(len(part), block)), pa.array(np.arange(a, a + len(part), dtype=np.int32)), part.cast(pa.string())], names=["block", "code", "word"])
+def _words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks -> (part, block, codes, sizes, words): a block's words by the hash of the word, packed."""
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("words")):
+                with pa.ipc.open_stream(data.as_buffer()) as stream:
+                    words = [w.encode() for w in stream.read_all().column("word").to_pylist()]
+                part = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % parts
+                order = np.argsort(part, kind="stable")
+                cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+                for a in range(0, len(cuts) - 1, 64):
+                    rows: tuple = ([], [], [], [], [])
+                    for x, y in zip(cuts[a : a + 64], cuts[a + 1 : a + 65]):
+                        own = [words[k] for k in order[x:y].tolist()]
+                        sizes = np.fromiter(map(len, own), dtype=np.uint32, count=len(own))
+                        if own:
+                            for col, v in zip(rows, (int(part[order[x]]), block, planes(np.diff(order[x:y], prepend=0)), planes(sizes), pa.compress(b"".join(own), codec="zstd", asbytes=True))):
+                                col.append(v)
+                    n = pa.array([y - x for x, y in zip(cuts[a : a + 64], cuts[a + 1 : a + 65]) if y > x], pa.int64())
+                    yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), n, *(pa.array(c, pa.binary()) for c in rows[2:])], names=_PACKED)
+
+    return run
+
+
+_PACKED = ["part", "block", "n", "codes", "sizes", "words"]
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted (block, code, word) -> (block, code, ids); a word that goes on in the next batch isn't encoded again."""
-        encoder, last, last_ids = _encoder(path), None, b""
+        """(part, block, n, codes, sizes, words) -> (block, n, codes, sizes, ids). All equal words are here; each is encoded once and kept."""
+        encoder, kept = _encoder(path), {}
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            ids: list[bytes] = []
-            for a in range(0, len(words), WORDS):
-                lot = words[a : a + WORDS]
-                skip = int(a == 0 and lot[0] == last)
-                ids += [last_ids] * skip + [np.array(x, dtype="<u4").tobytes() for x in encoder.encode_ordinary_batch(lot[skip:], num_threads=1)]
-            if words:
-                last, last_ids = words[-1], ids[-1]
-            yield pa.record_batch([batch.column("block"), batch.column("code"), pa.array(ids, pa.binary()).take(coded.indices)], names=["block", "code", "ids"])
+            out_sizes, out_ids = [], []
+            for row in batch.select(["n", "sizes", "words"]).to_pylist():
+                ends = np.cumsum(from_planes(row["sizes"], row["n"]), dtype=np.int64).tolist()
+                data = pa.decompress(row["words"], ends[-1], codec="zstd", asbytes=True)
+                words = [data[x:y] for x, y in zip([0, *ends], ends)]
+                new = [w for w in words if w not in kept]
+                if len(kept) + len(new) > KEPT:
+                    kept.clear()
+                    new = words
+                for a in range(0, len(new), WORDS):
+                    lot = new[a : a + WORDS]
+                    for w, ids in zip(lot, encoder.encode_ordinary_batch([w.decode() for w in lot], num_threads=1)):
+                        kept[w] = np.array(ids, dtype="<u4").tobytes()
+                found = [kept[w] for w in words]
+                out_sizes.append(planes(np.fromiter(map(len, found), dtype=np.uint32, count=len(found)) // 4))
+                out_ids.append(planes(np.frombuffer(b"".join(found), dtype="<u4")))
+            yield pa.record_batch([batch.column("block"), batch.column("n"), batch.column("codes"), pa.array(out_sizes, pa.binary()), pa.array(out_ids, pa.binary())], names=["block", "n", "codes", "sizes", "ids"])
 
     return run
 
@@ -173,19 +199,19 @@ _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 def _assemble(key: tuple, found: pa.Table, blocks: pa.Table) -> pa.Table:
     """A block's positions with the ids of its words -> the ids of each document."""
+    codes, sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, "<u4")]
+    for row in found.select(["n", "codes", "sizes", "ids"]).to_pylist():
+        codes.append(np.cumsum(from_planes(row["codes"], row["n"]), dtype=np.int64))
+        sizes.append(from_planes(row["sizes"], row["n"]).astype(np.int64))
+        ids.append(from_planes(row["ids"], int(sizes[-1].sum())))
+    code, listed, flat = np.concatenate(codes), np.concatenate(sizes), np.concatenate(ids)
+    size, starts = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    size[code], starts[code] = listed, np.cumsum(listed) - listed
     out_docs, out_ids = [], []
-    if found.num_rows:
-        order = np.argsort(found.column("code").to_numpy())
-        lists = found.column("ids").take(pa.array(order)).to_pylist()
-        flat, size = np.frombuffer(b"".join(lists), dtype="<u4"), np.array([len(x) // 4 for x in lists], dtype=np.int64)
-    else:
-        flat, size = np.empty(0, "<u4"), np.empty(0, np.int64)
-    starts = np.cumsum(size) - size
     for row in blocks.select(["docs", "sizes", "codes"]).to_pylist():
-        codes = from_planes(row["codes"], sum(row["sizes"]))
-        at = 0
+        positions, at = from_planes(row["codes"], sum(row["sizes"])), 0
         for doc, n in zip(row["docs"], row["sizes"]):
-            own, at = codes[at : at + n], at + n
+            own, at = positions[at : at + n], at + n
             s = size[own]
             out_docs.append(doc)
             out_ids.append(flat[np.repeat(starts[own] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))].tobytes())
@@ -202,8 +228,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Both uses below read this one exchange.
     blocks = one.mapInArrow(_blocks(pattern), "block long, docs array<long>, sizes array<long>, codes binary, words binary").repartition(n, "block")
-    words = blocks.mapInArrow(_words, "block long, code int, word string")
-    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(path), "block long, code int, ids binary")
+    words = blocks.mapInArrow(_words(4 * n), "part long, block long, n long, codes binary, sizes binary, words binary")
+    encoded = words.repartition(n, "part").mapInArrow(_encode(path), "block long, n long, codes binary, sizes binary, ids binary")
     return encoded.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
 
 
