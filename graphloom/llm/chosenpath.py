@@ -5,9 +5,12 @@ hash chooses, 1 / threshold of them on average; so texts of the asked similarity
 and unlike ones soon part. Nodes with few texts are compared by brute force; larger ones are split again, level by level, until they are small. With k levels
 two similar texts meet with probability 0.63 (k = 1) to 0.37 (k = 3) a run, and runs are repeated until the target recall.
 
-A large node is first compared with one of its texts, its representative. Texts as near to it as COVERED need not be split any further: whatever is similar
-to such a text is near enough to the representative (distances of sets obey the triangle inequality) to be in its group already. So many near copies of one text,
-which no split could part, leave a node in one pass. What is left after DEPTH levels is compared in pairs of blocks.
+Before anything is split, near copies leave. Each text is compared once with one other: the first text of the largest node it is in. Where that one is COVERED alike, it
+stands for the text in all nodes: whatever is similar to the text is near enough to it to be found by a lower bound (distances of sets obey the triangle inequality). What stands
+for others is not stood for itself, so nothing is far from what stands for it. This is repeated while it removes a tenth of the texts in large nodes.
+
+A large node whose texts are alike on average (most of its pairs are candidates) is compared in pairs of blocks, as the paths of its texts would not part. Others are split again, until
+no large node is left. Texts that went deeper than PLANNED levels are given the further runs that so many levels ask for.
 
 Brute force inside a node compares 128 minwise hashes of a byte each against a bound five standard deviations below the threshold and only
 passes on which texts hang together. Texts that may be similar form groups; each group's texts are then compared exactly, once, so no
@@ -35,20 +38,22 @@ from .common import NONSPACE, arrow_batches, written
 from .components import components
 from .rolling import chunks, inside, mix, odd, windows, word_hashes
 
-#: Words of a shingle, similarity of a link, recall to reach, most levels of a path.
-SHINGLE, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
+#: Words of a shingle, similarity of a link, recall to reach, levels that the first runs are meant for.
+SHINGLE, THRESHOLD, RECALL, PLANNED = 5, 0.8, 0.999, 3
 #: Minwise hashes of a sketch, and the similarity of sketches from which texts are compared exactly.
 SKETCH, SKETCH_BOUND = 128, 0.62
-#: The same beside a node's representative, and the similarity from which a text is covered by it: what is 0.8 alike to such a text is 0.2 less alike to the representative
-#: at worst, and still three standard deviations above the first bound.
-STAR_BOUND, COVERED = 0.5, 0.87
-#: Texts of a node from which it is split again; texts of a block, in nodes and in groups; rows that a task takes, about; copies of a group's first text.
+#: Similarity of sketches from which a text is stood for by another one, and the bound for those that stand for others: what is 0.8 alike to a text is at most 0.1 less alike to what stands
+#: for it, and at most 0.2 less to what stands for it in turn where both are stood for; that is still three standard deviations above.
+COVERED, STAR_BOUND = 0.92, 0.48
+#: Mean similarity from which a large node's texts are not parted by splitting.
+ALIKE = 0.62
+#: Texts of a node from which it is split again; texts of a block, in nodes and in groups; rows that a task takes, about; copies of a group's first text, and parts of a node.
 SPLIT, NODE_BLOCK, GROUP_BLOCK, TASK_ROWS, TASK_TEXTS, SALTS = 64, 4096, 2048, 40_000, 4_000, 32
 
 _U = np.uint64
 
 
-def runs_for(recall: float = RECALL, levels: int = DEPTH) -> int:
+def runs_for(recall: float = RECALL, levels: int = PLANNED) -> int:
     """Runs that reach the recall for pairs at the threshold: a critical branching process survives each level."""
     alive = 1.0
     for _ in range(levels):
@@ -100,13 +105,13 @@ def children(h: np.ndarray, sizes: np.ndarray, who: np.ndarray, node: np.ndarray
     return who[from_], mix(node[from_] ^ mix(h[at[spot]]))
 
 
-def roots(h: np.ndarray, sizes: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, node) of the first level of all runs: ``children`` of each run's root, to which all texts go."""
+def roots(h: np.ndarray, sizes: np.ndarray, runs: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(text, node) of the first level of the runs from ``first`` to before ``runs``: ``children`` of each run's root, to which all texts go."""
     own = np.repeat(np.arange(len(sizes)), sizes)
     limit = np.minimum(2.0**64 / (THRESHOLD * np.maximum(sizes, 1)), 2.0**64 - 2049).astype(_U)[own]
     mixed = mix(h)
     found = []
-    for seed in odd(4242, runs):
+    for seed in odd(4242, runs)[first:]:
         x = h * (seed | _U(1))
         x ^= x >> _U(31)
         x *= _U(0xD6E8FEB86659FD93)
@@ -115,6 +120,18 @@ def roots(h: np.ndarray, sizes: np.ndarray, runs: int) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _run_again(first: int, runs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, text) -> (id, path): the first level of further runs."""
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("id").to_numpy()
+            for a, b in chunks(texts):
+                who, path = roots(*shingles(texts[a:b]), runs, first)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][who]), pa.array(path.view(np.int64))], names=["id", "path"])
+
+    return run
+
+
 _SIGNATURE = "node string, doc_id long, sketch binary, paths array<bigint>"
 
 
@@ -156,19 +173,36 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, path, rep, sketch, rep_sketch) -> (id, path, rep, alike): how many of the hashes are the representative's."""
+    """(id, rep, sketch, rep_sketch) -> (id, rep, alike): how many of the hashes are the other text's."""
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sketch", "rep_sketch"))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), batch.column("rep"), pa.array((a == b).sum(1).astype(np.int32))], names=["id", "path", "rep", "alike"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rep"), pa.array((a == b).sum(1).astype(np.int32))], names=["id", "rep", "alike"])
+
 
+_DENSITY = pa.schema([("path", pa.int64()), ("pairs", pa.float64()), ("alike", pa.float64())])
 
-def stars(sketch: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
+
+def _density(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Blocks of large nodes -> the number of their pairs and the sum of the pairs' similarity, by counting equal hashes."""
+    path, cell = table["path"].to_numpy(), table["cell"].to_numpy()
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+    order, bounds = _segments(path, cell)
+    rows = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        n, held = float(b - a), sketch[order[a:b]]
+        same = sum(float((np.bincount(held[:, k]).astype(np.float64) ** 2).sum()) for k in range(SKETCH)) / SKETCH
+        rows.append((path[order[a]], n * (n - 1), same - n))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _DENSITY)] if rows else [pa.array([], f.type) for f in _DENSITY], schema=_DENSITY)
+
+
+def stars(sketch: np.ndarray, apart: np.ndarray | None = None, wide: np.ndarray | None = None) -> np.ndarray:
     """For each row the first row of those it hangs together with, by sketches of at least SKETCH_BOUND alike.
 
     Each row that is reached is compared once with those not yet reached. ``apart`` has block numbers: rows of equal blocks are
-    compared elsewhere.
+    compared elsewhere. ``wide`` rows stand for others; for them the bound is STAR_BOUND.
     """
     n, least = len(sketch), math.ceil(SKETCH_BOUND * SKETCH)
+    some = np.where(wide, math.ceil(STAR_BOUND * SKETCH), least) if wide is not None and wide.any() else None
     first = np.full(n, -1, dtype=np.int64)
     free = np.arange(n)
     while len(free):
@@ -176,7 +210,7 @@ def stars(sketch: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
         first[root], queue = root, [root]
         while queue and len(free):
             row = queue.pop()
-            same = (sketch[free] == sketch[row]).sum(1) >= least
+            same = (sketch[free] == sketch[row]).sum(1) >= (least if some is None else np.minimum(some[free], some[row]))
             if apart is not None:
                 same &= apart[free] != apart[row]
             first[free[same]] = root
@@ -200,19 +234,19 @@ _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def _brute_nodes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Many small nodes, or block pairs of large ones -> stars of texts that may be similar."""
-    path, cell, block, mixed, text = (table[c].to_numpy() for c in ("path", "cell", "block", "mixed", "id"))
+    path, cell, block, mixed, text, wide = (table[c].to_numpy() for c in ("path", "cell", "block", "mixed", "id", "wide"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
     order, bounds = _segments(path, cell)
     sizes = np.diff(bounds)
     out_u, out_v = [], []
     # Nodes of two, all at once.
     two = order[bounds[:-1][sizes == 2][:, None] + np.arange(2)] if (sizes == 2).any() else np.empty((0, 2), dtype=np.int64)
-    alike = (sketch[two[:, 0]] == sketch[two[:, 1]]).sum(1) >= math.ceil(SKETCH_BOUND * SKETCH)
+    alike = (sketch[two[:, 0]] == sketch[two[:, 1]]).sum(1) >= np.where(wide[two].any(1), math.ceil(STAR_BOUND * SKETCH), math.ceil(SKETCH_BOUND * SKETCH))
     out_u.append(text[two[alike, 0]])
     out_v.append(text[two[alike, 1]])
     for k in np.flatnonzero(sizes > 2).tolist():
         rows = order[bounds[k] : bounds[k + 1]]
-        first = stars(sketch[rows], block[rows] if mixed[rows[0]] else None)
+        first = stars(sketch[rows], block[rows] if mixed[rows[0]] else None, wide[rows])
         more = first != np.arange(len(rows))
         out_u.append(text[rows[more]])
         out_v.append(text[rows[first[more]]])
@@ -332,48 +366,105 @@ def node_of(text: str) -> F.Column:
     return F.when(full.rlike(NONSPACE), F.md5(full))
 
 
-def _candidates(texts: DataFrame, one: DataFrame) -> DataFrame:
+def _sized(members: DataFrame) -> DataFrame:
+    """Members (id, path) with the number of their node's (n) and the least of them (rep). Nodes are counted and joined in parts, so that a node is not one task."""
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
+    nodes = parts.groupBy("path").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    return dealt.join(parts.select("path", "part").join(nodes, "path"), ["path", "part"]).drop("part")
+
+
+def _covers(members: DataFrame, sketch: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(id, rep) of texts that another one stands for, if any; and candidate edges of all that were compared."""
+    covers, edges = None, []
+    while True:
+        now = members if covers is None else members.join(covers.select("id"), "id", "left_anti")
+        # The largest node of each text. Sizes are looked up for all members, as a node's size is known only then.
+        best = _sized(now).groupBy("id").agg(F.max(F.struct("n", (-F.col("rep")).alias("last"))).alias("x"))
+        best = best.where(F.col("x.n") > SPLIT).select("id", (-F.col("x.last")).alias("rep")).where("id <> rep")
+        pairs = best.join(sketch, "id").join(sketch.select(F.col("id").alias("rep"), F.col("sketch").alias("rep_sketch")), "rep").select("id", "rep", "sketch", "rep_sketch")
+        beside = written(pairs.mapInArrow(_beside, "id long, rep long, alike int"), "beside")
+        tried = beside.count()
+        if not tried:
+            return covers, edges
+        edges.append(beside.where(F.col("alike") >= math.ceil(STAR_BOUND * SKETCH)).select(F.col("id").alias("u"), F.col("rep").alias("v")))
+        near = beside.where(F.col("alike") >= math.ceil(COVERED * SKETCH)).select("id", "rep")
+        if covers is not None:
+            near = near.join(covers.select(F.col("rep").alias("id")).distinct(), "id", "left_anti")
+        good = near.join(near.select(F.col("id").alias("rep")), "rep", "left_anti").select("id", "rep")
+        covers = written(good if covers is None else good.unionByName(covers), "covers")
+        if (found := good.count()) * 10 < tried or not found:
+            return covers, edges
+
+
+def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
     """Edges (u, v) between ids of texts that may be similar, from all levels. ``texts``: id, node, doc_id, sketch, paths; ``one``: node, doc_id, text."""
     sketch = texts.select("id", "sketch")
     bins = max(1, -(-texts.count() * 4 // TASK_ROWS))
+    covers, edges = _covers(texts.select("id", F.explode("paths").alias("path")), sketch)
+    wide = F.lit(False)
+    if covers is not None:
+        sketch = written(sketch.join(covers.select(F.col("rep").alias("id"), F.lit(True).alias("wide")).distinct(), "id", "left"), "sketches")
+        wide = F.coalesce("wide", F.lit(False))
+    sketch = sketch.select("id", "sketch", wide.alias("wide"))
 
     def compared(members: DataFrame) -> DataFrame:
         """Brute force in nodes (id, path, n): small nodes share a task; each cell of a large one is dealt on its own."""
         cells = _cells(members, "n", "path", "id", NODE_BLOCK).join(sketch, "id")
-        dealt = cells.withColumn("bin", F.pmod(F.xxhash64("path", "cell"), F.lit(bins))).select("bin", "path", "cell", "block", "mixed", "id", "sketch")
+        dealt = cells.withColumn("bin", F.pmod(F.xxhash64("path", "cell"), F.lit(bins))).select("bin", "path", "cell", "block", "mixed", "id", "sketch", "wide")
         return dealt.groupBy("bin").applyInArrow(_brute_nodes, "u long, v long")
 
-    def sized(members: DataFrame) -> DataFrame:
-        return members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
-
-    members, edges, crowded = texts.select("id", F.explode("paths").alias("path")), [], None
-    for level in range(1, DEPTH + 1):
-        nodes = sized(members)
-        edges.append(compared(members.join(nodes.where(F.col("n") <= SPLIT), "path").drop("rep")))
-        crowd = members.join(nodes.where(F.col("n") > SPLIT), "path")
-        pairs = crowd.join(sketch, "id").join(sketch.select(F.col("id").alias("rep"), F.col("sketch").alias("rep_sketch")), "rep")
-        large = written(pairs.select("id", "path", "rep", "sketch", "rep_sketch").mapInArrow(_beside, "id long, path long, rep long, alike int"), "large")
-        if large.isEmpty():
-            break
-        edges.append(large.where((F.col("alike") >= math.ceil(STAR_BOUND * SKETCH)) & (F.col("id") != F.col("rep"))).select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
-        left = large.where(F.col("alike") < math.ceil(COVERED * SKETCH)).select("id", "path")
-        rest = left.join(sized(left).drop("rep"), "path")
-        if level == DEPTH:
-            edges.append(compared(rest))
-            break
-        edges.append(compared(rest.where(F.col("n") <= SPLIT)))
-        at = rest.where(F.col("n") > SPLIT).groupBy("id").agg(F.collect_list("path").alias("paths"))
-        if crowded is None:
-            # The texts that are still to be split, of which deeper levels only have a part.
-            names = at.select("id").join(texts.select("id", "node", F.col("doc_id").alias("least")), "id")
-            crowded = written(one.join(names, "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "text"), "crowded")
-        members = written(crowded.join(at, "id").select("id", "text", "paths").mapInArrow(_descend, "id long, path long").distinct(), "level")
+    def dense(crowd: DataFrame) -> DataFrame:
+        """(path, dense): whether a large node's texts are alike on average."""
+        block = F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("n") / NODE_BLOCK))
+        cells = crowd.withColumn("cell", block).join(sketch, "id").withColumn("bin", F.pmod(F.xxhash64("path", "cell"), F.lit(bins)))
+        found = cells.select("bin", "path", "cell", "sketch").groupBy("bin").applyInArrow(_density, "path long, pairs double, alike double")
+        return found.groupBy("path").agg((F.sum("alike") >= F.sum("pairs") * ALIKE).alias("dense"))
+
+    split: DataFrame | None = None
+
+    def descended(members: DataFrame) -> int:
+        """Compares what lies in small or dense nodes, and splits the others level by level; the levels that were needed."""
+        nonlocal split
+        level = 1
+        while True:
+            stood = members if covers is None else members.join(covers, "id", "left").select(F.coalesce("rep", "id").alias("id"), "path").distinct()
+            nodes = written(_sized(stood).where("n > 1").select("id", "path", "n"), "nodes")
+            edges.append(compared(nodes.where(F.col("n") <= SPLIT)))
+            crowd = nodes.where(F.col("n") > SPLIT)
+            if crowd.isEmpty():
+                return level
+            judged = written(dense(crowd), "dense")
+            edges.append(compared(crowd.join(judged.where("dense"), "path").drop("dense")))
+            at = members.join(judged.where(~F.col("dense")).select("path"), "path").groupBy("id").agg(F.collect_list("path").alias("paths"))
+            at = written(at, "split")
+            if at.isEmpty():
+                return level
+            if split is None:
+                # The texts that are still to be split, of which deeper levels only have a part.
+                split = written(_fetched(one, texts.join(at.select("id"), "id").select("id", "node", F.col("doc_id").alias("rep"))).select("id", "text"), "texts")
+            members = written(split.join(at, "id").select("id", "text", "paths").mapInArrow(_descend, "id long, path long").distinct(), "level")
+            level += 1
+
+    planned, levels = PLANNED, descended(texts.select("id", F.explode("paths").alias("path")))
+    while levels > planned:
+        first, planned = runs_for(recall, planned), levels
+        again = written(split.select("id", "text").mapInArrow(_run_again(first, runs_for(recall, levels)), "id long, path long").distinct(), "again")
+        levels = max(levels, descended(again))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
     return out
 
 
+def _fetched(one: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of ``named`` (id, node, rep and others) with their text, from one of the rows (node, doc_id, text) that have it: the key is the text's name and least id, so that its
+    many copies don't meet in one task."""
+    names = named.withColumnRenamed("node", "__node")
+    found = one.join(names, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    return found.drop("__node").dropDuplicates(["id"])
+
+
 def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """For each distinct text with a word: node, class_id (least id of its class), n_links (rows linked to a row with this text),
     and chosen, true for one node of each class, which has the least id."""
@@ -383,12 +474,12 @@ def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = one.mapInArrow(_sign(runs_for(recall)), _SIGNATURE)
     distinct = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     texts = written(distinct.withColumn("id", F.monotonically_increasing_id()), "signatures")
-    groups = written(components(_candidates(texts, one)), "groups").withColumnRenamed("node", "id")
+    groups = written(components(_candidates(texts, one, recall)), "groups").withColumnRenamed("node", "id")
     # Exact comparison inside groups, on one row of each text; a group's first text (its least id) is dealt with its members.
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     inside_ = groups.join(sizes, "component").join(texts.select("id", "node", F.col("doc_id").alias("rep"), "times"), "id")
-    found_in = one.join(inside_, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("component", "n", "id", "times", "text")
-    found_in = written(found_in.dropDuplicates(["id"]), "members").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    found_in = _fetched(one, inside_).select("component", "n", "id", "times", "text")
+    found_in = written(found_in, "members").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     copies = F.when(F.col("n") > GROUP_BLOCK, SALTS - 1).otherwise(0)  # only large groups are salted
     salt = F.when(F.col("n") > GROUP_BLOCK, F.col("salt")).otherwise(0)
     firsts = found_in.where("id = component").select("component", F.col("text").alias("first"), F.explode(F.sequence(F.lit(0), copies)).alias("salt"))
@@ -411,9 +502,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rec
     """A row for each row: the id, class_id and n_links (other rows whose texts have a similarity of 0.8 or more)."""
     found = written(node_classes(docs, id_col, text_col, recall), "classes")
     rows = docs.select(F.col(id_col).alias("id"), node_of(text_col).alias("node"))
-    out = rows.join(found, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("id").cast("long")).otherwise(F.col("class_id"))
-    return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    none = rows.where("node is null").select("id", F.col("id").cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    out = rows.where("node is not null").join(found, "node").select("id", "class_id", "n_links").unionByName(none)
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
@@ -421,5 +512,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     found = written(node_classes(docs, id_col, text_col, recall).where("chosen").select("node", "class_id"), "chosen")
     rows = docs.select(F.struct(*docs.columns).alias("row"), node_of(text_col).alias("node"), F.col(id_col).cast("long").alias("id"))
     bare = rows.where("node is null").select("row")
-    kept = rows.join(found, "node").where(F.col("id").eqNullSafe(F.col("class_id"))).dropDuplicates(["node"]).select("row")
+    # By text and id, so that the copies of a text don't meet in one task.
+    names = found.withColumnRenamed("node", "__node")
+    kept = rows.join(names, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("class_id"))).dropDuplicates(["node"]).select("row")
     return kept.unionByName(bare).select("row.*")
