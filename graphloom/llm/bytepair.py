@@ -92,13 +92,13 @@ class _Block:
         self.codes: list[np.ndarray] = []
         self.chars = 0
 
-    def add(self, doc, text: str, pattern) -> None:
+    def add(self, doc, text: str, pattern, pieces: int) -> None:
         code, n, before = self.code, len(self.codes), []
-        found = pattern.finditer(text) if len(text) > PIECES else None
+        found = pattern.finditer(text) if len(text) > pieces else None
         if found is None:
             lots = [pattern.findall(text)]
         else:  # a long text isn't held as one list of words
-            lots = iter(lambda: [m.group() for _, m in zip(range(PIECES // 8), found)], [])
+            lots = iter(lambda: [m.group() for _, m in zip(range(pieces // 8), found)], [])
         for words in lots:
             before += [w for w in set(words) if w not in code]
             for w in before:
@@ -126,13 +126,13 @@ class _Block:
 _BLOCKS = ["block", "docs", "sizes", "codes", "words"]
 
 
-def _blocks(pattern: str):
+def _blocks(pattern: str, most: int, pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k, now, cut = TaskContext.get().partitionId(), 0, _Block(), _pattern(pattern)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                now.add(doc, text.as_py() or "", cut)
-                if now.chars >= BLOCK or len(now.docs) >= BLOCK // 100:
+                now.add(doc, text.as_py() or "", cut, pieces)
+                if now.chars >= most or len(now.docs) >= most // 100:
                     yield now.row(task << 32 | k)
                     k, now = k + 1, _Block()
         if now.docs:
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Both uses below read this one exchange.
-    blocks = one.mapInArrow(_blocks(pattern), "block long, docs array<long>, sizes array<long>, codes binary, words binary").repartition(n, "block")
+    blocks = one.mapInArrow(_blocks(pattern, BLOCK, PIECES), "block long, docs array<long>, sizes array<long>, codes binary, words binary").repartition(n, "block")
     words = blocks.mapInArrow(_words(4 * n), "part long, block long, n long, codes binary, sizes binary, words binary")
     encoded = words.repartition(n, "part").mapInArrow(_encode(path), "block long, n long, codes binary, sizes binary, ids binary")
     return encoded.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")

@@ -42,11 +42,11 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 e
 _NO_LETTER = re.compile(r"[^A-Za-zÀ-ÿ]")
 
 
-def runs(text: str) -> Iterator[list[bytes]]:
+def runs(text: str, most: int = PART) -> Iterator[list[bytes]]:
     """The runs of letters of a text, lower-cased, in Latin-1; a long text comes in parts, cut beside a run."""
     at = 0
     while at < len(text):
-        end = min(len(text), at + PART)
+        end = min(len(text), at + most)
         if end < len(text):
             found = _NO_LETTER.search(text, end)
             end = found.start() if found else len(text)
@@ -54,39 +54,42 @@ def runs(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (word, n)."""
-    total: dict[bytes, int] = {}
-
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array([w.decode("latin-1") for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-        total.clear()
-        return out
-
-    for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            begun, held = zlib.crc32(f"{'' if doc is None else doc}:".encode()), Counter()
-            for part in runs(text.as_py() or ""):
-                held.update(w for w in part if len(w) >= LENGTH)
-            for w, n in held.items():
-                h = zlib.crc32(w if w.isascii() else w.decode("latin-1").encode(), begun)
-                if h % DROPPED == 0:
-                    k = h % len(w)
-                    w = w[:k] + w[k + 1 :]
-                    if len(w) < LENGTH:
-                        continue
-                total[w] = total.get(w, 0) + n
-            if len(total) >= HELD:
-                yield flush()
-    if total:
-        yield flush()
+def _count(most: int, part_of: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text) -> (word, n)."""
+        total: dict[bytes, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array([w.decode("latin-1") for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+            total.clear()
+            return out
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                begun, held = zlib.crc32(f"{'' if doc is None else doc}:".encode()), Counter()
+                for part in runs(text.as_py() or "", part_of):
+                    held.update(w for w in part if len(w) >= LENGTH)
+                for w, n in held.items():
+                    h = zlib.crc32(w if w.isascii() else w.decode("latin-1").encode(), begun)
+                    if h % DROPPED == 0:
+                        k = h % len(w)
+                        w = w[:k] + w[k + 1 :]
+                        if len(w) < LENGTH:
+                            continue
+                    total[w] = total.get(w, 0) + n
+                if len(total) >= most:
+                    yield flush()
+        if total:
+            yield flush()
+
+    return run
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n): the words of at least LENGTH code points and TIMES occurrences."""
     arrow_batches(docs.sparkSession, 4000)
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return one.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= TIMES)
+    return one.mapInArrow(_count(HELD, PART), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= TIMES)
 
 
 class _Index:
