@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.kg_views import PREFIXES, TYPE, triples_sql
@@ -245,6 +245,57 @@ class Top(Node):
         return f"SELECT * FROM ({self.child.sql()}) ORDER BY {self._order()}{cut}"
 
 
+@dataclass
+class Pairs(Node):
+    """The first ``limit`` pairs of rows of ``side`` that have the same ``shared`` variable, the first with the lesser ``who``, and with different values of ``apart`` (if given).
+
+    Rows of ``side`` are paired once with themselves: a variable x but the shared ones becomes x1 and x2. ``columns`` are the result's, in which pairs are ordered; all of the first row's
+    but for shared ones come before the second row's, and who1 first. Only rows that can be in one of the first pairs are paired. With k the limit, take a pair (l, r) of the first k of one
+    shared value. Each row before l whose ``who`` is lesser makes an earlier pair, with r or (where it is not apart from r) with l: there are less than k. So does, with l, each row
+    between l and r that is apart from l. So r is among the first 2k of its value of ``apart`` and, where of each value 2k are kept, among the first 4k of all;
+    without ``apart`` among the first 2k. These are counted in distinct values of ``who``, bounded in each task before anything is shuffled.
+    """
+
+    side: Node
+    shared: list[str]
+    who: str
+    columns: list[str]
+    limit: int
+    apart: str | None = None
+
+    @property
+    def names(self) -> list[str]:
+        return self.columns
+
+    def _order(self) -> list[str]:
+        own = [c for c in self.columns if c not in self.shared]
+        if not own[0] == self.who + "1" or [c[-1] for c in own] != sorted(c[-1] for c in own):
+            raise ValueError("pairs are ordered by their first row, beginning with who, and then by the second")
+        return self.columns
+
+    def frame(self, graph) -> DataFrame:
+        key, rows = self.shared[0], self.side.frame(graph)
+        first = lambda df, k, *by: df.withColumn("__r", F.dense_rank().over(Window.partitionBy(*by).orderBy(self.who))).where(F.col("__r") <= k).drop("__r")
+        if self.apart:
+            rows = first(first(rows, 2 * self.limit, key, self.apart), 4 * self.limit, key)
+        else:
+            rows = first(rows, 2 * self.limit, key)
+        # What is left of a shared value is a short list, in which all pairs are made.
+        own = [n for n in self.side.names if n not in self.shared]
+        lists = rows.groupBy(*self.shared).agg(F.collect_list(F.struct(*own)).alias("rows"))
+        fits = lambda a, b: (a[self.who] < b[self.who]) & (a[self.apart] != b[self.apart] if self.apart else F.lit(True))
+        pairs = F.flatten(F.transform("rows", lambda a: F.transform(F.filter("rows", lambda b: fits(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        made = lists.select(*self.shared, F.explode(pairs).alias("p"))
+        shown = [F.col(c) if c in self.shared else F.col(f"p.{'ab'[int(c[-1]) - 1]}.{c[:-1]}").alias(c) for c in self.columns]
+        return made.select(*shown).orderBy(*(F.col(c).asc_nulls_last() for c in self._order())).limit(self.limit)
+
+    def sql(self) -> str:
+        shown = ", ".join(f'a."{c}"' if c in self.shared else f'{"ab"[int(c[-1]) - 1]}."{c[:-1]}" AS "{c}"' for c in self.columns)
+        test = " AND ".join([*(f'a."{k}" = b."{k}"' for k in self.shared), f'a."{self.who}" < b."{self.who}"', *([f'a."{self.apart}" <> b."{self.apart}"'] if self.apart else [])])
+        order = ", ".join(f'"{c}" ASC NULLS LAST' for c in self._order())
+        return f"SELECT {shown} FROM ({self.side.sql()}) a JOIN ({self.side.sql()}) b ON {test} ORDER BY {order} LIMIT {self.limit}"
+
+
 def _node(*parts: str | Node) -> Node:
     """Patterns and nodes joined so that each shares a variable with those before it; patterns with more constants first."""
     left: list[Node] = [p if isinstance(p, Node) else Pattern(*map(term, p.split(None, 2))) for p in parts]
