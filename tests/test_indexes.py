@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import linking
+from graphloom.operators import labelling, linking
 from graphloom.operators.kg_views import KG, StoredGraph
 from graphloom.plans.algebra import Pairs, match
 
@@ -48,3 +48,16 @@ def test_first_pairs_are_those_of_all_pairs(spark, apart, seed):
 def test_pairs_are_ordered_by_their_first_row():
     with pytest.raises(ValueError):
         Pairs(match("?person :l ?place").select("person", "place"), ["place"], "person", ["place", "person2", "person1"], 5).sql()
+
+
+def test_names_in_texts_are_those_of_all_pairs(spark):
+    r = random.Random(4)
+    alphabet = ["a", "b", "é", "漢", " ", "𝄞"]
+    dictionary = {"".join(r.choice(alphabet) for _ in range(r.randint(1, 9))) for _ in range(80)} | {"long name " * 30, "", "ab" * 40}
+    texts = [(k, "".join(r.choice(alphabet) for _ in range(r.randint(0, 200)))) for k in range(60)] + [(100, None), (101, ""), (102, "x" * 100 + "long name " * 31 + "ab" * 45), (103, "é" * 5000 + "ab漢")]
+    names = spark.createDataFrame([(x, "T") for x in sorted(dictionary)] + [(None, "T")], "name string, kind string")
+    docs = spark.createDataFrame([(k, t, "kept") for k, t in texts], "doc_id long, text string, place_of string")
+    got = sorted((x.doc_id, x.name, x.place, x.place_of) for x in labelling.occurrences(docs, "text", names, "name").collect())
+    assert got == sorted((k, n, t.find(n) + 1, "kept") for k, t in texts for n in dictionary if t and n and n in t)
+    assert labelling.occurrences(docs, "text", names.where("name = ''"), "name").count() == 0
+    assert labelling.occurrences(docs.where("false"), "text", names, "name").count() == 0
