@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -12,42 +13,59 @@ from pyspark.sql import functions as F
 REMOVED = (("(?is)<script.*?</script>", ""), ("(?is)<style.*?</style>", ""), ("(?is)<!--.*?-->", ""), ("<[^>]+>", " "), (r"\s+", " "))
 
 
-#: Named entities by the standard's table, and those that count without a semicolon.
-_NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+#: Names that count without a semicolon, the longest first.
 _BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
-#: Numbers that stand for signs of another code page.
-_MOVED = {str(k): bytes([k]).decode("cp1252") for k in range(0x80, 0xA0) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+#: Numbers that stand for signs of another code page, or for none (fixed values of the standard).
+_MOVED = {k: bytes([k]).decode("cp1252") if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(k) for k in range(0x80, 0xA0)} | {0: "\ufffd", 0x0D: "\r"}
+_ENDS = [0x10000 * plane + last for plane in range(0x11) for last in (0xFFFE, 0xFFFF)]
+#: Entities that most pages have no others than; the ampersand's comes last, as what it makes is not read again.
+_COMMON = ("lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "#39", "amp")
 
 
 def _sign(code: Column) -> Column:
-    """The character of a number (long); the replacement character where there is none."""
-    moved = F.from_json(F.lit(json.dumps(_MOVED)), "map<string,string>")
-    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    """The character of a number (long, null for one too large); the replacement character where there is none, nothing for control signs and numbers that are no characters."""
+    moved = F.from_json(F.lit(json.dumps({str(k): v for k, v in _MOVED.items()})), "map<string,string>")
+    code = F.coalesce(code, F.lit(0x110000).cast("long"))
+    none = code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | code.isin(_ENDS)
+    good = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     plain = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-    return F.coalesce(F.try_element_at(moved, code.cast("string")), plain)
+    return F.coalesce(F.try_element_at(moved, code.cast("string")), F.when(none, F.lit("")).otherwise(plain))
 
 
-def decoded(text: Column) -> Column:
-    """Entities of HTML as their characters, once: what an ampersand's entity makes is not read again."""
-    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
-    bare = F.from_json(F.lit(json.dumps({k: html5[k] for k in _BARE})), "map<string,string>")
-
-    def one(piece: Column) -> Column:
-        whole, short = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(piece, f"^({'|'.join(_BARE)})", 1)
-        digits, hexed = F.regexp_extract(piece, "^#([0-9]{1,7});?", 1), F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,6});?", 1)
-        known = F.when(whole != "", F.try_element_at(named, whole))
-        after = lambda pattern: F.regexp_replace(piece, pattern, "")
-        return (
-            F.when(known.isNotNull(), F.concat(known, F.substr(piece, F.length(whole) + F.lit(2))))
-            .when(short != "", F.concat(F.try_element_at(bare, short), F.substr(piece, F.length(short) + F.lit(1))))
-            .when(digits != "", F.concat(_sign(F.try_to_number(digits, F.lit("9999999")).cast("long")), after("^#[0-9]{1,7};?")))
-            .when(hexed != "", F.concat(_sign(F.conv(hexed, 16, 10).cast("long")), after("^#[xX][0-9a-fA-F]{1,6};?")))
-            .otherwise(F.concat(F.lit("&"), piece))
-        )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
+def decoded(text: Column) -> Column:
+    """Entities of HTML as their characters, once, as the standard reads them: what an ampersand's entity makes is not read again.
+
+    Names with a semicolon are looked up as a whole; else the longest name that counts without one begins the rest. Numbers may have any number of leading zeros.
+    """
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    bare = f"^({'|'.join(_BARE)})"
+
+    def number(piece: Column) -> Column:
+        """What comes after an ampersand and begins with a number sign."""
+        parts = F.regexp_extract(piece, "^#0*([0-9]+);?", 1), F.regexp_extract(piece, "^#[xX]0*([0-9a-fA-F]+);?", 1)
+        digits = _let(parts[0], lambda d: F.when(d != "", F.concat(_sign(F.when(F.length(d) <= 7, d.cast("long"))), F.regexp_replace(piece, "^#[0-9]+;?", ""))))
+        hexed = _let(parts[1], lambda d: F.when(d != "", F.concat(_sign(F.when(F.length(d) <= 6, F.conv(d, 16, 10).cast("long"))), F.regexp_replace(piece, "^#[xX][0-9a-fA-F]+;?", ""))))
+        return F.coalesce(digits, hexed, F.concat(F.lit("&"), piece))
+
+    def name(piece: Column) -> Column:
+        whole = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]{1,30};", 0)
+        known = _let(whole, lambda w: F.when(w != "", F.concat(F.try_element_at(named, w), F.substr(piece, F.length(w) + F.lit(1)))))
+        short = _let(F.regexp_extract(piece, bare, 1), lambda w: F.when(w != "", F.concat(F.try_element_at(named, w), F.substr(piece, F.length(w) + F.lit(1)))))
+        return F.coalesce(known, short, F.concat(F.lit("&"), piece))
+
+    one = lambda piece: F.when(piece.startswith("#"), number(piece)).otherwise(name(piece))
     parts = F.split(text, "&", -1)
     many = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
-    return F.when(text.contains("&"), many).otherwise(text)
+    few = text
+    for k in _COMMON:
+        few = F.replace(few, F.lit(f"&{k};"), F.lit("'" if k == "#39" else html5[f"{k};"]))
+    rare = text.rlike(f"&(?!(?:{'|'.join(_COMMON)});)")
+    return F.when(~text.contains("&"), text).when(~rare, few).otherwise(many)
 
 
 def clean_html(html: Column) -> Column:

@@ -1,5 +1,9 @@
 """Fixtures with hand-derived results for mentions, linking, relations, coreference, domain rules, chunks and pages."""
 
+import html as standard
+import random
+from html.entities import html5
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +218,22 @@ def test_ontology(spark):
     assert {(r.source_type, r["class"]) for r in ontology.by_source(m.where("type is not null")).collect()} >= {("pdf", "Person"), ("combined", "WorkExperience")}
     up = {(r["class"], r.ancestor) for r in ontology.superclasses(spark).collect()}
     assert ("LegalDocument", "Entity") in up and ("LegalDocument", "Document") in up
+
+
+def test_entities_are_those_of_the_standard(spark):
+    """On strings of entities, halves of them and signs around them, against the standard library."""
+    r = random.Random(7)
+    names = list(html5)
+    def piece():
+        k = r.randint(0, 9)
+        if k < 3:
+            return "&" + (n := r.choice(names))[: r.choice([len(n), len(n), r.randint(1, len(n))])] + r.choice(["", ";", "x", " "])
+        if k < 5:
+            return f"&#{'0' * r.choice([0, 0, 1, 9])}{r.choice([r.randint(0, 300), r.randint(0, 0x120000), r.randint(0xD700, 0xE000), 10 ** 12])}" + r.choice(["", ";", "z"])
+        if k < 7:
+            return f"&#{r.choice('xX')}{'0' * r.choice([0, 0, 8])}{r.choice([r.randint(0, 300), r.randint(0, 0x120000), 0xFDD0, 0x1FFFF, 16 ** 9]):x}" + r.choice(["", ";", "g"])
+        return r.choice(["&", "&&", "&#", "&#;", "&#x;", "&;", "& ", "&amp;", "&amp;lt;", "&lt;", "text", "é", "&nosuchname;", "&#39;", "&apos;"])
+    texts = ["".join(piece() for _ in range(r.randint(0, 6))) for _ in range(10_000)] + ["&#0000000065;x", "&#x000000041;", "&#11;y", "", "&amp;&lt;&#39;", "&copy;&middot;&nbsp;"]
+    got = spark.createDataFrame(enumerate(texts), "k int, t string").select("k", T.decoded(F.col("t")).alias("d")).collect()
+    wrong = [(texts[x.k], x.d, standard.unescape(texts[x.k])) for x in got if x.d != standard.unescape(texts[x.k])]
+    assert not wrong, wrong[:5]
