@@ -31,7 +31,7 @@ from .rolling import mix, odd, word_hashes
 #: Least count of a phrase; share, in hundredths of its count, from which a longer one replaces it; rows of a language.
 LEAST, COVERED, TOP = 10, 50, 2000
 #: Binary logarithm of the bits of a pass's bitmap (16 MB); bytes of text that are counted at a time; parts of a language's ranking.
-BITS, BATCH, SALTS = 27, 12_000_000, 64
+BITS, BATCH, SALTS = 27, 4_000_000, 64
 #: Stands between pieces: a capital letter, which no lower-cased word has.
 GAP = "A"
 
@@ -74,11 +74,11 @@ class _Grams:
 
 
 def has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h >> _U(64 - BITS)
+    bit = h >> _U(65 - (8 * len(bitmap)).bit_length())
     return (bitmap[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
 
 
-def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[_Grams]:
+def _lots(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Grams]:
     held, size = [], 0
 
     def flush() -> _Grams:
@@ -87,45 +87,53 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[_Grams]:
         return _Grams(pa.concat_arrays([x.cast(pa.large_string()) for x in t.column("text").chunks]), langs)
 
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= BATCH:
-            yield flush()
-            held, size = [], 0
+        lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:  # as many rows as there is room for, and one at least
+            end = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + most - size, "right")))
+            held.append(batch.slice(at, end - at))
+            size += int(lengths[end - 1] - (lengths[at - 1] if at else 0)) + end - at
+            at = end
+            if size >= most or at < batch.num_rows:
+                yield flush()
+                held, size = [], 0
     if held:
         yield flush()
 
 
-def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """-> (lang, phrase, h, n); a language's words in all have an empty phrase."""
-    for g in _lots(batches):
-        real = g.word >= 0
-        key, first, n = np.unique(g.lang[real] * max(len(g.words), 1) + g.word[real], return_index=True, return_counts=True)
-        at = np.flatnonzero(real)[first]
-        every = np.bincount(g.lang[real], minlength=len(g.langs))
-        some = np.flatnonzero(every)
-        lang = np.concatenate([g.lang[at], some])
-        phrase = pa.concat_arrays([g.words.take(pa.array(g.word[at])), pa.array([""] * len(some), g.words.type)])
-        h = np.concatenate([g.hash[at], np.zeros(len(some), _U)])
-        yield pa.record_batch([g.langs.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(h.view(np.int64)), pa.array(np.concatenate([n, every[some]]).astype(np.int64))], names=["lang", "phrase", "h", "n"])
+def _counted_words(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """-> (lang, phrase, h, n); a language's words in all have an empty phrase."""
+        for g in _lots(batches, most):
+            real = g.word >= 0
+            key, first, n = np.unique(g.lang[real] * max(len(g.words), 1) + g.word[real], return_index=True, return_counts=True)
+            at = np.flatnonzero(real)[first]
+            every = np.bincount(g.lang[real], minlength=len(g.langs))
+            some = np.flatnonzero(every)
+            lang = np.concatenate([g.lang[at], some])
+            phrase = pa.concat_arrays([g.words.take(pa.array(g.word[at])), pa.array([""] * len(some), g.words.type)])
+            h = np.concatenate([g.hash[at], np.zeros(len(some), _U)])
+            yield pa.record_batch([g.langs.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(h.view(np.int64)), pa.array(np.concatenate([n, every[some]]).astype(np.int64))], names=["lang", "phrase", "h", "n"])
+
+    return run
 
 
-def _hashed_pairs(frequent):
+def _hashed_pairs(frequent, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """-> (h, n): 2-grams by hash."""
         bitmap = np.frombuffer(frequent.value, dtype=np.uint8)
-        for g in _lots(batches):
+        for g in _lots(batches, most):
             h, n = np.unique(g.pairs(bitmap)[1], return_counts=True)
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return run
 
 
-def _counted_grams(frequent, frequent_pairs):
+def _counted_grams(frequent, frequent_pairs, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """-> (lang, phrase, k, n) of frequent 2-grams and of 3-grams that consist of two."""
         words, pairs = (np.frombuffer(x.value, dtype=np.uint8) for x in (frequent, frequent_pairs))
-        for g in _lots(batches):
+        for g in _lots(batches, most):
             at, h = g.pairs(words)
             at = at[has(pairs, h)]
             d = max(len(g.words), 1)
@@ -159,14 +167,14 @@ def levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", leas
     """Tables (lang, phrase, n) of the words, with every language's count of all words at the empty phrase, and (lang, phrase, k, n) of 2- and 3-grams; all with n of at least ``least``,
     but for the totals."""
     spark = docs.sparkSession
-    arrow_batches(spark, 4000)
+    arrow_batches(spark, 1000)
     one = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counted = one.mapInArrow(_counted_words, "lang string, phrase string, h long, n long").groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+    counted = one.mapInArrow(_counted_words(BATCH), "lang string, phrase string, h long, n long").groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
     words = written(counted.where((F.col("n") >= least) | (F.col("phrase") == "")), "words")
     frequent = _bitmap(spark, words.where("phrase <> ''"))
-    hashed = one.mapInArrow(_hashed_pairs(frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    hashed = one.mapInArrow(_hashed_pairs(frequent, BATCH), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     frequent_pairs = _bitmap(spark, hashed)
-    grams = one.mapInArrow(_counted_grams(frequent, frequent_pairs), "lang string, phrase string, k int, n long")
+    grams = one.mapInArrow(_counted_grams(frequent, frequent_pairs, BATCH), "lang string, phrase string, k int, n long")
     grams = written(grams.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams")
     return words.select("lang", "phrase", "n"), grams
 
