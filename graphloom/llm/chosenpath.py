@@ -430,12 +430,12 @@ def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
         while True:
             stood = members if covers is None else members.join(covers, "id", "left").select(F.coalesce("rep", "id").alias("id"), "path").distinct()
             nodes = written(_sized(stood).where("n > 1").select("id", "path", "n"), "nodes")
-            edges.append(compared(nodes.where(F.col("n") <= SPLIT)))
+            edges.append(written(compared(nodes.where(F.col("n") <= SPLIT)), "found"))
             crowd = nodes.where(F.col("n") > SPLIT)
             if crowd.isEmpty():
                 return level
             judged = written(dense(crowd), "dense")
-            edges.append(compared(crowd.join(judged.where("dense"), "path").drop("dense")))
+            edges.append(written(compared(crowd.join(judged.where("dense"), "path").drop("dense")), "found"))
             at = members.join(judged.where(~F.col("dense")).select("path"), "path").groupBy("id").agg(F.collect_list("path").alias("paths"))
             at = written(at, "split")
             if at.isEmpty():
