@@ -8,24 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns by relation with the types of their two groups (fixed values).
-PATTERNS = (
-    ("WORKS_FOR", r"(\w+\s\w+)\s+(?:is|was|are|were)\s+(?:the\s+)?(\w+)\s+of\s+([^,.]+)", "PERSON", "ORG"),
-    ("WORKS_FOR", r"(\w+\s\w+)\s+(?:works?|worked)\s+for\s+([^,.]+)", "PERSON", "ORG"),
-    ("WORKS_FOR", r"(\w+\s\w+)\s+from\s+([^,.]+)", "PERSON", "ORG"),
-    ("WORKS_FOR", r"([^,.]+)\s+(?:employee|staff|worker|executive)\s+(\w+\s\w+)", "ORG", "PERSON"),
-    ("LOCATED_IN", r"([^,.]+)\s+in\s+([^,.]+)", "ENTITY", "PLACE"),
-    ("LOCATED_IN", r"([^,.]+)\s+at\s+([^,.]+)", "ENTITY", "PLACE"),
-    ("LOCATED_IN", r"([^,.]+)\s+located\s+in\s+([^,.]+)", "ENTITY", "PLACE"),
-    ("LOCATED_IN", r"([^,.]+)\s+based\s+in\s+([^,.]+)", "ENTITY", "PLACE"),
-    ("HAS_ROLE", r"(\w+\s\w+)\s+(?:is|was|are|were)\s+(?:the\s+)?(\w+)", "PERSON", "ROLE"),
-    ("HAS_ROLE", r"(\w+\s\w+)\s*,\s*(\w+(?:\s+\w+)*)", "PERSON", "ROLE"),
-    ("HAS_ROLE", r"the\s+(\w+)\s+(\w+\s\w+)", "ROLE", "PERSON"),
-    ("PARTICIPATED_IN", r"(\w+\s\w+)\s+(?:attended|participated|joined)\s+([^,.]+)", "PERSON", "EVENT"),
-    ("PARTICIPATED_IN", r"([^,.]+)\s+(?:with|by)\s+(\w+\s\w+)", "EVENT", "PERSON"),
-)
-NEAR, LEAST = 50, 0.3
-STRETCH = "([^,.]+)"
+from .document_relations import MENTION, NEAR, PATTERNS, related
+
+LEAST = 0.3
 
 
 def relation_type(a: Column, b: Column, role_a: Column | None = None, role_b: Column | None = None) -> Column:
@@ -79,76 +64,20 @@ def by_sentence(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     return _related(both, _kind(), F.lit(0.5), F.trim("s"))
 
 
-def _names(mentions: DataFrame) -> DataFrame:
-    """Distinct (text, type) of a document with their places in order, as texts repeat often in long documents."""
-    return mentions.groupBy("doc_id", "text", "type").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-
-
-def _held(docs: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sentences, distinct names by sentence that holds them)."""
-    each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.!?]+")).alias("sentence", "s"))
-    return each, _names(mentions).join(each, "doc_id").where(F.col("s").contains(F.col("text"))).drop("s")
-
-
-def sentence_counts(docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """How many pairs ``by_sentence`` has of each relation, counted from the mentions of each type in a sentence: no pair is made."""
-    held = _held(docs, mentions)[1].groupBy("doc_id", "sentence", "type").agg(F.sum(F.size("places")).alias("n"))
-    side = lambda k: held.select("doc_id", "sentence", F.col("type").alias(f"type{k}"), F.col("n").alias(f"n{k}"))
-    both = side(1).join(side(2), ["doc_id", "sentence"]).where(F.col("type1") <= F.col("type2"))
-    pairs = F.when(F.col("type1") == F.col("type2"), F.expr("n1 * (n1 - 1) div 2")).otherwise(F.col("n1") * F.col("n2"))
-    found = both.groupBy(relation_type(F.col("type1"), F.col("type2")).alias("relation")).agg(F.sum(pairs).alias("n"))
-    return found.where("n > 0")
+def _lists(docs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) with their mentions as a list, for ``documents.related``."""
+    each = _with_role(mentions).where("doc_id is not null").groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct(*MENTION)).alias("mentions"))
+    return docs.select("doc_id", "text").join(each, F.col("doc_id") == F.col("__d")).drop("__d")
 
 
 def by_sentence_once(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """``by_sentence`` with each pair of (text, type) once a document, at its first places and in its first sentence."""
-    each, held = _held(docs, mentions)
-    side = lambda k: held.select("doc_id", "sentence", *(F.col(c).alias(f"{c}{k}") for c in ("text", "type", "places")))
-    pos1 = F.element_at("places1", 1)
-    both = side(1).join(side(2), ["doc_id", "sentence"]).where(pos1 < F.element_at("places2", -1))
-    pos2 = F.array_min(F.filter("places2", lambda x: x > pos1))
-    once = both.groupBy("doc_id", "text1", "type1", "text2", "type2").agg(F.min("sentence").alias("sentence"), F.min(pos1).alias("pos1"), F.min(pos2).alias("pos2"))
-    return _related(once.join(each, ["doc_id", "sentence"]), relation_type(F.col("type1"), F.col("type2")), F.lit(0.5), F.trim("s"))
+    return related(_lists(docs, mentions), ("sentences",), False).drop("seq")
 
 
 def by_patterns(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Matches of PATTERNS whose two groups are mentions of the expected types: an exact text first, then the first partial one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = [_tagged(_matches(text, pattern), k, kind, a, b) for k, (kind, pattern, a, b) in enumerate(PATTERNS)]
-    names = mentions.groupBy("doc_id", "text", "type").agg(F.min("pos").alias("pos"))  # the first of equal ones is taken anyway
-    names = names.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "text", "type", F.lower("text").alias("low"))).alias("names"))
-    hits = docs.select("doc_id", F.concat(*found).alias("hits")).join(names, "doc_id")
-
-    def fitting(want: Column, kind: Column) -> Column:
-        fits = lambda n: ((kind == "ENTITY") | (kind == n["type"])) & (want.contains(n["low"]) | n["low"].contains(want))
-        return F.array_min(F.transform(F.filter("names", fits), lambda n: F.struct((n["low"] != want).alias("other"), n["pos"].alias("pos"), n["text"].alias("text"), n["type"].alias("type"))))
-
-    both = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), h["e"].alias("e"), fitting(h["a"], h["type_a"]).alias("a"), fitting(h["b"], h["type_b"]).alias("b")))
-    rows = hits.select("doc_id", F.explode(both).alias("h")).select("doc_id", "h.*").where("a.pos <> b.pos")
-    pairs = rows.select("doc_id", "kind", "e", *(F.col(f"{s}.{c}").alias(f"{c}{k}") for k, s in ((1, "a"), (2, "b")) for c in ("text", "type", "pos")))
-    return _related(pairs, F.col("kind"), F.lit(0.8), F.col("e"))
-
-
-def _matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern in order: a and b its groups (trimmed, in lower case), e the whole.
-
-    A match of a pattern without a comma lies between two commas or stops. Where one begins with such a stretch, only stretches that hold the rest are
-    searched, as each start in the others would be tried in vain.
-    """
-    p = F.lit("(?iuU)" + pattern)
-    group = lambda t, k: F.regexp_extract_all(t, p, F.lit(k))
-    every = lambda t: F.zip_with(F.arrays_zip(group(t, 1).alias("a"), group(t, 2).alias("b")), group(t, 0), lambda x, e: F.struct(F.lower(F.trim(x["a"])).alias("a"), F.lower(F.trim(x["b"])).alias("b"), e.alias("e")))
-    if not pattern.startswith(STRETCH):
-        return every(text)
-    some = "(?iuU)" + pattern.replace(STRETCH, "[^,.]")
-    return F.flatten(F.transform(F.filter(F.split(text, "[,.]", -1), lambda t: t.rlike(some)), every))
-
-
-def _tagged(zipped: Column, k: int, kind: str, a: str, b: str) -> Column:
-    return F.transform(
-        zipped,
-        lambda z, i: F.struct(F.lit(k).alias("k"), i.alias("i"), z["a"].alias("a"), z["b"].alias("b"), z["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(a).alias("type_a"), F.lit(b).alias("type_b")),
-    )
+    return related(_lists(docs, mentions), ("patterns",), False).drop("seq")
 
 
 def deduplicated(relations: DataFrame) -> DataFrame:
@@ -159,9 +88,10 @@ def deduplicated(relations: DataFrame) -> DataFrame:
 
 def extract(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """All relations with a confidence above 0.3, each once a document, with a context of 100 characters."""
-    sources = (by_patterns(docs, mentions), by_nearness(mentions), by_sentence_once(docs, mentions))
-    every = None
-    for k, s in enumerate(sources):
-        s = s.withColumn("seq", F.lit(k))
-        every = s if every is None else every.unionByName(s)
-    return deduplicated(every).where(F.col("confidence") > LEAST).withColumn("context_snippet", F.substring("evidence", 1, 100))
+    return extracted(_lists(docs, mentions))
+
+
+def extracted(lists: DataFrame) -> DataFrame:
+    """``extract`` for documents that hold their mentions as a list (MENTION): nothing is shuffled, as a document's relations are its own."""
+    found = related(lists).where(F.col("confidence") > LEAST).drop("seq", "pos1", "pos2")
+    return found.withColumn("context_snippet", F.substring("evidence", 1, 100))

@@ -203,28 +203,35 @@ def coref_greedy(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "cluster_id", F.array_join("mentions", "|").alias("mentions"), "canonical_entity", F.round("confidence", 6).alias("confidence"))
 
 
-# The same over whole documents, where texts are long and mentions many; without SQL, which would have to make every pair.
-def _document_mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = _t(spark, d, "documents").select("doc_id", "text")
+# The same over whole documents, where texts are long and mentions many; a document's relations are found where it is read.
+def _mention_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their capitalised phrases as mentions."""
     begin = lambda m: (F.instr(F.col("text"), m) - 1).cast("int")
     kind = lambda m: F.element_at(F.array(F.lit("PERSON"), F.lit("ORG"), F.lit("PLACE")), F.length(m) % 3 + 1)
-    found = F.transform(T.phrases(F.col("text")), lambda m: F.struct(m.alias("text"), kind(m).alias("type"), begin(m).alias("start_char")))
-    each = docs.select("doc_id", F.posexplode(found).alias("pos", "m")).select("doc_id", "pos", "m.*")
-    return docs, each.withColumn("end_char", F.col("start_char") + F.length("text"))
+    placed = F.transform(T.phrases(F.col("text")), lambda m, i: F.struct(i.alias("pos"), m.alias("text"), kind(m).alias("type"), begin(m).alias("start_char")))
+    whole = lambda x: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), x["type"].alias("type"), F.lit(None).cast("string").alias("role"), x["start_char"].alias("start_char"), (x["start_char"] + F.length(x["text"])).alias("end_char"))
+    return _t(spark, d, "documents").select("doc_id", "text", F.transform(placed, whole).alias("mentions"))
+
+
+def _document_mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lists = _mention_lists(spark, d)
+    return lists.select("doc_id", "text"), lists.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*").drop("role")
 
 
 def doc_rel_proximity(spark: SparkSession, d: str) -> DataFrame:
-    found = relations.by_nearness(_document_mentions(spark, d)[1])
+    found = relations.related(_mention_lists(spark, d), ("nearness",), False)
     return found.select("doc_id", "pos1", "pos2", "subject", "object", "relation", F.round("confidence", 6).alias("confidence"))
 
 
 def doc_rel_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return relations.sentence_counts(*_document_mentions(spark, d))
+    """Pairs of names that share a sentence, once a document."""
+    found = relations.related(_mention_lists(spark, d), ("sentences",), False)
+    return found.select("doc_id", "pos1", "pos2", "subject", "object", "relation", F.md5("evidence").alias("evidence"))
 
 
 def doc_rel_dedup(spark: SparkSession, d: str) -> DataFrame:
     """With all three parts: patterns, nearness and sentences."""
-    return relations.extract(*_document_mentions(spark, d)).select("doc_id", "subject", "object", "relation", F.round("confidence", 6).alias("confidence"))
+    return relations.extracted(_mention_lists(spark, d)).select("doc_id", "subject", "object", "relation", F.round("confidence", 6).alias("confidence"))
 
 
 def doc_coref_greedy(spark: SparkSession, d: str) -> DataFrame:

@@ -97,7 +97,6 @@ def test_relations_of_long_texts_are_those_of_all_pairs(spark):
     near = [(r.doc_id, r.pos1, r.pos2) for r in relations.by_nearness(m).collect()]
     assert sorted(near) == sorted((x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and 0 < y[4] - x[5] < relations.NEAR) and near
     every = relations.by_sentence(docs, m)
-    assert {tuple(r) for r in relations.sentence_counts(docs, m).collect()} == {tuple(r) for r in every.groupBy("relation").count().collect()}
     key = lambda df: sorted(map(str, ((r.doc_id, r.subject, r.object, r.relation, r.subject_type, r.object_type) for r in df.collect())))
     once = relations.by_sentence_once(docs, m)
     assert set(key(once)) == set(key(every)) and once.count() < every.count()
