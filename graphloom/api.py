@@ -81,3 +81,10 @@ def answer(graph, docs: DataFrame, question: str) -> DataFrame:
     for r, e in facts[1:]:
         rel, ent = rel.unionByName(r), ent.unionByName(e)
     return retrieval.answer(rel, ent, retrieval.local_search(docs, question), question)
+
+
+def index(index, docs: DataFrame | None = None, embed=None, rebuild: bool = False) -> DataFrame:
+    """Statistics of a chunk index; with documents (doc_id, text) after it was brought up to them, or made anew."""
+    if docs is not None:
+        index.refresh(docs, embed, rebuild=rebuild)
+    return index.stats()
