@@ -9,8 +9,9 @@ Before anything is split, near copies leave. Each text is compared once with one
 stands for the text in all nodes: whatever is similar to the text is near enough to it to be found by a lower bound (distances of sets obey the triangle inequality). What stands
 for others is not stood for itself, so nothing is far from what stands for it. This is repeated while it removes a tenth of the texts in large nodes.
 
-A large node whose texts are alike on average (most of its pairs are candidates) is compared in pairs of blocks, as the paths of its texts would not part. Others are split again, until
-no large node is left. Texts that went deeper than PLANNED levels are given the further runs that so many levels ask for.
+A large node is compared in pairs of blocks if that costs less than to split it: with n texts, of which a share f would stay together in a child (it follows from their mean similarity), that
+is where n * (1 - f) is small. So crowds of texts that no split parts are compared at once, and others are split until no such node is left. Texts that went deeper
+than PLANNED levels are given the further runs that so many levels ask for.
 
 Brute force inside a node compares 128 minwise hashes of a byte each against a bound five standard deviations below the threshold and only
 passes on which texts hang together. Texts that may be similar form groups; each group's texts are then compared exactly, once, so no
@@ -28,12 +29,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bitmaps import bitmap, holds
 from .common import NONSPACE, arrow_batches, written
 from .components import components
 from .rolling import chunks, inside, mix, odd, windows, word_hashes
@@ -45,10 +48,8 @@ SKETCH, SKETCH_BOUND = 128, 0.62
 #: Similarity of sketches from which a text is stood for by another one, and the bound for those that stand for others: what is 0.8 alike to a text is at most 0.1 less alike to what stands
 #: for it, and at most 0.2 less to what stands for it in turn where both are stood for; that is still three standard deviations above.
 COVERED, STAR_BOUND = 0.92, 0.48
-#: Mean similarity from which a large node's texts are not parted by splitting.
-ALIKE = 0.62
-#: Texts of a node from which it is split again; texts of a block, in nodes and in groups; rows that a task takes, about; copies of a group's first text, and parts of a node.
-SPLIT, NODE_BLOCK, GROUP_BLOCK, TASK_ROWS, TASK_TEXTS, SALTS = 64, 4096, 2048, 40_000, 4_000, 32
+#: Texts of a node from which it may be split; texts of a block, in nodes and in groups; rows that a task takes, about; copies of a group's first text, and parts of a node.
+SPLIT, NODE_BLOCK, GROUP_BLOCK, TASK_ROWS, TASK_TEXTS, SALTS = 2048, 4096, 2048, 40_000, 4_000, 32
 
 _U = np.uint64
 
@@ -415,13 +416,17 @@ def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
         return dealt.groupBy("bin").applyInArrow(_brute_nodes, "u long, v long")
 
     def dense(crowd: DataFrame) -> DataFrame:
-        """(path, dense): whether a large node's texts are alike on average."""
+        """(path, dense): whether a large node is compared as it is."""
         block = F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("n") / NODE_BLOCK))
         cells = crowd.withColumn("cell", block).join(sketch, "id").withColumn("bin", F.pmod(F.xxhash64("path", "cell"), F.lit(bins)))
         found = cells.select("bin", "path", "cell", "sketch").groupBy("bin").applyInArrow(_density, "path long, pairs double, alike double")
-        return found.groupBy("path").agg((F.sum("alike") >= F.sum("pairs") * ALIKE).alias("dense"))
+        mean = found.groupBy("path").agg((F.sum("alike") / F.sum("pairs")).alias("mean"))
+        stay = F.least(F.lit(1.0), 2 * F.col("mean") / (1 + F.col("mean")) / THRESHOLD)
+        sizes = crowd.groupBy("path").agg(F.first("n").alias("n"))
+        return sizes.join(mean, "path").select("path", (F.col("n") * (1 - stay) <= SPLIT).alias("dense"))
 
     split: DataFrame | None = None
+    deep: list[DataFrame] = []
 
     def descended(members: DataFrame) -> int:
         """Compares what lies in small or dense nodes, and splits the others level by level; the levels that were needed."""
@@ -440,6 +445,8 @@ def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
             at = written(at, "split")
             if at.isEmpty():
                 return level
+            if level == PLANNED:
+                deep.append(at.select("id"))
             if split is None:
                 # The texts that are still to be split, of which deeper levels only have a part.
                 split = written(_fetched(one, texts.join(at.select("id"), "id").select("id", "node", F.col("doc_id").alias("rep"))).select("id", "text"), "texts")
@@ -448,8 +455,9 @@ def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
 
     planned, levels = PLANNED, descended(texts.select("id", F.explode("paths").alias("path")))
     while levels > planned:
-        first, planned = runs_for(recall, planned), levels
-        again = written(split.select("id", "text").mapInArrow(_run_again(first, runs_for(recall, levels)), "id long, path long").distinct(), "again")
+        first, planned = runs_for(recall, planned), max(levels, 2 * planned)
+        below = split.join(reduce(DataFrame.unionByName, deep).distinct(), "id", "left_semi")
+        again = written(below.select("id", "text").mapInArrow(_run_again(first, runs_for(recall, planned)), "id long, path long").distinct(), "again")
         levels = max(levels, descended(again))
     out = edges[0]
     for e in edges[1:]:
@@ -457,10 +465,23 @@ def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
     return out
 
 
+def _among(asked):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(asked.value, dtype=np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(holds(bits, batch.column("__h").to_numpy().view(_U))))
+
+    return run
+
+
 def _fetched(one: DataFrame, named: DataFrame) -> DataFrame:
     """Rows of ``named`` (id, node, rep and others) with their text, from one of the rows (node, doc_id, text) that have it: the key is the text's name and least id, so that its
     many copies don't meet in one task."""
     names = named.withColumnRenamed("node", "__node")
+    # Most texts are not asked for, and are left out before the exchange by a bitmap of fixed size.
+    asked = one.sparkSession.sparkContext.broadcast(bitmap(named, F.xxhash64("node")))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.schema.fields)
+    one = one.withColumn("__h", F.xxhash64("node")).mapInArrow(_among(asked), f"{kind}, __h long").drop("__h")
     found = one.join(names, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     return found.drop("__node").dropDuplicates(["id"])
 
