@@ -7,6 +7,7 @@ rules, so nothing else is read; a stored graph is partitioned by predicate to th
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,15 +115,19 @@ def _select(rule: tuple[str, str, str, str, str]) -> str:
     return f"SELECT {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind FROM {source}"
 
 
-def _inlined(source: str, rules: list) -> str:
-    """All triples of a source's row at once."""
-    each = ", ".join(f"named_struct('s', {s}, 'p', '{p}', 'o', CAST({o} AS STRING), 'o_kind', '{kind}')" for _, s, p, o, kind in rules)
+def _inlined(source: str, rules: list, columns: tuple[str, ...]) -> str:
+    """All triples of a source's row at once, with the columns asked for."""
+    value = lambda r, c: {"s": r[1], "p": _lit(r[2]), "o": f"CAST({r[3]} AS STRING)", "o_kind": _lit(r[4])}[c]
+    each = ", ".join("named_struct(" + ", ".join(f"'{c}', {value(r, c)}" for c in columns) + ")" for r in rules)
     return f"SELECT inline(array({each})) FROM {source}"
 
 
-def _chosen(p: str | None, o: str | None) -> list[tuple[str, str, str, str, str]]:
-    """Rules that can make a triple with the predicate and, for types, the object."""
-    return [r for r in RULES if (p is None or r[2] == p) and (o is None or r[2] != TYPE or r[3] == _lit(o))]
+def _chosen(p: str | None, o: str | None, prefix: str = "") -> list[tuple[str, str, str, str, str]]:
+    """Rules that can make a triple with the predicate, or one that begins so, and, for types, the object."""
+    return [r for r in RULES if (p is None or r[2] == p) and r[2].startswith(prefix) and (o is None or r[2] != TYPE or r[3] == _lit(o))]
+
+
+COLUMNS = ("s", "p", "o", "o_kind")
 
 
 class TableGraph:
@@ -131,17 +136,38 @@ class TableGraph:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.tables = spark, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
-    def scan(self, p: str | None = None, o: str | None = None) -> DataFrame:
-        rules = _chosen(p, o)
-        if not rules:
-            return self.spark.createDataFrame([], "s string, p string, o string, o_kind string")
-        # Rules of one source are one scan of it, whose rows become several triples.
-        by_source: dict[str, list] = {}
+    def _sql(self, text: str) -> DataFrame:
+        return self.spark.sql(text, **{t: df for t, df in self.tables.items() if "{" + t + "}" in text})
+
+    def _by_source(self, rules: list) -> dict[str, list]:
+        """Rules of one source are one scan of it, whose rows become several triples."""
+        out: dict[str, list] = {}
         for r in rules:
-            by_source.setdefault(r[0], []).append(r)
-        text = " UNION ALL ".join(_select(rs[0]) if len(rs) == 1 else _inlined(source, rs) for source, rs in by_source.items())
-        used = {t: df for t, df in self.tables.items() if "{" + t + "}" in text}
-        return self.spark.sql(text, **used)
+            out.setdefault(r[0], []).append(r)
+        return out
+
+    def scan(self, p: str | None = None, o: str | None = None, columns: tuple[str, ...] = COLUMNS, prefix: str = "") -> DataFrame:
+        """Triples with a predicate, or one that begins with ``prefix``, and an object. The predicate of a rule is known when the plan is made, so other rules are left out of it, and only
+        the columns asked for are built."""
+        rules = _chosen(p, o, prefix)
+        if not rules:
+            return self.spark.createDataFrame([], "s string, p string, o string, o_kind string").select(*columns)
+        texts = [f"SELECT {', '.join(columns)} FROM ({_select(rs[0])}) y" if len(rs) == 1 else _inlined(source, rs, columns) for source, rs in self._by_source(rules).items()]
+        return self._sql(" UNION ALL ".join(texts))
+
+    def predicate_counts(self, prefix: str = "") -> DataFrame:
+        """(p, n) of predicates that begin with ``prefix``: the rows of each source are counted, no triple is made."""
+        each = [f"SELECT inline(transform(array({', '.join(_lit(r[2]) for r in rs)}), x -> struct(x AS p, n AS n))) FROM (SELECT count(*) AS n FROM {source}) y" for source, rs in self._by_source(_chosen(None, None, prefix)).items()]
+        return self._sql(" UNION ALL ".join(each)).groupBy("p").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def ends(self, prefix: str = "") -> DataFrame:
+        """(entity, n) with several rows an entity, whose sum is the number of triples with such a predicate that it begins or ends: a row of a source makes one row for each of its entities,
+        however many triples they are in."""
+        texts = []
+        for source, rules in self._by_source(_chosen(None, None, prefix)).items():
+            times = Counter(x for r in rules for x in (r[1], f"CAST({r[3]} AS STRING)" if r[4] != "iri" else r[3]))
+            texts.append(f"SELECT inline(array({', '.join(f'struct({e} AS entity, {n}L AS n)' for e, n in times.items())})) FROM {source}")
+        return self._sql(" UNION ALL ".join(texts))
 
 
 class StoredGraph:
@@ -150,9 +176,17 @@ class StoredGraph:
     def __init__(self, triples: DataFrame):
         self.spark, self.triples = triples.sparkSession, triples
 
-    def scan(self, p: str | None = None, o: str | None = None) -> DataFrame:
+    def scan(self, p: str | None = None, o: str | None = None, columns: tuple[str, ...] = COLUMNS, prefix: str = "") -> DataFrame:
         out = self.triples if p is None else self.triples.where(F.col("p") == p)
-        return out if o is None else out.where(F.col("o") == o)
+        out = out.where(F.col("p").startswith(prefix)) if prefix else out
+        return (out if o is None else out.where(F.col("o") == o)).select(*columns)
+
+    def predicate_counts(self, prefix: str = "") -> DataFrame:
+        return self.scan(columns=("p",), prefix=prefix).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+    def ends(self, prefix: str = "") -> DataFrame:
+        both = self.scan(columns=("s", "o"), prefix=prefix)
+        return both.select(F.explode(F.array("s", "o")).alias("entity"), F.lit(1).cast("long").alias("n"))
 
 
 def triples_sql() -> str:

@@ -6,6 +6,7 @@ variables, constants first, and never as a product. Expressions are SQL text tha
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -95,13 +96,16 @@ class Pattern(Node):
                 columns[x[1:]] = col
         return columns, conditions
 
-    def frame(self, graph) -> DataFrame:
+    def frame(self, graph, needed: set[str] | None = None, prefix: str = "") -> DataFrame:
+        """With ``needed`` only those variables; ``prefix``: the predicate variable's value begins so."""
         constant = lambda x: None if x.startswith("?") else x
         columns, conditions = self._parts()
-        df = graph.scan(constant(self.p), constant(self.o))
+        shown = {n: c for n, c in columns.items() if needed is None or n in needed}
+        used = [*shown.values(), *(c for c, _ in conditions), *(v for _, v in conditions if v in ("s", "p", "o"))]
+        df = graph.scan(constant(self.p), constant(self.o), tuple(c for c in ("s", "p", "o") if c in used) or ("p",), prefix)
         for col, value in conditions:
             df = df.where(f"{col} = {value}")
-        return df.select(*(F.col(c).alias(n) for n, c in columns.items()))
+        return df.select(*(F.col(c).alias(n) for n, c in shown.items()))
 
     def sql(self) -> str:
         columns, conditions = self._parts()
@@ -110,6 +114,28 @@ class Pattern(Node):
         return f"SELECT {shown} FROM triples" + (f" WHERE {test}" if test else "")
 
 
+def _prefixes(expression: str) -> dict[str, str]:
+    """Variables that must begin with a text, by an expression of tests that all must hold."""
+    return {} if re.search(r"\bOR\b", expression, re.IGNORECASE) else dict(re.findall(r"\b(\w+) LIKE '([^'%_]*)%'(?= AND |$)", expression))
+
+
+def _framed(node: Node, graph, needed: set[str] | None, begins: dict[str, str] | None = None) -> DataFrame:
+    """The frame of a node of which only some variables are needed (None: all), where others begin with what is known: both are told to the patterns below, as far as tests and joins let
+    them through. What is told may be left undone; the tests stay."""
+    begins = begins or {}
+    if isinstance(node, Pattern):
+        return node.frame(graph, needed, begins.get(node.p[1:], "") if node.p.startswith("?") else "")
+    if isinstance(node, Where):
+        words = set(re.findall(r"\w+", node.expression))
+        below = _framed(node.child, graph, needed and needed | (words & set(node.names)), begins | _prefixes(node.expression))
+        return below.where(node.expression)
+    if isinstance(node, Join):
+        shared = node.shared()
+        below = needed and needed | set(shared)
+        return _framed(node.left, graph, below, begins).join(_framed(node.right, graph, below, begins if node.how == "inner" else {}), shared, node.how)
+    return node.frame(graph)
+
+
 @dataclass
 class Join(Node):
     left: Node
@@ -120,11 +146,14 @@ class Join(Node):
     def names(self) -> list[str]:
         return list(dict.fromkeys([*self.left.names, *self.right.names]))
 
-    def frame(self, graph) -> DataFrame:
+    def shared(self) -> list[str]:
         shared = [n for n in self.left.names if n in self.right.names]
         if not shared:
             raise ValueError("patterns without a shared variable are a product")
-        return self.left.frame(graph).join(self.right.frame(graph), shared, self.how)
+        return shared
+
+    def frame(self, graph) -> DataFrame:
+        return _framed(self, graph, None)
 
     def sql(self) -> str:
         word = "NATURAL LEFT JOIN" if self.how == "left" else "NATURAL JOIN"
@@ -156,7 +185,7 @@ class Where(Node):
         return self.child.names
 
     def frame(self, graph) -> DataFrame:
-        return self.child.frame(graph).where(self.expression)
+        return _framed(self, graph, None)
 
     def sql(self) -> str:
         return f"SELECT * FROM ({self.child.sql()}) WHERE {_duck(self.expression)}"
@@ -189,7 +218,8 @@ class Group(Node):
         return [*self.keys, *self.aggregates]
 
     def frame(self, graph) -> DataFrame:
-        return self.child.frame(graph).groupBy(*self.keys).agg(*(F.expr(e).alias(n) for n, e in self.aggregates.items()))
+        words = {w for e in self.aggregates.values() for w in re.findall(r"\w+", e)}
+        return _framed(self.child, graph, ({*self.keys} | words) & set(self.child.names)).groupBy(*self.keys).agg(*(F.expr(e).alias(n) for n, e in self.aggregates.items()))
 
     def sql(self) -> str:
         shown = ", ".join([*self.keys, *(f'{e} AS "{n}"' for n, e in self.aggregates.items())])
@@ -207,7 +237,7 @@ class Select(Node):
         return self.columns
 
     def frame(self, graph) -> DataFrame:
-        df = self.child.frame(graph)
+        df = _framed(self.child, graph, set(self.columns) & set(self.child.names))
         df = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in self.columns))
         return df.distinct() if self.distinct else df
 
@@ -245,6 +275,29 @@ class Top(Node):
         return f"SELECT * FROM ({self.child.sql()}) ORDER BY {self._order()}{cut}"
 
 
+@dataclass
+class Counts(Node):
+    """(``variable``, n): how often triples whose predicate begins with ``prefix`` have each predicate, or (``ends``) each subject or object, several rows each."""
+
+    variable: str
+    prefix: str
+    ends: bool = False
+
+    @property
+    def names(self) -> list[str]:
+        return [self.variable, "n"]
+
+    def frame(self, graph) -> DataFrame:
+        found = graph.ends(self.prefix) if self.ends else graph.predicate_counts(self.prefix)
+        return found.toDF(self.variable, "n")
+
+    def sql(self) -> str:
+        test = f"WHERE p LIKE '{self.prefix}%'"
+        if self.ends:
+            return f'SELECT s AS "{self.variable}", 1 AS n FROM triples {test} UNION ALL SELECT o, 1 FROM triples {test}'
+        return f'SELECT p AS "{self.variable}", count(*) AS n FROM triples {test} GROUP BY p'
+
+
 @dataclass
 class Pairs(Node):
     """The first ``limit`` pairs of rows of ``side`` that have the same ``shared`` variable, the first with the lesser ``who``, and with different values of ``apart`` (if given).

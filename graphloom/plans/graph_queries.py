@@ -6,7 +6,7 @@ Rows of a query with a limit are made definite by ordering on all columns.
 from __future__ import annotations
 
 from ..operators.kg_views import DOCUMENT, KG
-from .algebra import Node, Pairs, Union, match
+from .algebra import Counts, Node, Pairs, match
 
 KINDS = f"LIKE '{KG}%'"
 
@@ -37,11 +37,14 @@ def _counted(node: Node, keys: list[str], limit: int | None = None, order: str |
 
 
 def _degrees() -> Node:
-    out = match("?entity ?relation ?other").where(f"relation {KINDS}").select("entity")
-    into = match("?other ?relation ?entity").where(f"relation {KINDS}").select("entity")
-    # Counted before labels are looked up: an entity's degree is the same under each of its labels.
-    counted = Union([out, into]).group(["entity"], n="count(*)").optional("?entity rdfs:label ?label")
-    return _counted(counted, ["entity", "label"], 20, degree="CAST(sum(n) AS BIGINT)")
+    # The first entities are known before labels are looked up: an entity's degree is the same under each of its labels.
+    first = Counts("entity", KG, ends=True).group(["entity"], degree="CAST(sum(n) AS BIGINT)").top(["degree desc"], 20)
+    return first.optional("?entity rdfs:label ?label").select("entity", "label", "degree").top(["degree desc"], 20)
+
+
+def _mentions() -> Node:
+    first = match("?entity :extractedFrom ?doc").group(["entity"], mentionCount="count(doc)").top(["mentionCount desc"], 25)
+    return first.optional("?entity rdfs:label ?label").select("entity", "label", "mentionCount").top(["mentionCount desc"], 25)
 
 
 def entity_facts(word: str, limit: int = 20) -> Node:
@@ -98,11 +101,11 @@ def catalogue() -> dict[str, Node]:
         # Analytics.
         "kg_count_by_type": _counted(match("?entity a ?type").where(f"type {KINDS}"), ["type"], count="count(entity)"),
         "kg_degree_topk": _degrees(),
-        "kg_relation_distribution": _counted(match("?subject ?relationType ?object").where(f"relationType {KINDS}"), ["relationType"], count="count(*)"),
+        "kg_relation_distribution": Counts("relationType", KG).bind(count="CAST(n AS BIGINT)").select("relationType", "count").top(["count desc"]),
         "kg_source_stats": _counted(sources, ["sourceType"], docCount="count(doc)", entityCount="count(DISTINCT entity)"),
         "kg_temporal": _counted(match("?doc a :Document", "?doc :createdAt ?createdAt").bind(dateDay="substring(createdAt, 1, 10)"), ["dateDay"], None, "dateDay", docCount="count(doc)"),
         "kg_cooccurrence": match("?doc a :Document", "?entity1 :extractedFrom ?doc", "?entity2 :extractedFrom ?doc").where(pair("entity1", "entity2")).group(["entity1", "entity2"], coOccurrenceCount="count(doc)").where("coOccurrenceCount > 1").top(["coOccurrenceCount desc"], 20),
-        "kg_mention_topk": _counted(match("?entity :extractedFrom ?doc").group(["entity"], n="count(doc)").optional("?entity rdfs:label ?label"), ["entity", "label"], 25, mentionCount="CAST(sum(n) AS BIGINT)"),
+        "kg_mention_topk": _mentions(),
         "kg_confidence_buckets": _counted(
             match("?r a :Relation", "?r :confidence ?confidence").bind(c="CAST(confidence AS DOUBLE)").bind(confidenceRange="CASE WHEN c < 0.3 THEN '0.0-0.3' WHEN c < 0.6 THEN '0.3-0.6' WHEN c < 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END"),
             ["confidenceRange"], None, "confidenceRange", relationCount="count(*)"),

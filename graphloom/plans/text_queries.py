@@ -408,8 +408,10 @@ def pg_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triples_build(spark: SparkSession, d: str) -> DataFrame:
-    t = TableGraph(spark, d).scan().dropDuplicates(["s", "p", "o", "o_kind"])
-    return t.groupBy("p", "o_kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("subjects"))
+    # One exchange, by predicate and subject, serves the set of triples and the counts of subjects.
+    t = TableGraph(spark, d).scan().repartition("p", "s").dropDuplicates(["s", "p", "o", "o_kind"])
+    each = t.groupBy("p", "o_kind", "s").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("p", "o_kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("subjects"))
 
 
 SPARQL = """
