@@ -1,8 +1,9 @@
 """URL filters: given rules by host and path, and association rules mined from labelled URLs.
 
-A URL's tokens are the labels of its host, pairs of neighbouring labels, and the words of its path and query keys, with numbers folded. Spark's FP-growth mines the
-token sets that go with a bad label. A rule is kept if enough bad URLs hold its tokens (support), if bad ones are over-represented among the URLs that hold them
-(confidence against the base rate, and its lower bound above that rate), and if no kept rule with fewer of its tokens says the same. Rules
+A URL's tokens are the labels of its host, pairs of neighbouring labels, and the words of its path and query keys, with numbers folded. The labelled URLs are halved by a hash. On one half
+Spark's FP-growth mines the token sets that go with a bad label: enough URLs hold them (support), and bad ones are over-represented among those (confidence against the half's share of bad
+URLs). Sets of which a kept one is a part go. The other half, which had no part in the choice, decides: a rule stays if its share of bad URLs there is above
+that half's with certainty, by a lower bound that allows for the number of rules tried. Support and certainty are shares, the same at every size. Rules
 are matched by an inverted index: each is filed under its rarest token, and only the rules under a URL's own tokens are compared with it, row by row.
 
 Given rules are looked up by every suffix of the host; the longest that fits wins and overrides the mined ones.
@@ -17,6 +18,7 @@ gives an empty result; without labels nothing is mined. Other columns are not re
 from __future__ import annotations
 
 import json
+from statistics import NormalDist
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -24,10 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: A rule's bad URLs: least share of the labelled URLs, and least number, as a handful proves nothing.
-SUPPORT, LEAST = 0.002, 10
-#: Least confidence of a rule, as a multiple of the share of bad URLs among all labelled ones (1 at most); and standard errors of its lower bound (Wilson's), which must be above that share.
-LIFT, ERRORS = 1.5, 1.0
+#: Least share of the labelled URLs that hold a rule's tokens and are bad; least confidence of a rule, as a multiple of the share of bad URLs among all (1 at most); and the chance, for all
+#: rules together, that one is kept which is no better than that share.
+SUPPORT, LIFT, CHANCE = 0.01, 1.5, 0.05
 #: Most rules that go into the plan as an index; more are joined by a shuffle.
 INDEXED_RULES = 10_000
 BAD = "\x00bad"
@@ -70,24 +71,45 @@ def labelled_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame, bad: Col
     return found.distinct().join(verdicts, "h").select("url", "bad")
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = SUPPORT, least: int = LEAST, lift: float = LIFT, errors: float = ERRORS) -> DataFrame:
-    """Rules (tokens array, n: bad URLs that hold them, confidence) from labelled URLs (bad: boolean)."""
-    rows = labelled.where(F.col(bad_col).isNotNull() & F.col(url_col).isNotNull())
-    items = rows.select(F.when(F.col(bad_col), F.concat(tokens(F.col(url_col)), F.array(F.lit(BAD)))).otherwise(tokens(F.col(url_col))).alias("items"))
-    items = written(items, "url-items")  # FP-growth reads them twice
+def candidates(items: DataFrame, support: float = SUPPORT, lift: float = LIFT) -> DataFrame:
+    """Token sets (tokens, n: bad rows that hold them, confidence) of rows of tokens (items, with BAD in bad ones), without those that have a part which is one too."""
     counts = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
     if not counts["bad"]:
-        return labelled.sparkSession.createDataFrame([], "tokens array<string>, n long, confidence double")
-    # Infrequent token sets are cut by support before any confidence is computed; sets with least / n of the URLs at least are those with ``least`` URLs.
-    base = counts["bad"] / counts["n"]
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (least - 0.5) / counts["n"])), minConfidence=min(1.0, lift * base)).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD))
-    n = F.round(F.col("support") * counts["n"]).cast("long")
-    found = rules.select(F.array_sort("antecedent").alias("tokens"), n.alias("n"), "confidence")
-    held, z2 = F.col("n") / F.col("confidence"), errors * errors
-    c = F.col("confidence")
-    low = (c + z2 / (2 * held) - errors * F.sqrt(c * (1 - c) / held + z2 / (4 * held * held))) / (1 + z2 / held)
-    return _needed(written(found.where(low > base), "url-rules"))
+        return items.sparkSession.createDataFrame([], "tokens array<string>, n long, confidence double")
+    sets = written(FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets, "url-sets")
+    with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n"))
+    every = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("held"))
+    found = with_bad.join(every, "tokens").withColumn("confidence", F.col("n") / F.col("held"))
+    least = min(1.0, lift * counts["bad"] / counts["n"])
+    return _needed(written(found.where(F.col("confidence") >= least).select("tokens", "n", "confidence"), "url-rules"))
+
+
+def held_out(rules: DataFrame, items: DataFrame) -> DataFrame:
+    """Rules (tokens) with the rows of tokens that hold them (held), and the bad ones among these (n): each rule is looked up under its rarest token."""
+    counts = items.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    each = rules.select("tokens", F.explode("tokens").alias("token")).join(counts, "token")
+    filed = each.groupBy("tokens").agg(F.min(F.struct("c", "token")).alias("x"), F.count(F.lit(1)).alias("k")).where(F.col("k") == F.size("tokens")).select("tokens", F.col("x.token").alias("token"))
+    rows = items.select(F.col("items"), F.explode("items").alias("token"))
+    hits = rows.join(filed, "token").where(F.size(F.array_except("tokens", "items")) == 0)
+    return hits.groupBy("tokens").agg(F.count(F.lit(1)).alias("held"), F.count_if(F.array_contains("items", BAD)).alias("n"))
+
+
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = SUPPORT, lift: float = LIFT, chance: float = CHANCE) -> DataFrame:
+    """Rules (tokens array, n: bad URLs of the other half that hold them, confidence there) from labelled URLs (bad: boolean)."""
+    rows = labelled.where(F.col(bad_col).isNotNull() & F.col(url_col).isNotNull())
+    own = tokens(F.col(url_col))
+    half = F.pmod(F.xxhash64(url_col, F.lit(5)), F.lit(2)).cast("int")
+    items = written(rows.select(half.alias("half"), F.when(F.col(bad_col), F.concat(own, F.array(F.lit(BAD)))).otherwise(own).alias("items")), "url-items")
+    rules = written(candidates(items.where("half = 0").select("items"), support, lift), "url-candidates")
+    rest = items.where("half = 1").select("items")
+    share = rest.agg(F.avg(F.array_contains("items", BAD).cast("double"))).first()[0]
+    tried = rules.count()
+    if not tried or not share:
+        return rules.where("false")
+    z = -NormalDist().inv_cdf(chance / tried)
+    c, z2 = F.col("n") / F.col("held"), z * z
+    low = (c + z2 / (2 * F.col("held")) - z * F.sqrt(c * (1 - c) / F.col("held") + z2 / (4 * F.col("held") * F.col("held")))) / (1 + z2 / F.col("held"))
+    return held_out(rules, rest).where(low > share).select("tokens", "n", c.alias("confidence"))
 
 
 def _needed(rules: DataFrame) -> DataFrame:

@@ -137,12 +137,16 @@ def test_urls(spark):
 
 
 def test_mined_rules(spark, monkeypatch):
-    good = [(f"http://site{k % 7}.org/news/{k}", False) for k in range(60)] + [(f"http://casino{k}.org/about", False) for k in range(2)]
-    bad = [(f"http://m.casino-win.org/play/{k}?ref=1", True) for k in range(20)]
+    good = [(f"http://site{k % 7}.org/news/{k}", False) for k in range(120)] + [(f"http://casino{k}.org/about", False) for k in range(2)]
+    bad = [(f"http://m.casino-win.org/play/{k}?ref=1", True) for k in range(40)]
     labelled = spark.createDataFrame(good + bad + [(None, True), ("http://x.org/", None)], "url string, bad boolean")
     rules = urls.mine(labelled, support=0.05)
-    assert any(set(r.tokens) == {"h:casino"} and r.confidence == 1.0 and r.n == 20 for r in rules.collect())
-    assert urls.mine(labelled, least=21).count() == 0 and urls.mine(labelled, errors=20.0).count() == 0  # 20 bad URLs; the base rate is 20 of 82
+    assert any(set(r.tokens) == {"h:casino"} and r.confidence == 1.0 and 10 <= r.n <= 30 for r in rules.collect())
+    assert urls.mine(labelled, support=0.5).count() == 0 and urls.mine(labelled, chance=1e-30).count() == 0  # a quarter of the URLs; some twenty of the other half
+    # Labels that do not depend on the URL: what one half seems to show, the other does not.
+    noise = spark.createDataFrame([(f"http://{'abcdefgh'[k % 8]}x.org/{'pqrs'[k // 8 % 4]}w/{'klm'[k // 32 % 3]}v", hash((k * 7919) % 1009) % 5 == 0) for k in range(600)], "url string, bad boolean")
+    assert urls.mine(noise).count() == 0
+    assert urls.mine(labelled.where("false")).count() == 0 and urls.mine(labelled.where("not bad")).count() == 0
     index = urls.indexed(rules, labelled)
     pages = spark.createDataFrame([(1, "http://www.casino-win.org/play/99"), (2, "http://site1.org/news/1"), (2, "http://site1.org/news/1"), (3, "http://casino-win.com/play/"), (4, None), (4, None)], "page_id long, url string")
     want = {1: ("block", True), 2: ("allow", False), 3: ("allow", True), 4: ("allow", False)}
@@ -172,15 +176,12 @@ def test_rules_against_all_token_sets(spark):
             for part in combinations(sorted(items), n):
                 held[part] += 1
                 bad[part] += b
-    least = max(math.ceil(urls.SUPPORT * len(rows)), 3)
-    fits = set()
-    for part, n in held.items():
-        c = bad[part] / n
-        low = (c + 1 / (2 * n) - math.sqrt(c * (1 - c) / n + 1 / (4 * n * n))) / (1 + 1 / n)
-        if bad[part] >= least and c >= urls.LIFT * rate - 1e-12 and low > rate:
-            fits.add(part)
+    fits = {p for p, n in held.items() if bad[p] >= 0.03 * len(rows) and bad[p] / n >= urls.LIFT * rate - 1e-12}
     want = {p for p in fits if not any(set(q) < set(p) for q in fits)}
-    assert {tuple(r.tokens) for r in urls.mine(labelled, least=3).collect()} == want and want
+    items = labelled.select(F.when(F.col("bad"), F.concat(urls.tokens(F.col("url")), F.array(F.lit(urls.BAD)))).otherwise(urls.tokens(F.col("url"))).alias("items"))
+    found = urls.candidates(items, support=0.03)
+    assert {tuple(r.tokens) for r in found.collect()} == want and want
+    assert {tuple(r.tokens): (r.held, r.n) for r in urls.held_out(found, items).collect()} == {p: (held[p], bad[p]) for p in want}
 
 
 # 6 -----------------------------------------------------------------------------------------------------------------
