@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.kg_views import ENTITY, KG, TableGraph
-from . import build_queries, graph_queries, text_queries
+from . import build_queries, graph_queries, media_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ def _graph_query(node) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _graph_query(node) for name, node in graph_queries.catalogue().items()} | text_queries.queries() | build_queries.queries()
+    return {name: _graph_query(node) for name, node in graph_queries.catalogue().items()} | text_queries.queries() | build_queries.queries() | media_queries.queries()
 
 
 #: Written by hand, with the join on the document first: the generated text invites a join on the inequality alone.
@@ -43,4 +43,4 @@ FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_
 
 def oracle_sql() -> dict[str, str]:
     by_hand = {"kg_cooccurrence": COOCCURRENCE, "api_doc_entities": DOC_ENTITIES, "api_doc_relations": DOC_RELATIONS}
-    return {name: node.query() for name, node in graph_queries.catalogue().items()} | by_hand | text_queries.oracle_sql() | build_queries.oracle_sql()
+    return {name: node.query() for name, node in graph_queries.catalogue().items()} | by_hand | text_queries.oracle_sql() | build_queries.oracle_sql() | media_queries.oracle_sql()
