@@ -7,6 +7,8 @@ document, type by type.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,17 +45,120 @@ def alike(kind: str, seed: str, other: str, text: str) -> bool:
     return kind == "ORG" and bare_company(a) == bare_company(b)
 
 
-def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds ``seed``: the position of the first mention of each mention's cluster."""
-    pdf = pdf.sort_values("pos").reset_index(drop=True)
-    names, text, kind = pdf["text"].tolist(), pdf["content"].iloc[0], pdf["type"].iloc[0]
+class _Places:
+    """Where the names of a document occur: their sentences as they are written, and for each line the first and the last place in any case."""
+
+    def __init__(self, text: str, names: list[str]):
+        import ahocorasick
+
+        self.text, low = text, text.lower()
+        self.folds = len(low) == len(text)
+        self.sentences: dict[str, set[int]] = {n: set() for n in names}
+        self.lines: dict[str, dict[int, list[int]]] = {n.lower(): {} for n in names}
+        exact, any_case = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for n in names:
+            if n:
+                exact.add_word(n, n)
+                any_case.add_word(n.lower(), n.lower())
+        if len(exact):
+            exact.make_automaton()
+            any_case.make_automaton()
+            for k, sentence in enumerate(re.split(r"[.!?]+", text)):
+                for _, n in exact.iter(sentence):
+                    self.sentences[n].add(k)
+            for k, line in enumerate(low.split("\n")):
+                for end, n in any_case.iter(line):
+                    at = self.lines[n].setdefault(k, [end - len(n) + 1, 0])
+                    at[1] = end - len(n) + 1
+
+    def same_context(self, a: str, b: str) -> bool:
+        """``same_person_context`` by look-up; names without letters, or that change their length in lower case, are searched."""
+        if not (self.folds and a and b and len(a.lower()) == len(a) and len(b.lower()) == len(b)):
+            return same_person_context(self.text, a, b)
+        if not self.sentences[a].isdisjoint(self.sentences[b]):
+            return False
+        x, y = self.lines[a.lower()], self.lines[b.lower()]
+        return any(x[k][0] + len(a) <= y[k][1] or y[k][0] + len(b) <= x[k][1] for k in x.keys() & y.keys())
+
+
+def seeds(kind: str | None, names: list[str], text: str) -> list[int]:
+    """For distinct names in the order of their first mentions the name (by number) that begins their cluster.
+
+    A name that is free when its turn comes begins a cluster and takes the free ones that are ``alike`` it. Only those are compared that an index names: people by shared words,
+    others by containment (an automaton finds the names in a name, a search through all names those around it) and by bare company names.
+    """
+    import ahocorasick
+
+    low = [n.lower() for n in names]
     seed = [-1] * len(names)
+    same: dict[str, list[int]] = {}
+    for k, n in enumerate(low):
+        same.setdefault(n, []).append(k)
+    person, org = kind == "PERSON", kind == "ORG"
+    words: dict[str, list[int]] = {}
+    bare: dict[str, list[int]] = {}
+    if person:
+        places = _Places(text, names)
+        for k, n in enumerate(low):
+            for w in set(n.split()):
+                words.setdefault(w, []).append(k)
+    else:
+        automaton = ahocorasick.Automaton()
+        for n, ks in same.items():
+            if n:
+                automaton.add_word(n, ks)
+        if len(automaton):
+            automaton.make_automaton()
+        joined, starts = "\x00".join(low), []
+        for n in low:
+            starts.append(starts[-1] + before + 1 if starts else 0)
+            before = len(n)
+        if org:
+            for k, n in enumerate(names):
+                bare.setdefault(bare_company(n), []).append(k)
+
+    def near(i: int) -> set[int]:
+        a, found = low[i], set(same[low[i]])
+        if person:
+            mine, counts = set(a.split()), Counter()
+            for w in mine:
+                words[w] = [j for j in words[w] if seed[j] < 0]  # those that are taken are not met again
+                counts.update(words[w])
+            for j, n in counts.items():
+                if j not in found and n >= min(len(mine), len(set(low[j].split()))) - 1 and places.same_context(names[i], names[j]):
+                    found.add(j)
+            return found
+        found.update(same.get("", ()))
+        if len(automaton):
+            for _, ks in automaton.iter(a):
+                found.update(ks)
+        if not a or "\x00" in a:
+            found.update(j for j, n in enumerate(low) if a in n)
+        else:
+            at = joined.find(a)
+            while at >= 0:
+                j = bisect_right(starts, at) - 1
+                found.add(j)
+                at = joined.find(a, starts[j] + len(low[j]) + 1)
+        if org:
+            found.update(bare[bare_company(names[i])])
+        return found
+
     for i in range(len(names)):
         if seed[i] < 0:
-            for j in range(i, len(names)):
-                if seed[j] < 0 and (i == j or alike(kind, names[i], names[j], text)):
+            for j in near(i):
+                if j >= i and seed[j] < 0:
                     seed[j] = i
-    pdf["seed"] = pdf["pos"].to_numpy()[seed]
+            seed[i] = i
+    return seed
+
+
+def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Adds ``seed``: the position of the first mention of each mention's cluster. Mentions of one text are always in one cluster, so distinct texts are compared."""
+    pdf = pdf.sort_values("pos").reset_index(drop=True)
+    codes, names = pd.factorize(pdf["text"])
+    first = pdf["pos"].to_numpy()[pd.Series(codes).drop_duplicates().index]
+    pdf["seed"] = first[pd.Series(seeds(pdf["type"].iloc[0], names.tolist(), pdf["content"].iloc[0])).to_numpy()[codes]]
     return pdf[["doc_id", "type", "pos", "text", "seed"]]
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import labelling, linking
+from graphloom.operators import coref, labelling, linking
 from graphloom.operators.kg_views import KG, StoredGraph
 from graphloom.plans.algebra import Pairs, match
 
@@ -61,3 +61,40 @@ def test_names_in_texts_are_those_of_all_pairs(spark):
     assert got == sorted((k, n, t.find(n) + 1, "kept") for k, t in texts for n in dictionary if t and n and n in t)
     assert labelling.occurrences(docs, "text", names.where("name = ''"), "name").count() == 0
     assert labelling.occurrences(docs.where("false"), "text", names, "name").count() == 0
+
+
+def naive_seeds(kind, names, text):
+    """Each free name in turn compared with all free ones behind it."""
+    seed = [-1] * len(names)
+    for i in range(len(names)):
+        if seed[i] < 0:
+            for j in range(i, len(names)):
+                if seed[j] < 0 and (i == j or coref.alike(kind, names[i], names[j], text)):
+                    seed[j] = i
+    return seed
+
+
+@pytest.mark.parametrize("kind", ["PERSON", "ORG", "PLACE", None])
+def test_coreference_by_index_is_that_of_all_pairs(kind):
+    r = random.Random(11)
+    parts = ["Ann", "ann", "Lee", "Berg", "Inc", "Corp", "Acme", "Ac", "me", "İ", "ß", "x.", ""]
+    for _ in range(300):
+        names = list(dict.fromkeys(" ".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(12)))
+        text = "".join(r.choice([*names, " and ", ". ", "\n", "! ", "zz "]) for _ in range(r.randint(0, 40)))
+        assert coref.seeds(kind, names, text) == naive_seeds(kind, names, text)
+
+
+def test_coreference_of_many_mentions():
+    """A document with 100,000 mentions of 30,000 names."""
+    import time
+
+    import pandas as pd
+
+    r = random.Random(3)
+    names = [f"N{k % 9000} S{k % 7000}" for k in range(30_000)]
+    order = [r.choice(names) for _ in range(100_000)]
+    text = "\n".join(f"{n} left." for n in order)
+    for kind in ("PERSON", "ORG"):
+        began = time.time()
+        found = coref.cluster(pd.DataFrame({"doc_id": 1, "type": kind, "pos": range(len(order)), "text": order, "content": text}))
+        assert len(found) == 100_000 and (found["seed"] <= found["pos"]).all() and time.time() - began < 60
