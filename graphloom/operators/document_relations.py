@@ -30,22 +30,11 @@ PATTERNS = (
     ("PARTICIPATED_IN", r"(\w+\s\w+)\s+(?:attended|participated|joined)\s+([^,.]+)", "PERSON", "EVENT"),
     ("PARTICIPATED_IN", r"([^,.]+)\s+(?:with|by)\s+(\w+\s\w+)", "EVENT", "PERSON"),
 )
-#: What must stand in a stretch of text, in lower case and with single blanks around words, for a pattern to match in it: one of each group. None: a comma parts its groups.
+#: Words of which a stretch of text must hold one of each group for a pattern to match in it. None: a comma parts its groups; an empty list: a word's end is enough.
 WORDS = (
-    ((" is ", " was ", " are ", " were "), (" of ",)),
-    ((" work ", " works ", " worked "), (" for ",)),
-    ((" from ",),),
-    ((" employee ", " staff ", " worker ", " executive "),),
-    ((" in ",),),
-    ((" at ",),),
-    ((" located ",), (" in ",)),
-    ((" based ",), (" in ",)),
-    ((" is ", " was ", " are ", " were "),),
-    None,
-    (("the ",),),
-    ((" attended ", " participated ", " joined "),),
-    ((" with ", " by "),),
-)
+    ({"is", "was", "are", "were"}, {"of"}), ({"work", "works", "worked"}, {"for"}), ({"from"},), ({"employee", "staff", "worker", "executive"},), ({"in"},), ({"at"},), ({"located"}, {"in"}), ({"based"}, {"in"}),
+    ({"is", "was", "are", "were"},), None, (), ({"attended", "participated", "joined"},), ({"with", "by"},),
+)
 #: Letters beyond ASCII that are i, k or s in another case.
 FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
 #: Characters between two mentions that are near, and what a mention is.
@@ -53,6 +42,11 @@ NEAR = 50
 MENTION = ("pos", "text", "type", "role", "start_char", "end_char")
 
 _PATTERNS = tuple(re.compile("(?i)" + p) for _, p, _, _ in PATTERNS)
+_OPEN = "([^,.]+)"
+#: What comes after the first group of patterns that begin with any stretch: they match where that is found behind a character.
+_REST = tuple(re.compile("(?i)" + p[len(_OPEN) :]) if p.startswith(_OPEN) else None for _, p, _, _ in PATTERNS)
+_CUES = frozenset(w for groups in WORDS for g in groups or () for w in g)
+_BY_WORD = {w: tuple(k for k, groups in enumerate(WORDS) if groups and w in groups[0]) for w in _CUES}
 _SENTENCE = re.compile(r"[.!?]+")
 
 
@@ -130,20 +124,36 @@ class _Names:
         return best and best[1]
 
 
+def _found(k: int, stretch: str) -> Iterator[tuple[int, re.Match]]:
+    """All matches of a pattern. One that begins with any stretch is tried only where its rest is found, as each other start would be tried in vain."""
+    if (rest := _REST[k]) is None:
+        for m in _PATTERNS[k].finditer(stretch):
+            yield k, m
+        return
+    at = 0
+    while rest.search(stretch, at + 1):
+        m = _PATTERNS[k].match(stretch, at)
+        yield k, m
+        at = m.end()
+
+
 def _matches(text: str) -> Iterator[tuple[int, re.Match]]:
     """All matches of all patterns. Only one pattern's matches hold a comma, and none a stop."""
-    every = bool(FOLDED.search(text))
+    every = [k for k, groups in enumerate(WORDS) if groups is not None] if FOLDED.search(text) else None
     for piece in text.split("."):
         stretches = piece.split(",")
         if len(stretches) > 1:
-            for m in _PATTERNS[9].finditer(piece):
-                yield 9, m
+            yield from _found(9, piece)
         for stretch in stretches:
-            words = f" {' '.join(stretch.lower().split())} "
-            for k, groups in enumerate(WORDS):
-                if groups is not None and (every or all(any(w in words for w in group) for group in groups)):
-                    for m in _PATTERNS[k].finditer(stretch):
-                        yield k, m
+            low = stretch.lower()
+            ks = every
+            if ks is None:
+                ks = [10] if "the" in low else []
+                words = low.split()
+                for w in _CUES.intersection(words):
+                    ks += [k for k in _BY_WORD[w] if k not in ks and all(not g.isdisjoint(words) for g in WORDS[k])]
+            for k in ks:
+                yield from _found(k, stretch)
 
 
 def _row(kind: str, a: tuple, b: tuple, confidence: float, evidence: str, seq: int) -> tuple:
