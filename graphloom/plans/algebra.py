@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,11 @@ class Node:
     def sql(self) -> str:
         raise NotImplementedError
 
+    def unbound(self) -> set[str]:
+        """Variables that have no value in some rows: an optional part or a part of a union did not bind them."""
+        child = getattr(self, "child", None)
+        return child.unbound() & set(self.names) if child is not None else set()
+
     def query(self) -> str:
         return f"WITH triples AS ({triples_sql()}) {self.sql()}"
 
@@ -132,7 +138,7 @@ def _framed(node: Node, graph, needed: set[str] | None, begins: dict[str, str] |
     if isinstance(node, Join):
         shared = node.shared()
         below = needed and needed | set(shared)
-        return _framed(node.left, graph, below, begins).join(_framed(node.right, graph, below, begins if node.how == "inner" else {}), shared, node.how)
+        return node.compatible(_framed(node.left, graph, below, begins), _framed(node.right, graph, below, begins if node.how == "inner" else {}), shared)
     return node.frame(graph)
 
 
@@ -152,12 +158,56 @@ class Join(Node):
             raise ValueError("patterns without a shared variable are a product")
         return shared
 
+    def unbound(self) -> set[str]:
+        left, right, both = self.left.unbound(), self.right.unbound(), set(self.left.names) & set(self.right.names)
+        if self.how == "left":
+            return left | (set(self.right.names) - set(self.left.names))
+        return (left & right) | (left - both) | (right - both)
+
+    def compatible(self, left: DataFrame, right: DataFrame, shared: list[str]) -> DataFrame:
+        """Rows whose shared variables agree, where one without a value agrees with any: the left rows are parted by the shared variables that they lack, and each part is an equi-join on
+        the others. On the right a lacking variable is taken into account for inner joins; for optional parts it is not (their rows are what they bind)."""
+        loose = [n for n in shared if n in self.left.unbound()]
+        other = [n for n in shared if n in self.right.unbound() and self.how == "inner"]
+        if not loose and not other:
+            return left.join(right, shared, self.how)
+        parts = None
+        for lacks_left in _subsets(loose):
+            for lacks_right in _subsets(other):
+                a, b = _lacking(left, loose, lacks_left), _lacking(right, other, lacks_right)
+                on = [n for n in shared if n not in lacks_left and n not in lacks_right]
+                if not on:
+                    raise ValueError(f"rows without a value of {shared} would be a product")
+                free = [n for n in shared if n not in on]
+                b = b.select(*(F.col(n).alias(f"__{n}") if n in free else F.col(n) for n in b.columns))
+                joined = a.join(b, on, self.how)
+                joined = joined.select(*(F.coalesce(n, f"__{n}").alias(n) if n in free else F.col(n) for n in [c for c in joined.columns if not c.startswith("__") or c[2:] not in free]))
+                parts = joined if parts is None else parts.unionByName(joined)
+        return parts
+
     def frame(self, graph) -> DataFrame:
         return _framed(self, graph, None)
 
     def sql(self) -> str:
-        word = "NATURAL LEFT JOIN" if self.how == "left" else "NATURAL JOIN"
-        return f"SELECT * FROM ({self.left.sql()}) {word} ({self.right.sql()})"
+        shared = self.shared()
+        loose = [n for n in shared if n in self.left.unbound() or (n in self.right.unbound() and self.how == "inner")]
+        if not loose:
+            word = "NATURAL LEFT JOIN" if self.how == "left" else "NATURAL JOIN"
+            return f"SELECT * FROM ({self.left.sql()}) {word} ({self.right.sql()})"
+        test = " AND ".join(f'(a."{n}" = b."{n}"' + (f' OR a."{n}" IS NULL' + (f' OR b."{n}" IS NULL' if self.how == "inner" else "") if n in loose else "") + ")" for n in shared)
+        shown = ", ".join(f'coalesce(a."{n}", b."{n}") AS "{n}"' if n in shared else f'{"a" if n in self.left.names else "b"}."{n}"' for n in self.names)
+        return f"SELECT {shown} FROM ({self.left.sql()}) a {'LEFT ' if self.how == 'left' else ''}JOIN ({self.right.sql()}) b ON {test}"
+
+
+def _subsets(names: list[str]) -> list[set[str]]:
+    return [set(c) for k in range(len(names) + 1) for c in combinations(names, k)]
+
+
+def _lacking(df: DataFrame, names: list[str], lacks: set[str]) -> DataFrame:
+    """Rows that have no value of just these of the names."""
+    for n in names:
+        df = df.where(F.col(n).isNull() if n in lacks else F.col(n).isNotNull())
+    return df
 
 
 @dataclass
@@ -168,6 +218,9 @@ class Union(Node):
     def names(self) -> list[str]:
         return list(dict.fromkeys(n for p in self.parts for n in p.names))
 
+    def unbound(self) -> set[str]:
+        return {n for n in self.names if any(n not in p.names or n in p.unbound() for p in self.parts)}
+
     def frame(self, graph) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.frame(graph) for p in self.parts))
 
@@ -236,6 +289,9 @@ class Select(Node):
     def names(self) -> list[str]:
         return self.columns
 
+    def unbound(self) -> set[str]:
+        return {c for c in self.columns if c not in self.child.names or c in self.child.unbound()}
+
     def frame(self, graph) -> DataFrame:
         df = _framed(self.child, graph, set(self.columns) & set(self.child.names))
         df = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in self.columns))

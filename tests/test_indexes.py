@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import coref, labelling, linking
 from graphloom.operators.kg_views import KG, StoredGraph
-from graphloom.plans.algebra import Pairs, match
+from graphloom.plans.algebra import Join, Pairs, Union, match
 
 WORDS = ["acme", "bell", "inc", "of", "the", "Corp", "x", "É", "new", "york", "", "north", "northern", "ab", "abc"]
 
@@ -45,6 +45,31 @@ def test_first_pairs_are_those_of_all_pairs(spark, apart, seed):
     assert "BroadcastNestedLoop" not in node.frame(graph)._jdf.queryExecution().toString()
 
 
+def test_variables_without_a_value_agree_with_any(spark):
+    """As in the tests of the standard: what an optional part left unbound is bound by a later one, and a pattern joins it to all."""
+    import duckdb
+
+    rows = [("a", "name", "A"), ("b", "name", "B"), ("a", "nick", "x"), ("a", "mbox", "m1"), ("b", "mbox", "m2"), ("c", "nick", "y"), ("u", "owner", "a"), ("v", "owner", "b"), ("x", "seen", "u"), ("y", "seen", "v")]
+    rows = [(s, KG + p, o, "literal") for s, p, o in rows]
+    graph = StoredGraph(spark.createDataFrame(rows, "s string, p string, o string, o_kind string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE triples (s VARCHAR, p VARCHAR, o VARCHAR, o_kind VARCHAR)")
+    con.executemany("INSERT INTO triples VALUES (?, ?, ?, ?)", rows)
+    base = match("?who :name ?name").optional("?who :nick ?nick")
+    cases = [
+        (base.optional("?who :mbox ?nick").select("who", "nick"), {("a", "x"), ("b", "m2")}),
+        (Join(base, match("?thing :owner ?who", "?nick :seen ?thing")).select("who", "nick", "thing"), {("a", "x", "u"), ("b", "y", "v")}),
+        (Join(match("?thing :owner ?who", "?nick :seen ?thing"), base).select("who", "nick", "thing"), {("a", "x", "u"), ("b", "y", "v")}),
+        (Join(Union([match("?who :nick ?nick"), match("?who :name ?name")]), match("?who :mbox ?box")).select("who", "nick", "box"), {("a", "x", "m1"), ("a", None, "m1"), ("b", None, "m2")}),
+    ]
+    for node, want in cases:
+        got = [tuple(r) for r in node.frame(graph).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert sorted(con.execute(node.sql()).fetchall(), key=str) == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        Join(base.select("nick"), match("?nick :seen ?thing")).frame(graph)
+
+
 def test_pairs_are_ordered_by_their_first_row():
     with pytest.raises(ValueError):
         Pairs(match("?person :l ?place").select("person", "place"), ["place"], "person", ["place", "person2", "person1"], 5).sql()
