@@ -6,8 +6,10 @@ A hit is content, score, type (text_chunk or graph_relation), retriever, ord (it
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +50,73 @@ def bow_search(docs: DataFrame, question: str, k: int = 5, id_col: str = "doc_id
     """The k texts nearest to a question by cosine of word counts, ties to the larger id; only the question's terms leave the scan."""
     asked = [w for w in question.lower().split() if w]
     terms = {w: asked.count(w) for w in asked}
-    size = sum(n * n for n in terms.values()) ** 0.5
+    size = sum(n * n for n in terms.values()) ** 0.5 or 1.0  # a blank question has no terms and no rows
     words = F.array_remove(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), "")
     counted = docs.select(F.col(id_col), F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    weight = F.create_map(*[F.lit(x) for kv in terms.items() for x in (kv[0], float(kv[1]))])
+    weight = F.create_map(*[F.lit(x) for kv in terms.items() for x in (kv[0], float(kv[1]))]) if terms else F.lit(None).cast("map<string, double>")
     w = F.coalesce(F.try_element_at(weight, F.col("term")), F.lit(0.0))
     scored = counted.groupBy(id_col).agg((F.sum(F.col("n") * w) / (F.sqrt(F.sum(F.col("n") * F.col("n"))) * F.lit(size))).alias("score"))
     return scored.where("score > 0").orderBy(F.desc(F.round("score", 9)), F.desc(id_col)).limit(k)
 
 
+#: Questions that are answered in one scan of the texts; their vectors are what is sent to tasks.
+QUESTIONS = 1000
+
+
+def _best(questions: list[tuple], k: int):
+    """Scores Arrow batches of (id, words) against a block of questions (id, words) by one matrix product, and passes on the best k of each question."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = {w: c for c, w in enumerate(dict.fromkeys(w for _, ws in questions for w in ws))}
+        asked = np.zeros((len(column), len(questions)))
+        for q, (_, ws) in enumerate(questions):
+            np.add.at(asked, ([column[w] for w in ws], q), 1.0)
+        asked /= np.maximum(np.sqrt((asked**2).sum(0)), 1e-300)
+        for batch in batches:
+            ids, lists = batch.column("id"), batch.column("words")
+            n, coded = batch.num_rows, lists.flatten().dictionary_encode()
+            names, offsets = coded.dictionary.to_pylist(), lists.offsets.to_numpy()
+            key, count = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * max(len(names), 1) + coded.indices.to_numpy(), return_counts=True)
+            doc, term = key // max(len(names), 1), key % max(len(names), 1)
+            norm = np.sqrt(np.bincount(doc, count.astype(float) ** 2, minlength=n))
+            place = np.array([column.get(w, -1) for w in names], dtype=np.int64)[term] if names else np.empty(0, np.int64)
+            held = np.zeros((n, len(column)))
+            held[doc[place >= 0], place[place >= 0]] = count[place >= 0]
+            score = held @ asked / np.maximum(norm, 1e-300)[:, None]
+            rank, rows, whose = np.round(score, 9), [], []
+            order = np.argsort(np.argsort(ids.to_pandas().to_numpy(), kind="stable"))
+            for q in range(len(questions)):
+                some = np.flatnonzero(score[:, q] > 0)
+                best = some[np.lexsort((-order[some], -rank[some, q]))[:k]]
+                rows.append(best)
+                whose.append(np.full(len(best), q))
+            at, q = np.concatenate(rows), np.concatenate(whose)
+            yield pa.record_batch([pa.array([questions[x][0] for x in q.tolist()]).cast(pa.string()), ids.take(pa.array(at)), pa.array(score[at, q])], names=["question", "id", "score"])
+
+    return run
+
+
+def bow_topk(docs: DataFrame, questions: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", question_col: str = "question", asked_col: str = "text") -> DataFrame:
+    """``bow_search`` for a table of questions: (question as a string, id, score, rank from 1), the k nearest texts of each.
+
+    Texts are scanned once for QUESTIONS questions; a task keeps k rows a question and batch, of which the best are ranked. Null and empty questions have no rows.
+    """
+    words = lambda c: F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), "")
+    asked = questions.select(F.col(question_col).cast("string").alias("q"), words(F.col(asked_col)).alias("ws")).where("q is not null and size(ws) > 0")
+    blocks = max(1, -(-asked.count() // QUESTIONS))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
+    kind, out = dict(texts.dtypes)["id"], None
+    for b in range(blocks):
+        block = [(r["q"], list(r["ws"])) for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()]
+        if block:
+            found = texts.mapInArrow(_best(block, k), f"question string, id {kind}, score double")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], f"question string, id {kind}, score double, rank int")
+    best = Window.partitionBy("question").orderBy(F.desc(F.round("score", 9)), F.desc("id"))
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def question_entities(question: str) -> list[str]:
     """Runs of capitalised words of a question, without punctuation, also inside; stop words in any case end a run."""
     out: list[str] = []

@@ -272,6 +272,23 @@ def bow_cosine(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bow_search(_t(spark, d, "documents"), QUESTION, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
+def bow_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest documents of every benchmark item."""
+    found = retrieval.bow_topk(_t(spark, d, "documents"), _t(spark, d, "benchmark"), 5, question_col="item_id")
+    return found.select("question", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+BOW_QUESTIONS_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*)::DOUBLE AS n FROM w WHERE term <> '' GROUP BY ALL),
+d AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id),
+v AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) AS term FROM benchmark), q AS (SELECT item_id, term, count(*)::DOUBLE AS n FROM v WHERE term <> '' GROUP BY ALL),
+e AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM q GROUP BY item_id),
+s AS (SELECT item_id, doc_id, sum(q.n * c.n) AS dot FROM q JOIN c USING (term) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, dot / (d.norm * e.norm) AS score FROM s JOIN d USING (doc_id) JOIN e USING (item_id)),
+t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM r)
+SELECT item_id::VARCHAR AS question, doc_id, round(score, 6) AS score, rank FROM t WHERE rank <= 5"""
+
+
 def _bow_sql() -> str:
     asked = QUESTION.lower().split()
     terms = {w: asked.count(w) for w in asked}
@@ -428,7 +445,7 @@ def sparql_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     html_clean, html_title, html_headers, chunk_docs, classify_rule, classify_keyword, classify_hybrid, domain_rules, domain_doi, ner_capitalised, rel_proximity, rel_sentence, rel_dedup,
-    coref_greedy, doc_rel_proximity, doc_rel_sentence, doc_rel_dedup, doc_coref_greedy, link_entities, alias_resolve, vector_topk, bow_cosine, rag_local_relevance, graph_retrieval, hybrid_topk, multimodal_diverse, ontology_infer, pg_label_counts, pg_rel_counts, pg_neighbourhood, triples_build, sparql_text,
+    coref_greedy, doc_rel_proximity, doc_rel_sentence, doc_rel_dedup, doc_coref_greedy, link_entities, alias_resolve, vector_topk, bow_cosine, bow_questions, rag_local_relevance, graph_retrieval, hybrid_topk, multimodal_diverse, ontology_infer, pg_label_counts, pg_rel_counts, pg_neighbourhood, triples_build, sparql_text,
 )
 
 SQL = {
@@ -448,6 +465,7 @@ SQL = {
     "alias_resolve": "WITH m AS (SELECT unnest(string_split(p_name, ' ')) AS text FROM part UNION SELECT p_type FROM part UNION SELECT p_type || ' TYPE' FROM part), a AS (SELECT DISTINCT unnest([lower(p_type), lower(p_type) || ' type']) AS alias, p_type AS canonical FROM part) SELECT text, canonical, 0.9::DOUBLE AS confidence FROM m JOIN a ON lower(text) = alias WHERE text <> canonical",
     "vector_topk": "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 10",
     "bow_cosine": _bow_sql(),
+    "bow_questions": BOW_QUESTIONS_SQL,
     "rag_local_relevance": _relevance_sql(),
     "link_entities": LINK_SQL,
     "graph_retrieval": GRAPH_HITS_SQL,

@@ -123,3 +123,17 @@ def test_coreference_of_many_mentions():
         began = time.time()
         found = coref.cluster(pd.DataFrame({"doc_id": 1, "type": kind, "pos": range(len(order)), "text": order, "content": text}))
         assert len(found) == 100_000 and (found["seed"] <= found["pos"]).all() and time.time() - began < 60
+
+
+def test_questions_at_once_are_answered_as_one_by_one(spark, monkeypatch):
+    from graphloom.operators import retrieval
+
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice(["Acme", "opened", "a", "branch", "in", "Rome", "the", "É", "x"]) for _ in range(n))
+    docs = spark.createDataFrame([(k, say(r.randint(0, 12))) for k in range(80)] + [(100, None), (None, "Acme"), (101, "  Acme\tacme ")], "doc_id long, text string")
+    asked = [(k, say(r.randint(1, 5))) for k in range(7)] + [(8, None), (9, " "), (10, "nowhere"), (None, "Acme")]
+    for blocks in (1000, 3):
+        monkeypatch.setattr(retrieval, "QUESTIONS", blocks)
+        got = {(x.question, x["rank"]): (x.doc_id, round(x.score, 6)) for x in retrieval.bow_topk(docs, spark.createDataFrame(asked, "question long, text string"), 4).withColumnRenamed("id", "doc_id").collect()}
+        want = {(str(q), n): (x.doc_id, round(x.score, 6)) for q, t in asked if q is not None and t for n, x in enumerate(retrieval.bow_search(docs.where("doc_id is not null"), t, 4).collect(), 1)}
+        assert got == want
