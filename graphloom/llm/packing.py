@@ -14,9 +14,9 @@ repeated pieces in sequences of their own. Null ids are carried. An empty table
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,10 @@ from .common import arrow_batches
 
 #: Tokens of the longest sequence, and the id that ends each document.
 LONGEST, END = 4096, 2
-#: Words whose ids a worker keeps; the store is emptied when it is full.
-KEPT_WORDS = 700_000
+#: Words whose ids a worker keeps, and words without the signs behind them that it keeps besides; a store is emptied when it is full.
+KEPT_WORDS, KEPT_CORES = 700_000, 150_000
 #: Bytes of text that are tokenised at a time.
-SLICE = 8 << 20
+SLICE = 5 << 20
 #: Signs that can follow a word in a chunk and are cut off before words are looked up.
 SIGNS = ".,;:!?#*$%&|()"
 #: Texts that are not brought to lower case beforehand: with what may be a special token, or a mark that may be composed with a letter.
@@ -51,6 +51,8 @@ class _Vocabulary:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of the tokenizer's own would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(size, dtype=bool)
@@ -60,7 +62,7 @@ class _Vocabulary:
 
     def empty(self) -> None:
         self.code: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
+        self.cores: dict[str, bytes] = {}
         self.ids = np.empty(1 << 20, dtype="<u4")
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
@@ -76,11 +78,12 @@ class _Vocabulary:
             ids = e.ids
             cut = [0, *(np.flatnonzero(self.ends[np.array(ids, dtype=np.int64)]) + 1).tolist()]
             if len(cut) == len(lot) + 1:
-                self.cores.update(zip(lot, (ids[x:y] for x, y in zip(cut, cut[1:]))))
+                raw = np.array(ids, dtype="<u4").tobytes()
+                self.cores.update(zip(lot, (raw[4 * x : 4 * y] for x, y in zip(cut, cut[1:]))))
             else:
                 other += lot
         for c, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.cores[c] = e.ids
+            self.cores[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def codes(self, words: list[str]) -> np.ndarray:
         """Codes of distinct words; those not met yet are tokenised."""
@@ -91,19 +94,21 @@ class _Vocabulary:
             # ASCII signs after a letter or digit are a word of their own to the tokenizer (but for apostrophes).
             cut = [(core, w[len(core) :]) if (core := w.rstrip(SIGNS)) and (end := core[-1]).isalnum() and (end.isascii() or _ends_a_word(core)) else (w, "") for w in new]
             self._learn([c for c in {x for pair in cut for x in pair if x} if c not in self.cores])
-            self.cores[""] = []
+            self.cores[""] = b""
             cores = self.cores
             found = [cores[a] + cores[b] if b else cores[a] for a, b in cut]
-            k, sizes = len(self.code), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            k, sizes = len(self.code), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
             total = int(sizes.sum())
             while k + len(new) + 1 > len(self.start):
                 self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), dtype="<u4", count=total)
+            self.ids[self.used : self.used + total] = np.frombuffer(b"".join(found), dtype="<u4")
             self.start[k + 1 : k + 1 + len(new)] = self.used + np.cumsum(sizes)
             self.used += total
             self.code.update(zip(new, range(k, k + len(new))))
+            if len(cores) > KEPT_CORES:
+                self.cores = {}
         return np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
 
 
