@@ -5,8 +5,8 @@ ascent on the exact likelihood; only its weights, some thousand numbers, are sen
 shape makes "outside" optimal whatever its neighbours' labels splits the chain exactly, so only the short stretches between
 such words need decoding.
 
-Two rules stand around the field. Before it, only words with a digit, an @ or a spelt-out sign, and their neighbours, may be labelled (``is_marked``). After it, a span
-must hold as many digits as its kind needs (``plausible``), as base matches must pass a count or a checksum.
+Two rules stand around the field. Before it, only words with a digit, an @, a spelt-out sign or at least LONG_WORD letters, and their neighbours, are decoded (``is_marked``): decoding all
+words takes four times as long. After it, a span must hold as many digits as its kind needs, and a card pass its checksum (``plausible``), as base matches must.
 
 Base spans stay; a span of the field is added where it overlaps none of them. Base patterns are searched in time linear in the text, also where it is unbroken.
 
@@ -114,7 +114,8 @@ CONTEXTS = (
     "phone <phone> at any time", "Fax: <phone> in the evening", "Tel. <phone>", "llama al <phone> por favor", "unter <phone> erreichbar", "set token = <secret> in the file", "the api_key = <secret> is old",
     "export SECRET <secret> here", "password: <secret> was changed", "use <secret> as the key", "with <secret> here", "AWS_ACCESS_KEY_ID <secret> was found", "Authorization: Bearer <secret>",
     "the <secret> is set and <secret> too", "From <secret> there", "key <secret> here", "it is <secret> I believe", "<secret>", "SSN <ssn> on file", "social security number <ssn> was given", "her number is <ssn> and his is <ssn>", "IBAN <iban> bitte", "pay to <iban> this week",
-    "account <iban> is closed", "virement sur <iban> demain",
+    "account <iban> is closed", "virement sur <iban> demain", "the password: <phrase> was changed", "use <phrase> as the key", "set token = <phrase> in the file", "my password is <phrase> since May", "password <phrase> for the host",
+    "api_key = <phrase> and no other", "secret: <phrase>", "the key <phrase> is old", "Authorization: Bearer <phrase>",
 )
 #: Sentences in which nothing is anybody's (fixed values).
 PLAIN = (
@@ -125,7 +126,10 @@ PLAIN = (
     "(see below) or [1] and {x} = y + z - 3 * 4", "at 10:45 on 2024-01-31 or 31.01.2024 in E1F2A3B", "abc.de abc.de abc.de and hel,lo hel,lo hel,lo hel,lo", "Abc.de Abc.de Abc.de wh/at wh/at a-b a-b c_d c_d", "one two three 1 2 3 four five 6.7 eight",
     "look at the dot on the map at noon", "we met at home and at work, dot by dot", "the dot at the end of the line is small", "a dot com company was sold at a loss", "ISBN 978-3-16-148410-0 and ISSN 2049-3630", "order 4711-0815 of 3 May, 2 kg at 9.99",
     "from 1914-18 to 1939-45 and 2001-2010", "pages 120-125 and 210-216, plate 3-4", "x86_64 and utf8 on win32 or python3.11", "COVID19 and MP3 or H2O in A4", "chapter 3.2.1 and section 4.5.6", "room 101 to 105 at 7 pm on 12 June 1987",
-    "42 6 13 2 8 15 4 23 16 42", "between 1.5 and 2.5 million in 2010 2011 2012", "the score was 3-2 and then 4-4", "from 08:00 to 17:30 on weekdays", "call 911 or dial 112 now", "part no. 12-345 or 67-890 in stock", "the code E404 and error 500",
+    "the internationalization of counterrevolutionaries was incomprehensibly slow", "Donaudampfschifffahrtsgesellschaft und Rechtsschutzversicherungsgesellschaften", "the key responsibilities of a password administrator are misunderstandings",
+    "set aside uncharacteristically long words in the file", "anticonstitutionnellement et les intergouvernementalisations", "the password was changed and the secret is out", "use uninterrupted characterizations as the example", "electroencefalografista y otorrinolaringólogo de hoy",
+    "thinonateringenenst ereaanthearnation erinthandoreshinger atterantionthe whstheingere", "UNCHARACTERISTICALLY LOUD INTERNATIONALIZATION IS HERE", "token bearers, secretaries and keynotes",
+    "From straightforwardness to unquestionablenesses there", "it is characteristically warm I believe", "with disproportionateness and here, antidisestablishmentarian. Nothing more", "erer,### counterintuitively%%% there&&& hyperresponsiveness### so", "Lo. Otorrinolaringológico y. De", "Les. Institutionnellement de la", "42 6 13 2 8 15 4 23 16 42", "between 1.5 and 2.5 million in 2010 2011 2012", "the score was 3-2 and then 4-4", "from 08:00 to 17:30 on weekdays", "call 911 or dial 112 now", "part no. 12-345 or 67-890 in stock", "the code E404 and error 500",
 )
 #: Rounds of values put into the contexts, and what chooses them.
 ROUNDS, SEED = 6, 11
@@ -152,6 +156,8 @@ def made_value(kind: str, r: random.Random) -> str:
             f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)}-{d(2)}-{d(6)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(6)}", f"{d(3)}.{d(3)}.{d(4)}",
             f"00{d(2)} {d(2)} {d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
         ])
+    if kind == "phrase":
+        return some(r.choice([lower, upper, lower + upper]), r.randint(16, 30))
     if kind == "ssn":
         return f"{d(3)}-{d(2)}-{d(4)}"
     if kind == "iban":
@@ -171,7 +177,7 @@ def made_sentences(contexts: tuple[str, ...], plain: tuple[str, ...], rounds: in
             for k, piece in enumerate(re.split(r"<(\w+)>", context)):
                 value = made_value(piece, r) if k % 2 else piece
                 if k % 2:
-                    spans.append((len(text), len(text) + len(value), piece))
+                    spans.append((len(text), len(text) + len(value), "secret" if piece == "phrase" else piece))
                 text += value
             out.append((text, spans))
     return out
@@ -194,6 +200,8 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 #: Words that tell what stands beside them.
 CUES = frozenset("at dot com org net de mail email phone tel. fax: call token password: password api_key secret key bearer iban ssn social security number card account host node ip = from from: pay".split())
+#: Letters of a long word.
+LONG_WORD = 15
 #: Signs of a shape beyond which it is named by a hash of the whole.
 LONG_SHAPE = 24
 
@@ -231,6 +239,8 @@ def word_features(word: str) -> tuple[str, ...]:
         found.append("mixed" + str(min(len(word), 47) // 8))
     if n and len(low) >= 15 and low.isalnum():
         found.append("code")
+    if len(low) >= LONG_WORD and low.isalpha():
+        found.append("long-word")
     if n and re.match(r"[A-Z]{2}[0-9]{2}", word):
         found.append("country-code")
     if "(at)" in low or "[at]" in low:
@@ -241,11 +251,10 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 def is_marked(features: tuple[str, ...]) -> int:
-    """Whether a word holds a digit, an @ or a spelt-out sign: only such words and their neighbours can be personal data. 2 for a bare "dot", which reaches
-    three words back."""
+    """Whether a word holds a digit, an @, a spelt-out sign or many letters: only such words and their neighbours are decoded. 2 for a bare "dot", which reaches three words back."""
     if "w=dot" in features:
         return 2
-    return int("no-digits" not in features or any(f in features for f in ("at-sign", "at-word", "dot-word")))
+    return int("no-digits" not in features or any(f in features for f in ("at-sign", "at-word", "dot-word", "long-word")))
 
 
 class Field:
@@ -304,7 +313,9 @@ def _train(table: pd.DataFrame, rounds: int, rate: float, decay: float) -> Field
                 features.setdefault(f, len(features))
     m, n, t = len(LABELS), len(sentences), max(len(w) for w, _ in sentences)
     size = np.array([len(w) for w, _ in sentences])
-    held, gold = np.zeros((n, t, 3 * len(features))), np.zeros((n, t, m))
+    real = np.arange(t) < size[:, None]
+    row = np.cumsum(real).reshape(n, t) - 1  # of the real words, which are all that is held
+    held, gold = np.zeros((int(size.sum()), 3 * len(features)), dtype=np.float32), np.zeros((n, t, m))
     seen, first = np.zeros((m, m)), np.zeros(m)
     for i, (words, labels) in enumerate(sentences):
         first[labels[0]] += 1
@@ -316,14 +327,14 @@ def _train(table: pd.DataFrame, rounds: int, rate: float, decay: float) -> Field
                 # What a word gives to itself, to the next word and to the one before.
                 for k, at in ((0, j), (1, j + 1), (2, j - 1)):
                     if 0 <= at < len(words):
-                        held[i, at, 3 * features[f] + k] = 1
-    real = (np.arange(t) < size[:, None])[:, :, None]
-    flat = held.reshape(n * t, -1)
-    emit, move, begin = np.zeros((flat.shape[1], m)), np.zeros((m, m)), np.zeros(m)
+                        held[row[i, at], 3 * features[f] + k] = 1
+    emit, move, begin = np.zeros((held.shape[1], m)), np.zeros((m, m)), np.zeros(m)
     grown = [np.full_like(x, 1e-8) for x in (emit, move, begin)]
     for _ in range(rounds):
-        p, pairs = _expected((flat @ emit).reshape(n, t, m), size, move, begin)
-        step = [flat.T @ ((gold - p) * real).reshape(n * t, m), seen - pairs, first - p[:, 0].sum(0)]
+        score = np.zeros((n, t, m))
+        score[real] = held @ emit.astype(np.float32)
+        p, pairs = _expected(score, size, move, begin)
+        step = [(held.T @ (gold - p)[real].astype(np.float32)).astype(float), seen - pairs, first - p[:, 0].sum(0)]
         for x, d, g in zip((emit, move, begin), step, grown):
             d -= decay * x
             g += d * d
@@ -354,12 +365,15 @@ def viterbi(score: np.ndarray, move: np.ndarray) -> np.ndarray:
 
 
 def plausible(kind: int, piece: str) -> bool:
-    """What a span must hold whatever its shape, as base matches must pass a count or a checksum."""
-    digits = sum("0" <= c <= "9" for c in piece)
-    least = {"ip": 4, "card": 12, "phone": 7, "secret": 4, "ssn": 9, "iban": 12}.get(KINDS[kind], 0)
-    if KINDS[kind] == "secret" and len(piece) >= 16:
-        least = 1
-    return digits >= least and (KINDS[kind] != "email" or "@" in piece or "at" in piece.lower())
+    """What a span must hold whatever its shape, as base matches must pass a count or a checksum: a card its digits and Luhn's sum, others a number of digits, a secret one digit or many letters."""
+    digits = "".join(c for c in piece if "0" <= c <= "9")
+    if KINDS[kind] == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    least = {"ip": 4, "phone": 7, "secret": 4, "ssn": 9, "iban": 12}.get(KINDS[kind], 0)
+    if KINDS[kind] == "secret" and len(piece) >= LONG_WORD:
+        least = 0
+    low = piece.lower()
+    return len(digits) >= least and (KINDS[kind] != "email" or "@" in low or "(at)" in low or "[at]" in low or ("at" in low and "dot" in low))
 
 
 #: Forms and words that a decoder keeps before it begins anew, bytes of a word that is kept, and of the texts that are decoded at a time.
@@ -382,8 +396,8 @@ class Decoder:
         text = word.decode()
         core = text.rstrip(".,")
         if core.isalpha() and core[1:].islower() and text.count(".") < 3 and core.lower() not in CUES:
-            # All such words of one letter or more have the features of the shortest one.
-            text = ("A" if "A" <= core[0] <= "Z" else "a") + "bc"[: len(core) - 1] + text[len(core) :]
+            # All such words have the features of a short one, or of a long one.
+            text = ("A" if "A" <= core[0] <= "Z" else "a") + ("bc"[: len(core) - 1] if len(core) < LONG_WORD else "b" * (LONG_WORD - 1)) + text[len(core) :]
         key = word_features(text)
         k = self.forms.get(key)
         if k is None:
@@ -428,16 +442,18 @@ class Decoder:
             return out
         table = self.table[: len(self.forms)]
         own = np.repeat(np.arange(len(texts)), lengths)
-        # Which words may be inside: their own score and the most that any neighbours can add.
-        most = np.stack([table[:, k].max(0) - table[:, k, :1].min() for k in (1, 2)]).sum(0)[1:]
-        open_code = ((table[:, 0, 1:] - table[:, 0, :1]) + self.field.margin + most > 0).any(1)
+        # Which words may be inside: the most that their own form, the one before and the one after can give to any label.
+        gain = [table[:, k, 1:] - table[:, k, :1] for k in range(3)]
+        own_most, after_most, before_most = (gain[0] + self.field.margin).max(1), gain[1].max(1), gain[2].max(1)
+        most, same = own_most[code], own[1:] == own[:-1]
+        most[1:] += np.where(same, after_most[code[:-1]], 0.0)
+        most[:-1] += np.where(same, before_most[code[1:]], 0.0)
         marks = self.marks[code]
-        same = own[1:] == own[:-1]
         near = marks > 0
         near = near | np.append(near[1:] & same, False) | np.append(False, near[:-1] & same)
         for back in (2, 3):  # from a bare "dot"
             near[:-back] |= (marks[back:] == 2) & (own[back:] == own[:-back])
-        spots = np.flatnonzero(open_code[code] & near)
+        spots = np.flatnonzero((most > 0) & near)
         if not len(spots):
             return out
         # Exact scores for those words, by their real neighbours.
