@@ -123,12 +123,12 @@ def roots(h: np.ndarray, sizes: np.ndarray, runs: int, first: int = 0) -> tuple[
 
 def _run_again(first: int, runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text) -> (id, path): the first level of further runs."""
+        """(id, stands, text) -> (id, stands, path): the first level of further runs."""
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("id").to_numpy()
+            texts, ids, stands = batch.column("text").to_pylist(), batch.column("id").to_numpy(), batch.column("stands").to_numpy()
             for a, b in chunks(texts):
                 who, path = roots(*shingles(texts[a:b]), runs, first)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][who]), pa.array(path.view(np.int64))], names=["id", "path"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][who]), pa.array(stands[a:b][who]), pa.array(path.view(np.int64))], names=["id", "stands", "path"])
 
     return run
 
@@ -159,7 +159,7 @@ def _sign(runs: int):
 
 
 def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, paths) -> (id, path): the children of the nodes at which a text is."""
+    """(id, stands, text, paths) -> (id, stands, path): the children of the nodes at which a text is."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in chunks(texts):
@@ -169,8 +169,8 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.diff(lists.offsets.to_numpy())
             node = lists.flatten().to_numpy().astype(np.int64).view(_U)
             who, path = children(h, sizes, np.repeat(np.arange(b - a), count), node)
-            ids = part.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(path.view(np.int64))], names=["id", "path"])
+            ids, stands = part.column("id").to_numpy(), part.column("stands").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(stands[who]), pa.array(path.view(np.int64))], names=["id", "stands", "path"])
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,11 +403,13 @@ def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
     sketch = texts.select("id", "sketch")
     bins = max(1, -(-texts.count() * 4 // TASK_ROWS))
     covers, edges = _covers(texts.select("id", F.explode("paths").alias("path")), sketch)
-    wide = F.lit(False)
+    held = texts.select("id", "sketch", F.lit(False).alias("wide"), F.col("id").alias("stands"), "paths")
     if covers is not None:
-        sketch = written(sketch.join(covers.select(F.col("rep").alias("id"), F.lit(True).alias("wide")).distinct(), "id", "left"), "sketches")
-        wide = F.coalesce("wide", F.lit(False))
-    sketch = sketch.select("id", "sketch", wide.alias("wide"))
+        first = covers.select(F.col("rep").alias("id")).distinct()
+        marks = covers.select("id", F.lit(False).alias("wide"), F.col("rep").alias("stands")).unionByName(first.select("id", F.lit(True).alias("wide"), F.col("id").alias("stands")))
+        held = texts.join(marks, "id", "left").select("id", "sketch", F.coalesce("wide", F.lit(False)).alias("wide"), F.coalesce("stands", "id").alias("stands"), "paths")
+        held = written(held, "held")
+    sketch = held.select("id", "sketch", "wide")
 
     def compared(members: DataFrame) -> DataFrame:
         """Brute force in nodes (id, path, n): small nodes share a task; each cell of a large one is dealt on its own."""
@@ -429,35 +431,34 @@ def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
     deep: list[DataFrame] = []
 
     def descended(members: DataFrame) -> int:
-        """Compares what lies in small or dense nodes, and splits the others level by level; the levels that were needed."""
+        """Compares what lies in small or dense nodes, and splits the others level by level; the levels that were needed. A member is a text at a path, and what stands for it there."""
         nonlocal split
         level = 1
         while True:
-            stood = members if covers is None else members.join(covers, "id", "left").select(F.coalesce("rep", "id").alias("id"), "path").distinct()
-            nodes = written(_sized(stood).where("n > 1").select("id", "path", "n"), "nodes")
+            nodes = written(_sized(members.select(F.col("stands").alias("id"), "path").distinct()).where("n > 1").select("id", "path", "n"), "nodes")
             edges.append(written(compared(nodes.where(F.col("n") <= SPLIT)), "found"))
             crowd = nodes.where(F.col("n") > SPLIT)
             if crowd.isEmpty():
                 return level
             judged = written(dense(crowd), "dense")
             edges.append(written(compared(crowd.join(judged.where("dense"), "path").drop("dense")), "found"))
-            at = members.join(judged.where(~F.col("dense")).select("path"), "path").groupBy("id").agg(F.collect_list("path").alias("paths"))
+            at = members.join(judged.where(~F.col("dense")).select("path"), "path").groupBy("id", "stands").agg(F.collect_list("path").alias("paths"))
             at = written(at, "split")
             if at.isEmpty():
                 return level
             if level == PLANNED:
-                deep.append(at.select("id"))
+                deep.append(at.select("id", "stands"))
             if split is None:
                 # The texts that are still to be split, of which deeper levels only have a part.
                 split = written(_fetched(one, texts.join(at.select("id"), "id").select("id", "node", F.col("doc_id").alias("rep"))).select("id", "text"), "texts")
-            members = written(split.join(at, "id").select("id", "text", "paths").mapInArrow(_descend, "id long, path long").distinct(), "level")
+            members = written(split.join(at, "id").select("id", "stands", "text", "paths").mapInArrow(_descend, "id long, stands long, path long").distinct(), "level")
             level += 1
 
-    planned, levels = PLANNED, descended(texts.select("id", F.explode("paths").alias("path")))
+    planned, levels = PLANNED, descended(held.select("id", "stands", F.explode("paths").alias("path")))
     while levels > planned:
         first, planned = runs_for(recall, planned), max(levels, 2 * planned)
-        below = split.join(reduce(DataFrame.unionByName, deep).distinct(), "id", "left_semi")
-        again = written(below.select("id", "text").mapInArrow(_run_again(first, runs_for(recall, planned)), "id long, path long").distinct(), "again")
+        below = split.join(reduce(DataFrame.unionByName, deep).distinct(), "id").select("id", "stands", "text")
+        again = written(below.mapInArrow(_run_again(first, runs_for(recall, planned)), "id long, stands long, path long").distinct(), "again")
         levels = max(levels, descended(again))
     out = edges[0]
     for e in edges[1:]:
