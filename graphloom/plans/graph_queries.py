@@ -6,7 +6,7 @@ Rows of a query with a limit are made definite by ordering on all columns.
 from __future__ import annotations
 
 from ..operators.kg_views import DOCUMENT, KG
-from .algebra import Counts, Node, Pairs, match
+from .algebra import Counts, Join, Node, Pairs, match
 
 KINDS = f"LIKE '{KG}%'"
 
@@ -74,6 +74,8 @@ def catalogue() -> dict[str, Node]:
     event = event.optional(*person, "?person :participatedIn ?event").optional("?event :locatedIn ?location", "?location a :Place", "?location rdfs:label ?locationName")
     relation = match("?r a :Relation", "?r :relationWith ?object", "?r :hasRelation ?subject", "?r :confidence ?confidence").select("subject", "object", "confidence")
     pair = lambda a, b: f"{a} < {b}"
+    # A pair occurs together as often as its rarer entity at most, so entities of one document make no pair that counts.
+    often = lambda k: Join(match(f"?entity{k} :extractedFrom ?any{k}").group([f"entity{k}"], times="count(*)").where("times > 1").select(f"entity{k}"), match(f"?entity{k} :extractedFrom ?doc"))
     works = match(*person, "?person :worksFor ?org", "?person :locatedIn ?location", "?org a :Organization", *_labelled("org"), "?location a :Place", *_labelled("location"))
     works = works.bind(name="personName").select("person", "name", "org", "orgName", "location", "locationName")
     doc_entities = match("?doc a :Document", "?entity :extractedFrom ?doc", *_labelled("entity"), "?entity a ?entityType").where(f"entityType {KINDS}")
@@ -104,7 +106,7 @@ def catalogue() -> dict[str, Node]:
         "kg_relation_distribution": Counts("relationType", KG).bind(count="CAST(n AS BIGINT)").select("relationType", "count").top(["count desc"]),
         "kg_source_stats": _counted(sources, ["sourceType"], docCount="count(doc)", entityCount="count(DISTINCT entity)"),
         "kg_temporal": _counted(match("?doc a :Document", "?doc :createdAt ?createdAt").bind(dateDay="substring(createdAt, 1, 10)"), ["dateDay"], None, "dateDay", docCount="count(doc)"),
-        "kg_cooccurrence": match("?doc a :Document", "?entity1 :extractedFrom ?doc", "?entity2 :extractedFrom ?doc").where(pair("entity1", "entity2")).group(["entity1", "entity2"], coOccurrenceCount="count(doc)").where("coOccurrenceCount > 1").top(["coOccurrenceCount desc"], 20),
+        "kg_cooccurrence": match("?doc a :Document", often(1), often(2)).where(pair("entity1", "entity2")).group(["entity1", "entity2"], coOccurrenceCount="count(doc)").where("coOccurrenceCount > 1").top(["coOccurrenceCount desc"], 20),
         "kg_mention_topk": _mentions(),
         "kg_confidence_buckets": _counted(
             match("?r a :Relation", "?r :confidence ?confidence").bind(c="CAST(confidence AS DOUBLE)").bind(confidenceRange="CASE WHEN c < 0.3 THEN '0.0-0.3' WHEN c < 0.6 THEN '0.3-0.6' WHEN c < 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END"),
