@@ -305,9 +305,12 @@ def similar(h: np.ndarray, counts: np.ndarray, sizes: np.ndarray, less: np.ndarr
         joint += held @ held.T
     more = counts - less
     base = sizes[0] + less[0] - more[0] if n else 0
-    common = base - less[:, None] - less[None, :] + np.round(joint).astype(np.int64)
-    # In whole numbers, so that exactly 0.8 counts: 5 * common >= 4 * both.
-    out = common * 5 >= (sizes[:, None] + sizes[None, :] - common) * 4
+    out = np.empty((n, n), dtype=bool)
+    for a in range(0, n, 256):  # by stripes, as whole matrices of numbers would take ten times the memory
+        rows = slice(a, a + 256)
+        common = base - less[rows, None] - less[None, :] + np.round(joint[rows]).astype(np.int64)
+        # In whole numbers, so that exactly 0.8 counts: 5 * common >= 4 * both.
+        out[rows] = common * 5 >= (sizes[rows, None] + sizes[None, :] - common) * 4
     np.fill_diagonal(out, False)
     return out
 
