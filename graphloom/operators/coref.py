@@ -164,7 +164,8 @@ def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _document(mentions: pd.DataFrame, content: pd.DataFrame) -> pd.DataFrame:
     if mentions.empty or content.empty:
-        return pd.DataFrame({"doc_id": [], "type": [], "pos": [], "text": [], "seed": []})
+        # Columns of a frame without rows keep their types: Arrow makes no array of texts from an empty one of numbers.
+        return mentions[["doc_id", "type", "pos", "text"]].iloc[:0].astype({"type": object, "text": object}).assign(seed=pd.Series(dtype="int32"))
     text = content["content"].iloc[0]
     return pd.concat([cluster(g.assign(content=text)) for _, g in mentions.groupby("type", dropna=False)])
 
