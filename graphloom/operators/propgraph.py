@@ -50,6 +50,11 @@ def relation_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def link_counts(links: DataFrame) -> DataFrame:
+    """``relation_counts`` of links that were counted before: (p, n), several rows a predicate."""
+    return links.groupBy(F.regexp_extract("p", "([^/#]+)$", 1).alias("type")).agg(F.sum("n").cast("long").alias("n"))
+
+
 def all_labels(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("labels").alias("label")).distinct()
 

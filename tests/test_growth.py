@@ -2,10 +2,41 @@
 
 from __future__ import annotations
 
-from graphloom.operators import coref
+from graphloom.operators import coref, propgraph
+from graphloom.operators.kg_views import SAME, TableGraph
 
 
 def test_documents_without_mentions_have_no_clusters(spark):
     docs = spark.createDataFrame([(k, "Ann Lee" if k % 2 else "none") for k in range(20)], "doc_id long, text string")
     mentions = spark.createDataFrame([(k, 0, "Ann Lee", "PERSON") for k in range(40) if k % 2], "doc_id long, pos int, text string, type string")
     assert sorted(map(tuple, coref.clusters(mentions, docs).collect())) == [(k, "PERSON", 0, "Ann Lee", 0) for k in range(20) if k % 2]
+
+
+def _parts(spark, tmp_path, rows):
+    """The smallest tables with other parts."""
+    import os
+
+    source = "/root/testdata/sf0.001"
+    for name in os.listdir(source):
+        if name != "part.parquet":
+            os.symlink(f"{source}/{name}", tmp_path / name)
+    like = spark.read.parquet(f"{source}/part.parquet")
+    spark.createDataFrame([(k, n, "b", "t", 1, 1.0) for k, n in rows], like.schema).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    return TableGraph(spark, str(tmp_path))
+
+
+def test_same_as_triples_are_counted_and_begun_without_pairs(spark, tmp_path):
+    # Keys of several lengths and below zero, a key with two names, both of them shared, rows twice, rows without a key or a name.
+    rows = [(k, f"n{k % 3}") for k in (*range(-12, 30, 2), 95, 100, 101, 9, 9)] + [(4, "n0"), (10, "n2"), (4, "n2"), (10, "n0"), (None, "n1"), (7, None)]
+    graph = _parts(spark, tmp_path, rows)
+    pairs = [(str(a), str(b)) for a, n in rows for b, m in rows if None not in (a, b, n) and n == m and a < b]
+    assert [(x.n, x.subjects) for x in graph.same_set().collect()] == [(len(set(pairs)), len({a for a, _ in pairs}))]
+    later = sorted((a, b) for a, b in pairs if a < b)
+    for limit in (1, 3, 100):
+        some = sorted({a for a, _ in later})[:limit]
+        key = lambda x: x.rsplit("/", 1)[1]
+        assert sorted((key(x.s), key(x.o)) for x in graph.first_same(limit).collect()) == [p for p in later if p[0] in some]
+    triples = graph.scan()
+    assert not triples.where("p like '%sameAs'").isEmpty() and graph.scan(but=SAME).where("p like '%sameAs'").isEmpty()
+    links = propgraph.link_counts(graph.links())
+    assert sorted(links.collect()) == sorted(propgraph.relation_counts(propgraph.from_triples(triples)[1]).collect())
