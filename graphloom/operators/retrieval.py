@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.algebra import match
+from ..plans.algebra import Hinted, match, quoted
 
 #: Words that end a phrase of a question, and words that make a question one about relations (fixed values).
 STOP = ("what", "who", "where", "when", "why", "how", "does", "is", "are", "the")
@@ -142,15 +142,11 @@ def graph_hits(graph, question: str, k: int = 5, per_word: int = 10) -> DataFram
     words = list(dict.fromkeys(w for w in question.split() if w[:1].isupper() and len(w) > 2))
     if not words:
         return graph.spark.createDataFrame([], "content string, score double, type string, retriever string, ord int")
-    names = match("?entity rdfs:label ?entityName").frame(graph)
     wanted = graph.spark.createDataFrame([(k_, w) for k_, w in enumerate(words)], "w int, word string")
-    # A handful of literal words: a filter each, not a join.
-    any_ = None
-    for w in words:
-        hit = F.lower("entityName").contains(w.lower())
-        any_ = hit if any_ is None else any_ | hit
-    edges = match("?entity ?relation ?related").where("relation LIKE 'http://kg.example.org/ontology/%'").frame(graph)
-    near = names.where(any_).join(edges, "entity").join(match("?related rdfs:label ?relatedName").frame(graph), "related")
+    # A handful of literal words: a test each, not a join. The entities that they name are few as a rule, and known before edges are read.
+    found = match("?entity rdfs:label ?entityName").where(" OR ".join(f"contains(lower(entityName), {quoted(w.lower())})" for w in words))
+    edges = match("?entity ?relation ?related").where("relation LIKE 'http://kg.example.org/ontology/%'")
+    near = match(Hinted(found, "entity", found), edges, "?related rdfs:label ?relatedName").frame(graph)
     each = near.join(F.broadcast(wanted), F.lower("entityName").contains(F.lower("word")))
     first = Window.partitionBy("w").orderBy("entityName", "relation", "relatedName", "entity", "related")
     rows = each.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_word)

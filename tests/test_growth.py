@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from graphloom.operators import coref, propgraph
-from graphloom.operators.kg_views import SAME, TableGraph
+from graphloom.operators.kg_views import SAME, StoredGraph, TableGraph
+from graphloom.plans import graph_queries
+from graphloom.plans.algebra import Hinted, match
 
 
 def test_documents_without_mentions_have_no_clusters(spark):
@@ -40,3 +42,28 @@ def test_same_as_triples_are_counted_and_begun_without_pairs(spark, tmp_path):
     assert not triples.where("p like '%sameAs'").isEmpty() and graph.scan(but=SAME).where("p like '%sameAs'").isEmpty()
     links = propgraph.link_counts(graph.links())
     assert sorted(links.collect()) == sorted(propgraph.relation_counts(propgraph.from_triples(triples)[1]).collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_of_other_kinds_and_entities_are_not_read(spark):
+    g = TableGraph(spark, "/root/testdata/sf0.001")
+    every = graph_queries.catalogue()
+    # Lines as relations and as extractions have no label; words name few entities.
+    assert "entity/relation/" not in _plan(every["api_relations_all"].frame(g)) and "entity/relation/" not in _plan(every["kg_provenance"].frame(g)) and "participatedIn" not in _plan(every["demo_person_org"].frame(g))
+    for name in ("rag_entity_facts", "rag_relation_facts", "rag_entity_subgraph", "api_doc_relations"):
+        assert " IN" in _plan(every[name].frame(g)), name
+
+
+def test_narrowed_patterns_give_the_rows_of_stored_triples(spark):
+    g = TableGraph(spark, "/root/testdata/sf0.001")
+    stored = StoredGraph(g.scan().persist())
+    for node in (*(graph_queries.catalogue()[n] for n in ("api_relations_all", "kg_relations_conf", "demo_person_org", "kg_provenance")), graph_queries.entity_facts("bolt"), graph_queries.entity_facts("nothing"),
+                 graph_queries.relation_facts("bolt"), graph_queries.entity_subgraph("1")):
+        assert list(map(tuple, node.frame(g).collect())) == list(map(tuple, node.frame(stored).collect()))
+    few = match("?e rdfs:label ?n")
+    for most in (1, 1000):  # more keys than are looked up, and fewer
+        assert match(Hinted(few, "e", few, most=most), "?e a :Place").frame(g).count() == 30
+    stored.triples.unpersist()
