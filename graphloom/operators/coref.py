@@ -1,7 +1,7 @@
 """Coreference of a document's mentions: greedy clusters around a seed, chains, resolved mentions and same-as pairs.
 
-Clustering compares with the seed only, in order, so it is a fold and not a set of components; it runs as one grouped function for each
-document, type by type.
+Clustering compares with the seed only, in order, so it is a fold and not a set of components; it runs in Python for one
+document after the other, type by type.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,30 +155,53 @@ def seeds(kind: str | None, names: list[str], text: str) -> list[int]:
     return seed
 
 
-def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds ``seed``: the position of the first mention of each mention's cluster. Mentions of one text are always in one cluster, so distinct texts are compared."""
-    pdf = pdf.sort_values("pos").reset_index(drop=True)
-    codes, names = pd.factorize(pdf["text"])
-    first = pdf["pos"].to_numpy()[pd.Series(codes).drop_duplicates().index]
-    pdf["seed"] = first[pd.Series(seeds(pdf["type"].iloc[0], names.tolist(), pdf["content"].iloc[0])).to_numpy()[codes]]
-    return pdf[["doc_id", "type", "pos", "text", "seed"]]
+def clustered(kind: str | None, mentions: list[tuple[int, str | None]], text: str) -> list[tuple[int, str | None, int]]:
+    """(pos, text, seed) of mentions (pos, text) of one type; ``seed``: the position of the first mention of the mention's cluster. Mentions of one text are always in one cluster, so distinct
+    texts are compared. A mention without a text is alone."""
+    mentions = sorted(mentions, key=lambda m: m[0])
+    first: dict[str, int] = {}
+    for pos, name in mentions:
+        if name is not None:
+            first.setdefault(name, pos)
+    places = list(first.values())
+    begun = {n: places[k] for n, k in zip(first, seeds(kind, list(first), text))}
+    return [(pos, name, begun.get(name, pos)) for pos, name in mentions]
 
 
-def _document(mentions: pd.DataFrame, content: pd.DataFrame) -> pd.DataFrame:
-    if mentions.empty or content.empty:
-        # Columns of a frame without rows keep their types: Arrow makes no array of texts from an empty one of numbers.
-        return mentions[["doc_id", "type", "pos", "text"]].iloc[:0].astype({"type": object, "text": object}).assign(seed=pd.Series(dtype="int32"))
-    text = content["content"].iloc[0]
-    return pd.concat([cluster(g.assign(content=text)) for _, g in mentions.groupby("type", dropna=False)])
+def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``clustered`` for a frame (doc_id, type, pos, text, content) of one document and type."""
+    rows = clustered(pdf["type"].iloc[0], list(zip(pdf["pos"], pdf["text"])), pdf["content"].iloc[0])
+    return pd.DataFrame(rows, columns=["pos", "text", "seed"]).assign(doc_id=pdf["doc_id"].iloc[0], type=pdf["type"].iloc[0])[["doc_id", "type", "pos", "text", "seed"]]
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("mentions")
+        offsets, flat = lists.offsets.to_pylist(), lists.values
+        each = list(zip(*(flat.field(c).to_pylist() for c in ("type", "pos", "text"))))
+        rows, out = [], []
+        for k, text in enumerate(batch.column("content")):
+            by_type: dict[str | None, list[tuple]] = {}
+            for kind, pos, name in each[offsets[k] : offsets[k + 1]]:
+                by_type.setdefault(kind, []).append((pos, name))
+            content = text.as_py()
+            for kind, mentions in by_type.items():
+                out += [(kind, *m) for m in clustered(kind, mentions, content)]
+            rows += [k] * (len(out) - len(rows))
+        columns = list(zip(*out)) if out else [()] * 4
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int32())
+        yield pa.record_batch([batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["doc_id", "type", "pos", "text", "seed"])
 
 
 def clusters(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, type, pos, text, seed)."""
+    # Documents are rows with their text once and their mentions as a list, so that Python takes many at a time.
     content = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
-    rows = mentions.where("doc_id is not null").select("doc_id", "type", "pos", "text")
+    one = F.struct(F.col("type").cast("string").alias("type"), F.col("pos").cast("int").alias("pos"), F.col("text").cast("string").alias("text"))
+    rows = mentions.where("doc_id is not null").select("doc_id", one.alias("m"))
+    both = rows.unionByName(content, allowMissingColumns=True).groupBy("doc_id").agg(F.first("content", True).alias("content"), F.collect_list("m").alias("mentions"))
     kind = dict(rows.dtypes)["doc_id"]
-    # The text goes to Python once a document, not once a mention.
-    return rows.groupBy("doc_id").cogroup(content.groupBy("doc_id")).applyInPandas(_document, f"doc_id {kind}, type string, pos int, text string, seed int")
+    return both.where("content is not null and size(mentions) > 0").mapInArrow(_documents, f"doc_id {kind}, type string, pos int, text string, seed int")
 
 
 def confidence(n: Column) -> Column:
