@@ -2,7 +2,7 @@
 
 Names are looked for in one scan of the texts, however many there are. Two bitmaps of a fixed size go to all tasks: the hashes of the names' first bytes, and those of whole names by length.
 A task hashes the beginning at every place of a text; only where that is some name's, it hashes the longer stretches, one for each length that names have. What falls on a name's bit is passed on
-as text and joined with the names, so that hits are exact and the dictionary is never sent anywhere whole.
+as text and joined with the names, so that hits are exact and the dictionary is never sent anywhere whole. Short texts are searched end to end, many at a time.
 """
 
 from __future__ import annotations
@@ -64,10 +64,10 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, pa.int64()) for c in rows], names=["size", "head", "whole"])
 
 
-def _first_places(data: bytes, lengths: list[int], heads: np.ndarray, wholes: np.ndarray) -> dict[bytes, int]:
-    """Stretches of a text that may be names, with the first place of each in bytes."""
+def _places(data: bytes, begins: np.ndarray, ends: np.ndarray, lengths: list[int], heads: np.ndarray, wholes: np.ndarray) -> dict[tuple[int, bytes], int]:
+    """Stretches of texts that stand end to end (``begins`` and ``ends`` in bytes) that may be names: by text and stretch the first place."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    found: dict[bytes, int] = {}
+    found: dict[tuple[int, bytes], int] = {}
     for begin in range(0, len(raw), PART):
         # A part goes on beyond its end, so that a name that begins in it is whole.
         part = raw[begin : begin + PART + lengths[-1]]
@@ -80,32 +80,51 @@ def _first_places(data: bytes, lengths: list[int], heads: np.ndarray, wholes: np
                 at = np.arange(max(0, min(starts, len(part) - head + 1)))
                 near[head] = at[holds(heads, _stretches(sums, powers, at, head))]
             at = near[head][near[head] + length <= len(part)]
-            for k in at[holds(wholes, _stretches(sums, powers, at, length))].tolist() if len(at) else ():
-                found.setdefault(data[begin + k : begin + k + length], begin + k)
+            at = at[holds(wholes, _stretches(sums, powers, at, length))] + begin if len(at) else at
+            rows = np.searchsorted(begins, at, side="right") - 1
+            whole = at + length <= ends[rows]
+            for row, k in zip(rows[whole].tolist(), at[whole].tolist()):
+                found.setdefault((row, data[k : k + length]), k)
     return found
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts that follow one another, of PART bytes together or one longer text, with the number of the first."""
+    first, group, size = 0, [], 0
+    for k, text in enumerate(texts):
+        data = (text.as_py() or "").encode()
+        if group and size + len(data) > PART:
+            yield first, group
+            first, group, size = k, [], 0
+        group.append(data)
+        size += len(data)
+    if group:
+        yield first, group
+
+
 def _searched(columns: list[str], lengths: list[int], heads, wholes, reach: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, all_ = (np.frombuffer(x.value, dtype=np.uint8) for x in (heads, wholes))
         for batch in batches:
             rows, places, names, after = [], [], [], []
-            for row, text in enumerate(batch.column("__text")):
-                data = (text.as_py() or "").encode()
-                found = _first_places(data, lengths, first, all_)
+            for number, texts in _groups(batch.column("__text")):
+                data = b"".join(texts)
+                ends = np.cumsum([len(t) for t in texts])
+                begins = np.concatenate([[0], ends[:-1]])
+                found = _places(data, begins, ends, lengths, first, all_)
                 # Characters before each byte.
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)]) if found else None
-                for name, at in found.items():
+                for (row, name), at in found.items():
                     try:
                         names.append(name.decode())
                     except UnicodeDecodeError:  # cut inside a character: no name
                         continue
-                    rows.append(row)
-                    places.append(int(chars[at]) + 1)
+                    rows.append(number + row)
+                    places.append(int(chars[at] - chars[begins[row]]) + 1)
                     if reach is not None:
-                        end = at + len(name)
-                        stop = data.find(b".", end + reach) + 1
-                        after.append(data[end : stop or end + reach].decode("utf-8", "ignore"))
+                        text, end = texts[row], at - int(begins[row]) + len(name)
+                        stop = text.find(b".", end + reach) + 1
+                        after.append(text[end : stop or end + reach].decode("utf-8", "ignore"))
             kept = batch.select(columns).take(pa.array(rows, pa.int64()))
             more = [pa.array(after, pa.string())] if reach is not None else []
             yield pa.record_batch([*kept.columns, pa.array(names, pa.string()), pa.array(places, pa.int32()), *more], names=[*columns, "__name", "place", *["after"] * len(more)])
