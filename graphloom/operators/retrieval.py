@@ -61,6 +61,8 @@ def bow_search(docs: DataFrame, question: str, k: int = 5, id_col: str = "doc_id
 
 #: Questions that are answered in one scan of the texts; their vectors are what is sent to tasks.
 QUESTIONS = 1000
+#: Numbers of a dense part of texts by terms, or by questions.
+CELLS = 1 << 22
 
 
 def _best(questions: list[tuple], k: int):
@@ -72,11 +74,13 @@ def _best(questions: list[tuple], k: int):
         for q, (_, ws) in enumerate(questions):
             np.add.at(asked, ([column[w] for w in ws], q), 1.0)
         asked /= np.maximum(np.sqrt((asked**2).sum(0)), 1e-300)
-        for batch in batches:
-            ids, lists = batch.column("id"), batch.column("words")
-            n, coded = batch.num_rows, lists.flatten().dictionary_encode()
-            names, offsets = coded.dictionary.to_pylist(), lists.offsets.to_numpy()
-            key, count = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * max(len(names), 1) + coded.indices.to_numpy(), return_counts=True)
+        # A part's counts and scores are dense, so it has as many rows as keep both at CELLS numbers.
+        step = max(1, CELLS // max(len(column), len(questions), 1))
+        for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
+            ids, lists = part.column("id"), part.column("words")
+            n, coded = part.num_rows, lists.flatten().dictionary_encode()
+            names, lengths = coded.dictionary.to_pylist(), np.diff(lists.offsets.to_numpy())
+            key, count = np.unique(np.repeat(np.arange(n), lengths) * max(len(names), 1) + coded.indices.to_numpy(), return_counts=True)
             doc, term = key // max(len(names), 1), key % max(len(names), 1)
             norm = np.sqrt(np.bincount(doc, count.astype(float) ** 2, minlength=n))
             place = np.array([column.get(w, -1) for w in names], dtype=np.int64)[term] if names else np.empty(0, np.int64)

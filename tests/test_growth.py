@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.operators import coref, propgraph
+import types
+
+from graphloom.operators import coref, labelling, propgraph, retrieval
 from graphloom.operators.kg_views import SAME, StoredGraph, TableGraph
 from graphloom.plans import graph_queries
 from graphloom.plans.algebra import Hinted, match
@@ -67,3 +69,38 @@ def test_narrowed_patterns_give_the_rows_of_stored_triples(spark):
     for most in (1, 1000):  # more keys than are looked up, and fewer
         assert match(Hinted(few, "e", few, most=most), "?e a :Place").frame(g).count() == 30
     stored.triples.unpersist()
+
+
+def test_texts_of_a_batch_are_searched_and_clustered_together(spark, monkeypatch):
+    """Python does a bounded number of array passes for many short texts, and names do not reach from one text into the next."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", "Ann Le", "e Ann Lee", None, "é Ann Lee. x", "Lee", "Ann"] * 300
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "__text"])
+    passes, sums = [], labelling._sums
+    monkeypatch.setattr(labelling, "_sums", lambda data: passes.append(len(data)) or sums(data))
+    ones = types.SimpleNamespace(value=bytes(np.full(4096, 255, dtype=np.uint8)))  # every stretch may be a name
+    found = pa.Table.from_batches(labelling._searched(["doc_id"], [7], ones, ones, 3)(iter([batch]))).to_pylist()
+    assert len(passes) == 1
+    hits = [(r["doc_id"] % 7, r["place"], r["after"]) for r in found if r["__name"] == "Ann Lee"]
+    assert sorted(set(hits)) == [(2, 3, ""), (4, 3, ". x")] and len(hits) == 600
+    docs = spark.createDataFrame([(k, "Ann Lee came.\nann lee left; LEE slept.") for k in range(50)], "doc_id long, text string")
+    mentions = spark.createDataFrame([(k, p, t, "PERSON") for k in range(60) for p, t in enumerate(("Ann Lee", "LEE", "Bo"))], "doc_id long, pos int, text string, type string")
+    clusters = coref.clusters(mentions, docs)
+    assert "FlatMapCoGroups" not in _plan(clusters)  # no call of Python for each document
+    assert sorted((r.doc_id, r.pos, r.seed) for r in clusters.collect()) == [x for k in range(50) for x in ((k, 0, 0), (k, 1, 0), (k, 2, 2))]
+
+
+def test_words_of_texts_and_questions_are_multiplied_in_bounded_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    asked = [(str(q), [f"w{q}", "x"]) for q in range(500)]
+    batch = pa.record_batch([pa.array(range(30_000)), pa.array([[f"w{k % 500}", "x" if k % 500 == 7 else "y"] for k in range(30_000)])], names=["id", "words"])
+    tracemalloc.start()
+    rows = [(r["question"], r["id"]) for b in retrieval._best(asked, 2)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and {("7", 29_507), ("499", 29_999)} <= set(rows)
