@@ -104,3 +104,28 @@ def test_words_of_texts_and_questions_are_multiplied_in_bounded_parts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200 << 20 and {("7", 29_507), ("499", 29_999)} <= set(rows)
+
+
+def test_linked_types_and_degrees_are_counted_by_keys(spark, tmp_path):
+    """Keys twice and missing, and a text that is an entity's IRI; rows of the triples are the measure."""
+    import os
+
+    source = "/root/testdata/sf0.001"
+    for name in os.listdir(source):
+        if name not in ("part.parquet", "supplier.parquet"):
+            os.symlink(f"{source}/{name}", tmp_path / name)
+    like = spark.read.parquet(f"{source}/part.parquet")
+    rows = [(k, "n", "http://kg.example.org/entity/org/1" if k in (1, 3) else "b", "t", 1, 1.0) for k in (1, 1, 2, 3, None)]
+    spark.createDataFrame(rows, like.schema).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    suppliers = spark.read.parquet(f"{source}/supplier.parquet")
+    suppliers.unionByName(suppliers.where("s_suppkey < 3")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    g = TableGraph(spark, str(tmp_path))
+    stored = StoredGraph(g.scan().persist())
+    for name in ("kg_cross_type", "kg_degree_topk", "api_relations_all"):
+        node = graph_queries.catalogue()[name]
+        assert list(map(tuple, node.frame(g).collect())) == list(map(tuple, node.frame(stored).collect())), name
+    # No text of an IRI is made before rows are counted or joined, and first edges are asked for by their subjects.
+    cross = _plan(TableGraph(spark, source).cross_types("http://kg.example.org/ontology/"))
+    assert "entity/relation/" not in cross
+    assert "inline(" not in _plan(g.ends("http://kg.example.org/ontology/")) and "<= http" in _plan(graph_queries.catalogue()["api_relations_all"].frame(g))
+    stored.triples.unpersist()
