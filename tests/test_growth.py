@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import types
 
-from graphloom.operators import coref, labelling, propgraph, retrieval
+from graphloom.operators import classify, coref, labelling, propgraph, retrieval
 from graphloom.operators.kg_views import SAME, StoredGraph, TableGraph
 from graphloom.plans import graph_queries
 from graphloom.plans.algebra import Hinted, match
@@ -129,3 +129,26 @@ def test_linked_types_and_degrees_are_counted_by_keys(spark, tmp_path):
     assert "entity/relation/" not in cross
     assert "inline(" not in _plan(g.ends("http://kg.example.org/ontology/")) and "<= http" in _plan(graph_queries.catalogue()["api_relations_all"].frame(g))
     stored.triples.unpersist()
+
+
+def test_patterns_are_tried_where_their_texts_stand(spark):
+    """A text's lower case is made once a method, and each pattern's cues stand in all that it matches."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    texts = {
+        "skills? |x": None, r"\b(?:skills?|q[1-4])\b": ["skill", "q1", "q2", "q3", "q4"], r"\babstract\b.*?\n": ["abstract"], r"\breferences\b|\bbibliography\b": ["references", "bibliography"],
+        r"\b(?:a?b|c)\b": None, r"(?:a|b)?c": None, r"(?:a|b)|c": None, r"(a|b)c": None, r"\b(?:clause|section)\s+\d+": ["clause", "section"], r"[ab]c": None, "ab[1-3]?": ["ab"],
+    }
+    texts["skills? |x"] = ["skill", "x"]
+    assert {p: classify._cues(p) for p in texts} == texts
+    assert all(classify._cues(p) for d in classify.DOMAINS for p in d.patterns)
+    rows = ["Skills, SKILL; technical skills q3 Q5 skillset", "Abstract of\nabstract.\n", "section 12 SECTION x clause\t7", "cafémethod méthod methods methodé", "", None, "bibliography references"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id int, text string")
+    found = {r.doc_id: r.s for r in docs.select("doc_id", classify.by_rules(F.coalesce("text", F.lit("")))["all_scores"].alias("s")).collect()}
+    for k, t in enumerate(rows):
+        want = {d.name: sum(len(re.findall(p, (t or "").lower())) for p in d.patterns) for d in classify.DOMAINS}
+        assert found[k] == {n: c for n, c in want.items() if c}
+    both = docs.select(classify.by_rules(F.col("text")).alias("r"), classify.by_keywords(F.col("text")).alias("k"))
+    assert _plan(both).count("lower(") == 2
