@@ -150,7 +150,7 @@ def graph_hits(graph, question: str, k: int = 5, per_word: int = 10) -> DataFram
     # A handful of literal words: a test each, not a join. The entities that they name are few as a rule, and known before edges are read.
     found = match("?entity rdfs:label ?entityName").where(" OR ".join(f"contains(lower(entityName), {quoted(w.lower())})" for w in words))
     edges = match("?entity ?relation ?related").where("relation LIKE 'http://kg.example.org/ontology/%'")
-    near = match(Hinted(found, "entity", found), edges, "?related rdfs:label ?relatedName").frame(graph)
+    near = match(match(Hinted(found, "entity", found), edges), "?related rdfs:label ?relatedName").frame(graph)
     each = near.join(F.broadcast(wanted), F.lower("entityName").contains(F.lower("word")))
     first = Window.partitionBy("w").orderBy("entityName", "relation", "relatedName", "entity", "related")
     rows = each.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_word)

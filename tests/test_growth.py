@@ -71,6 +71,18 @@ def test_narrowed_patterns_give_the_rows_of_stored_triples(spark):
     stored.triples.unpersist()
 
 
+def test_more_entities_than_are_looked_up_are_sent_to_their_edges(spark, monkeypatch):
+    g = TableGraph(spark, "/root/testdata/sf0.001")
+    asked = lambda: (retrieval.graph_hits(g, "Where are Supplier#00000000 and NATION_1 now", 5), graph_queries.entity_subgraph("customer#00000001").frame(g))
+    few = [list(map(tuple, df.collect())) for df in asked()]
+    monkeypatch.setattr(Hinted.__init__, "__defaults__", (0, 1, 100_000))
+    for df, rows in zip(asked(), few):
+        assert "strategy=broadcast" in df._jdf.queryExecution().optimizedPlan().toString() and list(map(tuple, df.collect())) == rows
+    monkeypatch.setattr(Hinted.__init__, "__defaults__", (0, 1, 2))
+    for df, rows in zip(asked(), few):
+        assert list(map(tuple, df.collect())) == rows
+
+
 def test_texts_of_a_batch_are_searched_and_clustered_together(spark, monkeypatch):
     """Python does a bounded number of array passes for many short texts, and names do not reach from one text into the next."""
     import numpy as np
