@@ -370,12 +370,17 @@ def node_of(text: str) -> F.Column:
     return F.when(full.rlike(NONSPACE), F.md5(full))
 
 
+def _nodes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (path, n, rep: the least member) of members (id, path): those of more than SPLIT members, which are few and are sent to all tasks, and the others of at least two."""
+    nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
+    return F.broadcast(nodes.where(F.col("n") > SPLIT)), nodes.where((F.col("n") > 1) & (F.col("n") <= SPLIT))
+
+
 def _sized(members: DataFrame) -> DataFrame:
-    """Members (id, path) with the number of their node's (n) and the least of them (rep). Nodes are counted and joined in parts, so that a node is not one task."""
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
-    nodes = parts.groupBy("path").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
-    return dealt.join(parts.select("path", "part").join(nodes, "path"), ["path", "part"]).drop("part")
+    """Members (id, path) with the number of their node's (n) and the least of them (rep), of nodes of at least two. Members of large nodes are not shuffled, so that a node is not one task."""
+    large, small = _nodes(members)
+    rest = members.join(F.broadcast(large.select("path")), "path", "left_anti")
+    return members.join(large, "path").unionByName(rest.join(small, "path"))
 
 
 def _covers(members: DataFrame, sketch: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
@@ -383,9 +388,9 @@ def _covers(members: DataFrame, sketch: DataFrame) -> tuple[DataFrame | None, li
     covers, edges = None, []
     while True:
         now = members if covers is None else members.join(covers.select("id"), "id", "left_anti")
-        # The largest node of each text. Sizes are looked up for all members, as a node's size is known only then.
-        best = _sized(now).groupBy("id").agg(F.max(F.struct("n", (-F.col("rep")).alias("last"))).alias("x"))
-        best = best.where(F.col("x.n") > SPLIT).select("id", (-F.col("x.last")).alias("rep")).where("id <> rep")
+        # The largest node of each text, where it is large.
+        best = now.join(_nodes(now)[0], "path").groupBy("id").agg(F.max(F.struct("n", (-F.col("rep")).alias("last"))).alias("x"))
+        best = best.select("id", (-F.col("x.last")).alias("rep")).where("id <> rep")
         pairs = best.join(sketch, "id").join(sketch.select(F.col("id").alias("rep"), F.col("sketch").alias("rep_sketch")), "rep").select("id", "rep", "sketch", "rep_sketch")
         beside = written(pairs.mapInArrow(_beside, "id long, rep long, alike int"), "beside")
         tried = beside.count()
@@ -438,7 +443,7 @@ def _candidates(texts: DataFrame, one: DataFrame, recall: float) -> DataFrame:
         nonlocal split
         level = 1
         while True:
-            nodes = written(_sized(members.select(F.col("stands").alias("id"), "path").distinct()).where("n > 1").select("id", "path", "n"), "nodes")
+            nodes = written(_sized(members.select(F.col("stands").alias("id"), "path").distinct()).select("id", "path", "n"), "nodes")
             edges.append(written(compared(nodes.where(F.col("n") <= SPLIT)), "found"))
             crowd = nodes.where(F.col("n") > SPLIT)
             if crowd.isEmpty():

@@ -1,9 +1,8 @@
 """Connected components of a graph that no single machine holds: alternating large-star and small-star rounds.
 
-Each round is two aggregations by node with joins on the node. A node's neighbours are dealt among SALTS parts, each with a least neighbour of its own, of
-which the least is taken; what is joined is a node's part, so a node with very many neighbours is not one task. Rounds end when the edges no longer change, after
-a number of rounds that grows with the logarithm of the longest path. The edges are written to the shared folder after every round, and those of the round before
-deleted.
+Each round is two aggregations by node with joins on the node. The least neighbour of a node with very many neighbours is sent to all tasks, as such nodes are few, so that its
+neighbours are not one task. Rounds end when the edges are stars around least nodes, after a number of rounds that grows with the logarithm of the longest path. The edges are written to
+the shared folder after every round, and those of the round before deleted.
 """
 
 from __future__ import annotations
@@ -13,25 +12,32 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 
-#: Parts of a node's neighbours.
-SALTS = 32
+#: Neighbours from which a node is not joined by shuffling.
+MANY = 4096
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation on edges (u, v) with u > v: links neighbours to the least node around them.
+    """One star operation on edges (u, v) with u > v: links neighbours to the least node around them. Edges may be repeated.
 
     Large: each node's larger neighbours go to its least neighbour (or itself). Small: its smaller neighbours and itself do.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    dealt = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("part"))
-    least = parts.groupBy("u").agg(F.least("u", F.min("part")).alias("m"))
-    linked = dealt.join(parts.select("u", "s").join(least, "u"), ["u", "s"])
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(least.where(F.col("n") > MANY))
+    rest = both.join(F.broadcast(hot.select("u")), "u", "left_anti")
+    linked = both.join(hot, "u").unionByName(rest.join(least.where(F.col("n") <= MANY), "u"))
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") > F.col("v")).distinct()
+    return out.where(F.col("u") > F.col("v"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one lesser neighbour, which has none, or none: then a round changes nothing."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select("v", F.lit(0), F.lit(1)).toDF("node", "up", "down"))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,15 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     u, v = F.greatest("u", "v"), F.least("u", "v")
     now = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).select(u.alias("u"), v.alias("v")).distinct()
-    # A fixed point has the same edges; their number and an order-free sum of hashes tell.
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
     now = written(now, "edges")
-    last = mark(now)
-    while last[0]:
-        before, now = now, written(_star(_star(now, True), False), "edges")
-        new = mark(now)
+    while not _are_stars(now):
+        before, now = now, written(_star(_star(now, True), False).distinct(), "edges")
         dropped(before)
-        if new == last:
-            break
-        last = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select("v", "v").distinct().toDF("node", "component"))

@@ -430,3 +430,28 @@ def test_pipeline_stages_on_odd_tables(spark, empty):
         assert docs.columns == columns, name
     assert {r.doc_id for r in docs.select("doc_id").collect()} <= {1, 4, None}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns[:2] == ["doc_id", "start"]
+
+
+def test_stars_end_the_rounds_and_large_nodes_are_not_shuffled(spark, monkeypatch):
+    import random
+
+    from graphloom.llm import chosenpath, components
+
+    tables = []
+    monkeypatch.setattr(components, "MANY", 3)
+    monkeypatch.setattr(components, "written", lambda df, label, write=components.written: tables.append(label) or write(df, label))
+    pick = random.Random(5)
+    for edges, rounds in (([(9, 1), (1, 7), (8, 1), (8, 1), (5, 5), (1, 4), (3, 2)], 0), ([(pick.randrange(60), pick.randrange(60)) for _ in range(45)] + [(k, 70) for k in range(70, 90)], None)):
+        tables.clear()
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        of = {x: x for e in edges for x in e}
+        for _ in of:
+            for u, v in edges:
+                of[u] = of[v] = min(of[u], of[v])
+        assert got == {x: c for x, c in of.items() if any(x in e and e[0] != e[1] for e in edges)}
+        assert rounds is None or len(tables) == 1 + rounds  # stars need no round
+    monkeypatch.setattr(chosenpath, "SPLIT", 4)
+    members = [(i, p) for p, n in ((1, 9), (2, 4), (3, 1), (4, 5), (5, 2)) for i in range(p, p + n)]
+    df = spark.createDataFrame(members, "id long, path long")
+    size = {p: (sum(q == p for _, q in members), min(i for i, q in members if q == p)) for _, p in members}
+    assert sorted((r.id, r.path, r.n, r.rep) for r in chosenpath._sized(df).collect()) == sorted((i, p, *size[p]) for i, p in members if size[p][0] > 1)
