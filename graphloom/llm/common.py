@@ -66,9 +66,20 @@ def _clear_at_exit(spark: SparkSession) -> None:
         clear_scratch(spark)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a written file, at least, where their number is known.
+FILE_ROWS = 40_000
+
+
+def few(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` in four parts for each core, or more in proportion to its rows (about how many there are at most), if known, and never more parts than it had: small tables of a plan
+    with many shuffle partitions are made by few tasks."""
+    return df if rows is None else df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage and outlives lost executors.
 
+    ``rows``: see ``few``.
     The table stays, as later reads need it, until ``clear_scratch`` or the end of the driver's program.
     """
     spark = df.sparkSession
@@ -76,7 +87,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
         _cleared.add(app)
         atexit.register(_clear_at_exit, spark)
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few(df, rows).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

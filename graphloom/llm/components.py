@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, few, written
 
 #: Neighbours from which a node is not joined by shuffling.
 MANY = 4096
@@ -23,9 +23,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(least.where(F.col("n") > MANY))
-    rest = both.join(F.broadcast(hot.select("u")), "u", "left_anti")
-    linked = both.join(hot, "u").unionByName(rest.join(least.where(F.col("n") <= MANY), "u"))
+    # Looked up the same way for both parts, so that they share one broadcast.
+    looked = both.join(F.broadcast(least.where(F.col("n") > MANY).select("u", "m")), "u", "left")
+    rest = looked.where("m is null").drop("m").join(least.where(F.col("n") <= MANY).select("u", "m"), "u")
+    linked = looked.where("m is not null").unionByName(rest)
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -40,15 +41,15 @@ def _are_stars(edges: DataFrame) -> bool:
     return nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] == 0
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v: any order, repeats and loops allowed); component: its least node.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, component) for every node of ``edges`` (u, v: any order, repeats and loops allowed; about ``rows``, if known); component: its least node.
 
     Nulls are no nodes. A node that only has loops is not returned.
     """
     u, v = F.greatest("u", "v"), F.least("u", "v")
     now = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).select(u.alias("u"), v.alias("v")).distinct()
-    now = written(now, "edges")
+    now = written(few(now, rows), "edges")
     while not _are_stars(now):
-        before, now = now, written(_star(_star(now, True), False).distinct(), "edges")
+        before, now = now, written(few(_star(_star(now, True), False).distinct(), rows), "edges")
         dropped(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select("v", "v").distinct().toDF("node", "component"))

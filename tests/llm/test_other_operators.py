@@ -455,3 +455,29 @@ def test_stars_end_the_rounds_and_large_nodes_are_not_shuffled(spark, monkeypatc
     df = spark.createDataFrame(members, "id long, path long")
     size = {p: (sum(q == p for _, q in members), min(i for i, q in members if q == p)) for _, p in members}
     assert sorted((r.id, r.path, r.n, r.rep) for r in chosenpath._sized(df).collect()) == sorted((i, p, *size[p]) for i, p in members if size[p][0] > 1)
+
+
+def test_small_tables_are_made_by_few_tasks(spark, monkeypatch):
+    from graphloom.llm import chosenpath, components
+    from graphloom.llm.common import few
+
+    parts = []
+    for module in (chosenpath, components):
+        monkeypatch.setattr(module, "written", lambda df, label, *rows, write=module.written: (out := write(df, label, *rows), parts.append((label, len(out.inputFiles()))))[0])
+    monkeypatch.setattr(chosenpath, "SPLIT", 16)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text = lambda k: " ".join(f"w{j}" for j in range(60)) + f" x{k}"
+        docs = spark.createDataFrame([(k, text(k)) for k in range(40)] + [(k, f"other {k} words of {k} its own {k * k}") for k in range(40, 60)], "doc_id long, text string")
+        got = sorted(tuple(r) for r in chosenpath.node_classes(docs).select("class_id", "n_links", "chosen").collect())
+        assert got == sorted([(0, 39, k == 0) for k in range(40)] + [(k, 0, True) for k in range(40, 60)])
+        assert {"nodes", "found", "edges", "groups", "links"} <= {x for x, _ in parts}
+        assert max(n for label, n in parts if label != "signatures") <= 4 * spark.sparkContext.defaultParallelism
+        # More rows, more parts; never more than there were.
+        ids = spark.range(0, 100, 1, 90)
+        assert [few(ids, n).rdd.getNumPartitions() for n in (None, 1, 20 * 40_000, 50 * 40_000, 10**9)] == [90, 16, 20, 50, 90]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
