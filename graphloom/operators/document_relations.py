@@ -205,11 +205,22 @@ def by_sentence(text: str, mentions: list[tuple]) -> Iterator[tuple]:
                     yield _row(kind_of(kx, ky), (x, kx, first), (y, ky, places[bisect_right(places, first)]), 0.5, sentence.strip(" "), 2)
 
 
-def _of_document(text: str, mentions: list[tuple], parts: tuple[str, ...]) -> Iterator[tuple]:
+def _firsts(mentions: list[tuple]) -> list[tuple]:
+    """The first of mentions that differ by their number alone: names that stand at one place many times make pairs of equal rows, of which the first ones' is the best."""
+    first: dict[tuple, tuple] = {}
+    for m in mentions:
+        key = m[1], m[2], m[3] is not None, m[4], m[5]
+        if key not in first or m[0] < first[key][0]:
+            first[key] = m
+    return list(first.values())
+
+
+def _of_document(text: str, mentions: list[tuple], parts: tuple[str, ...], once: bool = False) -> Iterator[tuple]:
+    """Relations of a document; with ``once`` some that are not the best of equal ones may be left out."""
     if "patterns" in parts:
         yield from by_patterns(text, mentions)
     if "nearness" in parts:
-        yield from by_nearness(mentions)
+        yield from by_nearness(_firsts(mentions) if once else mentions)
     if "sentences" in parts:
         yield from by_sentence(text, mentions)
 
@@ -233,7 +244,7 @@ def _run(parts: tuple[str, ...], once: bool):
             ids, rows = [], []
             for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
                 mentions = list(zip(*(c[offsets[k] : offsets[k + 1]] for c in columns)))
-                found = _of_document(text.as_py() or "", mentions, parts)
+                found = _of_document(text.as_py() or "", mentions, parts, once)
                 if once:
                     best: dict[tuple, tuple] = {}
                     for row in found:

@@ -164,3 +164,25 @@ def test_patterns_are_tried_where_their_texts_stand(spark):
         assert found[k] == {n: c for n, c in want.items() if c}
     both = docs.select(classify.by_rules(F.col("text")).alias("r"), classify.by_keywords(F.col("text")).alias("k"))
     assert _plan(both).count("lower(") == 2
+
+
+def test_names_repeated_at_one_place_make_each_near_pair_once():
+    import random
+
+    import pyarrow as pa
+
+    from graphloom.operators import document_relations as dr
+
+    pick = random.Random(3)
+    names = [("Ann Lee", "PERSON", None, 0, 7), ("Acme", "ORG", None, 12, 16), ("Acme", "ORG", "employer", 12, 16), ("Oslo", "PLACE", None, 20, 24), ("Ann Lee", "PERSON", None, 30, 37), ("Nobody", None, None, None, None), ("Acme", "PLACE", None, 40, 44)]
+    mentions = [(pos, *pick.choice(names)) for pos in range(400)]
+    pick.shuffle(mentions)
+    every = list(dr._of_document("", mentions, ("nearness",)))
+    assert len(every) > 10_000 and len(list(dr._of_document("", mentions, ("nearness",), True))) <= len(names) ** 2
+    best = {}
+    for row in sorted(every, key=lambda r: (-r[3], r[9], r[7], r[8])):
+        best.setdefault(row[:3], row)
+    lists = pa.array([[dict(zip(dr.MENTION, m)) for m in mentions]], pa.list_(pa.struct([("pos", pa.int32()), ("text", pa.string()), ("type", pa.string()), ("role", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32())])))
+    batch = pa.record_batch([pa.array([1]), pa.array([""]), lists], names=["doc_id", "text", "mentions"])
+    (got,) = dr._run(("nearness",), True)(iter([batch]))
+    assert sorted(map(str, (tuple(r.values())[1:] for r in got.to_pylist()))) == sorted(map(str, best.values()))
